@@ -31,7 +31,9 @@ MER = 4
 #: A run that is the minimiser of more than this share of the super-k-mers is demoted; at most twice its inverse are listed.
 HOT_SHARE = 1 / 20_000
 #: Bytes of packed strings to a bucket, on average.
-BUCKET_BYTES = 6_000_000
+BUCKET_BYTES = 2_000_000
+#: Bytes of text whose packed strings a task gathers before it sends them off.
+PACK_BYTES = 8_000_000
 _TOP = np.uint64(1 << 63)
 PARTS = "bucket int, ids array<bigint>, text_keys array<bigint>, starts array<int>, places array<int>, packed binary"
 
@@ -95,11 +97,23 @@ def _heavy(df: DataFrame, window: int, mer: int) -> tuple[np.ndarray, int]:
 def _packed(df: DataFrame, window: int, mer: int, hot, buckets: int) -> DataFrame:
     """A row for each batch and bucket: the distinct packed strings (compressed together), how many places each has, and the places."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("text_keys", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("packed", pa.binary())])
+
+    def rows(bins: dict[int, dict[bytes, list]]) -> pa.RecordBatch:
         squeeze = zstandard.ZstdCompressor(level=1)
+        columns: list[list] = [[] for _ in schema]
+        for bucket, strings in bins.items():
+            places = [p for found in strings.values() for p in found]
+            ids, keys, starts = (list(x) for x in zip(*places, strict=True))
+            for column, x in zip(columns, (bucket, ids, keys, starts, [len(found) for found in strings.values()], squeeze.compress(b"\n".join(strings))), strict=True):
+                column.append(x)
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         demoted = hot.value
+        bins: dict[int, dict[bytes, list]] = {}
+        size = 0
         for batch in batches:
-            bins: dict[int, dict[bytes, list]] = {}
             for piece in pieces(batch):
                 words = Words(piece.column("text"))
                 owner, first, windows, value = _super_kmers(words, window, mer, demoted)
@@ -113,17 +127,12 @@ def _packed(df: DataFrame, window: int, mer: int, hot, buckets: int) -> DataFram
                 )
                 for bucket, t, start, a, b in spans:
                     bins.setdefault(bucket, {}).setdefault(raw[a:b], []).append((ids[t], keys[t], start))
-            rows = {"bucket": [], "ids": [], "text_keys": [], "starts": [], "places": [], "packed": []}
-            for bucket, strings in bins.items():
-                places = [p for found in strings.values() for p in found]
-                rows["bucket"].append(bucket)
-                rows["ids"].append([p[0] for p in places])
-                rows["text_keys"].append([p[1] for p in places])
-                rows["starts"].append([p[2] for p in places])
-                rows["places"].append([len(found) for found in strings.values()])
-                rows["packed"].append(squeeze.compress(b"\n".join(strings)))
-            schema = pa.schema([("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("text_keys", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("packed", pa.binary())])
-            yield pa.record_batch([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
+                size += len(raw)
+                if size > PACK_BYTES:
+                    yield rows(bins)
+                    bins, size = {}, 0
+        if bins:
+            yield rows(bins)
 
     return df.mapInArrow(pack, PARTS)
 
