@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from .mixing import op4_source_mixing
+from .near_dup import op8_near_dup
 from .substring_dedup import op2_substring_dedup
 from .token_counts import op9_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_substring_dedup, op4_source_mixing, op9_token_counts)}
+    return {f.__name__: f for f in (op2_substring_dedup, op4_source_mixing, op8_near_dup, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
