@@ -37,6 +37,11 @@ def _checked(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _once(value: Column) -> Column:
+    """value as a generated column, so that no later filter or lambda computes it again."""
+    return F.explode(F.array(value))
+
+
 def _hashes(words: Column, k: int) -> Column:
     """The hash of every k-word run."""
     runs = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k))))
@@ -95,7 +100,7 @@ def _of_size(docs: DataFrame, items: DataFrame, k: int, planes: int) -> DataFram
         found = hits.join(there, (F.col("text_key") == F.col("t")) & F.col("id").eqNullSafe(F.col("i")))
     windows = found.select("id", "text_key", "start", "n", F.slice("words", F.col("start") + 1, F.col("n")).alias("window"))
     windows = windows.select("*", _hashes(F.col("window"), k).alias("hashes"))
-    windows = windows.select("id", "text_key", "start", "n", "window", fingerprint(F.col("hashes"), planes).alias("print"))
+    windows = windows.select("id", "text_key", "start", "n", "window", _once(fingerprint(F.col("hashes"), planes)).alias("print"))
 
     printed = hashed.select("item_id", F.xxhash64("item_id", F.array_join("words", " ")).alias("item_key"), "n", F.col("words").alias("item"), fingerprint(F.col("hashes"), planes).alias("item_print"))
     filed = F.explode(F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("item_print"), b).alias("value")) for b in range(BLOCKS))))
@@ -110,7 +115,7 @@ def _of_size(docs: DataFrame, items: DataFrame, k: int, planes: int) -> DataFram
     near = near.filter((F.bit_count(apart) <= RADIUS) & (first == F.col("b"))).select("id", "text_key", "start", "window", "filed_key")
 
     exact = near.join(_checked(printed.select("item_id", "item_key", "item")), F.col("filed_key") == F.col("item_key"))
-    exact = exact.select("*", _shingles(F.col("window"), k).alias("x"), _shingles(F.col("item"), k).alias("y"))
+    exact = exact.select("*", _once(F.struct(_shingles(F.col("window"), k).alias("x"), _shingles(F.col("item"), k).alias("y"))).alias("s")).select("*", "s.x", "s.y")
     exact = exact.select("id", "text_key", "item_id", "start", F.size("window").alias("words"), _common_weight(F.col("x"), F.col("y")).alias("common"), (F.size("x") + F.size("y")).alias("both"))
     exact = exact.filter(100 * F.col("common") >= PERCENT * (F.col("both") - F.col("common")))
     return exact.select("id", "text_key", "item_id", "start", "words", (F.col("common") / (F.col("both") - F.col("common"))).alias("similarity"))

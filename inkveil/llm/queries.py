@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat_format import OP3_SQL, op3_chat_format
 from .decontaminate import op1_decontaminate
 from .mixing import op4_source_mixing
 from .near_dup import op8_near_dup
@@ -10,8 +11,8 @@ from .token_counts import op9_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op4_source_mixing, op8_near_dup, op9_token_counts)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_chat_format, op4_source_mixing, op8_near_dup, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_format": OP3_SQL}
