@@ -9,11 +9,12 @@ from .near_dup import op8_near_dup
 from .substring_dedup import op2_substring_dedup
 from .token_counts import op9_token_counts
 from .topk import OP10_SQL, op10_topk
+from .warc import OP7_SQL, op7_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_chat_format, op4_source_mixing, op8_near_dup, op9_token_counts, op10_topk)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_chat_format, op4_source_mixing, op7_warc, op8_near_dup, op9_token_counts, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op10_topk": OP10_SQL}
+    return {"op3_chat_format": OP3_SQL, "op7_warc": OP7_SQL, "op10_topk": OP10_SQL}
