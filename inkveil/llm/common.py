@@ -24,7 +24,7 @@ _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240901).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE, _BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 #: Multipliers of a word by its place in a run of words.
-PLACE = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+PLACE = np.random.default_rng(7).integers(1, 2**63, 128, dtype=np.uint64) | np.uint64(1)
 #: Bytes of text handled at a time in a Python worker.
 CHUNK_BYTES = 2_000_000
 
@@ -91,12 +91,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of some texts: `joined` has them all, one space after each; word i is joined[start[i]:end[i]], and text t has the words first[t]:first[t + 1]."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, inside: np.ndarray = _IS_WORD):
+        """inside: of each byte, whether it belongs to words."""
         ended = pc.binary_join_element_wise(pc.fill_null(texts.cast(pa.large_binary()), b""), pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
         _, offsets, data = ended.buffers()
         at = np.frombuffer(offsets, np.int64)[ended.offset : ended.offset + len(ended) + 1]
         raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if len(ended) else np.empty(0, np.uint8)
-        inside = _IS_WORD[raw]
+        inside = inside[raw]
         kept = inside.copy()
         kept[1:] |= inside[:-1]
         self.joined = (_LOWER[raw] if lower else raw)[kept]
@@ -107,19 +108,20 @@ class Words:
         self.first = np.searchsorted(ends, at - at[0])
         self.first[-1] = len(self.end)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
+    def hashes(self, head: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word, or of its first `head` bytes."""
         n = len(self.joined)
+        end = self.end if head is None else np.minimum(self.end, self.start + head)
         power, inverse = _power_tables(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[self.joined] * power[:n], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        return mix((total[end] - total[self.start]) * inverse[self.start] + (end - self.start).astype(np.uint64))
 
 
 def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k consecutive words, over the bounds of texts too: as many as words, the last k - 1 of no meaning."""
     total = words * PLACE[0]
-    for j in range(1, k):
+    for j in range(1, min(k, len(words))):
         total[: len(words) - j] += words[j:] * PLACE[j]
     return mix(total)
 

@@ -6,14 +6,16 @@ from .chat_format import OP3_SQL, op3_chat_format
 from .decontaminate import op1_decontaminate
 from .mixing import op4_source_mixing
 from .near_dup import op8_near_dup
+from .quality import op5_quality
 from .substring_dedup import op2_substring_dedup
 from .token_counts import op9_token_counts
 from .topk import OP10_SQL, op10_topk
+from .toxicity import op6_toxicity
 from .warc import OP7_SQL, op7_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_chat_format, op4_source_mixing, op7_warc, op8_near_dup, op9_token_counts, op10_topk)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_chat_format, op4_source_mixing, op5_quality, op6_toxicity, op7_warc, op8_near_dup, op9_token_counts, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:

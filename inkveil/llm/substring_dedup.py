@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLACE, Words, fresh, mix, pieces, run_hashes
+from .common import Words, fresh, pieces, run_hashes
 
 #: Words of the runs that serve as minimisers.
 MER = 4
@@ -141,10 +141,7 @@ def _repeated(strings: list[bytes], places: np.ndarray, window: int) -> list[np.
     """Of each packed string, which of its windows start in two places or more."""
     words = Words(pa.array(strings, pa.binary()))
     hashes = words.hashes()
-    total = hashes * PLACE[0]
-    for j in range(1, window):
-        total[: len(hashes) - j] += hashes[j:] * PLACE[j]
-    total = mix(total)
+    total = run_hashes(hashes, window)
     count = np.diff(words.first)
     string = np.repeat(np.arange(len(count)), count)
     at = np.flatnonzero(np.arange(len(hashes)) <= np.repeat(words.first[1:], count) - window)
