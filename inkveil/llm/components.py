@@ -19,7 +19,6 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m"))
         large = both.join(least, both.u == least.of).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "of")
         small = large.join(least, large.u == least.of)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(least.select(F.col("of").alias("u"), F.col("m").alias("v"))).distinct()

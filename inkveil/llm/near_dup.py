@@ -3,14 +3,15 @@
 1. A text's set is its distinct shingles. Texts of equal sets are one class, so copies are never compared.
 2. Signatures of HASHES minima are banded; classes that share a band are candidates. With 32 bands of 4, a pair at the
    threshold of 0.75 shares none with a probability of 5e-6.
-3. Candidates are taken from each bucket in rounds: first all members against one centre, which links a group of near copies
-   with as many pairs as members. Buckets whose members are by then in one component are done. In the others, members of
-   different components are compared: each with each in buckets of up to PAIRED members; in larger ones all members against
-   CENTRES further centres a round, which then leave the bucket, until it is done or small. So every candidate pair that
-   could still join two components is compared, and no step makes more than a fixed number of pairs for each member.
+3. Candidates are taken from each bucket in two rounds: first all members against one centre, which links a group of near
+   copies with as many pairs as members. Buckets whose members are by then in one component are done. In the others, members of
+   different components are compared: each with each in buckets of up to PAIRED members; larger ones go to step 6.
 4. Pairs are compared by batches of the signature. After n hashes with m equal, the posterior of the similarity under a flat
    prior is Beta(m + 1, n - m + 1); a pair is pruned as soon as the chance of the threshold or more is below MISS.
 5. Survivors are confirmed on their full sets: 100 * intersection >= 75 * union.
+6. Members of large buckets outside their main component are compared with all others in blocks of texts, exactly and without
+   signatures; of a block only those links leave that join something. So no pair that shares a band stays uncompared, and no
+   step makes rows for all pairs of a group.
 
 Defined cases: null and empty texts have an empty set, link with nothing and are kept; a text of fewer words than a shingle is
 one shingle; a null id counts as larger than all others; rows with one id are kept or dropped together; an empty table gives
@@ -24,6 +25,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ HASHES, BAND_ROWS, BATCH = 128, 4, 32
 #: Similarity in hundredths.
 PERCENT = 75
 MISS = 1e-6
-PAIRED, CENTRES = 48, 16
+PAIRED, BLOCK = 12, 256
 _SEED = np.random.default_rng(1966)
 _XOR = _SEED.integers(0, 2**63, HASHES, dtype=np.uint64)
 _TIMES = _SEED.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -147,26 +149,93 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select("a", "b", "ta", "tb").mapInArrow(confirm, "a binary, b binary")
 
 
-def _next_pairs(members: DataFrame, labels: DataFrame, round_: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs that could join components, and the members left for the round after it.
-
-    members: (key, node) of the buckets not yet done. The pairs are of different components."""
+def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, component, members) of the buckets whose members are in different components."""
     lab = labels.select(F.col("node").alias("n"), "component")
-    known = members.join(lab, F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    known = members.join(lab, F.col("node") == F.col("n")).select("key", "node", "component")
     stats = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"))
-    open_ = stats.filter("lo != hi").select(F.col("key").alias("k"), "members")
-    left = written(known.join(open_, F.col("key") == F.col("k")).drop("k"), f"near-members{round_}")
-    small = left.filter(F.col("members") <= PAIRED)
+    return known.join(stats.filter("lo != hi").select(F.col("key").alias("k"), "members"), F.col("key") == F.col("k")).drop("k")
+
+
+def _paired(small: DataFrame) -> DataFrame:
+    """The pairs of different components in small buckets."""
     x, y = (small.select(F.col("key").alias(f"k{i}"), F.col("node").alias(i), F.col("component").alias(f"c{i}")) for i in "ab")
-    paired = x.join(y, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
-    large = left.filter(F.col("members") > PAIRED)
-    draw = F.struct(F.xxhash64("node", F.lit(round_)).alias("draw"), F.col("node").alias("centre"), F.col("component").alias("of"))
-    drawn = large.groupBy("key").agg(F.min_by(draw, draw).alias("c0"), *(F.min(F.when(F.pmod(F.xxhash64("node", F.lit(-round_)), F.lit(CENTRES)) == i, draw)).alias(f"c{i + 1}") for i in range(CENTRES)))
-    centres = drawn.select(F.col("key").alias("k"), F.explode(F.array_compact(F.array_distinct(F.array(*(f"c{i}" for i in range(CENTRES + 1)))))).alias("c")).select("k", "c.centre", "c.of")
-    starred = large.join(centres, F.col("key") == F.col("k")).filter("component != of")
-    pairs = paired.select("a", "b").unionByName(starred.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
-    rest = large.join(centres, (F.col("key") == F.col("k")) & (F.col("node") == F.col("centre")), "left_anti").select("key", "node")
-    return pairs.distinct(), rest
+    return x.join(y, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
+
+
+def spanning_links(x: list[np.ndarray], y: list[np.ndarray], same: np.ndarray) -> list[tuple[int, int]]:
+    """Links between sets of x and sets of y, as few as join what all of them join. same: pairs that need none."""
+    common = np.zeros((len(x), len(y)), np.float32)
+    shared = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)))
+    for at in range(0, len(shared), 8192):
+        some = shared[at : at + 8192]
+        marks = []
+        for sets in (x, y):
+            mark = np.zeros((len(sets), len(some)), np.float32)
+            for i, s in enumerate(sets):
+                mark[i, np.searchsorted(some, s[np.isin(s, some)])] = 1
+            marks.append(mark)
+        common += marks[0] @ marks[1].T
+    union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - common
+    group = list(range(len(x) + len(y)))
+
+    def root(i: int) -> int:
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    out = []
+    for i, j in np.argwhere((100 * common >= PERCENT * union) & ~same).tolist():
+        p, q = root(i), root(len(x) + j)
+        if p != q:
+            group[p] = q
+            out.append((i, j))
+    return out
+
+
+def _cluster_links(large: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links within large buckets, found block by block.
+
+    Large buckets that share members are one cluster. Its members outside the cluster's main component meet all its members in
+    blocks of BLOCK by BLOCK texts; a block's sets are compared exactly in one matrix product, and only links that join
+    something leave it. A member's rows grow with the number of blocks that it meets, not with that of members."""
+    centre = large.groupBy("key").agg(F.min("node").alias("centre")).withColumnRenamed("key", "k")
+    clusters = components(large.join(centre, F.col("key") == F.col("k")).select(F.col("node").alias("a"), F.col("centre").alias("b"))).withColumnRenamed("component", "cluster")
+    own = large.select(F.col("node").alias("n"), "component").distinct()
+    members = clusters.join(own, F.col("node") == F.col("n")).select("node", "cluster", "component")
+    parts = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("size"))
+    main = parts.groupBy(F.col("cluster").alias("c")).agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.sum("size").alias("all"), (F.sum("size") - F.max("size")).alias("minor"))
+    blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
+    placed = members.join(main.filter("minor > 0"), F.col("cluster") == F.col("c")).select("*", blocks("all").alias("nb"), blocks("minor").alias("na"))
+    placed = placed.withColumn("draw", F.xxhash64("node"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ["cluster", "node", "component"]
+    left = placed.filter("component != main").select(*kept, F.lit(True).alias("minor"), F.pmod(F.col("draw"), F.col("na")).alias("a"), every("nb").alias("b"))
+    right = placed.select(*kept, F.lit(False).alias("minor"), every("na").alias("a"), F.pmod(F.col("draw"), F.col("nb")).alias("b"))
+    units = left.unionByName(right)
+    filled = units.join(texts, F.col("node") == F.col("digest")).drop("digest")
+
+    def compare(unit):
+        minor = unit["minor"].to_numpy()
+        sides = [unit[minor], unit[~minor]]
+        if not len(sides[0]) or not len(sides[1]):
+            return unit.iloc[:0][["node", "component"]].set_axis(["a", "b"], axis=1)
+        sets = [shingle_sets(pa.array(side["text"], pa.string())) for side in sides]
+        names = [side["node"].tolist() for side in sides]
+        same = np.array(sides[0]["component"].tolist(), object)[:, None] == np.array(sides[1]["component"].tolist(), object)[None, :]
+        links = spanning_links(*sets, same.astype(bool))
+        return pd.DataFrame({"a": [names[0][i] for i, _ in links], "b": [names[1][j] for _, j in links]})
+
+    return filled.groupBy("cluster", "a", "b").applyInPandas(compare, "a binary, b binary")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after links (a, b)."""
+    own, other = (labels.select(F.col("node").alias(f"n{i}"), F.col("component").alias(f"c{i}")) for i in "ab")
+    joined = links.join(own, F.col("a") == F.col("na")).join(other, F.col("b") == F.col("nb")).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    merged = components(joined).select(F.col("node").alias("was"), F.col("component").alias("now"))
+    return labels.join(merged, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,26 +257,21 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = base.join(sought, (F.col("text_key") == F.col("t")) & F.col("id").eqNullSafe(F.col("i"))).select("digest", "text").dropDuplicates(["digest"])
     texts = written(texts, "near-texts")
 
-    pairs = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    pairs = written(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "near-stars")
     labels = nodes.select("node", F.col("node").alias("component"))
-    tested, round_ = None, 0
-    while True:
-        fresh_pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        fresh_pairs = written(fresh_pairs, f"near-pairs{round_}")
-        tested = fresh_pairs if tested is None else tested.unionByName(fresh_pairs)
-        if not fresh_pairs.isEmpty():
-            links = written(_confirmed(_survivors(fresh_pairs, met), texts), f"near-links{round_}")
-            own, other = (labels.select(F.col("node").alias(f"n{i}"), F.col("component").alias(f"c{i}")) for i in "ab")
-            joined = links.join(own, F.col("a") == F.col("na")).join(other, F.col("b") == F.col("nb")).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-            merged = components(joined).select(F.col("node").alias("was"), F.col("component").alias("now"))
-            labels = written(labels.join(merged, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component")), f"near-labels{round_}")
-        if members is None:
-            break
-        round_ += 1
-        pairs, rest = _next_pairs(members, labels, round_)
-        members = written(rest, f"near-rest{round_}")
-        if members.isEmpty():
-            members = None
+    links = written(_confirmed(_survivors(pairs, met), texts), "near-links")
+    if not links.isEmpty():
+        labels = written(_merged(labels, links), "near-labels")
+
+    left = written(_open_members(members, labels), "near-open")
+    fresh_pairs = _paired(left.filter(F.col("members") <= PAIRED)).join(pairs, ["a", "b"], "left_anti")
+    links = _confirmed(_survivors(fresh_pairs, met), texts)
+    large = left.filter(F.col("members") > PAIRED)
+    if not large.isEmpty():
+        links = links.unionByName(_cluster_links(large, texts))
+    links = written(links, "near-links")
+    if not links.isEmpty():
+        labels = written(_merged(labels, links), "near-labels")
 
     of_class = classes.select("digest", "rep").join(labels, F.col("digest") == F.col("node"), "left").select("digest", "rep", F.coalesce("component", "digest").alias("component"))
     smallest = of_class.groupBy("component").agg(F.min("rep").alias("component_id")).withColumnRenamed("component", "c")

@@ -48,11 +48,11 @@ def noisy(dice, words, n):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("paired, centres", [(8, 6)])
-def test_groups(spark, monkeypatch, paired, centres):
-    """Groups around the threshold, chains, exact copies and odd rows; with tiny limits, many rounds."""
+@pytest.mark.parametrize("paired, block", [(4, 7)])
+def test_groups(spark, monkeypatch, paired, block):
+    """Groups around the threshold, chains, exact copies and odd rows; with tiny limits, many blocks."""
     monkeypatch.setattr(N, "PAIRED", paired)
-    monkeypatch.setattr(N, "CENTRES", centres)
+    monkeypatch.setattr(N, "BLOCK", block)
     dice = random.Random(3)
     rows = [(1, None), (2, ""), (3, " \n"), (4, "Ab c"), (5, "aB c"), (6, "one two three four five"), (None, "One two three four five"), (7, "É x y z w v"), (8, "é x y z w v"), (None, None)]
     rows += [(10 + i, "same text again and again all the way down " * 2) for i in range(20)]
