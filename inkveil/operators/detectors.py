@@ -32,6 +32,8 @@ class Detector:
     mode: str = "balanced"
     template: str | None = None
     normalize: Callable[[Column], Column] | None = None
+    #: Of the text, its string literals and a match: what replaces it in code, or null.
+    replacement: Callable[[Column, Column, Column], Column] | None = None
 
     @property
     def strict_only(self) -> bool:

@@ -1,36 +1,224 @@
-"""Names of people and organizations. Covered are labelled fields, comment bylines, titles, copyright lines and legal suffixes;
-prose cues, signatures, table columns and names that match an email of the same text are not yet."""
+"""Names of people and organizations, as native expressions: labelled fields, comment bylines, cues in prose, titles, signatures,
+quoted names on lines about names, names that match an email of the same text, copyright lines, legal suffixes, and columns of
+comma-separated tables. All but the matched emails are of low confidence."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.spans import LOW, MEDIUM, outside, spans
+from ..functions.script import shifted
+from ..functions.spans import LOW, MEDIUM, jvm, no_spans, outside, spans
+
+# Fixed values.
+FULL_NAME_LABELS = (
+    r"full[ _-]?name|display[ _-]?name|owner|requested[ _-]?by|manager|approver|contact|author|created[ _-]?by|prepared[ _-]?by|modified[ _-]?by|requester|requestor|"
+    r"reviewer|submitter|recipient|attn|attention|assigned[ _-]?to|technician|supervisor|employee(?:[ _-]?name)?|patient(?:[ _-]?name)?|user|to|from|cc|bcc"
+)
+SINGLE_NAME_LABELS = r"name|first[ _-]?name|given[ _-]?name|last[ _-]?name|family[ _-]?name|surname"
+ORGANIZATION_LABELS = (
+    r"company[ _-]?name|company|organi[sz]ation|org[ _-]?name|tenant[ _-]?name|employer|department|business[ _-]?unit|agency|client|site|facility|hospital|school|vendor|"
+    r"customer|partner|supplier|institution|division|practice|firm"
+)
+PARTICLES = "al|bin|da|das|de|del|della|den|der|di|dos|du|el|ibn|la|le|te|ten|ter|van|von"
+COMMAND_VERBS = (
+    "Add|Clear|Close|Compare|Convert|ConvertFrom|ConvertTo|Copy|Disable|Dismount|Enable|Enter|Exit|Expand|Export|Find|Format|Get|Import|Install|Invoke|Join|Measure|Mount|"
+    "Move|New|Out|Push|Pop|Read|Register|Remove|Rename|Reset|Resize|Resolve|Restart|Restore|Resume|Select|Send|Set|Show|Sort|Split|Start|Stop|Suspend|Test|Unblock|"
+    "Uninstall|Unregister|Update|Wait|Write"
+)
+STOP_WORDS = (
+    "a", "an", "the", "this", "that", "these", "those", "my", "our", "your", "his", "her", "their", "its", "me", "us", "him", "them", "we", "you", "it", "he", "she", "they", "i",
+    "if", "when", "then", "all", "any", "each", "every", "some", "no", "not", "please", "and", "or", "but", "for", "with", "at", "on", "in", "to", "from", "by", "of", "as", "is",
+    "are", "was", "were", "be", "being", "been", "will", "shall", "should", "would", "can", "could", "may", "might", "must", "do", "does", "did", "here", "there", "now", "today",
+    "support", "team", "help", "desk", "admin",
+)
+CUES = (
+    r"contact(?:ed)?|as[ \t]+per|c/o|"
+    r"(?:prepared|written|created|authored|reviewed|approved|submitted|requested|signed|provided|sent|pulled|lifted|copied|received|forwarded|maintained|reported|owned)[ \t]+(?:by|from)|"
+    r"reviewed[ \t]+with|(?:prepared|created|written|reviewed|approved|submitted|signed)[ \t]+for[ \t][^\r\n]{0,80}?[ \t]by|"
+    r"(?:escalated|assigned|handed[ \t]+off|transferred|routed)[ \t]+to|(?:spoke|met|meeting|call|conversation)[ \t]+with|on[ \t]+behalf[ \t]+of|"
+    r"(?:kind[ \t]+|warm[ \t]+|best[ \t]+|many[ \t]+)?(?:regards|thanks|thank[ \t]+you|sincerely|cheers)[ \t]*,"
+)
+CLOSINGS = r"kind[ \t]+regards|warm[ \t]+regards|best[ \t]+regards|many[ \t]+thanks|regards|thanks|thank[ \t]+you|sincerely|cheers|respectfully"
+TITLES = "Dr|Mr|Mrs|Ms|Mx|Prof|Professor|Rev"
+BROAD_SUFFIXES = (
+    "Health|Healthcare|Hospital|University|College|School|Services|Systems|Solutions|Department|Team|Foundation|Association|Agency|Ministry|Council|Institute|Centre|Center|"
+    "Clinic|Network|Group|Company|Corporation|Corp|Inc|Ltd|LLC"
+)
+STRONG_SUFFIXES = "Hospital|Healthcare|Ltd|LLC|Inc|Corp|Corporation|Incorporated|University|College|Clinic|Foundation|Institute"
+NO_ORGANIZATION = ("TBD", "TBA", "TODO", "N/A", "NA", "NONE", "NULL", "TRUE", "FALSE", "UNKNOWN", "PENDING", "DEFAULT")
+TECHNICAL_WORDS = ("admin", "build", "contact", "desk", "help", "info", "release", "service", "support", "system", "team", "test", "version")
+PERSON_COLUMNS = (
+    "name", "fullname", "displayname", "firstname", "givenname", "lastname", "familyname", "surname", "preferredname", "owner", "manager", "supervisor", "contact", "contactname",
+    "requestedby", "approver", "approvedby", "author", "createdby", "preparedby", "modifiedby", "employeename", "patientname",
+)
+ORGANIZATION_COLUMNS = (
+    "company", "companyname", "organization", "organisation", "orgname", "tenantname", "employer", "department", "businessunit", "agency", "client", "clientname", "site", "facility",
+    "hospital", "school", "vendor", "vendorname",
+)
+
+_IN = r"[\p{L}\p{M}'’.-]"
+#: A capitalised part of a name has a small letter too.
+PART = rf"\p{{Lu}}(?={_IN}*\p{{Ll}}){_IN}*"
+INITIAL, SUFFIX = r"\p{Lu}\.?", r"(?:Jr|Sr|II|III|IV)\.?"
+#: A part that punctuation may follow.
+_TOKEN = rf"\p{{Lu}}(?={_IN}*\p{{Ll}}){_IN}*[\p{{L}}\p{{M}}](?![\p{{L}}\p{{M}}\p{{N}}_@/\\-])"
+_STOP = rf"(?!(?i:{'|'.join(STOP_WORDS)})(?![\p{{L}}\p{{N}}]))(?!(?:{COMMAND_VERBS})-\p{{Lu}})"
+_NEXT = rf"[ \t]+{_STOP}(?:{_TOKEN}|(?:{PARTICLES})(?=[ \t])|\p{{Lu}}\.|\p{{Lu}}(?![\p{{L}}\p{{N}}])|(?:Jr|Sr)\.|(?:Jr|Sr|II|III|IV)(?![\p{{L}}\p{{N}}]))"
+WALK = rf"{_STOP}{_TOKEN}(?:{_NEXT}){{%d,4}}"
+
+ORGANIZATION_WORD = r"(?:\p{Lu}|[0-9])[\p{L}\p{M}0-9&.'’/–—-]*"
+CONNECTOR = r"(?i:&|and|of|the|de|la)"
+_BARE = r"(?:\p{Lu}|[0-9])[\p{L}\p{M}0-9&.'’/–—-]*[\p{L}\p{M}0-9&/–—-]|\p{Lu}"
+
+BYLINE = r"(?im)^[ \t]*#[^\r\n]*?\b(?:author|created[ \t]+by|prepared[ \t]+by|written[ \t]+by|maintainer|contact)\b[ \t]*[:=-]?[ \t]+([^\r\n,;#]+?)[ \t]*(?=[ \t](?:for|at|with|on|from|if|when|about|regarding|via|to)[ \t]|[\r\n,;#]|\z)"
+PROSE = rf"(?i:\b(?:{CUES}))[ \t]+({WALK % 1})"
+TITLED = rf"\b(?:{TITLES})\.?[ \t]+({WALK % 0})"
+SIGNATURE = rf"(?im)^[ \t]*(?:{CLOSINGS})[ \t]*[,.!]?[ \t]*(?:\r\n|\n|\r)[ \t]*([^\r\n]*[^\s])"
+NAME_LINE = r"(?i)\b(?:name|names|person|people|contact|owner|manager|author)\b"
+QUOTED = r""""[ \t]*([^"\r\n]*[^"\s])[ \t]*"|'[ \t]*([^'\r\n]*[^'\s])[ \t]*'"""
+EMAIL_LOCAL = r"\b([A-Za-z][A-Za-z0-9._'-]{2,63})@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,61}[A-Za-z0-9])?\.[A-Za-z]{2,}\b"
+PAIR = r"(?<![\p{L}\p{N}_])\p{Lu}[\p{Ll}\p{M}'’.-]+[ \t]+\p{Lu}[\p{Ll}\p{M}'’.-]*[\p{Ll}\p{M}](?![\p{L}\p{N}_])"
+COMMENT_ORGANIZATION = (
+    r"(?im)^[ \t]*#[^\r\n]*?\b(?:for|at|client(?:[ \t]+is)?|company(?:[ \t]+is)?|organi[sz]ation(?:[ \t]+is)?)[ \t]*[:=-]?[ \t]+(?:the[ \t]+)?"
+    rf"((?:(?!(?:{BROAD_SUFFIXES})(?![\p{{L}}\p{{N}}]))[^\s,;#]+[ \t]+){{0,6}}(?:{BROAD_SUFFIXES})(?![\p{{L}}\p{{N}}])(?:[ \t]+(?!(?:by|from|with|using|on)[ \t])[^\s,;#]+){{0,2}})"
+)
+COPYRIGHT = (
+    r"(?i:\bcopyright\b)[ \t]*(?:\([cC]\)|©)?[ \t]*(?:19|20)\d{2}(?:[ \t]*[-–,][ \t]*(?:19|20)\d{2})*[ \t]+(?i:by[ \t]+)?"
+    rf"({ORGANIZATION_WORD}(?:[ \t]+(?!(?i:all[ \t]+rights))(?:{ORGANIZATION_WORD}|{CONNECTOR}(?=[ \t]))){{0,7}})"
+)
+SUFFIXED = (
+    rf"(?<![^\s(\[\"'])(?!{CONNECTOR}[ \t])(?!\d+[ \t])((?:(?!\d+[ \t])(?:{_BARE})[ \t]+(?:{CONNECTOR}[ \t]+)*){{1,7}}(?:{STRONG_SUFFIXES})"
+    rf"(?:[ \t]+(?:{BROAD_SUFFIXES}))*)(?![\p{{L}}\p{{N}}])"
+)
+
+
+def _parts(value: Column) -> Column:
+    return F.size(F.split(value, r"[ \t]+"))
+
+
+def looks_like_name(value: Column, single: bool) -> Column:
+    shape = rf"^(?:{PART}|(?:{PARTICLES}))(?:[ \t]+(?:{PART}|(?:{PARTICLES})|{INITIAL}))*(?:[ \t]+{SUFFIX})?\z"
+    command = rf"(?:^|[ \t])(?:{COMMAND_VERBS})-\p{{Lu}}[\p{{L}}\p{{Nd}}]*(?:[ \t]|\z)"
+    return _parts(value).between(1 if single else 2, 5) & value.rlike(shape) & ~value.rlike(command)
+
+
+def is_caseless(value: Column) -> Column:
+    """Of a script without capitals."""
+    return ~value.rlike(r"[\p{Lu}\p{Ll}]") & value.rlike(r"^[\p{L}\p{M}][\p{L}\p{M}\p{Nd}・'’. -]{0,39}\z")
+
+
+def looks_like_organization(value: Column) -> Column:
+    words = F.split(F.regexp_replace(value, r"\.\z", ""), r"[ \t]+")
+    is_word = lambda w: w.rlike(rf"^{ORGANIZATION_WORD}\z")
+    fits = F.exists(words, is_word) & F.forall(words, lambda w: is_word(w) | w.rlike(rf"^{CONNECTOR}\z"))
+    return (F.size(words) <= 8) & value.rlike(r"\p{L}") & ~((F.size(words) == 1) & F.get(words, F.lit(0)).isin(*NO_ORGANIZATION)) & fits
+
+
+def _ends(found: Column, cut: Callable[[Column], Column]) -> Column:
+    """The spans with their values cut off at the end."""
+    made = F.transform(found, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(cut(s["value"]))).alias("end"), cut(s["value"]).alias("value"), s["confidence"].alias("confidence")))
+    return F.filter(made, lambda s: F.length(s["value"]) > 0)
+
+
+def labelled(text: Column, labels: str) -> Column:
+    """Values after a bare or quoted label and : or =, up to the line's end, a separator, or the next field."""
+    pattern = rf"""(?:"(?i:{labels})"|'(?i:{labels})'|\b(?i:{labels})\b)[ \t]*[:=][ \t]*(?:"[ \t]*([^"\r\n]+)"|'[ \t]*([^'\r\n]+)'|([^,;\r\n#]+))"""
+    found = _ends(spans(text, pattern, (1, 2, 3), LOW), lambda v: F.regexp_replace(v, r"[ \t]{2,}[A-Za-z][A-Za-z0-9 _-]{0,30}[ \t]*[:=].*|\s+\z", ""))
+    return F.filter(found, lambda s: ~s["value"].rlike(r"^[$\[(<*]"))
 
-_PART = r"(?:\p{Lu}[\p{L}'’.-]*\p{L}|\p{Lu}\.)"
-_NAME = rf"{_PART}(?:[ \t]+{_PART}){{1,3}}"
-LABELED_PERSON = rf"""(?<![A-Za-z0-9_])(?:(?i:name|full[ _]?name|first[ _]?name|last[ _]?name|display[ _]?name|manager|owner|contact|author|employee|requested[ _]?by|approved[ _]?by))["']?[ \t]*[:=][ \t]*["']?({_PART}(?:[ \t]+{_PART}){{0,4}})"""
-BYLINE = rf"(?m)^[ \t]*#[^\r\n]*?(?i:author|created by|written by|modified by|reviewed by|maintained by)[ \t]*[:=-]?[ \t]*({_NAME})"
-TITLED = rf"(?<![\p{{L}}\p{{N}}])(?:Dr|Mr|Mrs|Ms|Prof)\.?[ \t]+({_PART}(?:[ \t]+{_PART}){{0,3}})"
-_SUFFIX = r"(?:Inc|LLC|Ltd|Corp|Corporation|GmbH|S\.A\.|PLC|Limited)"
-_WORD = r"\p{Lu}[\p{L}\p{N}&'’-]*"
-SUFFIXED = rf"(?<![\p{{L}}\p{{N}}]){_WORD}(?:[ \t]+(?:{_WORD}|of|and|the|&)){{0,6}},?[ \t]+{_SUFFIX}\.?(?![\p{{L}}\p{{N}}])"
-COPYRIGHT = rf"(?i:copyright|\(c\)|©)[ \t]*(?:(?i:\(c\)|©)[ \t]*)?\d{{4}}(?:[ \t]*-[ \t]*\d{{4}})?,?[ \t]+({_WORD}(?:[ \t]+{_WORD}){{0,5}})"
-LABELED_ORGANIZATION = rf"""(?<![A-Za-z0-9_])(?:(?i:company|organi[sz]ation|employer|client|vendor|customer|agency))["']?[ \t]*[:=][ \t]*["']?({_WORD}(?:[ \t]+(?:{_WORD}|of|and|the|&)){{0,7}})"""
 
+def _distinct(found: Column) -> Column:
+    """Each span once, none within a longer one, by start. Pass spans that are cheap to make: there is one pass for each."""
+    first = F.filter(found, lambda s, i: ~F.exists(F.slice(found, F.lit(1), i), lambda o: (o["start"] == s["start"]) & (o["end"] == s["end"])))
+    wide = F.filter(first, lambda s: ~F.exists(found, lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])))
+    return F.array_sort(wide)
 
-def _union(*found: Column) -> Column:
-    """Each span once: of those that overlap an earlier kind's, none."""
-    out = found[0]
-    for more in found[1:]:
-        out = F.concat(out, outside(more, out))
-    return out
+
+def _named(found: Column, test: Callable[[Column], Column]) -> Column:
+    return F.filter(found, lambda s: test(s["value"]))
+
+
+def email_matched(text: Column) -> Column:
+    """Pairs of capitalised words that are first and last name, or initial and last name, of an email's local part."""
+    locals_ = F.transform(spans(text, EMAIL_LOCAL, (1,)), lambda s: F.lower(s["value"]))
+    keys = F.transform(locals_, lambda v: F.when(v.rlike(r"^[a-z]{2,}[._-][a-z]{2,}\z"), F.regexp_replace(v, "[._-]", " ")).when(v.rlike(r"^[a-z]{3,}\z"), F.concat(F.left(v, F.lit(1)), F.lit(" "), F.substring(v, F.lit(2), F.lit(64)))))
+    words = lambda s: F.split(F.lower(s["value"]), r"[ \t]+")
+
+    def matched(s: Column) -> Column:
+        first, last = F.get(words(s), F.lit(0)), F.get(words(s), F.lit(1))
+        known = F.exists(keys, lambda k: (k == F.concat_ws(" ", first, last)) | (k == F.concat_ws(" ", F.left(first, F.lit(1)), last)))
+        return F.coalesce(known, F.lit(False)) & ~first.isin(*TECHNICAL_WORDS) & ~last.isin(*TECHNICAL_WORDS) & looks_like_name(s["value"], False)
+
+    pairs = outside(F.filter(spans(text, PAIR, confidence=MEDIUM), matched), spans(text, EMAIL_LOCAL))
+    return F.coalesce(F.when(text.contains("@"), pairs), no_spans())
+
+
+def table_cells(text: Column, columns: tuple[str, ...], test: Callable[[Column], Column]) -> Column:
+    """Cells under the known columns of a header line, for the lines after it that have as many cells. The inside of quotes."""
+    cell = r"""(?:^|,)("(?:[^"]|"")*"|[^,]*)"""
+    known = F.array(*map(F.lit, (*PERSON_COLUMNS, *ORGANIZATION_COLUMNS)))
+    empty = F.array().cast("array<string>")
+
+    def step(done: Column, raw: Column) -> Column:
+        line = F.regexp_replace(raw, r"\r\z", "")
+        cells = F.regexp_extract_all(line, F.lit(cell), F.lit(1))
+        keys = F.transform(cells, lambda c: F.lower(F.regexp_replace(c, r"""["' _-]""", "")))
+        header = (F.size(cells) >= 2) & F.forall(cells, lambda c: F.trim(c).rlike(r"""^"?[A-Za-z][A-Za-z0-9 _-]{0,39}"?\z""")) & F.arrays_overlap(keys, known)
+        row = (F.size(done["columns"]) > 0) & (F.size(cells) == F.size(done["columns"])) & ~header
+
+        def place(acc: Column, c: Column) -> Column:
+            inner = F.when(c.rlike(r'^".*"\z'), F.substring(c, F.lit(2), F.length(c) - 2)).otherwise(c)
+            value = F.trim(inner)
+            start = acc["at"] + F.instr(c, value) - 1
+            span = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.lit(LOW).alias("confidence"))
+            fits = F.get(done["columns"], acc["i"]).isin(*columns) & (F.length(value) > 0) & test(value)
+            return F.struct((acc["at"] + F.length(c) + 1).alias("at"), (acc["i"] + 1).alias("i"), F.when(fits, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+        here = F.aggregate(cells, F.struct(done["at"].alias("at"), F.lit(0).alias("i"), no_spans().alias("out")), place)["out"]
+        kept = F.when(header, keys).when(row, done["columns"]).otherwise(empty)
+        return F.struct((done["at"] + F.length(raw) + 1).alias("at"), kept.alias("columns"), F.when(row, F.concat(done["out"], here)).otherwise(done["out"]).alias("out"))
+
+    folded = F.aggregate(F.split(text, "\n", -1), F.struct(F.lit(0).alias("at"), empty.alias("columns"), no_spans().alias("out")), step)["out"]
+    hint = rf"(?im)^[^\n]*(?:{'|'.join(c[:4] for c in columns)})[^\n]*,|,[^\n]*(?:{'|'.join(c[:4] for c in columns)})"
+    return F.coalesce(F.when(text.contains(",") & text.rlike(hint), folded), no_spans())
+
+
+def quoted_names(text: Column) -> Column:
+    """Quoted names on lines that speak of names; parameters like -Name don't count."""
+    lines = F.split(text, "\n", -1)
+
+    def step(done: Column, raw: Column) -> Column:
+        about = F.regexp_replace(raw, r"(?:^|[ \t])-\w+", " ").rlike(jvm(NAME_LINE))
+        here = F.when(about, _named(spans(raw, QUOTED, (1, 2), LOW), lambda v: looks_like_name(v, True))).otherwise(no_spans())
+        return F.struct((done["at"] + F.length(raw) + 1).alias("at"), F.concat(done["out"], shifted(here, done["at"])).alias("out"))
+
+    folded = F.aggregate(lines, F.struct(F.lit(0).alias("at"), no_spans().alias("out")), step)["out"]
+    return F.coalesce(F.when(text.rlike(jvm(NAME_LINE)) & text.rlike("[\"']"), folded), no_spans())
 
 
 def person_names(text: Column) -> Column:
-    return _union(spans(text, LABELED_PERSON, (1,), LOW), spans(text, BYLINE, (1,), MEDIUM), spans(text, TITLED, (1,), LOW))
+    person = lambda v: looks_like_name(v, True) | is_caseless(v)
+    full = lambda v: looks_like_name(v, False)
+    return _distinct(
+        F.concat(
+            _named(labelled(text, FULL_NAME_LABELS), lambda v: full(v) | is_caseless(v)), _named(labelled(text, SINGLE_NAME_LABELS), person),
+            _named(spans(text, BYLINE, (1,), LOW), full), spans(text, PROSE, (1,), LOW), spans(text, TITLED, (1,), LOW), _named(spans(text, SIGNATURE, (1,), LOW), full),
+            quoted_names(text), email_matched(text), table_cells(text, PERSON_COLUMNS, person),
+        )
+    )
 
 
 def organization_names(text: Column) -> Column:
-    return _union(spans(text, LABELED_ORGANIZATION, (1,), LOW), spans(text, COPYRIGHT, (1,), LOW), spans(text, SUFFIXED, (0,), LOW))
+    undotted = lambda found: _ends(found, lambda v: F.regexp_replace(v, r"\.\z", ""))
+    shaped = lambda v: looks_like_organization(v) | is_caseless(v)
+    return _distinct(
+        F.concat(
+            _named(undotted(labelled(text, ORGANIZATION_LABELS)), shaped), _named(spans(text, COMMENT_ORGANIZATION, (1,), LOW), looks_like_organization),
+            _named(undotted(spans(text, COPYRIGHT, (1,), LOW)), looks_like_organization), _named(spans(text, SUFFIXED, (1,), LOW), looks_like_organization),
+            table_cells(text, ORGANIZATION_COLUMNS, shaped),
+        )
+    )
+

@@ -12,17 +12,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import once, overlap, spans
+from ..functions.script import QUOTED, string_literals, switch_patterns
+from ..functions.spans import no_spans, once, overlap, spans
 from .detectors import Detector, registry
 
 DEFAULT_TEMPLATE = "[{TYPE}_{INDEX}]"
 
 # Strings that hold search patterns of a script, and so stay untouched.
-_QUOTED = r"""('(?:''|[^'\r\n])*'|"(?:`.|[^"\r\n])*")"""
 PROTECTED = (
-    rf"(?i)(?:-replace|-match|-notmatch)\s+{_QUOTED}",
-    rf"(?i)\bSelect-String\b[^\r\n;|]*?-Pattern\s+{_QUOTED}",
-    rf"(?i)\[regex\]::(?:Match|Matches|Replace)\s*\(\s*[^,\r\n]+,\s*{_QUOTED}",
+    rf"(?i)(?:-replace|-match|-notmatch)\s+{QUOTED}",
+    rf"(?i)\bSelect-String\b[^\r\n;|]*?-Pattern\s+{QUOTED}",
+    rf"(?i)\[regex\]::(?:Match|Matches|Replace)\s*\(\s*[^,\r\n]+,\s*{QUOTED}",
 )
 
 
@@ -45,7 +45,7 @@ def active_detectors(options: ScanOptions) -> list[Detector]:
 
 
 def protected_ranges(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.concat(*(spans(text, p, (1,)) for p in PROTECTED))))
+    return F.array_sort(F.array_distinct(F.concat(*(spans(text, p, (1,)) for p in PROTECTED), switch_patterns(text))))
 
 
 def render(template: Column | str, label: Column, index: Column) -> Column:
@@ -53,8 +53,10 @@ def render(template: Column | str, label: Column, index: Column) -> Column:
     return F.replace(F.replace(template, F.lit("{TYPE}"), label), F.lit("{INDEX}"), index.cast("string"))
 
 
-def candidates(text: Column, detectors: Sequence[Detector], template: str) -> Column:
-    """All matches, in order of rule and emission, with what resolution and numbering need."""
+def candidates(text: Column, detectors: Sequence[Detector], template: str, literals: Column | None = None) -> Column:
+    """All matches, in order of rule and emission, with what resolution and numbering need. literals: spans of string literals,
+    for rules that have replacements."""
+    literals = no_spans() if literals is None else literals
 
     def of(d: Detector) -> Column:
         norm = d.normalize or (lambda v: v)
@@ -65,6 +67,7 @@ def candidates(text: Column, detectors: Sequence[Detector], template: str) -> Co
                 F.lit(d.category).alias("category"), F.lit(d.severity).alias("severity"), F.lit(d.review_lead).alias("review_lead"),
                 F.lit(d.template or template).alias("template"), norm(s["value"]).alias("norm"),
                 s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["confidence"].alias("confidence"),
+                (d.replacement(text, literals, s) if d.replacement else F.lit(None)).cast("string").alias("replacement"),
             ),
         )
 
@@ -98,7 +101,7 @@ def findings_of(firsts: Column) -> Column:
             F.concat_ws("-", c["detector_id"], i.cast("string"), c["start"].cast("string")).alias("id"), c["detector_id"].alias("detector_id"), c["name"].alias("name"),
             c["category"].alias("category"), c["severity"].alias("severity"), F.element_at(words, c["confidence"]).alias("confidence"),
             c["label"].alias("label"), c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"),
-            render(c["template"], c["label"], index).alias("placeholder"), F.lit(None).cast("string").alias("replacement"),
+            render(c["template"], c["label"], index).alias("placeholder"), c["replacement"].alias("replacement"),
             c["review_lead"].alias("review_lead"), (~c["review_lead"]).alias("enabled"),
         )
 
@@ -108,10 +111,13 @@ def findings_of(firsts: Column) -> Column:
 def scan(df: DataFrame, text_col: str = "text", options: ScanOptions | None = None) -> DataFrame:
     """df with findings, an array in document order."""
     options = options or ScanOptions()
-    names = [f"_scan_{x}" for x in ("text", "ranges", "found", "kept", "firsts")]
-    text, ranges, found, kept, firsts = names
+    names = [f"_scan_{x}" for x in ("text", "ranges", "literals", "found", "kept", "firsts")]
+    text, ranges, literals, found, kept, firsts = names
+    rules = active_detectors(options)
     out = df.drop("findings").withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
-    out = once(out, **{ranges: protected_ranges(F.col(text)), found: candidates(F.col(text), active_detectors(options), options.template)})
+    quoted = string_literals(F.col(text)) if any(d.replacement for d in rules) else no_spans()
+    out = once(out, **{ranges: protected_ranges(F.col(text)), literals: quoted})
+    out = once(out, **{found: candidates(F.col(text), rules, options.template, F.col(literals))})
     free = F.filter(F.col(found), lambda c: ~F.exists(F.col(ranges), lambda r: overlap(c, r)))
     out = once(out, **{kept: resolve(free)})
     out = once(out, **{firsts: numbered(F.col(kept))})
