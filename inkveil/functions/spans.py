@@ -96,9 +96,14 @@ def overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def with_value(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often a lambda in body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def outside(found: Column, *others: Column) -> Column:
     """The spans that overlap none of the others."""
-    return F.filter(found, lambda s: ~F.exists(F.concat(*others), lambda o: overlap(s, o)))
+    return with_value(F.concat(*others), lambda taken: F.filter(found, lambda s: ~F.exists(taken, lambda o: overlap(s, o))))
 
 
 def by_line(text: Column, context: str, pattern: str, confidence: int) -> Column:

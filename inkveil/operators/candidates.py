@@ -72,16 +72,18 @@ def candidate_key(value: Column) -> Column:
     return F.lower(F.regexp_replace(value, "[ \t ]+", " "))
 
 
-def _free(found: Column, *taken: Column) -> Column:
-    for ranges in taken:
-        found = F.filter(found, lambda s, r=ranges: ~F.exists(r, lambda o: overlap(s, o)))
-    return found
+def _taken(text: Column) -> Column:
+    """Where findings and protected patterns are."""
+    place = lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"))
+    return F.concat(F.transform("findings", place), F.transform(protected_ranges(text), place))
 
 
 def acronym_counts(scanned: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, text, count) of the acronyms outside findings and protected ranges."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = scanned.select(id_col, F.explode(_free(acronyms(text), F.col("findings"), protected_ranges(text))).alias("s"))
+    held = once(scanned.select(id_col, text_col, "findings"), taken=_taken(text), found=acronyms(text))
+    free = F.filter("found", lambda s: ~F.exists(F.col("taken"), lambda t: overlap(s, t)))
+    rows = held.select(id_col, F.explode(free).alias("s"))
     return rows.groupBy(id_col, F.col("s.value").alias("text")).agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -91,8 +93,7 @@ def candidates(scanned: DataFrame, text_col: str = "text", id_col: str = "doc_id
     text = F.coalesce(F.col(text_col), F.lit(""))
     kinds = [F.transform(found, lambda s, k=kind: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["value"].alias("value"))) for kind, found in ((0, title_runs(text)), (1, acronyms(text)))]
     ends = lambda o: F.struct(o["start"].alias("start"), (o["start"] + F.length(o["value"])).alias("end"))
-    taken = F.concat(F.transform("findings", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"))), F.transform(protected_ranges(text), lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"))))
-    held = once(scanned.select(id_col, text_col, "findings"), taken=taken, found=F.concat(*kinds))
+    held = once(scanned.select(id_col, text_col, "findings"), taken=_taken(text), found=F.concat(*kinds))
     rows = held.select(id_col, F.explode(F.filter("found", lambda o: ~F.exists(F.col("taken"), lambda t: overlap(ends(o), t)))).alias("o")).select(id_col, "o.*")
     words = F.when(F.col("kind") == 0, F.regexp_count("value", F.lit(rf"(?<![A-Za-z]){_TITLE}"))).otherwise(F.lit(0))
     grouped = rows.withColumn("key", candidate_key(F.col("value"))).withColumn("words", words).groupBy(id_col, "key").agg(

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.script import shifted
-from ..functions.spans import LOW, MEDIUM, jvm, no_spans, outside, spans
+from ..functions.spans import LOW, MEDIUM, jvm, no_spans, outside, spans, with_value
 
 # Fixed values.
 FULL_NAME_LABELS = (
@@ -131,10 +131,10 @@ def labelled(text: Column, labels: str) -> Column:
 
 
 def _distinct(found: Column) -> Column:
-    """Each span once, none within a longer one, by start. Pass spans that are cheap to make: there is one pass for each."""
-    first = F.filter(found, lambda s, i: ~F.exists(F.slice(found, F.lit(1), i), lambda o: (o["start"] == s["start"]) & (o["end"] == s["end"])))
-    wide = F.filter(first, lambda s: ~F.exists(found, lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])))
-    return F.array_sort(wide)
+    """Each span once, none within a longer one, by start."""
+    within = lambda a, b: (a["start"] >= b["start"]) & (a["end"] <= b["end"])
+    step = lambda kept, s: F.when(F.exists(kept, lambda k: within(s, k)), kept).otherwise(F.array_append(F.filter(kept, lambda k: ~within(k, s)), s))
+    return F.array_sort(F.aggregate(found, no_spans(), step))
 
 
 def _named(found: Column, test: Callable[[Column], Column]) -> Column:
@@ -147,12 +147,13 @@ def email_matched(text: Column) -> Column:
     keys = F.transform(locals_, lambda v: F.when(v.rlike(r"^[a-z]{2,}[._-][a-z]{2,}\z"), F.regexp_replace(v, "[._-]", " ")).when(v.rlike(r"^[a-z]{3,}\z"), F.concat(F.left(v, F.lit(1)), F.lit(" "), F.substring(v, F.lit(2), F.lit(64)))))
     words = lambda s: F.split(F.lower(s["value"]), r"[ \t]+")
 
-    def matched(s: Column) -> Column:
+    def matched(s: Column, keys: Column) -> Column:
         first, last = F.get(words(s), F.lit(0)), F.get(words(s), F.lit(1))
         known = F.exists(keys, lambda k: (k == F.concat_ws(" ", first, last)) | (k == F.concat_ws(" ", F.left(first, F.lit(1)), last)))
         return F.coalesce(known, F.lit(False)) & ~first.isin(*TECHNICAL_WORDS) & ~last.isin(*TECHNICAL_WORDS) & looks_like_name(s["value"], False)
 
-    pairs = outside(F.filter(spans(text, PAIR, confidence=MEDIUM), matched), spans(text, EMAIL_LOCAL))
+    pairs = with_value(keys, lambda known: F.filter(spans(text, PAIR, confidence=MEDIUM), lambda s: matched(s, known)))
+    pairs = outside(pairs, spans(text, EMAIL_LOCAL))
     return F.coalesce(F.when(text.contains("@"), pairs), no_spans())
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import validators as V
 from ..functions.spans import once
-from ..operators import render, review
+from ..operators import candidates, names, render, review, terms
 from ..operators.detectors import registry
 from ..operators.scan import ScanOptions, finding_rows, resolve, scan
 from . import config
@@ -168,6 +168,73 @@ CODE_LINES = [(1, 1), (1, 2), (2, 1), (4, 2), (4, 3)]
 MASKS = [("abc", "a••••"), ("abcdef", "a••••"), ("abcdefgh", "abcd••••••••"), ("abcdefghijklmnop", "abcd••••••••op")]
 
 
+PEOPLE = [
+    (1, "Owner: Dana Whitfield", "Dana Whitfield"), (2, "Name = Priya", "Priya"), (3, "Owner: $owner", None), (4, "Manager: Get-Random", None),
+    (5, "# Written by Omar Haddad for the audit", "Omar Haddad"), (6, "As per Lena Brandt, the disk was full.", "Lena Brandt"), (7, "see Dr. Okafor about it", "Okafor"),
+    (8, "Kind regards,\nMaya Lindqvist\nSales", "Maya Lindqvist"), (9, "the contact is 'Iris Novak' there", "Iris Novak"),
+    (10, "Iris Novak wrote from iris.novak@mail.example.org", "Iris Novak"), (11, "Full Name,City\nAda Quill,Oslo\n", "Ada Quill"), (12, "nothing here", None),
+]
+COMPANIES = [
+    (1, "Company: Blue Heron Labs", "Blue Heron Labs"), (2, "Client: TBD", None), (3, "# script for Cedar Valley Health by Kim", "Cedar Valley Health"),
+    (4, "Copyright (c) 2019-2021 Juniper Works. All rights reserved", "Juniper Works"), (5, "a visit to Saint Olga Hospital, again", "Saint Olga Hospital"),
+    (6, "Vendor,Count\nOak Street Supplies,3\n", "Oak Street Supplies"), (7, "the hospital was full", None),
+]
+MAPPED = "ZephAccess and 'Zeph' $zeph"
+MODES = [
+    ("placeholder", "[CUSTOM_TERM_1]Access and '[CUSTOM_TERM_1]' $[CUSTOM_TERM_1]", "[CUSTOM_TERM_1]Access and '[CUSTOM_TERM_1]' $[CUSTOM_TERM_1]"),
+    ("code-only", "[CUSTOM_TERM_1]Access and '[CUSTOM_TERM_1]' $[CUSTOM_TERM_1]", "SourceSystemAccess and '[CUSTOM_TERM_1]' $sourceSystem"),
+    ("genericize", "[CUSTOM_TERM_1]Access and '[CUSTOM_TERM_1]' $[CUSTOM_TERM_1]", "SourceSystemAccess and 'SourceSystem' $sourceSystem"),
+    ("review-lead", MAPPED, MAPPED),
+]
+BADGES = [(1, "Badge ID: A-77", "A-77"), (2, "badge='B-12'", "B-12"), (3, "badge = $x", None), (4, "badge: Get-Thing", None), (5, "badge: C123456789", None)]
+
+
+def _one_rule(spark, cases, detect):
+    """The first match of each row."""
+    rows = spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")
+    return once(rows, s=detect(F.col("text"))).select("doc_id", F.get(F.transform("s", lambda s: s["value"]), F.lit(0)).alias("value"))
+
+
+def q_names(spark, sf_dir):
+    return _one_rule(spark, PEOPLE, names.person_names)
+
+
+def q_organizations(spark, sf_dir):
+    return _one_rule(spark, COMPANIES, names.organization_names)
+
+
+def q_field_rules(spark, sf_dir):
+    rule = terms.FieldRule("badge", "Badge", ("badge", "badge id"), "identifier", "BADGE_ID", max_length=8)
+    return _one_rule(spark, BADGES, terms.field_detector("own", rule).detect)
+
+
+def q_output_modes(spark, sf_dir):
+    """One text under a mapping of each strategy, in both output modes."""
+    rows = spark.createDataFrame([(MAPPED,)], "text string")
+    found = None
+    for strategy in terms.STRATEGIES:
+        rules = terms.mapping_detectors([terms.MappingEntry("Zeph", "SourceSystem", strategy=strategy)])
+        part = render.compare_modes(scan(rows, options=ScanOptions(frozenset(), rules))).select(F.lit(strategy).alias("strategy"), "safe_share", "portfolio_code")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def q_hidden_terms(spark, sf_dir):
+    """How often a list of two terms is found in each document, whole words in any case."""
+    rule = terms.terms_detector(["the", "of the"])
+    found = scan(_documents(spark, sf_dir), options=ScanOptions(frozenset(), (rule,)))
+    return found.select("doc_id", F.size("findings").cast("bigint").alias("n_found"), F.size(F.array_distinct(F.transform("findings", lambda f: f["placeholder"]))).cast("bigint").alias("n_placeholders"))
+
+
+def q_acronyms(spark, sf_dir):
+    return candidates.acronym_counts(scan(_documents(spark, sf_dir)))
+
+
+def q_candidates(spark, sf_dir):
+    """The suggested terms of every document. SQL has no look-around for its runs of words; tests cover it on fixtures."""
+    return candidates.candidates(scan(_documents(spark, sf_dir)))
+
+
 def q_detector_cases(spark, sf_dir):
     """What each rule alone finds in its row."""
     rows = spark.createDataFrame([c[:3] for c in CASES], "doc_id long, text string, rule string")
@@ -253,6 +320,15 @@ o AS (SELECT doc_id, n, coalesce(text, '') AS source, coalesce(head, '') || subs
         "q_group_findings": f"{SQL_FINDINGS} SELECT doc_id, detector_id, value, min(placeholder) AS placeholder, min(severity) AS severity, count(*) AS count, true AS enabled, string_agg(detector_id || '-' || pos || '-' || start, ',' ORDER BY pos) AS ids FROM p GROUP BY doc_id, detector_id, value",
         "q_export_aggregates": f"{SQL_FINDINGS} SELECT d.doc_id, count(p.pos) AS finding_count, count(DISTINCT p.detector_id) AS detector_count, count(p.pos) AS replacement_count, 0::BIGINT AS kept_count, count(*) FILTER (p.severity = 'high') AS high_count, count(*) FILTER (p.category = 'personal') AS personal_count FROM documents d LEFT JOIN p ON d.doc_id = p.doc_id GROUP BY d.doc_id",
         "q_corpus_tally": f"{SQL_FINDINGS} SELECT category, detector_id, count(*) AS count FROM f GROUP BY ROLLUP (category, detector_id)",
+        "q_acronyms": SQL_FINDINGS
+        + "".join(_SQL_SPANS.format(name="acr", pattern=r"\b[A-Z]{2,6}\b").join((",", "")))
+        + f""" SELECT a.doc_id, a.m AS text, count(*) AS count FROM acr_s a
+  WHERE a.m NOT IN ({', '.join(repr(x) for x in candidates.NO_ACRONYMS)}) AND NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = a.doc_id AND p.start < a.at + length(a.m) AND a.at < p."end")
+  GROUP BY a.doc_id, a.m""",
+        "q_names": _values([(c[0], c[2]) for c in PEOPLE], "doc_id, value"),
+        "q_organizations": _values([(c[0], c[2]) for c in COMPANIES], "doc_id, value"),
+        "q_field_rules": _values([(c[0], c[2]) for c in BADGES], "doc_id, value"),
+        "q_output_modes": _values(MODES, "strategy, safe_share, portfolio_code"),
         "q_detector_cases": _values([(c[0], c[2], c[3]) for c in CASES], "doc_id, rule, value"),
         "q_overlap_greedy": _values(SPANS_KEPT, 'n, start, "end"'),
         "q_checksums": _values([(k, v, str(ok).lower() == "true") for k, v, ok in CHECKSUMS], "kind, value, valid"),
