@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.script import shifted
-from ..functions.spans import LOW, MEDIUM, jvm, no_spans, outside, spans, with_value
+from ..functions.spans import LOW, MEDIUM, jvm, no_spans, outside, spans
 
 # Fixed values.
 FULL_NAME_LABELS = (
@@ -152,8 +152,7 @@ def email_matched(text: Column) -> Column:
         known = F.exists(keys, lambda k: (k == F.concat_ws(" ", first, last)) | (k == F.concat_ws(" ", F.left(first, F.lit(1)), last)))
         return F.coalesce(known, F.lit(False)) & ~first.isin(*TECHNICAL_WORDS) & ~last.isin(*TECHNICAL_WORDS) & looks_like_name(s["value"], False)
 
-    pairs = with_value(keys, lambda known: F.filter(spans(text, PAIR, confidence=MEDIUM), lambda s: matched(s, known)))
-    pairs = outside(pairs, spans(text, EMAIL_LOCAL))
+    pairs = outside(F.filter(spans(text, PAIR, confidence=MEDIUM), lambda s: matched(s, keys)), spans(text, EMAIL_LOCAL))
     return F.coalesce(F.when(text.contains("@"), pairs), no_spans())
 
 
