@@ -102,7 +102,7 @@ def outside(found: Column, *others: Column) -> Column:
 
 
 def by_line(text: Column, context: str, pattern: str, confidence: int) -> Column:
-    """Matches on lines (without their line end) that have the context."""
+    """Matches on lines (without their line end) that have the context, a pattern without anchors: it is first sought in the whole text."""
     lines = F.split(text, "\n", -1)
 
     def step(done: Column, raw: Column) -> Column:
@@ -113,3 +113,14 @@ def by_line(text: Column, context: str, pattern: str, confidence: int) -> Column
 
     folded = F.aggregate(lines, F.struct(F.lit(0).alias("at"), no_spans().alias("out")), step)["out"]
     return F.coalesce(F.when(text.rlike(jvm(context)), folded), no_spans())
+
+
+def inside(text: Column, context: str, pattern: str, confidence: int) -> Column:
+    """Matches of the pattern within what the context matches, each such piece on its own."""
+
+    def step(done: Column, piece: Column) -> Column:
+        here = spans(piece["value"], pattern, confidence=confidence)
+        moved = F.transform(here, lambda s: F.struct((s["start"] + piece["start"]).alias("start"), (s["end"] + piece["start"]).alias("end"), s["value"].alias("value"), s["confidence"].alias("confidence")))
+        return F.concat(done, moved)
+
+    return F.aggregate(spans(text, context), no_spans(), step)

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import validators as V
-from ..functions.spans import HIGH, LOW, MEDIUM, SPAN, by_line, jvm, no_spans, outside, spans
+from ..functions.spans import HIGH, LOW, MEDIUM, SPAN, by_line, inside, jvm, no_spans, outside, spans
 
 Detect = Callable[[Column], Column]
 
@@ -124,7 +124,7 @@ DIRECTORY_WORD = r"""(?<=[.$'"-])(?:mail|Enabled)\b"""
 EXCHANGE_TERM = r"(?i)\b(?:Get-Recipient|RecipientTypeDetails|RemoteUserMailbox|RemoteSharedMailbox|UserMailbox|SharedMailbox|Enable-RemoteMailbox|RemoteRoutingAddress|Import-PSSession)\b"
 EXCHANGE_SESSION = r"(?i)\bNew-PSSession\b[^\r\n|;]*?-ConfigurationName\s+Microsoft\.Exchange\b"
 CREDENTIAL_TERM = r"(?i)\b(?:Export-Clixml|Import-Clixml|PSCredential|Send-MailMessage|InitializeSmtpCredential|SmtpCredentialPath|DefaultSmtpUsername)\b"
-HISTORY_LINE = r"(?i)^[ \t]*#.*\b(?:Author|Modified|Created|Updated|Revision|Rev|History|Changed)\b"
+HISTORY_LINE = r"(?i)(?<![^\r\n\u2028\u2029])[ \t]*#[^\r\n]*\b(?:Author|Modified|Created|Updated|Revision|Rev|History|Changed)\b[^\r\n]*"
 INITIALS = r"(?<![A-Za-z0-9])[A-Z]{2,3}(?![A-Za-z0-9])"
 NO_INITIALS = (
     "AD", "AND", "API", "CSV", "DB", "DC", "DEV", "DNS", "FIX", "HR", "ID", "IIS", "IP", "IT", "LOG", "NEW", "NOT", "OLD", "OU",
@@ -272,7 +272,7 @@ def registry(as_of: datetime.date | None = None) -> list[Detector]:
         Detector("directory-attribute", "Directory attribute", "directory", "low", "DIR_ATTRIBUTE", 34, several(found(DIRECTORY_ATTRIBUTE, confidence=LOW), found(DIRECTORY_WORD, confidence=LOW)), "lead"),
         Detector("exchange-workflow", "Exchange workflow", "messaging", "low", "EXCHANGE_TERM", 33, several(found(EXCHANGE_TERM, confidence=LOW), found(EXCHANGE_SESSION, confidence=MEDIUM)), "lead"),
         Detector("credential-workflow", "Credential workflow", "workflow", "low", "CRED_WORKFLOW", 32, found(CREDENTIAL_TERM, confidence=LOW), "lead"),
-        Detector("author-initials", "Author initials", "personal", "low", "INITIALS", 31, lambda t: F.filter(by_line(t, HISTORY_LINE, INITIALS, LOW), lambda s: ~s["value"].isin(*NO_INITIALS)), "lead"),
+        Detector("author-initials", "Author initials", "personal", "low", "INITIALS", 31, lambda t: F.filter(inside(t, HISTORY_LINE, INITIALS, LOW), lambda s: ~s["value"].isin(*NO_INITIALS)), "lead"),
         Detector("header-metadata", "Header metadata", "workflow", "low", "HEADER_META", 36, several(found(HEADER_LINE, (1,), LOW), found(HELP_LINE, (1,), LOW)), "lead"),
         Detector("csv-identity-header", "CSV identity header", "workflow", "low", "CSV_SCHEMA", 30, _csv_header, "lead"),
     ]
