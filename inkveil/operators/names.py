@@ -182,7 +182,8 @@ def table_cells(text: Column, columns: tuple[str, ...], test: Callable[[Column],
         return F.struct((done["at"] + F.length(raw) + 1).alias("at"), kept.alias("columns"), F.when(row, F.concat(done["out"], here)).otherwise(done["out"]).alias("out"))
 
     folded = F.aggregate(F.split(text, "\n", -1), F.struct(F.lit(0).alias("at"), empty.alias("columns"), no_spans().alias("out")), step)["out"]
-    hint = rf"(?im)^[^\n]*(?:{'|'.join(c[:4] for c in columns)})[^\n]*,|,[^\n]*(?:{'|'.join(c[:4] for c in columns)})"
+    starts = "|".join(sorted({r"""["' _-]*""".join(c[:4]) for c in columns}))  # with whatever the keys above leave out
+    hint = rf"(?im)^[^\n]*(?:{starts})[^\n]*,|,[^\n]*(?:{starts})"
     return F.coalesce(F.when(text.contains(",") & text.rlike(hint), folded), no_spans())
 
 
