@@ -27,11 +27,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the row with the smallest id stays; of rows that share that id, one."""
-    found = near_dup.near_components(docs)
-    kept = found.filter("kept").select(docs.columns)
-    known = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.unionByName(kept.filter("doc_id is null"))
+    """Of each component one row: with the smallest id, null last, of these the least text hash, and of copies the least row.
+
+    Rows without words are each a component and all stay."""
+    chosen = fresh(docs.columns, "chosen")
+    found = near_dup.near_components(docs, chosen=chosen).filter(chosen)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    known = found.filter("n_shingles > 0").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias(chosen)).select("doc_id", "text", f"{chosen}.*")
+    return known.select(docs.columns).unionByName(found.filter("n_shingles = 0").select(docs.columns))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -238,12 +238,15 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(merged, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
 
 
-def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with n_shingles, component_id (the smallest id that links reach) and kept (id = component_id)."""
+def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chosen: str | None = None) -> DataFrame:
+    """df with n_shingles, component_id (the smallest id that links reach) and kept (id = component_id).
+
+    chosen: a further column's name, true for rows with the least id (null last) and of these the least text hash of their
+    component; those are copies of one text with one id. Each row with an empty set is a component."""
     base = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     signed = written(_sign(base), "near-signed")
     full = signed.filter("size > 0")
-    pick = F.first(F.struct("id", "text_key"))
+    pick = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key"))
     classes = full.groupBy("digest").agg(F.min("id").alias("rep"), pick.alias("pick"), F.first("signature").alias("signature"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     classes = written(classes, "near-classes")
 
@@ -273,19 +276,20 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not links.isEmpty():
         labels = written(_merged(labels, links), "near-labels")
 
-    of_class = classes.select("digest", "rep").join(labels, F.col("digest") == F.col("node"), "left").select("digest", "rep", F.coalesce("component", "digest").alias("component"))
-    smallest = of_class.groupBy("component").agg(F.min("rep").alias("component_id")).withColumnRenamed("component", "c")
-    ids = of_class.join(smallest, F.col("component") == F.col("c")).select(F.col("digest").alias("d"), "component_id")
-    found = signed.join(ids, F.col("digest") == F.col("d"), "left").select("id", "text_key", F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    added = ["n_shingles", "component_id", "kept"]
-    if set(df.columns) <= {id_col, text_col}:
+    of_class = classes.select("digest", "rep", "pick").join(labels, F.col("digest") == F.col("node"), "left").select("digest", "rep", "pick", F.coalesce("component", "digest").alias("component"))
+    smallest = of_class.groupBy("component").agg(F.min("rep").alias("component_id"), F.min("pick").alias("least")).withColumnRenamed("component", "c")
+    ids = of_class.join(smallest, F.col("component") == F.col("c")).select(F.col("digest").alias("d"), "component_id", "least")
+    found = signed.join(ids, F.col("digest") == F.col("d"), "left").select("id", "text_key", F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), (F.col("d").isNull() | (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("text_key") == F.col("least.text_key")))).alias("chosen"))
+    added = ["n_shingles", "component_id", "kept", *[chosen] * bool(chosen)]
+    if set(df.columns) <= {id_col, text_col} and not chosen:
         return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
     passed = [c for c in df.columns if c not in added]
     key, there = fresh(passed, "text_key"), fresh(passed, "found")
-    found = found.distinct().select(F.struct("id", "text_key", "n_shingles", "component_id").alias(there))
+    found = found.distinct().select(F.struct("id", "text_key", "n_shingles", "component_id", "chosen").alias(there))
     keyed = df.select(*passed, F.xxhash64(text_col).alias(key))
     joined = keyed.join(found, (F.col(key) == F.col(f"{there}.text_key")) & keyed[id_col].eqNullSafe(F.col(f"{there}.id")))
-    return joined.select(*passed, F.col(f"{there}.n_shingles").alias("n_shingles"), F.col(f"{there}.component_id").alias("component_id"), F.col(f"{there}.id").eqNullSafe(F.col(f"{there}.component_id")).alias("kept"))
+    kept = F.col(f"{there}.id").eqNullSafe(F.col(f"{there}.component_id")).alias("kept")
+    return joined.select(*passed, *(F.col(f"{there}.{n}").alias(n) for n in ("n_shingles", "component_id")), kept, *([F.col(f"{there}.chosen").alias(chosen)] if chosen else []))
 
 
 def op8_near_dup(spark, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ packed in blocks of BLOCK_ROWS rows by hash, queries in blocks of QUERY_ROWS; ea
 Scores are of integers floor(1024 * component), exact in 64 bits.
 
 Defined cases: vectors that are null or empty or hold a null or non-finite component, and rows with a null id, take no part;
-vectors of different lengths are no candidates for each other; of rows with one id the least vector counts; a query is not
-its own candidate; with fewer candidates than k all are returned; an empty table gives an empty table.
+vectors of different lengths are no candidates for each other; of rows with one id the least vector counts or, with
+every_row as in the query, each row does; rows with a query's id are not its candidates; with fewer candidates than k all are returned; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,30 +33,35 @@ SCALE, K, PARTS = 1024, 10, 2
 BLOCK_ROWS, QUERY_ROWS = 4096, 1024
 #: Beyond this size of components float64 sums of products may not be exact, and slower integer products are used.
 EXACT = 1 << 22
-FOUND = "query_id bigint, part int, vec_id bigint, partial bigint, total bigint"
+FOUND = "query_row bigint, part int, row bigint, partial bigint, total bigint"
 
 
-def _ready(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v, dim) of the vectors that take part."""
+def _ready(df: DataFrame, id_col: str, vector_col: str, every_row: bool) -> DataFrame:
+    """(vec_id, v, copies, dim, row) of the vectors that take part: equal rows are one with their number, and row tells all apart."""
     x = F.col(vector_col)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     ints = F.transform(x, lambda c: F.floor(c.cast("double") * SCALE))
     fit = df.filter(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.coalesce(finite, F.lit(False)))
-    return fit.groupBy(F.col(id_col).cast("bigint").alias("vec_id")).agg(F.min(ints).alias("v")).withColumn("dim", F.size("v"))
+    rows = fit.select(F.col(id_col).cast("bigint").alias("vec_id"), ints.alias("v"))
+    if every_row:
+        kept = rows.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies"))
+    else:
+        kept = rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("copies", F.lit(1).cast("bigint"))
+    return kept.select("*", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("row"))
 
 
 def _blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
     """(dim, <name>, members): about `rows` vectors each."""
     per_dim = vectors.groupBy("dim").agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.lit(1)).alias("blocks")).withColumnRenamed("dim", "d")
-    dealt = vectors.join(per_dim, F.col("dim") == F.col("d")).withColumn(name, F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    return dealt.groupBy("dim", name).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("members"))
+    dealt = vectors.join(per_dim, F.col("dim") == F.col("d")).withColumn(name, F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    return dealt.groupBy("dim", name).agg(F.sort_array(F.collect_list(F.struct("row", "vec_id", "copies", "v"))).alias("members"))
 
 
-def _matrix(members: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and integer vectors of one block."""
+def _matrix(members: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, ids and integer vectors of one block."""
     flat = members.flatten()
-    ids = flat.field("vec_id").to_numpy(zero_copy_only=False)
-    return ids, flat.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    rows, ids = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("row", "vec_id"))
+    return rows, ids, flat.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
 
 
 def _product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -74,17 +79,17 @@ def _local_best(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (qi, q), (ci, c) = _matrix(batch.column("queries").slice(i, 1)), _matrix(batch.column("members").slice(i, 1))
+                (qr, qi, q), (cr, ci, c) = _matrix(batch.column("queries").slice(i, 1)), _matrix(batch.column("members").slice(i, 1))
                 partials = [_product(q[:, s], c[:, s]) for s in _cuts(q.shape[1])]
                 total = sum(partials)
                 for part, scores in enumerate(partials):
-                    scores = np.where(qi[:, None] == ci[None, :], np.iinfo(np.int64).min, scores)
+                    scores = np.where(qi[:, None] == ci[None, :], np.iinfo(np.int64).min + 1, scores)  # negated, the least of all would come first
                     best = np.argpartition(-scores, min(k, len(ci)) - 1, axis=1)[:, :k] if len(ci) > k else np.tile(np.arange(len(ci)), (len(qi), 1))
                     row = np.repeat(np.arange(len(qi)), best.shape[1])
                     col = best.ravel()
                     other = qi[row] != ci[col]
                     row, col = row[other], col[other]
-                    yield pa.record_batch([pa.array(qi[row]), pa.array(np.full(len(row), part, np.int32)), pa.array(ci[col]), pa.array(partials[part][row, col]), pa.array(total[row, col])], ["query_id", "part", "vec_id", "partial", "total"])
+                    yield pa.record_batch([pa.array(qr[row]), pa.array(np.full(len(row), part, np.int32)), pa.array(cr[col]), pa.array(partials[part][row, col]), pa.array(total[row, col])], ["query_row", "part", "row", "partial", "total"])
 
     return run
 
@@ -92,36 +97,39 @@ def _local_best(k: int):
 def _reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            (qi, q), (ci, c) = _matrix(batch.column("queries").slice(i, 1)), _matrix(batch.column("members").slice(i, 1))
-            bounds = {b["query_id"]: b["bound"] for b in batch.column("bounds")[i].as_py()}
-            known = np.array([x in bounds for x in qi.tolist()])
-            bound = np.array([bounds.get(x, 0) for x in qi.tolist()], np.int64)
+            (qr, qi, q), (cr, ci, c) = _matrix(batch.column("queries").slice(i, 1)), _matrix(batch.column("members").slice(i, 1))
+            bounds = {b["query_row"]: b["bound"] for b in batch.column("bounds")[i].as_py()}
+            known = np.array([x in bounds for x in qr.tolist()])
+            bound = np.array([bounds.get(x, 0) for x in qr.tolist()], np.int64)
             least = np.where(known, -(-bound // PARTS), np.iinfo(np.int64).min)
             for part, s in enumerate(_cuts(q.shape[1])):
                 scores = _product(q[:, s], c[:, s])
                 row, col = np.nonzero((scores >= least[:, None]) & (qi[:, None] != ci[None, :]))
                 names = ["dim", "qb", "block"]
                 where = [pa.array(np.full(len(row), batch.column(n)[i].as_py(), np.int32)) for n in names]
-                entries = [pa.array(qi[row]), pa.array(np.full(len(row), part, np.int32)), pa.array(ci[col]), pa.array(scores[row, col]), pa.array(least[row])]
-                yield pa.record_batch(entries + where, ["query_id", "part", "vec_id", "partial", "least", *names])
+                entries = [pa.array(qr[row]), pa.array(np.full(len(row), part, np.int32)), pa.array(cr[col]), pa.array(scores[row, col]), pa.array(least[row])]
+                yield pa.record_batch(entries + where, ["query_row", "part", "row", "partial", "least", *names])
 
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            (qi, q), (ci, c) = _matrix(batch.column("queries").slice(i, 1)), _matrix(batch.column("members").slice(i, 1))
+            (qr, qi, q), (cr, ci, c) = _matrix(batch.column("queries").slice(i, 1)), _matrix(batch.column("members").slice(i, 1))
             asked = batch.column("asked").slice(i, 1).flatten()
-            x, y = (asked.field(f).to_numpy(zero_copy_only=False) for f in ("query_id", "vec_id"))
+            x, y = (np.searchsorted(rows, asked.field(f).to_numpy(zero_copy_only=False)) for f, rows in (("query_row", qr), ("row", cr)))
+            qn, cn = (batch.column(n).slice(i, 1).flatten().field("copies").to_numpy(zero_copy_only=False) for n in ("queries", "members"))
             score = np.empty(len(x), np.int64)
             for at in range(0, len(x), 100_000):
                 cut = slice(at, at + 100_000)
-                score[cut] = (q[np.searchsorted(qi, x[cut])] * c[np.searchsorted(ci, y[cut])]).sum(axis=1)
-            yield pa.record_batch([pa.array(x), pa.array(y), pa.array(score)], ["query_id", "vec_id", "score"])
+                score[cut] = (q[x[cut]] * c[y[cut]]).sum(axis=1)
+            yield pa.record_batch([pa.array(qi[x]), pa.array(ci[y]), pa.array(score), pa.array(qn[x] * cn[y])], ["query_id", "vec_id", "score", "copies"])
 
 
-def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best other rows for each row where is_query (over the id column) holds."""
-    vectors = written(_ready(df, id_col, vector_col), "topk-vectors")
+def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every_row: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k best other rows for each id where is_query (over the id column) holds.
+
+    every_row: rows that share an id are each a candidate and a query, and the k best of all queries of an id are its result."""
+    vectors = written(_ready(df, id_col, vector_col, every_row), "topk-vectors")
     blocks = written(_blocks(vectors, BLOCK_ROWS, "block"), "topk-blocks")
     asked = vectors.withColumnRenamed("vec_id", id_col).filter(is_query).withColumnRenamed(id_col, "vec_id")
     queries = _blocks(asked, QUERY_ROWS, "qb").select(F.col("dim").alias("qdim"), "qb", F.col("members").alias("queries"))
@@ -129,32 +137,36 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: s
     pairs = blocks.join(queries, F.col("dim") == F.col("qdim")).drop("qdim").repartition("dim", "block", "qb")
 
     first = written(pairs.mapInArrow(_local_best(k), FOUND), "topk-local")
-    best = W.partitionBy("query_id", "part").orderBy(F.desc("partial"), "vec_id")
-    seen = first.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).select("query_id", "vec_id", "total").distinct()
-    by_total = W.partitionBy("query_id").orderBy(F.desc("total"), "vec_id")
-    bounds = seen.withColumn("n", F.row_number().over(by_total)).filter(F.col("n") == k).select("query_id", F.col("total").alias("bound"))
+    best = W.partitionBy("query_row", "part").orderBy(F.desc("partial"), "row")
+    seen = first.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).select("query_row", "row", "total").distinct()
+    by_total = W.partitionBy("query_row").orderBy(F.desc("total"), "row")
+    bounds = seen.withColumn("n", F.row_number().over(by_total)).filter(F.col("n") == k).select("query_row", F.col("total").alias("bound"))
 
-    of_query = queries.select("qdim", "qb", F.explode("queries.vec_id").alias("q")).join(bounds, F.col("q") == F.col("query_id"))
-    of_block = of_query.groupBy(F.col("qdim").alias("bdim"), F.col("qb").alias("bqb")).agg(F.collect_list(F.struct("query_id", "bound")).alias("bounds"))
+    of_query = queries.select("qdim", "qb", F.explode("queries.row").alias("q")).join(bounds, F.col("q") == F.col("query_row"))
+    of_block = of_query.groupBy(F.col("qdim").alias("bdim"), F.col("qb").alias("bqb")).agg(F.collect_list(F.struct("query_row", "bound")).alias("bounds"))
     told = queries.join(of_block, (F.col("qdim") == F.col("bdim")) & (F.col("qb") == F.col("bqb")), "left").drop("bdim", "bqb")
-    told = told.withColumn("bounds", F.coalesce("bounds", F.array().cast("array<struct<query_id:bigint,bound:bigint>>")))
+    told = told.withColumn("bounds", F.coalesce("bounds", F.array().cast("array<struct<query_row:bigint,bound:bigint>>")))
     again = blocks.join(told, F.col("dim") == F.col("qdim")).drop("qdim").repartition("dim", "block", "qb")
-    sent = again.mapInArrow(_reaching, "query_id bigint, part int, vec_id bigint, partial bigint, least bigint, dim int, qb int, block int")
-    summed = sent.groupBy("query_id", "vec_id", "dim", "qb", "block", "least").agg(F.sum("partial").alias("known"), F.count(F.lit(1)).alias("parts"))
+    sent = again.mapInArrow(_reaching, "query_row bigint, part int, row bigint, partial bigint, least bigint, dim int, qb int, block int")
+    summed = sent.groupBy("query_row", "row", "dim", "qb", "block", "least").agg(F.sum("partial").alias("known"), F.count(F.lit(1)).alias("parts"))
     low = F.col("least") == F.lit(-(2**63))
     most = F.col("known") + (PARTS - F.col("parts")) * (F.col("least") - 1)
-    rest = summed.join(bounds.select(F.col("query_id").alias("bq"), "bound"), F.col("query_id") == F.col("bq"), "left")
+    rest = summed.join(bounds.select(F.col("query_row").alias("bq"), "bound"), F.col("query_row") == F.col("bq"), "left")
     rest = rest.filter(low | F.col("bound").isNull() | (most >= F.col("bound")))
-    lists = rest.groupBy(F.col("dim").alias("ldim"), F.col("qb").alias("lqb"), F.col("block").alias("lblock")).agg(F.collect_list(F.struct("query_id", "vec_id")).alias("asked"))
+    lists = rest.groupBy(F.col("dim").alias("ldim"), F.col("qb").alias("lqb"), F.col("block").alias("lblock")).agg(F.collect_list(F.struct("query_row", "row")).alias("asked"))
     exact = lists.join(blocks, (F.col("ldim") == F.col("dim")) & (F.col("lblock") == F.col("block"))).drop("dim", "block")
     exact = exact.join(queries, (F.col("ldim") == F.col("qdim")) & (F.col("lqb") == F.col("qb"))).select("queries", "members", "asked")
-    scored = exact.mapInArrow(_resolved, "query_id bigint, vec_id bigint, score bigint")
+    scored = exact.mapInArrow(_resolved, "query_id bigint, vec_id bigint, score bigint, copies bigint")
     rank = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+    found = ranked(scored)
+    if every_row:
+        found = ranked(found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("copies", F.lit(k).cast("bigint"))))))
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op10_topk(spark, sf_dir: str) -> DataFrame:
-    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, every_row=True)
 
 
 OP10_SQL = """
