@@ -6,65 +6,57 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .spans import jvm, no_spans, spans
+from .spans import Pattern, as_spans, jvm, matches, spans
 
 #: A comment (no group), or the inside of a literal; one that isn't closed runs to the end of the text.
 LITERALS = r"""#[^\n]*|'([^']*+(?:''[^']*+)*+)(?:'|\z)|"([^"`]*+(?:`[\s\S]?[^"`]*+)*+)(?:"|\z)"""
 QUOTED = r"""('(?:[^'\r\n]|'')*+'|"(?:`.|[^"\r\n])*")"""
-SWITCH = r"(?i)\bswitch\s+-Regex\b[^{\r\n]*\{"
-SWITCH_CASE = rf"(?m)^\s*{QUOTED}\s*\{{"
-#: What counts for the depth of braces: braces outside literals.
-BRACE_OR_LITERAL = r"""[{}]|'[^']*+(?:''[^']*+)*+(?:'|\z)|"[^"`]*+(?:`[\s\S]?[^"`]*+)*+(?:"|\z)"""
+SWITCH = r"(?i:\bswitch\s+-Regex\b)[^{\r\n]*\{"
+#: A piece of a script up to a brace outside literals, or to the end of a literal.
+PIECE = r"""[^{}'"]*+(?:[{}]|'[^']*+(?:''[^']*+)*+(?:'|\z)|"[^"`]*+(?:`[\s\S]?[^"`]*+)*+(?:"|\z))"""
 
 
-def string_literals(text: Column) -> Column:
-    """array<SPAN>: the insides of string literals; quotes in comments open none."""
-    return spans(text, LITERALS, (1, 2))
-
-
-def shifted(found: Column, by: Column) -> Column:
-    return F.transform(found, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value"), s["confidence"].alias("confidence")))
-
+def _block(m: Column) -> Column:
+    """The match and what follows up to its brace's end, or to the end of the text."""
+    pieces = F.regexp_extract_all(m["extra"], F.lit(jvm(PIECE)), F.lit(0))
 
-def switch_patterns(text: Column) -> Column:
-    """array<SPAN>: the quoted cases of every `switch -Regex` block, up to its closing brace or the end of the text."""
-
-    def of_block(opening: Column) -> Column:
-        rest = F.substring(text, opening["end"] + 1, F.length(text))
+    def step(done: Column, piece: Column) -> Column:
+        brace = F.regexp_extract(piece, r"""^[^{}'"]*([{}])\z""", 1)
+        depth = done["depth"] + F.when(brace == "{", 1).when(brace == "}", -1).otherwise(0)
+        at = done["at"] + F.length(piece)
+        return F.struct(at.alias("at"), depth.alias("depth"), F.coalesce(done["end"], F.when(depth == 0, at)).alias("end"))
 
-        def step(done: Column, t: Column) -> Column:
-            depth = done["depth"] + F.when(t["value"] == "{", 1).when(t["value"] == "}", -1).otherwise(0)
-            closed = F.coalesce(done["closed"], F.when(depth == 0, t["start"]))
-            return F.struct(depth.alias("depth"), closed.alias("closed"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("depth"), F.lit(None).cast("int").alias("end"))
+    end = F.aggregate(pieces, start, step)["end"]
+    return F.concat(m["value"], F.substring(m["extra"], F.lit(1), F.coalesce(end, F.length(m["extra"]))))
 
-        start = F.struct(F.lit(1).alias("depth"), F.lit(None).cast("int").alias("closed"))
-        closed = F.aggregate(spans(rest, BRACE_OR_LITERAL), start, step)["closed"]
-        block = F.substring(rest, F.lit(1), F.coalesce(closed, F.length(rest)))
-        return shifted(spans(block, SWITCH_CASE, (1,)), opening["end"])
 
-    found = F.when(text.rlike(jvm(SWITCH)), F.array_distinct(F.flatten(F.transform(spans(text, SWITCH), of_block))))
-    return F.coalesce(found, no_spans())
+_SWITCH_BLOCK = Pattern(rf"{SWITCH}(?=([\s\S]*))", gate=("switch",), extra=1, cut=_block)
+#: The quoted cases of every `switch -Regex` block, up to its closing brace or the end of the text.
+SWITCH_CASES = Pattern(rf"(?:(?m:^)|\A{SWITCH})\s*{QUOTED}\s*\{{", (1,), within=_SWITCH_BLOCK)
 
 
-def before(text: Column, at: Column, n: int = 1) -> Column:
-    """The n-th character before a place; empty where there is none."""
-    return F.when(at >= n, F.substring(text, at - n + 1, F.lit(1))).otherwise(F.lit(""))
+def string_literals(text: Column) -> Column:
+    """array<SPAN>: the insides of string literals; quotes in comments open none."""
+    return spans(text, LITERALS, (1, 2))
 
 
-def after(text: Column, at: Column, n: int = 0) -> Column:
-    return F.substring(text, at + n + 1, F.lit(1))
+def switch_patterns(text: Column) -> Column:
+    """array<SPAN> of SWITCH_CASES."""
+    return as_spans(matches(text, [SWITCH_CASES]))
 
 
-def is_identifier(text: Column, span: Column) -> Column:
-    """Whether a span is (part of) a name in code: within a word, a variable, a member, half of Verb-Noun, or being declared."""
-    one, two = before(text, span["start"]), before(text, span["start"], 2)
-    next_, second = after(text, span["end"]), after(text, span["end"], 1)
-    line = F.regexp_extract(F.substring(text, F.lit(1), span["start"]), r"[^\n]*\z", 0)
+def is_identifier(m: Column) -> Column:
+    """Whether a match is (part of) a name in code: within a word, a variable, a member, half of Verb-Noun, or being declared."""
+    one, pair = F.right(m["before"], F.lit(1)), F.right(m["before"], F.lit(2))
+    two = F.when(F.length(pair) == 2, F.left(pair, F.lit(1))).otherwise(F.lit(""))
+    next_, second = F.left(m["after"], F.lit(1)), F.substring(m["after"], 2, 1)
+    line = F.regexp_extract(m["before"], r"[^\n]*\z", 0)
     declared = line.rlike(jvm(r"(?i)(?:function|filter|workflow|class)\s+\z"))
     inside = F.concat(one, next_).rlike("[A-Za-z0-9_]")
     member = (one == ".") & two.rlike(r"[A-Za-z0-9_)\]]")
     command = ((one == "-") & two.rlike("[A-Za-z0-9_]")) | ((next_ == "-") & second.rlike("[A-Za-z0-9_]"))
-    return (span["start"] >= 0) & (inside | (one == "$") | member | command | ((span["start"] > 0) & declared))
+    return inside | (one == "$") | member | command | declared
 
 
 def adapted_case(matched: Column, replacement: str, one: Column, next_: Column) -> Column:
@@ -78,8 +70,8 @@ def adapted_case(matched: Column, replacement: str, one: Column, next_: Column)
     return F.when(capitals, F.when(alone, snake).otherwise(F.lit(replacement))).when(letters.rlike("^[a-z]"), small).otherwise(F.lit(replacement))
 
 
-def code_replacement(text: Column, literals: Column, span: Column, replacement: str) -> Column:
-    """The adapted replacement where the span is a name in code outside string literals, else null."""
-    quoted = F.exists(literals, lambda r: (span["start"] >= r["start"]) & (span["end"] <= r["end"]))
-    made = adapted_case(span["value"], replacement, before(text, span["start"]), after(text, span["end"]))
-    return F.when(~quoted & is_identifier(text, span), made)
+def code_replacement(literals: Column, m: Column, replacement: str) -> Column:
+    """The adapted replacement where a match is a name in code outside string literals, else null."""
+    quoted = F.exists(literals, lambda r: (m["start"] >= r["start"]) & (m["end"] <= r["end"]))
+    made = adapted_case(m["value"], replacement, F.right(m["before"], F.lit(1)), F.left(m["after"], F.lit(1)))
+    return F.when(~quoted & is_identifier(m), made)

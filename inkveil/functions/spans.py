@@ -1,22 +1,34 @@
-"""Matches of a pattern with their places, as native array expressions.
+"""Matches of patterns with their places, as native array expressions.
 
 Spark has functions for all matches and for what lies between them, but none for places. A match starts after all text between
-earlier matches and all earlier matches, so one fold over both arrays gives every place. Places count code points.
+earlier matches and all earlier matches, so one fold over both gives every place. The fold is written once and serves all patterns
+of a scan: each pattern only adds the arrays of its matches, and only to texts that pass its gate and have a match. Places count code
+points.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,end:int,value:string,confidence:int>"
+#: A match with the number of its pattern and, if the pattern asks for them, what surrounds it and a further group.
+MATCH = "struct<p:int,start:int,end:int,value:string,before:string,after:string,extra:string,confidence:int>"
 #: What scripting engines count as white space, for use in a character class.
-BLANKS = r"\s\x0B   -     　﻿"
+BLANKS = r"\s\x0B   -     　﻿"
 #: A word bound that knows ASCII letters only, whatever the JVM's version.
 BOUND = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: The same where a letter, digit or _ follows for sure, which is cheaper.
+NO_WORD_BEFORE = "(?<![A-Za-z0-9_])"
 HIGH, MEDIUM, LOW = 3, 2, 1
+#: How many characters before and after a match its pattern's test sees.
+BEFORE, AFTER = 128, 16
+#: Folds append within blocks of so many elements, so that what is copied grows with the elements and not with their square.
+BLOCK = 256
 
 
 def jvm(pattern: str) -> str:
@@ -25,7 +37,7 @@ def jvm(pattern: str) -> str:
     while i < len(pattern):
         two = pattern[i : i + 2]
         if two == r"\b" and not inside:
-            out.append(BOUND)
+            out.append(NO_WORD_BEFORE if _word_first(pattern, i + 2) else BOUND)
         elif two == r"\s":
             out.append(BLANKS if inside else f"[{BLANKS}]")
         elif two == r"\S" and not inside:
@@ -51,6 +63,28 @@ def _open(out: list[str]) -> bool:
     return depth > 0
 
 
+def _word_first(pattern: str, i: int) -> bool:
+    """Whether whatever matches from place i of the pattern starts with a word character. False if that isn't plain to see."""
+    if pattern.startswith(("(?:", "(?i:"), i) or (pattern[i : i + 1] == "(" and pattern[i + 1 : i + 2] != "?"):
+        start = pattern.index(":", i) + 1 if pattern[i + 1] == "?" else i + 1
+        depth, at = 0, start
+        starts = [start]
+        while depth >= 0 and at < len(pattern):
+            c = pattern[at]
+            if c == "\\":
+                at += 1
+            elif c == "[":
+                at = pattern.index("]", at + 2)
+            else:
+                depth += (c == "(") - (c == ")")
+                if c == "|" and depth == 0:
+                    starts.append(at + 1)
+            at += 1
+        return pattern[at : at + 1] not in ("?", "*", "{") and all(_word_first(pattern, s) for s in starts)
+    item = re.match(r"\\d|\[(?:\w-\w|\w)+\]|\w", pattern[i:], re.ASCII)
+    return bool(item) and pattern[i + item.end() : i + item.end() + 1] not in ("?", "*", "|", ")") and not pattern.startswith("{0", i + item.end())
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns that no later expression or lambda computes again: each comes out of a generator."""
     for name, value in columns.items():
@@ -58,69 +92,218 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def mapped(items: Column, function: str) -> Column:
+    """The array with a function in SQL applied to each element."""
+    return F.call_function("transform", items, F.expr(function))
+
+
+def fold(items: Column, start: dict[str, Column], step: Callable[[Column, Column], tuple[dict[str, Column], Column]], nothing: str | Column, at_block: Callable[[Column, Column], dict[str, Column]] | None = None) -> Column:
+    """struct of the state after all items, and `out`, an array of what came out. nothing: the type of one such, or an empty array.
+
+    step gets the state and an item, and gives the fields that change and an array of what comes out. at_block gives fields that
+    change before each block, of the state and the block's items. Linear in the items, as long as the state's fields are small."""
+    nothing = F.array().cast(f"array<{nothing}>") if isinstance(nothing, str) else nothing
+
+    def state(of: Callable[[str], Column], out: Column) -> Column:
+        return F.struct(*(of(n).alias(n) for n in start), out.alias("out"))
+
+    def one(done: Column, item: Column) -> Column:
+        changed, out = step(done, item)
+        return state(lambda n: changed.get(n, done[n]), F.concat(done["out"], out))
+
+    def block(done: Column, part: Column) -> Column:
+        begun = at_block(done, part) if at_block else {}
+        inner = F.aggregate(part, state(lambda n: begun.get(n, done[n]), nothing), one)
+        return let(inner, lambda made: state(lambda n: made[n], F.array_append(done["out"], made["out"])))
+
+    last = lambda every: F.call_function("div", F.greatest(F.size(every) - 1, F.lit(0)), F.lit(BLOCK)).cast("int")
+    blocks = let(items, lambda every: F.transform(F.sequence(F.lit(0), last(every)), lambda b: F.slice(every, b * BLOCK + 1, F.lit(BLOCK))))
+    zero = state(lambda n: start[n], F.slice(F.array(nothing), 1, 0))
+    return F.aggregate(blocks, zero, block, lambda done: state(lambda n: done[n], F.flatten(done["out"])))
+
+
 def no_spans() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
-def spans(text: Column, pattern: str, groups: tuple[int, ...] = (0,), confidence: int | Callable[[Column], Column] = HIGH) -> Column:
-    """array<SPAN> of the matches, or of the first of `groups` that isn't empty, at its last place within the match.
-
-    confidence: a rank, or a function of the value; matches for which it is null are left out."""
-    pattern = jvm(pattern)
-    between = F.split(text, pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.zip_with(between, whole, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    if groups == (0,):
-        parts = F.transform(parts, lambda p: F.struct(p["g"].alias("g"), p["m"].alias("m"), p["m"].alias("v")))
-    else:
-        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(groups[0]))
-        for group in groups[1:]:
-            value = F.zip_with(value, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda a, b: F.when(F.length(a) > 0, a).otherwise(b))
-        parts = F.zip_with(parts, value, lambda p, v: F.struct(p["g"].alias("g"), p["m"].alias("m"), v.alias("v")))
-
-    def step(done: Column, p: Column) -> Column:
-        start = done["at"] + F.length(p["g"])
-        inner = F.length(p["m"]) - F.instr(F.reverse(p["m"]), F.reverse(p["v"])) - F.length(p["v"]) + 1
-        first = start + inner
-        rank = confidence(p["v"]) if callable(confidence) else F.lit(confidence)
-        found = F.struct(first.alias("start"), (first + F.length(p["v"])).alias("end"), p["v"].alias("value"), rank.cast("int").alias("confidence"))
-        return F.struct((start + F.length(p["m"])).alias("at"), F.array_append(done["out"], found).alias("out"))
-
-    matched = F.filter(parts, lambda p: p["m"].isNotNull())
-    folded = F.aggregate(matched, F.struct(F.lit(0).alias("at"), no_spans().alias("out")), step)["out"]
-    found = F.filter(folded, lambda s: (F.length(s["value"]) > 0) & s["confidence"].isNotNull())
-    return F.coalesce(F.when(text.rlike(pattern), found), no_spans())
+@dataclass(frozen=True)
+class Pattern:
+    """What is sought, and what a match must fulfil.
 
+    groups: the value is the first of these that isn't empty, at its last place within the match.
+    gate: literals of which a text must have one, in any case; or a pattern that it must match; cheaper than the pattern itself.
+    confidence: a rank, or a function of the value; matches for which it is null are left out.
+    test: a function of the match, with before, after and extra.
+    cut: gives another value, that starts at the same place, from the match.
+    extra: a further group.
+    number: whether every match has a digit.
+    context: whether before and after are wanted though there is neither test nor cut.
+    within: the pattern is sought in the matches of another one only, in each on its own."""
+
+    regex: str
+    groups: tuple[int, ...] = (0,)
+    confidence: int | Callable[[Column], Column] = HIGH
+    gate: tuple[str, ...] | str = ()
+    test: Callable[[Column], Column] | None = None
+    cut: Callable[[Column], Column] | None = None
+    extra: int | None = None
+    within: Pattern | None = None
+    number: bool = False
+    context: bool = False
+
+
+def _raw(pattern: str) -> str:
+    """A string literal of SQL, in which backslashes are plain."""
+    assert "\\'" not in pattern and "${" not in pattern, pattern
+    return "r'" + pattern.replace("'", r"\x27") + "'"
+
+
+def hits_sql(text: str, low: str, patterns: Sequence[Pattern]) -> str:
+    """SQL for an array with the arrays of each pattern that isn't sought within others; null for those without matches."""
+    return f"array({', '.join(_hit_sql(text, low, i, p, '0') for i, p in enumerate(with_contexts(patterns)) if not p.within)})"
+
+
+def with_contexts(patterns: Sequence[Pattern]) -> list[Pattern]:
+    """The patterns, and after them those that they are sought within."""
+    return [*patterns, *{id(p.within): p.within for p in patterns if p.within}.values()]
 
-def overlap(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
+def _hit_sql(text: str, low: str | None, number: int, p: Pattern, at: str) -> str:
+    """SQL for the arrays of the pattern's matches; null where there are none. One text parses faster than its pieces are built."""
+    pattern = _raw(jvm(p.regex))
+    group = lambda g: f"regexp_extract_all({text}, {pattern}, {g})"
+    value = "cast(null AS array<string>)" if p.groups == (0,) else group(p.groups[0])
+    for g in p.groups[1:]:
+        value = f"zip_with({value}, {group(g)}, (a, b) -> if(length(a) > 0, a, b))"
+    extra = "cast(null AS array<string>)" if p.extra is None else group(p.extra)
+    near = "true" if p.context or p.test is not None or p.cut is not None else "false"
+    some = f"rlike({text}, {pattern})"
+    if isinstance(p.gate, str):
+        some = f"rlike({text}, {_raw(jvm(p.gate))}) AND {some}"
+    elif p.gate and low:
+        some = f"({' OR '.join(f'contains({low}, {_raw(g)})' for g in p.gate)}) AND {some}"
+    if p.number:
+        some = f"rlike({text}, '[0-9]') AND {some}"
+    made = f"named_struct('p', {number}, 'at', {at}, 'g', split({text}, {pattern}, -1), 'm', {group(0)}, 'v', {value}, 'x', {extra}, 'c', {near})"
+    return f"CASE WHEN {some} THEN {made} END"
 
-def outside(found: Column, *others: Column) -> Column:
-    """The spans that overlap none of the others."""
-    return F.filter(found, lambda s: ~F.exists(F.concat(*others), lambda o: overlap(s, o)))
 
+#: Of a hit h and the number i of a match: its lengths, and what is around it.
+_PART = f"""named_struct(
+  'gap', length(get(h.g, i)), 'tail', if(h.c, right(get(h.g, i), {BEFORE}), ''), 'm', get(h.m, i), 'n', length(get(h.m, i)), 'v', coalesce(get(h.v, i), get(h.m, i)),
+  'inner', coalesce(length(get(h.m, i)) - instr(reverse(get(h.m, i)), reverse(get(h.v, i))) - length(get(h.v, i)) + 1, 0), 'size', length(coalesce(get(h.v, i), get(h.m, i))),
+  'after', if(h.c, left(concat(coalesce(get(h.g, i + 1), ''), coalesce(get(h.m, i + 1), '')), {AFTER}), ''), 'x', get(h.x, i))"""
+_NEAR = f"if(h.c, right(concat(d.before, q.tail), {BEFORE}), '')"
+#: Of the state d and a part q: the state after it, which has the match with its place.
+_STEP = f"""named_struct(
+  'at', d.at + q.gap + q.n, 'before', if(h.c, right(concat({_NEAR}, q.m), {BEFORE}), ''),
+  'out', array_append(d.out, named_struct(
+    'p', h.p, 'start', d.at + q.gap + q.inner, 'end', d.at + q.gap + q.inner + q.size, 'value', q.v, 'before', {_NEAR}, 'after', q.after, 'extra', q.x, 'confidence', cast(null AS int))))"""
+#: All matches of a hit: a fold over blocks of matches, and in each over its matches.
+_PLACES = f"""h -> aggregate(
+  transform(sequence(0, cast((size(h.m) - 1) div {BLOCK} AS int)), b -> transform(sequence(b * {BLOCK}, least(b * {BLOCK} + {BLOCK} - 1, size(h.m) - 1)), i -> {_PART})),
+  named_struct('at', h.at, 'before', '', 'out', cast(array() AS array<array<{MATCH}>>)),
+  (done, part) -> get(transform(
+    array(aggregate(part, named_struct('at', done.at, 'before', done.before, 'out', cast(array() AS array<{MATCH}>)), (d, q) -> {_STEP})),
+    r -> named_struct('at', r.at, 'before', r.before, 'out', array_append(done.out, r.out))), 0),
+  done -> flatten(done.out))"""
 
-def by_line(text: Column, context: str, pattern: str, confidence: int) -> Column:
-    """Matches on lines (without their line end) that have the context, a pattern without anchors: it is first sought in the whole text."""
-    lines = F.split(text, "\n", -1)
 
-    def step(done: Column, raw: Column) -> Column:
-        line = F.regexp_replace(raw, r"\r\z", "")
-        here = F.when(line.rlike(jvm(context)), spans(line, pattern, confidence=confidence)).otherwise(no_spans())
-        moved = F.transform(here, lambda s: F.struct((s["start"] + done["at"]).alias("start"), (s["end"] + done["at"]).alias("end"), s["value"].alias("value"), s["confidence"].alias("confidence")))
-        return F.struct((done["at"] + F.length(raw) + 1).alias("at"), F.concat(done["out"], moved).alias("out"))
+def _placed(hits: Column) -> Column:
+    """array<MATCH>, not yet ranked, of hits."""
+    return F.flatten(mapped(hits, _PLACES))
 
-    folded = F.aggregate(lines, F.struct(F.lit(0).alias("at"), no_spans().alias("out")), step)["out"]
-    return F.coalesce(F.when(text.rlike(jvm(context)), folded), no_spans())
 
+def _case(m: Column, choices: Sequence[tuple[object, int, Column]], otherwise: Column) -> Column:
+    """The value for the match's pattern; patterns with the same key share one."""
+    shared: dict[object, tuple[list[int], Column]] = {}
+    for key, number, value in choices:
+        shared.setdefault(key, ([], value))[0].append(number)
+    made = None
+    for numbers, value in shared.values():
+        here = m["p"] == numbers[0] if len(numbers) == 1 else m["p"].isin(*numbers)
+        made = F.when(here, value) if made is None else made.when(here, value)
+    return otherwise if made is None else made.otherwise(otherwise)
 
-def inside(text: Column, context: str, pattern: str, confidence: int) -> Column:
-    """Matches of the pattern within what the context matches, each such piece on its own."""
 
-    def step(done: Column, piece: Column) -> Column:
-        here = spans(piece["value"], pattern, confidence=confidence)
-        moved = F.transform(here, lambda s: F.struct((s["start"] + piece["start"]).alias("start"), (s["end"] + piece["start"]).alias("end"), s["value"].alias("value"), s["confidence"].alias("confidence")))
-        return F.concat(done, moved)
+_FIELDS = ("p", "start", "end", "value", "before", "after", "extra", "confidence")
 
-    return F.aggregate(spans(text, context), no_spans(), step)
+
+def _with(m: Column, **changed: Column) -> Column:
+    return F.struct(*(changed[n].alias(n) if n in changed else m[n] for n in _FIELDS))
+
+
+def _cut(found: Column, patterns: Sequence[Pattern], nested: bool) -> Column:
+    """found, with values cut, of the patterns that are or aren't sought within others."""
+    cuts = [(i, p.cut) for i, p in enumerate(patterns) if p.cut and bool(p.within) == nested]
+    if not cuts:
+        return found
+    found = F.transform(found, lambda m: _with(m, value=_case(m, [(cut, i, cut(m)) for i, cut in cuts], m["value"])))
+    return F.transform(found, lambda m: _with(m, end=m["start"] + F.length(m["value"])))
+
+
+def _ranked(found: Column, patterns: Sequence[Pattern]) -> Column:
+    """found, with confidences; without what fails."""
+
+    def rank(m: Column) -> Column:
+        choices = []
+        for i, p in enumerate(patterns):
+            if callable(p.confidence) or p.test:
+                value = p.confidence(m["value"]) if callable(p.confidence) else F.lit(p.confidence)
+                choices.append(((p.confidence, p.test), i, (F.when(p.test(m), value) if p.test else value).cast("int")))
+        plain = F.expr(f"array({','.join('null' if callable(p.confidence) else str(p.confidence) for p in patterns)})").cast("array<int>")
+        return _case(m, choices, F.get(plain, m["p"]))
+
+    ranked = F.transform(found, lambda m: _with(m, confidence=rank(m)))
+    return F.filter(ranked, lambda m: (F.length(m["value"]) > 0) & m["confidence"].isNotNull())
+
+
+def matches(text: Column, patterns: Sequence[Pattern]) -> Column:
+    """array<MATCH> of all patterns; see matches_of."""
+    if not patterns:
+        return F.array().cast(f"array<{MATCH}>")
+    # SQL text can name its own variables only.
+    both = F.array(F.struct(text.alias("t"), F.lower(text).alias("l")))
+    return matches_of(F.get(mapped(both, f"e -> {hits_sql('e.t', 'e.l', patterns)}"), F.lit(0)), patterns)
+
+
+def matches_of(hits: Column, patterns: Sequence[Pattern]) -> Column:
+    """array<MATCH> from hits_sql, by pattern and place; patterns that are sought within others come last."""
+    every = with_contexts(patterns)
+    contexts = every[len(patterns) :]
+    found = _cut(_placed(F.array_compact(hits)), every, False)
+    if not contexts:
+        return _ranked(found, every)
+    first = len(patterns)
+    tests = [(c.test, first + j, c) for j, c in enumerate(contexts) if c.test]
+
+    def joined(all_: Column) -> Column:
+        whole = F.filter(all_, lambda m: (m["p"] >= first) & _case(m, [(t, i, t(m)) for t, i, _ in tests], F.lit(True)))
+        cases = []
+        for j, context in enumerate(contexts):
+            here = ", ".join(_hit_sql("c.value", None, i, p, "c.start") for i, p in enumerate(patterns) if p.within is context)
+            cases.append(f"WHEN c.p = {first + j} THEN array({here})")
+        hits = F.array_compact(F.flatten(mapped(whole, f"c -> CASE {' '.join(cases)} END")))
+        inner = _cut(_placed(hits), patterns, True)
+        return F.concat(F.filter(all_, lambda m: m["p"] < first), inner)
+
+    return _ranked(let(found, joined), patterns)
+
+
+def as_spans(found: Column) -> Column:
+    """array<SPAN>, by place, of matches."""
+    return F.array_sort(F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), m["confidence"].alias("confidence"))))
+
+
+def spans(text: Column, pattern: str, groups: tuple[int, ...] = (0,), confidence: int | Callable[[Column], Column] = HIGH) -> Column:
+    """array<SPAN> of one pattern."""
+    return as_spans(matches(text, [Pattern(pattern, groups, confidence)]))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])

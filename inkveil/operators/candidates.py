@@ -91,7 +91,8 @@ def candidates(scanned: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """(id, rank, text, count, first_start, generic): acronyms, runs of two words or more, and words that come twice; without
     the dismissed ones; common phrases last."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kinds = [F.transform(found, lambda s, k=kind: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["value"].alias("value"))) for kind, found in ((0, title_runs(text)), (1, acronyms(text)))]
+    of_kind = lambda kind, found: F.transform(found, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["value"].alias("value")))
+    kinds = [of_kind(0, title_runs(text)), of_kind(1, acronyms(text))]
     ends = lambda o: F.struct(o["start"].alias("start"), (o["start"] + F.length(o["value"])).alias("end"))
     held = once(scanned.select(id_col, text_col, "findings"), taken=_taken(text), found=F.concat(*kinds))
     rows = held.select(id_col, F.explode(F.filter("found", lambda o: ~F.exists(F.col("taken"), lambda t: overlap(ends(o), t)))).alias("o")).select(id_col, "o.*")

@@ -14,26 +14,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import validators as V
-from ..functions.spans import HIGH, LOW, MEDIUM, SPAN, by_line, inside, jvm, no_spans, outside, spans
-
-Detect = Callable[[Column], Column]
-
+from ..functions.spans import HIGH, LOW, MEDIUM, SPAN, Pattern, as_spans, fold, jvm, matches, no_spans
 
 @dataclass(frozen=True)
 class Detector:
+    """explanation: what it finds, for people. special: functions of the text that give array<SPAN>, for what patterns can't say."""
+
     id: str
     name: str
     category: str
     severity: str
     label: str
     priority: int
-    detect: Detect
+    patterns: tuple[Pattern, ...]
     #: "balanced", "strict", "pack" or "lead": where the rule is on by default. Leads are found but not replaced.
     mode: str = "balanced"
     template: str | None = None
     normalize: Callable[[Column], Column] | None = None
-    #: Of the text, its string literals and a match: what replaces it in code, or null.
-    replacement: Callable[[Column, Column, Column], Column] | None = None
+    #: Of the string literals of the text and a match, with before and after: what replaces it in code, or null.
+    replacement: Callable[[Column, Column], Column] | None = None
+    explanation: str = ""
+    special: tuple[Callable[[Column], Column], ...] = ()
+    #: Of its own matches, those within longer ones go before rules are compared.
+    tidy: bool = False
 
     @property
     def strict_only(self) -> bool:
@@ -47,17 +50,26 @@ class Detector:
     def review_lead(self) -> bool:
         return self.mode == "lead"
 
+    def detect(self, text: Column) -> Column:
+        """array<SPAN> of all its matches, by place."""
+        found = F.array_sort(F.concat(as_spans(matches(text, self.patterns)), *(s(text) for s in self.special)))
+        return tidied(found) if self.tidy else found
 
-def checked(test: Callable[[Column], Column], rank: int | Column = HIGH) -> Callable[[Column], Column]:
-    return lambda v: F.when(test(v), rank if isinstance(rank, Column) else F.lit(rank))
 
+def tidied(found: Column) -> Column:
+    """Each span once, none within a longer one, by start. A fold over the spans by start, longest first: a span goes if an earlier
+    one ends where it ends or later."""
+    order = F.array_sort(F.transform(found, lambda s, i: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), i.alias("i"), s.alias("s"))))
+
+    def step(done: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        new = x["s"]["end"] > done["end"]
+        return {"end": F.greatest(done["end"], x["s"]["end"])}, F.when(new, F.array(x["s"])).otherwise(no_spans())
 
-def several(*parts: Detect) -> Detect:
-    return lambda text: F.concat(*(p(text) for p in parts))
+    return fold(order, {"end": F.lit(-1)}, step, SPAN)["out"]
 
 
-def found(pattern: str, groups: tuple[int, ...] = (0,), confidence=HIGH) -> Detect:
-    return lambda text: spans(text, pattern, groups, confidence)
+def checked(test: Callable[[Column], Column], rank: int | Column = HIGH) -> Callable[[Column], Column]:
+    return lambda v: F.when(test(v), rank if isinstance(rank, Column) else F.lit(rank))
 
 
 # Patterns and lists of the rules.
@@ -73,6 +85,9 @@ URL = r"""(?i)\b(?:https?|ldaps?)://[^\s"'<>)\]]+"""
 UNC = r"""\\\\[A-Za-z0-9][A-Za-z0-9._-]{0,253}\\[^\\\s"'<>|]+(?:\\[^\\\s"'<>|]+)*\\?"""
 UNIX_PATH = r"""(?:/home|/Users)/[A-Za-z0-9._-]+(?:/[^\s"'<>|]*)?"""
 EMAIL = r"(?<![$A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+\b"
+_DOMAIN = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+\b"
+#: A fragment or a labelled domain that runs into an address is none: the address is found instead.
+NO_ADDRESS = rf"(?![A-Za-z0-9._%+-]*@{_DOMAIN})"
 EMAIL_FRAGMENT = r"@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+\b"
 MAIL_DOMAIN = r"""(?i)\b(?:email|mail|upn|user[ _-]?principal[ _-]?name|accepted|tenant)[ _-]?(?:domain|suffix)\b[ \t]*[:=][ \t]*["']?((?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})\b"""
 ASSIGNMENT = r"""(\$[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*|(?<![$\w])[A-Za-z_][A-Za-z0-9_]*)\s*=\s*(["'])([^"'\r\n]{2,})\2"""
@@ -145,77 +160,54 @@ JWT = r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 API_KEYS = (
     r"\bsk-ant-[A-Za-z0-9_-]{20,}", r"\bsk-proj-[A-Za-z0-9_-]{20,}", r"\b[srp]k_(?:live|test)_[A-Za-z0-9]{16,}", r"\bsk-[A-Za-z0-9]{20,}",
     r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", r"\bgh[pousr]_[A-Za-z0-9]{36,}", r"\bgithub_pat_[A-Za-z0-9_]{22,}", r"\bxox[abeprs]-[A-Za-z0-9-]{10,}",
-    r"\bAIza[A-Za-z0-9_-]{35}", r"\bglpat-[A-Za-z0-9_-]{20,}", r"\bglrt-[A-Za-z0-9_-]{20,}", r"\b(?:AC|SK)[0-9a-f]{32}\b",
+    r"\bAIza[A-Za-z0-9_-]{35}", r"\bglpat-[A-Za-z0-9_-]{20,}", r"\bglrt-[A-Za-z0-9_-]{20,}",
     r"\bSG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{43}", r"\bnpm_[A-Za-z0-9]{36}", r"\bya29\.[A-Za-z0-9_-]{20,}", r"AccountKey=[A-Za-z0-9+/]{86}==",
     r"https://hooks\.slack\.com/services/[A-Za-z0-9/]+", r"(?i)Authorization:[ \t]*Basic[ \t]+[A-Za-z0-9+/]{8,}=*", r"\bdop_v1_[0-9a-f]{64}\b",
     r"\bpypi-[A-Za-z0-9_-]{50,}", r"\bdckr_pat_[A-Za-z0-9_-]{20,}", r"\bhf_[A-Za-z0-9]{30,}", r"\bhvs\.[A-Za-z0-9_-]{20,}", r"\bdapi[0-9a-f]{32}\b",
     r"\bshpat_[0-9a-fA-F]{32}\b", r"\bnfp_[A-Za-z0-9]{30,}", r"\bxkeysib-[0-9a-f]{64}", r"\bAGE-SECRET-KEY-1[A-Z0-9]{58}\b",
-    r"https://(?:ptb\.|canary\.)?discord(?:app)?\.com/api/webhooks/[0-9]+/[A-Za-z0-9_-]+", r"\b[0-9]{8,10}:[A-Za-z0-9_-]{35}\b",
+    r"https://(?:ptb\.|canary\.)?discord(?:app)?\.com/api/webhooks/[0-9]+/[A-Za-z0-9_-]+",
 )
+#: Of which every one of these keys has one, in small letters.
+API_KEY_PARTS = (
+    "sk-", "k_live_", "k_test_", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "aiza", "glpat-", "glrt-", "sg.", "npm_", "ya29.", "accountkey=",
+    "hooks.slack.com", "authorization:", "dop_v1_", "pypi-", "dckr_pat_", "hf_", "hvs.", "dapi", "shpat_", "nfp_", "xkeysib-", "age-secret-key-", "/api/webhooks/",
+)
+PLAIN_API_KEYS = (r"\b(?:AC|SK)[0-9a-f]{32}\b", r"\b[0-9]{8,10}:[A-Za-z0-9_-]{35}\b")
 SIGNATURES = (r"[?&]sig=([A-Za-z0-9%+/=_-]{20,})", r"[?&]X-Amz-Signature=([0-9a-fA-F]{64})")
 SECRET_ASSIGNMENT = r"""(?i)(?:password|passwd|passphrase|pwd|userpass|secret|client_secret|api_?key|access_?token|auth_?token|token)["']?\s*[:=]\s*["']([^"'\r\n]{4,})["']"""
 
 
-def _email(text: Column) -> Column:
-    full = spans(text, EMAIL)
-    fragments = outside(spans(text, EMAIL_FRAGMENT), full)
-    domains = outside(spans(text, MAIL_DOMAIN, (1,)), full, fragments)
-    every = F.when(text.contains("@") | text.rlike(jvm(MAIL_DOMAIN)), F.concat(full, fragments, domains))
-    return F.coalesce(F.array_sort(every), no_spans())
-
-
-def _ipv4(text: Column) -> Column:
-    plain = spans(text, IPV4, confidence=checked(lambda v: V.is_ipv4(v) & ~v.startswith("127.") & ~v.isin("0.0.0.0", "255.255.255.255")))
-
-    def version(s: Column) -> Column:
-        before, after = F.substring(text, F.lit(1), s["start"]), F.substring(text, s["end"] + 1, F.lit(2))
-        line = F.regexp_extract(before, r"[^\r\n]*\z", 0)
-        return before.rlike(r"\d\.\z") | after.rlike(r"^\.\d") | line.rlike(jvm(VERSION_CUE))
+def no_version(m: Column) -> Column:
+    """Not part of a longer dotted run of numbers, and not after a word for versions on its line."""
+    line = F.regexp_extract(m["before"], r"[^\r\n]*\z", 0)
+    return ~(m["before"].rlike(r"\d\.\z") | m["after"].rlike(r"^\.\d") | line.rlike(jvm(VERSION_CUE)))
 
-    return F.filter(plain, lambda s: ~version(s))
 
+def _infrastructure(m: Column) -> Column:
+    leaf = F.lower(F.regexp_replace(F.element_at(F.split(m["extra"], r"\."), -1), "[$_-]", ""))
+    return leaf.rlike(f"(?:{'|'.join(INFRASTRUCTURE_KEYS)})\\z") & m["value"].rlike(jvm(INFRASTRUCTURE_VALUE))
 
-def _hostname(text: Column) -> Column:
-    rank = lambda v: F.when(~V.is_ipv4(v) & V.is_internal_host(v), F.when(V.has_internal_label(v), HIGH).otherwise(MEDIUM))
-    named, tenant = spans(text, HOSTNAME, confidence=rank), spans(text, TENANT_HOST)
-    return F.concat(named, F.filter(tenant, lambda t: ~F.exists(named, lambda n: (n["start"] == t["start"]) & (n["end"] == t["end"]))))
 
+def _iban(m: Column) -> Column:
+    """The longest run of leading groups that is valid; empty if there is none."""
+    groups = F.split(m["value"], " ")
+    heads = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+    return F.coalesce(F.get(F.filter(heads, lambda h: V.is_iban(F.replace(h, F.lit(" "), F.lit("")))), F.lit(0)), F.lit(""))
 
-def _infrastructure(text: Column) -> Column:
-    pattern = jvm(ASSIGNMENT)
-    keys = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    leaf = lambda k: F.lower(F.regexp_replace(F.element_at(F.split(k, r"\."), -1), "[$_-]", ""))
-    fits = F.transform(keys, lambda k: leaf(k).rlike(f"(?:{'|'.join(INFRASTRUCTURE_KEYS)})\\z"))
-    both = F.zip_with(spans(text, ASSIGNMENT, (3,), MEDIUM), fits, lambda s, f: F.struct(s.alias("s"), f.alias("f")))
-    good = F.filter(both, lambda b: b["f"] & b["s"]["value"].rlike(jvm(INFRASTRUCTURE_VALUE)))
-    return F.coalesce(F.transform(good, lambda b: b["s"]), no_spans())
 
+def _identity_header(value: Column) -> Column:
+    cells = F.transform(F.split(value, ",", -1), lambda c: F.lower(F.regexp_replace(F.trim(c), "^[\"']|[\"']\\z", "")))
+    hits = F.size(F.array_intersect(cells, F.array(*map(F.lit, IDENTITY_FIELDS))))
+    return F.when((F.size(cells) >= 3) & (hits >= 3), F.when(hits >= 4, MEDIUM).otherwise(LOW))
 
-def _iban(text: Column) -> Column:
-    """The longest run of leading groups that is valid."""
 
-    def cut(s: Column) -> Column:
-        groups = F.split(s["value"], " ")
-        heads = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
-        good = F.get(F.filter(heads, lambda h: V.is_iban(F.replace(h, F.lit(" "), F.lit("")))), F.lit(0))
-        return F.struct(s["start"].alias("start"), (s["start"] + F.length(good)).alias("end"), good.alias("value"), s["confidence"].alias("confidence"))
+def _line_with(context: str, gate: tuple[str, ...]) -> Pattern:
+    """A line, without its end, that the context is on."""
+    return Pattern(rf"(?<![^\n])[^\n]*(?:{context})[^\n]*", gate=gate)
 
-    return F.filter(F.transform(spans(text, IBAN), cut), lambda s: s["value"].isNotNull())
 
-
-def _csv_header(text: Column) -> Column:
-    lines = F.split(text, "\n", -1)
-
-    def step(done: Column, raw: Column) -> Column:
-        cells = F.transform(F.split(F.regexp_replace(raw, r"\r\z", ""), ",", -1), lambda c: F.lower(F.regexp_replace(F.trim(c), "^[\"']|[\"']\\z", "")))
-        hits = F.size(F.array_intersect(cells, F.array(*map(F.lit, IDENTITY_FIELDS))))
-        value = F.regexp_replace(raw, r"\s+\z", "")
-        span = F.struct(done["at"].alias("start"), (done["at"] + F.length(value)).alias("end"), value.alias("value"), F.when(hits >= 4, MEDIUM).otherwise(LOW).alias("confidence"))
-        out = F.when((F.size(cells) >= 3) & (hits >= 3), F.array_append(done["out"], span)).otherwise(done["out"])
-        return F.struct((done["at"] + F.length(raw) + 1).alias("at"), out.alias("out"))
-
-    folded = F.aggregate(lines, F.struct(F.lit(0).alias("at"), no_spans().alias("out")), step)["out"]
-    return F.coalesce(F.when(text.rlike(",[^\n]*,"), folded), no_spans())
+def _ranked_host(v: Column) -> Column:
+    return F.when(~V.is_ipv4(v) & V.is_internal_host(v), F.when(V.has_internal_label(v), HIGH).otherwise(MEDIUM))
 
 
 def registry(as_of: datetime.date | None = None) -> list[Detector]:
@@ -223,58 +215,90 @@ def registry(as_of: datetime.date | None = None) -> list[Detector]:
     year = (as_of or datetime.date.today()).year
     port = checked(lambda v: v.try_cast("int").isin(*PORTS), MEDIUM)
     account = checked(lambda v: v.rlike(r"^[A-Za-z][A-Za-z0-9._@-]{1,63}\z"), MEDIUM)
+    sin, ssn = checked(V.is_sin), checked(V.is_ssn)
+    postal = _line_with(POSTAL_CONTEXT, ("postal", "zip", "address", "street", "city", "location"))
+    zips = _line_with(ZIP_CONTEXT, ("zip", "postal", "address", "street", "city", "state"))
+    history = Pattern(HISTORY_LINE, gate=("#",))
     from . import names, paths
 
+    def rule(id_: str, name: str, category: str, severity: str, label: str, priority: int, explanation: str, *patterns: Pattern, mode: str = "balanced", **more) -> Detector:
+        return Detector(id_, name, category, severity, label, priority, patterns, mode, explanation=explanation, **more)
+
     return [
-        Detector("private-key", "Private key block", "secrets", "high", "PRIVATE_KEY", 97, found(PRIVATE_KEY)),
-        Detector("connection-string", "Connection string with credentials", "secrets", "high", "CONNECTION_STRING", 93, several(found(URL_CREDENTIAL), found(ADO_CONNECTION))),
-        Detector("payment-card", "Payment card number", "personal", "high", "CREDIT_CARD", 84, found(CARD, confidence=lambda v: F.when(V.is_card(v), F.when(v.rlike("[ -]"), HIGH).otherwise(MEDIUM)))),
-        Detector("bearer-token", "Bearer token", "secrets", "high", "TOKEN", 95, found(BEARER)),
-        Detector("api-key", "API key", "secrets", "high", "API_KEY", 90, several(found("|".join(f"(?:{p})" for p in API_KEYS)), *(found(p, (1,)) for p in SIGNATURES))),
-        Detector("jwt", "JSON web token", "secrets", "high", "JWT", 86, found(JWT)),
-        Detector("secure-string-literal", "SecureString literal", "secrets", "high", "SECRET", 88, found(SECURE_STRING, (1,))),
-        Detector("ad-dn", "AD distinguished name", "infrastructure", "medium", "AD_DN", 85, found(DISTINGUISHED_NAME)),
-        Detector("guid-identifier", "GUID identifier", "infrastructure", "medium", "GUID", 82, several(found(LABELED_GUID, (1,)), found(rf"\b{GUID}\b", confidence=LOW))),
-        Detector("secret-assignment", "Secret assignment", "secrets", "high", "SECRET", 80, found(SECRET_ASSIGNMENT, (1,), checked(lambda v: ~v.rlike(r"^(?:[$\[(<{@].*|[*•.x]+|(?i:true|false|null|none|prompt))\z")))),
-        Detector("internal-url", "Internal URL", "infrastructure", "medium", "INTERNAL_URL", 75, found(URL, confidence=checked(lambda v: V.is_internal_host(V.host_of(v))))),
-        Detector("unc-path", "UNC network path", "paths", "medium", "UNC_PATH", 73, found(UNC)),
-        Detector("windows-user-path", "Windows path", "paths", "low", "FILE_PATH", 72, paths.windows_paths),
-        Detector("unix-user-path", "Unix user path", "paths", "low", "FILE_PATH", 72, found(UNIX_PATH)),
-        Detector("email", "Email address / domain", "personal", "medium", "EMAIL", 70, _email),
-        Detector("ps-infrastructure-assignment", "Infrastructure assignment", "infrastructure", "medium", "INTERNAL_HOST", 74, _infrastructure),
-        Detector("ps-identity-param", "PowerShell identity parameter", "personal", "low", "USERNAME", 68, several(found(ACCOUNT_PARAMETER, (1, 2, 3), account), found(ACCOUNT_COMMAND, (1, 2, 3), account))),
-        Detector("ps-server-param", "PowerShell server parameter", "infrastructure", "medium", "INTERNAL_HOST", 68, found(SERVER_PARAMETER, (1,), MEDIUM)),
-        Detector("ipv6", "IPv6 address", "infrastructure", "medium", "IP_ADDRESS", 66, found(IPV6, confidence=lambda v: F.when(V.is_ipv6(v), F.when(v.isin("::", "::1"), LOW).otherwise(HIGH)))),
-        Detector("mac-address", "MAC address", "infrastructure", "medium", "MAC_ADDRESS", 66, found(MAC, confidence=checked(lambda v: ~F.upper(F.regexp_replace(v, "[:-]", "")).isin("0" * 12, "F" * 12)))),
-        Detector("ipv4", "IPv4 address", "infrastructure", "medium", "IP_ADDRESS", 65, _ipv4),
-        Detector("network-port", "Network port", "infrastructure", "low", "PORT", 35, several(found(HOST_PORT, (1,), port), found(LABELED_PORT, (1,), port))),
-        Detector("internal-hostname", "Internal hostname", "infrastructure", "medium", "INTERNAL_HOST", 60, _hostname),
-        Detector("ad-group-name", "AD group name", "directory", "medium", "AD_GROUP", 66, several(*(found(p, (2,)) for p in AD_GROUPS))),
-        Detector("ticket-id", "Ticket / issue ID", "infrastructure", "low", "TICKET_ID", 55, several(found(SERVICE_TICKET), found(ISSUE_KEY, confidence=checked(lambda v: ~F.substring_index(v, "-", 1).isin(*NO_ISSUE), MEDIUM)))),
-        Detector("username", "Username", "personal", "low", "USERNAME", 50, found(USERNAME, (1,), MEDIUM)),
-        Detector("person-name", "Person name", "personal", "medium", "NAME", 52, names.person_names, "strict"),
-        Detector("org-name", "Organization name", "personal", "medium", "ORG", 51, names.organization_names, "strict"),
-        Detector("canadian-sin", "Canadian SIN", "personal", "high", "SIN", 62, several(found(SIN_LABELED, (1,), checked(V.is_sin)), found(SIN_GROUPED, confidence=checked(V.is_sin, MEDIUM))), "strict"),
-        Detector("health-identifier", "Health identifier", "personal", "high", "HEALTH_ID", 61, found(HEALTH_ID, (1,), checked(lambda v: F.regexp_count(v, F.lit(r"\d")) >= 4)), "strict"),
-        Detector("phone-number", "Phone number", "personal", "medium", "PHONE", 57, found(PHONE, (1,)), "strict"),
-        Detector("date-of-birth", "Date of birth", "personal", "high", "DOB", 56, found(BIRTH_DATE, (1,), checked(lambda v: V.is_birth_date(v, year))), "strict"),
-        Detector("physical-address", "Physical address", "personal", "medium", "ADDRESS", 54, found(ADDRESS, (1,), MEDIUM), "strict"),
-        Detector("passport-number", "Passport number (labeled field)", "personal", "high", "PASSPORT", 60, found(PASSPORT, (1,), checked(lambda v: v.rlike("(?i)[A-Z]") & v.rlike(r"\d"))), "strict"),
-        Detector("iban", "IBAN", "personal", "high", "IBAN", 91, _iban, "pack"),
-        Detector("us-ssn", "US SSN", "personal", "high", "SSN", 63, several(found(SSN_LABELED, (1,), checked(V.is_ssn)), found(SSN_GROUPED, confidence=checked(V.is_ssn, MEDIUM))), "pack"),
-        Detector("us-aba-routing", "ABA routing number", "personal", "high", "ROUTING_NUMBER", 64, found(ABA, (1,), checked(V.is_aba)), "pack"),
-        Detector("us-itin", "ITIN", "personal", "high", "ITIN", 63, found(ITIN, (1,), checked(V.is_itin)), "pack"),
-        Detector("us-ein", "EIN", "personal", "high", "EIN", 62, found(EIN, (1,)), "pack"),
-        Detector("us-dea-number", "DEA number", "personal", "high", "DEA_NUMBER", 63, found(DEA, (1,), checked(V.is_dea)), "pack"),
-        Detector("ca-postal-code", "Canadian postal code", "personal", "medium", "POSTAL_CODE", 53, lambda t: by_line(t, POSTAL_CONTEXT, POSTAL_CODE, HIGH), "pack"),
-        Detector("us-zip", "US ZIP code", "personal", "low", "ZIP", 52, lambda t: by_line(t, ZIP_CONTEXT, ZIP, MEDIUM), "pack"),
-        Detector("workflow-artifact", "Workflow artifact", "workflow", "low", "WORKFLOW_FILE", 35, several(found(ARTIFACT, confidence=MEDIUM), found(CLIXML, confidence=MEDIUM)), "lead"),
-        Detector("directory-attribute", "Directory attribute", "directory", "low", "DIR_ATTRIBUTE", 34, several(found(DIRECTORY_ATTRIBUTE, confidence=LOW), found(DIRECTORY_WORD, confidence=LOW)), "lead"),
-        Detector("exchange-workflow", "Exchange workflow", "messaging", "low", "EXCHANGE_TERM", 33, several(found(EXCHANGE_TERM, confidence=LOW), found(EXCHANGE_SESSION, confidence=MEDIUM)), "lead"),
-        Detector("credential-workflow", "Credential workflow", "workflow", "low", "CRED_WORKFLOW", 32, found(CREDENTIAL_TERM, confidence=LOW), "lead"),
-        Detector("author-initials", "Author initials", "personal", "low", "INITIALS", 31, lambda t: F.filter(inside(t, HISTORY_LINE, INITIALS, LOW), lambda s: ~s["value"].isin(*NO_INITIALS)), "lead"),
-        Detector("header-metadata", "Header metadata", "workflow", "low", "HEADER_META", 36, several(found(HEADER_LINE, (1,), LOW), found(HELP_LINE, (1,), LOW)), "lead"),
-        Detector("csv-identity-header", "CSV identity header", "workflow", "low", "CSV_SCHEMA", 30, _csv_header, "lead"),
+        rule("private-key", "Private key block", "secrets", "high", "PRIVATE_KEY", 97, "A whole private key in text form.", Pattern(PRIVATE_KEY, gate=("private key",))),
+        rule("connection-string", "Connection string with credentials", "secrets", "high", "CONNECTION_STRING", 93, "An address or list of settings for a connection that has a password in it.",
+             Pattern(URL_CREDENTIAL, gate=("://",)), Pattern(ADO_CONNECTION, gate=("password", "pwd"))),
+        rule("payment-card", "Payment card number", "personal", "high", "CREDIT_CARD", 84, "Digits of a known card issuer with a valid check digit.",
+             Pattern(CARD, gate=r"\d", confidence=lambda v: F.when(V.is_card(v), F.when(v.rlike("[ -]"), HIGH).otherwise(MEDIUM)))),
+        rule("bearer-token", "Bearer token", "secrets", "high", "TOKEN", 95, "A token that grants access to whoever holds it.", Pattern(BEARER, gate=("bearer",))),
+        rule("api-key", "API key", "secrets", "high", "API_KEY", 90, "A key in the form of a known provider, or a signed address.",
+             Pattern("|".join(f"(?:{p})" for p in API_KEYS), gate=API_KEY_PARTS), Pattern("|".join(f"(?:{p})" for p in PLAIN_API_KEYS), gate=r"[0-9a-f]{32}|\d{8}:", number=True),
+             Pattern(SIGNATURES[0], (1,), gate=("sig=",)), Pattern(SIGNATURES[1], (1,), gate=("x-amz-signature=",))),
+        rule("jwt", "JSON web token", "secrets", "high", "JWT", 86, "A signed web token in three parts.", Pattern(JWT, gate=("eyj",))),
+        rule("secure-string-literal", "SecureString literal", "secrets", "high", "SECRET", 88, "A password written out where it is made secure.", Pattern(SECURE_STRING, (1,), gate=("convertto-securestring",))),
+        rule("ad-dn", "AD distinguished name", "infrastructure", "medium", "AD_DN", 85, "A directory object's full name, with the domain.", Pattern(DISTINGUISHED_NAME, gate=("dc=",))),
+        rule("guid-identifier", "GUID identifier", "infrastructure", "medium", "GUID", 82, "An identifier of a tenant, an application or another object.",
+             Pattern(LABELED_GUID, (1,), gate="[0-9A-Fa-f]-[0-9A-Fa-f]{4}-"), Pattern(rf"\b{GUID}\b", confidence=LOW, gate="[0-9A-Fa-f]-[0-9A-Fa-f]{4}-")),
+        rule("secret-assignment", "Secret assignment", "secrets", "high", "SECRET", 80, "A quoted value that is given to something named like a secret.",
+             Pattern(SECRET_ASSIGNMENT, (1,), checked(lambda v: ~v.rlike(r"^(?:[$\[(<{@].*|[*•.x]+|(?i:true|false|null|none|prompt))\z")), gate=("passw", "passphrase", "pwd", "userpass", "secret", "key", "token"))),
+        rule("internal-url", "Internal URL", "infrastructure", "medium", "INTERNAL_URL", 75, "An address of a host within an organization.", Pattern(URL, confidence=checked(lambda v: V.is_internal_host(V.host_of(v))), gate=("://",))),
+        rule("unc-path", "UNC network path", "paths", "medium", "UNC_PATH", 73, "A path on a file server.", Pattern(UNC, gate=("\\\\",))),
+        rule("windows-user-path", "Windows path", "paths", "low", "FILE_PATH", 72, "A path on a drive, which may show a user or a project.", paths.WINDOWS),
+        rule("unix-user-path", "Unix user path", "paths", "low", "FILE_PATH", 72, "A path below a user's home.", Pattern(UNIX_PATH, gate=("/home", "/users"))),
+        rule("email", "Email address / domain", "personal", "medium", "EMAIL", 70, "An address, or the mail domain of an organization.",
+             Pattern(rf"{EMAIL}|{EMAIL_FRAGMENT}{NO_ADDRESS}", gate=("@",)), Pattern(rf"{MAIL_DOMAIN}{NO_ADDRESS}", (1,), gate=("domain", "suffix"))),
+        rule("ps-infrastructure-assignment", "Infrastructure assignment", "infrastructure", "medium", "INTERNAL_HOST", 74, "A host or address that is given to something named like one.",
+             Pattern(ASSIGNMENT, (3,), MEDIUM, gate=r"""=\s*["']""", extra=1, test=_infrastructure)),
+        rule("ps-identity-param", "PowerShell identity parameter", "personal", "low", "USERNAME", 68, "An account that a command is called with.",
+             Pattern(ACCOUNT_PARAMETER, (1, 2, 3), account, gate=("-samaccountname", "-userprincipalname", "-username")), Pattern(ACCOUNT_COMMAND, (1, 2, 3), account, gate=("-identity",))),
+        rule("ps-server-param", "PowerShell server parameter", "infrastructure", "medium", "INTERNAL_HOST", 68, "A server that a command is called with.",
+             Pattern(SERVER_PARAMETER, (1,), MEDIUM, gate=("server", "-computername", "-domaincontroller"))),
+        rule("ipv6", "IPv6 address", "infrastructure", "medium", "IP_ADDRESS", 66, "A network address in the newer form.",
+             Pattern(IPV6, confidence=lambda v: F.when(V.is_ipv6(v), F.when(v.isin("::", "::1"), LOW).otherwise(HIGH)), gate="::|:[0-9A-Fa-f]+:")),
+        rule("mac-address", "MAC address", "infrastructure", "medium", "MAC_ADDRESS", 66, "The address of a network card.",
+             Pattern(MAC, confidence=checked(lambda v: ~F.upper(F.regexp_replace(v, "[:-]", "")).isin("0" * 12, "F" * 12)), gate="[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]")),
+        rule("ipv4", "IPv4 address", "infrastructure", "medium", "IP_ADDRESS", 65, "A network address.",
+             Pattern(IPV4, confidence=checked(lambda v: V.is_ipv4(v) & ~v.startswith("127.") & ~v.isin("0.0.0.0", "255.255.255.255")), gate=r"\d\.\d", test=no_version)),
+        rule("network-port", "Network port", "infrastructure", "low", "PORT", 35, "The port of a well-known service.",
+             Pattern(HOST_PORT, (1,), port, gate=r"[A-Za-z0-9]:\d"), Pattern(LABELED_PORT, (1,), port, gate=("port",), number=True)),
+        rule("internal-hostname", "Internal hostname", "infrastructure", "medium", "INTERNAL_HOST", 60, "A host within an organization, or its tenant.",
+             Pattern(HOSTNAME, confidence=_ranked_host, gate=r"[A-Za-z0-9]\.[A-Za-z0-9]"), Pattern(TENANT_HOST, confidence=checked(lambda v: ~v.rlike(rf"^{jvm(HOSTNAME)}\z")), gate=("onmicrosoft.com",))),
+        rule("ad-group-name", "AD group name", "directory", "medium", "AD_GROUP", 66, "A group that a command is called with.",
+             *(Pattern(p, (2,), gate=(g,)) for p, g in zip(AD_GROUPS, ("-adgroupmember", "-memberof", "new-adgroup"), strict=True))),
+        rule("ticket-id", "Ticket / issue ID", "infrastructure", "low", "TICKET_ID", 55, "The number of a ticket or issue.",
+             Pattern(SERVICE_TICKET, gate=r"[A-Z]\d{5}"), Pattern(ISSUE_KEY, confidence=checked(lambda v: ~F.substring_index(v, "-", 1).isin(*NO_ISSUE), MEDIUM), gate=r"[A-Z]-\d")),
+        rule("username", "Username", "personal", "low", "USERNAME", 50, "An account after a label.", Pattern(USERNAME, (1,), MEDIUM, gate=("user", "login", "logon", "account", "upn"))),
+        rule("person-name", "Person name", "personal", "medium", "NAME", 52, "What looks like a person's name after a label, a cue or a title, or in a table.", *names.PERSON_PATTERNS, mode="strict", special=names.PERSON_SPECIAL, tidy=True),
+        rule("org-name", "Organization name", "personal", "medium", "ORG", 51, "What looks like an organization's name after a label or by its last word, or in a table.", *names.ORGANIZATION_PATTERNS, mode="strict", special=names.ORGANIZATION_SPECIAL, tidy=True),
+        rule("canadian-sin", "Canadian SIN", "personal", "high", "SIN", 62, "A Canadian insurance number with a valid check digit.",
+             Pattern(SIN_LABELED, (1,), sin, gate=("sin", "insurance"), number=True), Pattern(SIN_GROUPED, confidence=checked(V.is_sin, MEDIUM), gate=r"\d[ -]\d{3}[ -]\d{3}"), mode="strict"),
+        rule("health-identifier", "Health identifier", "personal", "high", "HEALTH_ID", 61, "A number of a patient, record or health card.",
+             Pattern(HEALTH_ID, (1,), checked(lambda v: F.regexp_count(v, F.lit(r"\d")) >= 4), gate=("mrn", "record", "card", "hcn", "phn", "patient"), number=True), mode="strict"),
+        rule("phone-number", "Phone number", "personal", "medium", "PHONE", 57, "A telephone number after a label.", Pattern(PHONE, (1,), gate=("phone", "mobile", "cell", "tel", "fax"), number=True), mode="strict"),
+        rule("date-of-birth", "Date of birth", "personal", "high", "DOB", 56, "A birth date that exists.", Pattern(BIRTH_DATE, (1,), checked(lambda v: V.is_birth_date(v, year)), gate=("dob", "birth"), number=True), mode="strict"),
+        rule("physical-address", "Physical address", "personal", "medium", "ADDRESS", 54, "A street address after a label.", Pattern(ADDRESS, (1,), MEDIUM, gate=("address", "street"), number=True), mode="strict"),
+        rule("passport-number", "Passport number (labeled field)", "personal", "high", "PASSPORT", 60, "A number of a passport after a label.",
+             Pattern(PASSPORT, (1,), checked(lambda v: v.rlike("(?i)[A-Z]") & v.rlike(r"\d")), gate=("passport", "travel"), number=True), mode="strict"),
+        rule("iban", "IBAN", "personal", "high", "IBAN", 91, "A bank account number with valid length and checksum.", Pattern(IBAN, gate=r"[A-Za-z]{2}\d{2}", cut=_iban), mode="pack"),
+        rule("us-ssn", "US SSN", "personal", "high", "SSN", 63, "A US social security number that could have been given out.",
+             Pattern(SSN_LABELED, (1,), ssn, gate=("ssn", "soc"), number=True), Pattern(SSN_GROUPED, confidence=checked(V.is_ssn, MEDIUM), gate=r"\d-\d{2}-\d"), mode="pack"),
+        rule("us-aba-routing", "ABA routing number", "personal", "high", "ROUTING_NUMBER", 64, "A US bank's routing number with a valid checksum.", Pattern(ABA, (1,), checked(V.is_aba), gate=("aba", "routing"), number=True), mode="pack"),
+        rule("us-itin", "ITIN", "personal", "high", "ITIN", 63, "A US taxpayer number of a valid range.", Pattern(ITIN, (1,), checked(V.is_itin), gate=("itin", "taxpayer"), number=True), mode="pack"),
+        rule("us-ein", "EIN", "personal", "high", "EIN", 62, "A US employer's tax number after a label.", Pattern(EIN, (1,), gate=r"\d{2}-\d{7}"), mode="pack"),
+        rule("us-dea-number", "DEA number", "personal", "high", "DEA_NUMBER", 63, "A US prescriber's number with a valid checksum.", Pattern(DEA, (1,), checked(V.is_dea), gate=("dea",), number=True), mode="pack"),
+        rule("ca-postal-code", "Canadian postal code", "personal", "medium", "POSTAL_CODE", 53, "A Canadian postal code on a line about an address.", Pattern(POSTAL_CODE, within=postal), mode="pack"),
+        rule("us-zip", "US ZIP code", "personal", "low", "ZIP", 52, "A US postal code on a line about an address.", Pattern(ZIP, confidence=MEDIUM, within=zips), mode="pack"),
+        rule("workflow-artifact", "Workflow artifact", "workflow", "low", "WORKFLOW_FILE", 35, "A file that tells how work is done.",
+             Pattern(ARTIFACT, confidence=MEDIUM, gate=("cycle_state", "run_state", "last_run", "runstamp", "run_stamp", "audit", "snapshot")), Pattern(CLIXML, confidence=MEDIUM, gate=(".clixml",)), mode="lead"),
+        rule("directory-attribute", "Directory attribute", "directory", "low", "DIR_ATTRIBUTE", 34, "A directory field that a script uses.",
+             Pattern(DIRECTORY_ATTRIBUTE, confidence=LOW, gate=("name", "othertelephone", "otheripphone", "otherfacsimile", "pwdlastset", "proxyaddresses")), Pattern(DIRECTORY_WORD, confidence=LOW, gate=("mail", "enabled")), mode="lead"),
+        rule("exchange-workflow", "Exchange workflow", "messaging", "low", "EXCHANGE_TERM", 33, "A step of managing mailboxes.",
+             Pattern(EXCHANGE_TERM, confidence=LOW, gate=("get-recipient", "recipienttypedetails", "mailbox", "remoteroutingaddress", "import-pssession")), Pattern(EXCHANGE_SESSION, confidence=MEDIUM, gate=("new-pssession",)), mode="lead"),
+        rule("credential-workflow", "Credential workflow", "workflow", "low", "CRED_WORKFLOW", 32, "A step that stores or uses credentials.",
+             Pattern(CREDENTIAL_TERM, confidence=LOW, gate=("-clixml", "pscredential", "send-mailmessage", "smtpcredential", "defaultsmtpusername")), mode="lead"),
+        rule("author-initials", "Author initials", "personal", "low", "INITIALS", 31, "Initials in a comment on changes.", Pattern(INITIALS, confidence=checked(lambda v: ~v.isin(*NO_INITIALS), LOW), within=history), mode="lead"),
+        rule("header-metadata", "Header metadata", "workflow", "low", "HEADER_META", 36, "Who wrote or owns a script, by its header.", Pattern(HEADER_LINE, (1,), LOW, gate=("#",)), Pattern(HELP_LINE, (1,), LOW, gate=(".author", ".companyname")), mode="lead"),
+        rule("csv-identity-header", "CSV identity header", "workflow", "low", "CSV_SCHEMA", 30, "A header of a table of people.", Pattern(r"(?<![^\n])([^\n]*,[^\n]*,[^\n]*[^\s])", (1,), _identity_header, gate=(",",)), mode="lead"),
     ]
 
 

@@ -9,8 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.script import shifted
-from ..functions.spans import LOW, MEDIUM, jvm, no_spans, outside, spans
+from ..functions.spans import LOW, MEDIUM, SPAN, Pattern, as_spans, fold, jvm, let, matches, no_spans
 
 # Fixed values.
 FULL_NAME_LABELS = (
@@ -117,109 +116,131 @@ def looks_like_organization(value: Column) -> Column:
     return (F.size(words) <= 8) & value.rlike(r"\p{L}") & ~((F.size(words) == 1) & F.get(words, F.lit(0)).isin(*NO_ORGANIZATION)) & fits
 
 
-def _ends(found: Column, cut: Callable[[Column], Column]) -> Column:
-    """The spans with their values cut off at the end."""
-    made = F.transform(found, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(cut(s["value"]))).alias("end"), cut(s["value"]).alias("value"), s["confidence"].alias("confidence")))
-    return F.filter(made, lambda s: F.length(s["value"]) > 0)
+def _shaped(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A confidence: low where the value has the shape."""
+    return lambda v: F.when(test(v), F.lit(LOW))
 
 
-def labelled(text: Column, labels: str) -> Column:
-    """Values after a bare or quoted label and : or =, up to the line's end, a separator, or the next field."""
-    pattern = rf"""(?:"(?i:{labels})"|'(?i:{labels})'|\b(?i:{labels})\b)[ \t]*[:=][ \t]*(?:"[ \t]*([^"\r\n]+)"|'[ \t]*([^'\r\n]+)'|([^,;\r\n#]+))"""
-    found = _ends(spans(text, pattern, (1, 2, 3), LOW), lambda v: F.regexp_replace(v, r"[ \t]{2,}[A-Za-z][A-Za-z0-9 _-]{0,30}[ \t]*[:=].*|\s+\z", ""))
-    return F.filter(found, lambda s: ~s["value"].rlike(r"^[$\[(<*]"))
+def _full(v: Column) -> Column:
+    return looks_like_name(v, False)
+
+
+def _person(v: Column) -> Column:
+    return looks_like_name(v, True) | is_caseless(v)
+
 
+def _organization(v: Column) -> Column:
+    return looks_like_organization(v) | is_caseless(v)
 
-def _distinct(found: Column) -> Column:
-    """Each span once, none within a longer one, by start."""
-    within = lambda a, b: (a["start"] >= b["start"]) & (a["end"] <= b["end"])
-    step = lambda kept, s: F.when(F.exists(kept, lambda k: within(s, k)), kept).otherwise(F.array_append(F.filter(kept, lambda k: ~within(k, s)), s))
-    return F.array_sort(F.aggregate(found, no_spans(), step))
 
+def _field_end(v: Column) -> Column:
+    """A field's value without the next field of its line and blanks at the end."""
+    return F.regexp_replace(v, r"[ \t]{2,}[A-Za-z][A-Za-z0-9 _-]{0,30}[ \t]*[:=].*|\s+\z", "")
 
-def _named(found: Column, test: Callable[[Column], Column]) -> Column:
-    return F.filter(found, lambda s: test(s["value"]))
+
+def _undotted(v: Column) -> Column:
+    return F.regexp_replace(v, r"\.\z", "")
+
+
+def labelled(labels: str, test: Callable[[Column], Column], cut: Callable[[Column], Column] = _field_end) -> Pattern:
+    """Values after a bare or quoted label and : or =, up to the line's end, a separator, or the next field."""
+    pattern = rf"""(?:"(?i:{labels})"|'(?i:{labels})'|\b(?i:{labels})\b)[ \t]*[:=][ \t]*(?:"[ \t]*([^"\r\n]+)"|'[ \t]*([^'\r\n]+)'|([^,;\r\n#]+))"""
+    return Pattern(pattern, (1, 2, 3), _shaped(lambda v: ~v.rlike(r"^[$\[(<*]") & test(v)), gate="[:=]", cut=lambda m: cut(m["value"]))
 
 
 def email_matched(text: Column) -> Column:
     """Pairs of capitalised words that are first and last name, or initial and last name, of an email's local part."""
-    locals_ = F.transform(spans(text, EMAIL_LOCAL, (1,)), lambda s: F.lower(s["value"]))
-    keys = F.transform(locals_, lambda v: F.when(v.rlike(r"^[a-z]{2,}[._-][a-z]{2,}\z"), F.regexp_replace(v, "[._-]", " ")).when(v.rlike(r"^[a-z]{3,}\z"), F.concat(F.left(v, F.lit(1)), F.lit(" "), F.substring(v, F.lit(2), F.lit(64)))))
-    words = lambda s: F.split(F.lower(s["value"]), r"[ \t]+")
+    words = lambda m: F.split(F.lower(m["value"]), r"[ \t]+")
+
+    def key(v: Column) -> Column:
+        joined = F.regexp_replace(v, "[._-]", " ")
+        initial = F.concat(F.left(v, F.lit(1)), F.lit(" "), F.substring(v, F.lit(2), F.lit(64)))
+        return F.when(v.rlike(r"^[a-z]{2,}[._-][a-z]{2,}\z"), joined).when(v.rlike(r"^[a-z]{3,}\z"), initial)
 
-    def matched(s: Column, keys: Column) -> Column:
-        first, last = F.get(words(s), F.lit(0)), F.get(words(s), F.lit(1))
-        known = F.exists(keys, lambda k: (k == F.concat_ws(" ", first, last)) | (k == F.concat_ws(" ", F.left(first, F.lit(1)), last)))
-        return F.coalesce(known, F.lit(False)) & ~first.isin(*TECHNICAL_WORDS) & ~last.isin(*TECHNICAL_WORDS) & looks_like_name(s["value"], False)
+    def matched(m: Column, keys: Column) -> Column:
+        first, last = F.get(words(m), F.lit(0)), F.get(words(m), F.lit(1))
+        known = F.array_contains(keys, F.concat_ws(" ", first, last)) | F.array_contains(keys, F.concat_ws(" ", F.left(first, F.lit(1)), last))
+        own = F.coalesce(known, F.lit(False)) & ~first.isin(*TECHNICAL_WORDS) & ~last.isin(*TECHNICAL_WORDS)
+        return own & looks_like_name(m["value"], False) & ~m["before"].rlike(r"@[A-Za-z0-9.-]*\z")
 
-    pairs = outside(F.filter(spans(text, PAIR, confidence=MEDIUM), lambda s: matched(s, keys)), spans(text, EMAIL_LOCAL))
-    return F.coalesce(F.when(text.contains("@"), pairs), no_spans())
+    # A pair that runs into an address is a part of it.
+    pairs = matches(text, [Pattern(rf"{PAIR}(?![A-Za-z0-9._'-]*@[A-Za-z0-9])", confidence=MEDIUM, context=True)])
+    keys = F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(jvm(EMAIL_LOCAL)), F.lit(1)), lambda v: key(F.lower(v))))
+    found = let(keys, lambda k: F.when(F.size(k) > 0, as_spans(F.filter(pairs, lambda m: matched(m, k)))))
+    return F.coalesce(F.when(text.contains("@"), found), no_spans())
 
 
 def table_cells(text: Column, columns: tuple[str, ...], test: Callable[[Column], Column]) -> Column:
-    """Cells under the known columns of a header line, for the lines after it that have as many cells. The inside of quotes."""
-    cell = r"""(?:^|,)("(?:[^"]|"")*"|[^,]*)"""
+    """Cells under the known columns of a header line, for the lines after it up to a blank one, one that isn't well formed, or one
+    of another number of cells. Of a quoted cell the inside; doubled quotes count as one for the test."""
+    cell = r""",("[^"]*+(?:""[^"]*+)*+"(?=,|\z)|(?!")[^,]*+)"""
     known = F.array(*map(F.lit, (*PERSON_COLUMNS, *ORGANIZATION_COLUMNS)))
     empty = F.array().cast("array<string>")
+    quoted = lambda c: c.startswith('"')
+    inner = lambda c: F.when(quoted(c), F.substring(c, F.lit(2), F.length(c) - 2)).otherwise(F.trim(c))
 
-    def step(done: Column, raw: Column) -> Column:
-        line = F.regexp_replace(raw, r"\r\z", "")
-        cells = F.regexp_extract_all(line, F.lit(cell), F.lit(1))
-        keys = F.transform(cells, lambda c: F.lower(F.regexp_replace(c, r"""["' _-]""", "")))
-        header = (F.size(cells) >= 2) & F.forall(cells, lambda c: F.trim(c).rlike(r"""^"?[A-Za-z][A-Za-z0-9 _-]{0,39}"?\z""")) & F.arrays_overlap(keys, known)
-        row = (F.size(done["columns"]) > 0) & (F.size(cells) == F.size(done["columns"])) & ~header
-
+    def spans_of(cells: Column, keys: Column, at: Column) -> Column:
         def place(acc: Column, c: Column) -> Column:
-            inner = F.when(c.rlike(r'^".*"\z'), F.substring(c, F.lit(2), F.length(c) - 2)).otherwise(c)
-            value = F.trim(inner)
-            start = acc["at"] + F.instr(c, value) - 1
+            lead = F.when(quoted(c), F.lit(1)).otherwise(F.length(c) - F.length(F.ltrim(c)))
+            start, value = acc["at"] + lead, inner(c)
+            plain = F.trim(F.replace(value, F.lit('""'), F.lit('"')))
+            fits = F.get(keys, acc["i"]).isin(*columns) & (F.length(plain) > 0) & test(plain)
             span = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.lit(LOW).alias("confidence"))
-            fits = F.get(done["columns"], acc["i"]).isin(*columns) & (F.length(value) > 0) & test(value)
             return F.struct((acc["at"] + F.length(c) + 1).alias("at"), (acc["i"] + 1).alias("i"), F.when(fits, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-        here = F.aggregate(cells, F.struct(done["at"].alias("at"), F.lit(0).alias("i"), no_spans().alias("out")), place)["out"]
-        kept = F.when(header, keys).when(row, done["columns"]).otherwise(empty)
-        return F.struct((done["at"] + F.length(raw) + 1).alias("at"), kept.alias("columns"), F.when(row, F.concat(done["out"], here)).otherwise(done["out"]).alias("out"))
-
-    folded = F.aggregate(F.split(text, "\n", -1), F.struct(F.lit(0).alias("at"), empty.alias("columns"), no_spans().alias("out")), step)["out"]
-    starts = "|".join(sorted({r"""["' _-]*""".join(c[:4]) for c in columns}))  # with whatever the keys above leave out
-    hint = rf"(?im)^[^\n]*(?:{starts})[^\n]*,|,[^\n]*(?:{starts})"
-    return F.coalesce(F.when(text.contains(",") & text.rlike(hint), folded), no_spans())
-
+        return F.aggregate(cells, F.struct(at.alias("at"), F.lit(0).alias("i"), no_spans().alias("out")), place)["out"]
+
+    def read(raw: Column) -> Column:
+        line = F.regexp_replace(raw, r"[\r\n]+\z", "")
+        found = F.when(line.contains(","), F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(cell), F.lit(1)))
+        whole = F.aggregate(found, F.lit(-1), lambda n, c: n + F.length(c) + 1) == F.length(line)
+        return F.struct(F.when(whole, found).otherwise(empty).alias("cells"), F.length(raw).alias("n"))
+
+    def step(done: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        cells = x["cells"]
+        keys = F.transform(cells, lambda c: F.lower(F.regexp_replace(F.trim(inner(c)), "[ _-]", "")))
+        row = (F.size(done["columns"]) > 0) & (F.size(cells) == F.size(done["columns"]))
+        header = (F.size(cells) >= 2) & F.forall(cells, lambda c: F.trim(inner(c)).rlike(r"^[A-Za-z][A-Za-z0-9 _-]{0,39}\z")) & F.arrays_overlap(keys, known)
+        kept = F.when(row, done["columns"]).when(header, keys).otherwise(empty)
+        return {"at": done["at"] + x["n"], "columns": kept}, F.when(row, spans_of(cells, done["columns"], done["at"])).otherwise(no_spans())
+
+    lines = F.transform(F.regexp_extract_all(text, F.lit(r"[^\r\n]*+(?:\r\n|\n|\r|\z)"), F.lit(0)), read)
+    folded = fold(lines, {"at": F.lit(0), "columns": empty}, step, SPAN)["out"]
+    # A line of nothing but what headers are made of, with a comma: only then can there be a header.
+    header_like = r"""(?<![^\r\n])[A-Za-z0-9 _"\t-]*+,[A-Za-z0-9 _",\t-]*+(?=[\r\n]|\z)"""
+    return F.coalesce(F.when(text.contains(",") & text.rlike(header_like), folded), no_spans())
+
+
+#: A line that speaks of names; parameters like -Name don't count.
+ABOUT_NAMES = Pattern(
+    rf"(?<![^\n])[^\n]*(?:{NAME_LINE})[^\n]*", gate=("name", "person", "people", "contact", "owner", "manager", "author"),
+    test=lambda m: F.regexp_replace(m["value"], r"(?:^|[ \t])-\w+", " ").rlike(jvm(NAME_LINE)),
+)
+PERSON_PATTERNS = (
+    labelled(FULL_NAME_LABELS, lambda v: _full(v) | is_caseless(v)), labelled(SINGLE_NAME_LABELS, _person), Pattern(BYLINE, (1,), _shaped(_full), gate=("#",)),
+    Pattern(PROSE, (1,), LOW), Pattern(TITLED, (1,), LOW, gate=("dr", "mr", "ms", "mx", "prof", "rev")), Pattern(SIGNATURE, (1,), _shaped(_full), gate=("regards", "thank", "sincerely", "cheers", "respectfully")),
+    Pattern(QUOTED, (1, 2), _shaped(lambda v: looks_like_name(v, True)), within=ABOUT_NAMES),
+)
+PERSON_SPECIAL = (email_matched, lambda text: table_cells(text, PERSON_COLUMNS, _person))
+ORGANIZATION_PATTERNS = (
+    labelled(ORGANIZATION_LABELS, _organization, lambda v: _undotted(_field_end(v))), Pattern(COMMENT_ORGANIZATION, (1,), _shaped(looks_like_organization), gate=("#",)),
+    Pattern(COPYRIGHT, (1,), _shaped(looks_like_organization), gate=("copyright",), cut=lambda m: _undotted(m["value"])),
+    Pattern(SUFFIXED, (1,), _shaped(looks_like_organization), gate=tuple(w.lower() for w in STRONG_SUFFIXES.split("|"))),
+)
+ORGANIZATION_SPECIAL = (lambda text: table_cells(text, ORGANIZATION_COLUMNS, _organization),)
 
-def quoted_names(text: Column) -> Column:
-    """Quoted names on lines that speak of names; parameters like -Name don't count."""
-    lines = F.split(text, "\n", -1)
 
-    def step(done: Column, raw: Column) -> Column:
-        about = F.regexp_replace(raw, r"(?:^|[ \t])-\w+", " ").rlike(jvm(NAME_LINE))
-        here = F.when(about, _named(spans(raw, QUOTED, (1, 2), LOW), lambda v: looks_like_name(v, True))).otherwise(no_spans())
-        return F.struct((done["at"] + F.length(raw) + 1).alias("at"), F.concat(done["out"], shifted(here, done["at"])).alias("out"))
+def _of_rule(rule_id: str, text: Column) -> Column:
+    from .detectors import registry
 
-    folded = F.aggregate(lines, F.struct(F.lit(0).alias("at"), no_spans().alias("out")), step)["out"]
-    return F.coalesce(F.when(text.rlike(jvm(NAME_LINE)) & text.rlike("[\"']"), folded), no_spans())
+    return next(d for d in registry() if d.id == rule_id).detect(text)
 
 
 def person_names(text: Column) -> Column:
-    person = lambda v: looks_like_name(v, True) | is_caseless(v)
-    full = lambda v: looks_like_name(v, False)
-    return _distinct(
-        F.concat(
-            _named(labelled(text, FULL_NAME_LABELS), lambda v: full(v) | is_caseless(v)), _named(labelled(text, SINGLE_NAME_LABELS), person),
-            _named(spans(text, BYLINE, (1,), LOW), full), spans(text, PROSE, (1,), LOW), spans(text, TITLED, (1,), LOW), _named(spans(text, SIGNATURE, (1,), LOW), full),
-            quoted_names(text), email_matched(text), table_cells(text, PERSON_COLUMNS, person),
-        )
-    )
+    """array<SPAN>: each once, none within a longer one."""
+    return _of_rule("person-name", text)
 
 
 def organization_names(text: Column) -> Column:
-    undotted = lambda found: _ends(found, lambda v: F.regexp_replace(v, r"\.\z", ""))
-    shaped = lambda v: looks_like_organization(v) | is_caseless(v)
-    return _distinct(
-        F.concat(
-            _named(undotted(labelled(text, ORGANIZATION_LABELS)), shaped), _named(spans(text, COMMENT_ORGANIZATION, (1,), LOW), looks_like_organization),
-            _named(undotted(spans(text, COPYRIGHT, (1,), LOW)), looks_like_organization), _named(spans(text, SUFFIXED, (1,), LOW), looks_like_organization),
-            table_cells(text, ORGANIZATION_COLUMNS, shaped),
-        )
-    )
-
+    """array<SPAN>: each once, none within a longer one."""
+    return _of_rule("org-name", text)

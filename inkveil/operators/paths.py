@@ -5,23 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.spans import HIGH, jvm, spans
+from ..functions.spans import Pattern, jvm
 
 # Fixed values.
-START = r"\b[A-Za-z]:\\"
+START = r"\b(?=([A-Za-z]:\\[^\r\n]*))[A-Za-z]:\\"
 EXTENSION = r"(?i)^.*?\.(?:ps1|psm1|psd1|txt|csv|log|json|xml|ini|config|conf|yaml|yml|exe|msi|dll|zip|bat|cmd)\b(?=[ \t,)\]}]|\z)"
 CONTEXT = r"""(?i)\b(?:source|destination|target|input|output|path|file|folder|directory|root|script|profile|install|log)(?:[ _-]?(?:path|file|folder|directory))?\b[ \t]*[:=][ \t]*["']?\z"""
 
 
-def windows_paths(text: Column) -> Column:
-    def whole(s: Column) -> Column:
-        before = F.regexp_extract(F.substring(text, F.lit(1), s["start"]), r"[^\n]*\z", 0)
-        rest = F.regexp_extract(F.substring(text, s["start"] + 1, F.length(text)), r"^[^\r\n]*", 0)
-        quote = F.right(before, F.lit(1))
-        bare = F.regexp_replace(F.regexp_extract(rest, r"""^[^"'<>|?*;]*""", 0), r"[ \t]+\$[A-Za-z_][A-Za-z0-9_]*[ \t]*=.*|[ \t]+\z", "")
-        named = F.regexp_extract(bare, jvm(EXTENSION), 0)
-        ended = F.when(~bare.rlike(r"[ \t]"), bare).when(named != "", named).when(before.rlike(jvm(CONTEXT)), bare).otherwise(F.regexp_extract(bare, r"^[^ \t]*", 0))
-        value = F.when(quote == '"', F.substring_index(rest, '"', 1)).when(quote == "'", F.substring_index(rest, "'", 1)).otherwise(F.regexp_replace(ended, r"[ \t,)\]}]+\z", ""))
-        return F.struct(s["start"].alias("start"), (s["start"] + F.length(value)).alias("end"), value.alias("value"), F.lit(HIGH).alias("confidence"))
+def whole(m: Column) -> Column:
+    """The path that begins with the match; extra is the rest of its line. Labels count within what a match knows of its line."""
+    before, rest = F.regexp_extract(m["before"], r"[^\n]*\z", 0), m["extra"]
+    quote = F.right(before, F.lit(1))
+    bare = F.regexp_replace(F.regexp_extract(rest, r"""^[^"'<>|?*;]*""", 0), r"[ \t]+\$[A-Za-z_][A-Za-z0-9_]*[ \t]*=.*|[ \t]+\z", "")
+    named = F.regexp_extract(bare, jvm(EXTENSION), 0)
+    ended = F.when(~bare.rlike(r"[ \t]"), bare).when(named != "", named).when(before.rlike(jvm(CONTEXT)), bare).otherwise(F.regexp_extract(bare, r"^[^ \t]*", 0))
+    return F.when(quote == '"', F.substring_index(rest, '"', 1)).when(quote == "'", F.substring_index(rest, "'", 1)).otherwise(F.regexp_replace(ended, r"[ \t,)\]}]+\z", ""))
 
-    return F.filter(F.transform(spans(text, START), whole), lambda s: F.length(s["value"]) > 3)
+
+WINDOWS = Pattern(START, cut=whole, gate=(":\\",), extra=1, test=lambda m: F.length(m["value"]) > 3)

@@ -1,28 +1,30 @@
-"""Scanning: candidates of the active rules, protected ranges, greedy resolution, numbering, findings.
+"""Scanning: matches of the active rules, protected ranges, greedy resolution, numbering, findings.
 
 One pass over each document and no shuffle: everything of a document is in arrays of its row, so the same transform serves
-batches and streams. Text columns stay as they are; offsets count code points.
+batches and streams. Text columns stay as they are; offsets count code points. All steps after the matches sort and fold, so their
+work grows with the matches (n log n), and with the square only of those that overlap each other without a break.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.script import QUOTED, string_literals, switch_patterns
-from ..functions.spans import no_spans, once, overlap, spans
+from ..functions.script import QUOTED, SWITCH_CASES, string_literals
+from ..functions.spans import MATCH, Pattern, as_spans, fold, hits_sql, let, matches, matches_of, no_spans, once, overlap
 from .detectors import Detector, registry
 
 DEFAULT_TEMPLATE = "[{TYPE}_{INDEX}]"
 
 # Strings that hold search patterns of a script, and so stay untouched.
 PROTECTED = (
-    rf"(?i)(?:-replace|-match|-notmatch)\s+{QUOTED}",
-    rf"(?i)\bSelect-String\b[^\r\n;|]*?-Pattern\s+{QUOTED}",
-    rf"(?i)\[regex\]::(?:Match|Matches|Replace)\s*\(\s*[^,\r\n]+,\s*{QUOTED}",
+    Pattern(rf"(?i)(?:-replace|-match|-notmatch)\s+{QUOTED}", (1,), gate=("-replace", "-match", "-notmatch")),
+    Pattern(rf"(?i)\bSelect-String\b[^\r\n;|]*?-Pattern\s+{QUOTED}", (1,), gate=("select-string",)),
+    Pattern(rf"(?i)\[regex\]::(?:Match|Matches|Replace)\s*\(\s*[^,\r\n]+,\s*{QUOTED}", (1,), gate=("[regex]::",)),
+    SWITCH_CASES,
 )
 
 
@@ -45,7 +47,7 @@ def active_detectors(options: ScanOptions) -> list[Detector]:
 
 
 def protected_ranges(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.concat(*(spans(text, p, (1,)) for p in PROTECTED), switch_patterns(text))))
+    return F.array_distinct(as_spans(matches(text, PROTECTED)))
 
 
 def render(template: Column | str, label: Column, index: Column) -> Column:
@@ -53,77 +55,174 @@ def render(template: Column | str, label: Column, index: Column) -> Column:
     return F.replace(F.replace(template, F.lit("{TYPE}"), label), F.lit("{INDEX}"), index.cast("string"))
 
 
-def candidates(text: Column, detectors: Sequence[Detector], template: str, literals: Column | None = None) -> Column:
-    """All matches, in order of rule and emission, with what resolution and numbering need. literals: spans of string literals,
-    for rules that have replacements."""
-    literals = no_spans() if literals is None else literals
-
-    def of(d: Detector) -> Column:
-        norm = d.normalize or (lambda v: v)
-        return F.transform(
-            d.detect(text),
-            lambda s: F.struct(
-                F.lit(d.id).alias("detector_id"), F.lit(d.priority).alias("priority"), F.lit(d.label).alias("label"), F.lit(d.name).alias("name"),
-                F.lit(d.category).alias("category"), F.lit(d.severity).alias("severity"), F.lit(d.review_lead).alias("review_lead"),
-                F.lit(d.template or template).alias("template"), norm(s["value"]).alias("norm"),
-                s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["confidence"].alias("confidence"),
-                (d.replacement(text, literals, s) if d.replacement else F.lit(None)).cast("string").alias("replacement"),
-            ),
-        )
+@dataclass(frozen=True)
+class _Plan:
+    """The patterns of all rules, protected ones last, and the rule of each number; special functions have numbers after those."""
+
+    rules: Sequence[Detector]
+    patterns: tuple[Pattern, ...]
+    special: tuple[Callable[[Column], Column], ...]
+    rule_of: tuple[int, ...]
+
+    @staticmethod
+    def of(rules: Sequence[Detector]) -> _Plan:
+        patterns = [(i, p) for i, d in enumerate(rules) for p in d.patterns] + [(-1, p) for p in PROTECTED]
+        special = [(i, s) for i, d in enumerate(rules) for s in d.special]
+        return _Plan(rules, tuple(p for _, p in patterns), tuple(s for _, s in special), tuple(i for i, _ in (*patterns, *special)))
+
+    def found(self, text: str, hits: str) -> Column:
+        def numbered(spans: Column, number: int) -> Column:
+            none = F.lit(None).cast("string")
+            return F.transform(spans, lambda s: F.struct(F.lit(number).alias("p"), *(s[n].alias(n) for n in ("start", "end", "value")), *(none.alias(n) for n in ("before", "after", "extra")), s["confidence"].alias("confidence")))
+
+        made = [numbered(s(F.col(text)), len(self.patterns) + i) for i, s in enumerate(self.special)]
+        return F.concat(matches_of(F.col(hits), self.patterns), *(m.cast(f"array<{MATCH}>") for m in made))
+
+
+def _numbers(values: Sequence[int]) -> Column:
+    return F.expr(f"array({','.join(str(int(v)) for v in values)})").cast("array<int>")
+
+
+def _words(values: Sequence[str]) -> Column:
+    return F.split(F.lit("\u0001".join(values)), "\u0001")
+
+
+def _greedy(cluster: Column) -> Column:
+    """The cluster's candidates that no better kept one overlaps."""
+    ranked = F.array_sort(F.transform(cluster, lambda x: F.struct((-x["c"]["priority"]).alias("a"), (-x["c"]["confidence"]).alias("b"), (x["c"]["start"] - x["c"]["end"]).alias("d"), x["c"]["start"].alias("s"), x["i"].alias("i"), x["c"].alias("c"))))
+    none = F.filter(F.transform(ranked, lambda r: r["c"]), lambda _: F.lit(False))
+    kept = F.aggregate(ranked, none, lambda acc, r: F.when(F.exists(acc, lambda k: overlap(k, r["c"])), acc).otherwise(F.array_append(acc, r["c"])))
+    return F.transform(F.array_sort(F.transform(kept, lambda k: F.struct(k["start"].alias("at"), k.alias("k")))), lambda o: o["k"])
+
+
+def resolve(found: Column, tidy: Callable[[Column], Column] | None = None, shield: Callable[[Column], Column] | None = None) -> Column:
+    """Greedy: by priority, confidence and length (all descending), start and order; kept if no kept one overlaps. By start.
+
+    found: an array of structs with priority, confidence, start and end. tidy: whether a candidate goes if another of its rule
+    (field rule) is longer and holds it, or is the same span and comes earlier. shield: whether it is a protected range, which is
+    not kept itself, and nothing that overlaps it is. Only candidates that touch each other, directly or through others, are
+    compared."""
+
+    def gone(a: Column, b: Column) -> Column:
+        same = (a["at"] == b["at"]) & (a["until"] == b["until"])
+        holds = (b["at"] <= a["at"]) & (b["until"] >= a["until"])
+        return tidy(b["c"]) & (a["c"]["rule"] == b["c"]["rule"]) & holds & (~same | (b["i"] < a["i"]))
 
-    return F.concat(*(of(d) for d in detectors))
+    def best(cluster: Column) -> Column:
+        if shield is None:
+            return _greedy(cluster)
+        return _greedy(F.filter(cluster, lambda a: ~shield(a["c"]) & ~F.exists(cluster, lambda b: shield(b["c"]) & overlap(a["c"], b["c"]))))
 
+    def longest(cluster: Column) -> Column:
+        return F.filter(cluster, lambda a: ~tidy(a["c"]) | ~F.exists(cluster, lambda b: gone(a, b))) if tidy else cluster
 
-def resolve(found: Column) -> Column:
-    """Greedy: by priority, confidence and length (all descending), start and order; kept if no kept one overlaps. By start."""
-    ranked = F.array_sort(F.transform(found, lambda c, i: F.struct((-c["priority"]).alias("a"), (-c["confidence"]).alias("b"), (c["start"] - c["end"]).alias("c"), c["start"].alias("d"), i.alias("e"), c.alias("candidate"))))
-    none = F.filter(F.transform(ranked, lambda r: r["candidate"]), lambda _: F.lit(False))
-    kept = F.aggregate(ranked, none, lambda acc, r: F.when(F.exists(acc, lambda k: overlap(k, r["candidate"])), acc).otherwise(F.array_append(acc, r["candidate"])))
-    ordered = F.array_sort(F.transform(kept, lambda k: F.struct(k["start"].alias("at"), k.alias("k"))))
-    return F.transform(ordered, lambda o: o["k"])
+    def swept(placed: Column) -> Column:
+        nothing = F.slice(F.array(placed), 1, 0)
 
+        def step(done: Column, x: Column) -> tuple[dict[str, Column], Column]:
+            apart = x["at"] >= done["end"]
+            changed = {"end": F.greatest(done["end"], x["until"]), "open": F.when(apart, F.array(x)).otherwise(F.concat(done["open"], F.array(x)))}
+            return changed, F.when(apart & (F.size(done["open"]) > 0), F.array(done["open"])).otherwise(nothing)
 
-def numbered(resolved: Column) -> Column:
-    """Adds the first place of each one's value, and from it the number within its label. Pass a column made by once()."""
-    key = lambda c: F.concat_ws("\u0000", c["template"], c["label"], c["norm"])
-    return F.transform(resolved, lambda c: F.struct(c.alias("c"), F.array_min(F.transform(F.filter(resolved, lambda o: key(o) == key(c)), lambda o: o["start"])).alias("first")))
+        return let(fold(placed, {"end": F.lit(-1), "open": F.slice(placed, 1, 0)}, step, nothing), lambda s: F.concat(s["out"], F.array(s["open"])))
 
+    placed = F.array_sort(F.transform(found, lambda c, i: F.struct(c["start"].alias("at"), c["end"].alias("until"), i.alias("i"), c.alias("c"))))
+    one = lambda cl: F.transform(cl, lambda x: x["c"])
+    kept = F.flatten(F.transform(let(placed, swept), lambda cl: F.when(F.size(cl) > 1, let(longest(cl), best)).otherwise(one(cl))))
+    return F.filter(kept, lambda c: ~shield(c)) if shield else kept
 
-def findings_of(firsts: Column) -> Column:
-    """The findings from numbered(), in document order. Pass a column made by once()."""
-    words = F.array(F.lit("low"), F.lit("medium"), F.lit("high"))
 
-    def finding(n: Column, i: Column) -> Column:
-        c = n["c"]
-        earlier = F.filter(firsts, lambda o: (o["c"]["label"] == c["label"]) & (o["first"] <= n["first"]))
-        index = F.size(F.array_distinct(F.transform(earlier, lambda o: o["first"])))
+def indexes(keys: Column) -> Column:
+    """Of an array of struct<label, key>, the number of each within its label, by first occurrence of its key."""
+    place = lambda k, i: F.struct(k["label"].alias("label"), k["key"].alias("key"), i.alias("i"))
+    first = "struct<label:string,first:int,i:int>"
+
+    def run(done: Column, k: Column) -> tuple[dict[str, Column], Column]:
+        again = done["label"].eqNullSafe(k["label"]) & done["key"].eqNullSafe(k["key"])
+        at = F.when(again, done["first"]).otherwise(k["i"])
+        return {"label": k["label"], "key": k["key"], "first": at}, F.array(F.struct(k["label"].alias("label"), at.alias("first"), k["i"].alias("i")))
+
+    def count(done: Column, k: Column) -> tuple[dict[str, Column], Column]:
+        within = done["label"].eqNullSafe(k["label"])
+        n = F.when(~within, F.lit(1)).when(done["first"] == k["first"], done["n"]).otherwise(done["n"] + 1)
+        return {"label": k["label"], "first": k["first"], "n": n}, F.array(F.struct(k["i"].alias("i"), n.alias("n")))
+
+    none = F.lit(None).cast("string")
+    firsts = fold(F.array_sort(F.transform(keys, place)), {"label": none, "key": none, "first": F.lit(-1)}, run, first)["out"]
+    counted = fold(F.array_sort(firsts), {"label": none, "first": F.lit(-1), "n": F.lit(0)}, count, "struct<i:int,n:int>")["out"]
+    return F.transform(F.array_sort(counted), lambda x: x["n"])
+
+
+_CANDIDATE = "struct<rule:int,priority:int,p:int,start:int,end:int,value:string,before:string,after:string,confidence:int>"
+
+
+def _candidates(found: Column, plan: _Plan) -> Column:
+    rule_of, priority = _numbers(plan.rule_of), _numbers([d.priority for d in plan.rules] + [1000])
+    numbered = F.transform(found, lambda m: F.struct(F.get(rule_of, m["p"]).alias("rule"), m.alias("m")))
+    made = F.transform(numbered, lambda x: F.struct(x["rule"].alias("rule"), F.get(priority, F.when(x["rule"] < 0, len(plan.rules)).otherwise(x["rule"])).alias("priority"), *(x["m"][n].alias(n) for n in ("p", "start", "end", "value", "before", "after", "confidence"))))
+    return F.array_sort(F.transform(made, lambda c: F.struct(c["rule"].alias("rule"), c["p"].alias("p"), c["start"].alias("at"), c.alias("c")))).cast(f"array<struct<rule:int,p:int,at:int,c:{_CANDIDATE}>>")
+
+
+def _by_rule(c: Column, rules: Sequence[Detector], of: Callable[[Detector], Column | None], otherwise: Column) -> Column:
+    made = otherwise
+    for i, d in enumerate(rules):
+        value = of(d)
+        if value is not None:
+            made = F.when(c["rule"] == i, value).otherwise(made)
+    return made
+
+
+def _findings(kept: Column, numbers: Column, rules: Sequence[Detector], template: str, literals: Column) -> Column:
+    """The findings, in document order, from kept candidates and their numbers."""
+    ranks = F.array(F.lit("low"), F.lit("medium"), F.lit("high"))
+    fields = ("id", "name", "category", "severity", "explanation", "label")
+    about = {n: _words([getattr(d, n) for d in rules]) for n in fields}
+    about["template"] = _words([d.template or template for d in rules])
+    lead = _numbers([d.review_lead for d in rules]).cast("array<boolean>")
+
+    def finding(c: Column, i: Column) -> Column:
+        of = lambda n: F.get(about[n], c["rule"])
+        replacement = _by_rule(c, rules, lambda d: d.replacement(literals, c) if d.replacement else None, F.lit(None).cast("string"))
+        is_lead = F.get(lead, c["rule"])
         return F.struct(
-            F.concat_ws("-", c["detector_id"], i.cast("string"), c["start"].cast("string")).alias("id"), c["detector_id"].alias("detector_id"), c["name"].alias("name"),
-            c["category"].alias("category"), c["severity"].alias("severity"), F.element_at(words, c["confidence"]).alias("confidence"),
-            c["label"].alias("label"), c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"),
-            render(c["template"], c["label"], index).alias("placeholder"), c["replacement"].alias("replacement"),
-            c["review_lead"].alias("review_lead"), (~c["review_lead"]).alias("enabled"),
+            F.concat_ws("-", of("id"), i.cast("string"), c["start"].cast("string")).alias("id"), of("id").alias("detector_id"), of("name").alias("name"), of("category").alias("category"),
+            of("severity").alias("severity"), F.element_at(ranks, c["confidence"]).alias("confidence"), of("explanation").alias("explanation"), of("label").alias("label"),
+            c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), render(of("template"), of("label"), F.get(numbers, i)).alias("placeholder"),
+            replacement.alias("replacement"), is_lead.alias("review_lead"), (~is_lead).alias("enabled"),
         )
 
-    return F.transform(firsts, finding)
+    return F.transform(kept, finding)
+
+
+def _keys(kept: Column, rules: Sequence[Detector], template: str) -> Column:
+    label, form = _words([d.label for d in rules]), _words([d.template or template for d in rules])
+    norm = lambda c: _by_rule(c, rules, lambda d: d.normalize(c["value"]) if d.normalize else None, c["value"])
+    return F.transform(kept, lambda c: F.struct(F.get(label, c["rule"]).alias("label"), F.concat_ws("\u0000", F.get(form, c["rule"]), norm(c)).alias("key")))
 
 
 def scan(df: DataFrame, text_col: str = "text", options: ScanOptions | None = None) -> DataFrame:
-    """df with findings, an array in document order."""
+    """df with findings, an array in document order. A column of that name is replaced; a null text is empty."""
     options = options or ScanOptions()
-    names = [f"_scan_{x}" for x in ("text", "ranges", "literals", "found", "kept", "firsts")]
-    text, ranges, literals, found, kept, firsts = names
+    names = [f"_scan_{x}" for x in ("text", "low", "hits", "found", "literals", "kept", "numbers")]
+    text, low, hits, found, literals, kept, numbers = names
     rules = active_detectors(options)
-    out = df.drop("findings").withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
+    plan = _Plan.of(rules)
+    tidied = [i for i, d in enumerate(rules) if d.tidy]
+    tidy = (lambda c: c["rule"].isin(*tidied)) if tidied else None
+    out = once(df.drop("findings"), **{text: F.coalesce(F.col(text_col), F.lit(""))})
+    out = once(out, **{low: F.lower(F.col(text))})
+    out = once(out, **{hits: F.expr(hits_sql(text, low, plan.patterns))})
+    out = once(out, **{found: _candidates(plan.found(text, hits), plan)})
+    resolved = resolve(F.transform(F.col(found), lambda x: x["c"]), tidy, lambda c: c["rule"] < 0)
+    out = once(out, **{kept: F.when(F.size(found) > 0, resolved).otherwise(F.array().cast(f"array<{_CANDIDATE}>"))})
     quoted = string_literals(F.col(text)) if any(d.replacement for d in rules) else no_spans()
-    out = once(out, **{ranges: protected_ranges(F.col(text)), literals: quoted})
-    out = once(out, **{found: candidates(F.col(text), rules, options.template, F.col(literals))})
-    free = F.filter(F.col(found), lambda c: ~F.exists(F.col(ranges), lambda r: overlap(c, r)))
-    out = once(out, **{kept: resolve(free)})
-    out = once(out, **{firsts: numbered(F.col(kept))})
-    return once(out, findings=findings_of(F.col(firsts))).drop(*names)
+    out = once(out, **{literals: F.when(F.size(kept) > 0, quoted).otherwise(no_spans()), numbers: F.when(F.size(kept) > 0, indexes(_keys(F.col(kept), rules, options.template))).otherwise(F.array().cast("array<int>"))})
+    return once(out, findings=_findings(F.col(kept), F.col(numbers), rules, options.template, F.col(literals))).drop(*names)
 
 
 def finding_rows(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """A row for each finding, with its place in the document."""
     return scanned.select(id_col, F.posexplode("findings").alias("pos", "f")).select(id_col, "pos", "f.*")
+
+
+__all__ = ["ScanOptions", "finding_rows", "indexes", "protected_ranges", "resolve", "scan"]

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.script import code_replacement
-from ..functions.spans import HIGH, MEDIUM, spans
+from ..functions.spans import MEDIUM, Pattern, as_spans, matches
 from .detectors import Detector
 from .render import placeholder_label, template_problem
 
@@ -90,9 +90,9 @@ def _valid_template(template: str | None) -> str:
 
 def terms_detector(terms: Sequence[str], case_sensitive: bool = False, inside_words: bool = False, label: str | None = None, template: str | None = None, name: str = "Custom term to hide") -> Detector:
     """One rule for a list of terms; spellings of a term share a placeholder."""
-    patterns = [term_pattern(t, case_sensitive, inside_words) for t in terms]
-    detect = lambda text: F.concat(*(spans(text, p) for p in patterns)) if patterns else spans(text, "(?!)")
-    return Detector("private-term", name, "personal", "high", placeholder_label(label), TERM_PRIORITY, detect, template=_valid_template(template), normalize=lambda v: canonical(v, case_sensitive))
+    patterns = tuple(Pattern(term_pattern(t, case_sensitive, inside_words)) for t in terms)
+    explanation = "A word or phrase from a list of terms to hide."
+    return Detector("private-term", name, "personal", "high", placeholder_label(label), TERM_PRIORITY, patterns, explanation=explanation, template=_valid_template(template), normalize=lambda v: canonical(v, case_sensitive))
 
 
 @dataclass(frozen=True)
@@ -153,16 +153,18 @@ def _mapped(entry: MappingEntry, name: str, label: str, template: str) -> Detect
     body = rf"(?<![\p{{L}}\p{{N}}_]){body}(?![\p{{L}}\p{{N}}_])" if entry.match_mode == "word" else body
     pattern = body if entry.match_mode == "literal" else f"(?iu){body}"
 
-    def replacement(text: Column, literals: Column, span: Column) -> Column:
-        made = code_replacement(text, literals, span, entry.replacement)
+    def replacement(literals: Column, m: Column) -> Column:
+        made = code_replacement(literals, m, entry.replacement)
         return F.coalesce(made, F.lit(entry.replacement)) if entry.strategy == "genericize" else made
 
     replaced = replacement if entry.replacement and entry.strategy in ("code-only", "genericize") else None
     mode = "lead" if entry.strategy == "review-lead" else "balanced"
-    return Detector("cloak-mapping", name, ENTRY_CATEGORIES.get(entry.category_label, "organization"), entry.severity, label, TERM_PRIORITY, lambda text: spans(text, pattern, confidence=HIGH), mode, template, F.lower, replaced)
+    patterns = (Pattern(pattern, context=replaced is not None),)
+    explanation = f"A term with an entry of its own ({entry.category_label})."
+    return Detector("term-mapping", name, ENTRY_CATEGORIES.get(entry.category_label, "organization"), entry.severity, label, TERM_PRIORITY, patterns, mode, template, F.lower, replaced, explanation)
 
 
-def mapping_detectors(entries: Iterable[MappingEntry], name: str = "Cloak mapping", label: str | None = None, template: str | None = None) -> tuple[Detector, ...]:
+def mapping_detectors(entries: Iterable[MappingEntry], name: str = "Term mapping", label: str | None = None, template: str | None = None) -> tuple[Detector, ...]:
     """A rule for each usable entry; they share id, label and numbering."""
     return tuple(_mapped(e, name, placeholder_label(label), _valid_template(template)) for e in usable_mappings(entries))
 
@@ -210,18 +212,19 @@ def field_pattern(rule: FieldRule) -> str:
     return rf"(?<![A-Za-z0-9_])(?i:{labels})[ \t]*[:=][ \t]*+(?:{value})"
 
 
-def _field_spans(rule: FieldRule, text: Column, fits) -> Column:
+def _field(rule: FieldRule, fits) -> Pattern:
     groups = (1, 2, 3) if rule.value_type == "text" else (1,)
-    return spans(text, field_pattern(rule), groups, lambda v: F.when(fits(F.length(v)), F.lit(MEDIUM)))
+    return Pattern(field_pattern(rule), groups, lambda v: F.when(fits(F.length(v)), F.lit(MEDIUM)), gate="[:=]")
 
 
 def skipped_values(rule: FieldRule, text: Column) -> Column:
     """array<SPAN>: the values that are longer than the rule's maximum; these stay as they are, whole."""
-    return _field_spans(rule, text, lambda n: n > rule.max_length)
+    return as_spans(matches(text, [_field(rule, lambda n: n > rule.max_length)]))
 
 
 def field_detector(pack_id: str, rule: FieldRule) -> Detector:
-    return Detector(f"custom:{pack_id}:{rule.id}", rule.name, rule.category, rule.severity, rule.placeholder_label, FIELD_PRIORITY, lambda text: _field_spans(rule, text, lambda n: n <= rule.max_length))
+    pattern = _field(rule, lambda n: n <= rule.max_length)
+    return Detector(f"custom:{pack_id}:{rule.id}", rule.name, rule.category, rule.severity, rule.placeholder_label, FIELD_PRIORITY, (pattern,), explanation="A value after a label of your own.")
 
 
 @dataclass(frozen=True)

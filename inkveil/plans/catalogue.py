@@ -29,7 +29,7 @@ def _findings(spark: SparkSession, sf_dir: str, *ids: str) -> DataFrame:
 _SQL_SPANS = """
 {name}_m AS (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM documents),
 {name}_e AS (SELECT doc_id, unnest(generate_series(1, len(m))) AS i, m, g FROM {name}_m WHERE len(m) > 0),
-{name}_s AS (SELECT doc_id, m[i] AS m, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::INT AS at FROM {name}_e)"""
+{name}_s AS (SELECT doc_id, m[i] AS m, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::INT AS place FROM {name}_e)"""
 _LUHN = """(list_sum(list_transform(generate_series(1, length(d)), lambda i:
   CASE WHEN (length(d) - i) % 2 = 0 THEN substr(d, i, 1)::INT
        WHEN substr(d, i, 1)::INT > 4 THEN 2 * substr(d, i, 1)::INT - 9 ELSE 2 * substr(d, i, 1)::INT END)) % 10 = 0)"""
@@ -51,11 +51,11 @@ SQL_FINDINGS = (
     + f""",
 card_d AS (SELECT *, regexp_replace(m, '[ -]', '', 'g') AS d FROM card_s),
 f AS (
-  SELECT doc_id, 'email' AS detector_id, 'EMAIL' AS label, 'personal' AS category, 'medium' AS severity, at AS start, m AS value FROM email_s
-  UNION ALL SELECT doc_id, 'ipv4', 'IP_ADDRESS', 'infrastructure', 'medium', at, m FROM ip_s
+  SELECT doc_id, 'email' AS detector_id, 'EMAIL' AS label, 'personal' AS category, 'medium' AS severity, place AS start, m AS value FROM email_s
+  UNION ALL SELECT doc_id, 'ipv4', 'IP_ADDRESS', 'infrastructure', 'medium', place, m FROM ip_s
     WHERE len(list_filter(string_split(m, '.'), lambda o: o::INT > 255 OR (length(o) > 1 AND o[1] = '0'))) = 0 AND m NOT LIKE '127.%' AND m NOT IN ('0.0.0.0', '255.255.255.255')
-  UNION ALL SELECT doc_id, 'payment-card', 'CREDIT_CARD', 'personal', 'high', at, m FROM card_d WHERE {_ISSUER} AND {_LUHN}
-  UNION ALL SELECT doc_id, 'secret-assignment', 'SECRET', 'secrets', 'high', (at + strpos(m, '"'))::INT, m[strpos(m, '"') + 1 : -2] FROM secret_s),
+  UNION ALL SELECT doc_id, 'payment-card', 'CREDIT_CARD', 'personal', 'high', place, m FROM card_d WHERE {_ISSUER} AND {_LUHN}
+  UNION ALL SELECT doc_id, 'secret-assignment', 'SECRET', 'secrets', 'high', (place + strpos(m, '"'))::INT, m[strpos(m, '"') + 1 : -2] FROM secret_s),
 n AS (
   SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS pos, min(start) OVER (PARTITION BY doc_id, label, value) AS first FROM f),
 p AS (
@@ -323,7 +323,7 @@ o AS (SELECT doc_id, n, coalesce(text, '') AS source, coalesce(head, '') || subs
         "q_acronyms": SQL_FINDINGS
         + "".join(_SQL_SPANS.format(name="acr", pattern=r"\b[A-Z]{2,6}\b").join((",", "")))
         + f""" SELECT a.doc_id, a.m AS text, count(*) AS count FROM acr_s a
-  WHERE a.m NOT IN ({', '.join(repr(x) for x in candidates.NO_ACRONYMS)}) AND NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = a.doc_id AND p.start < a.at + length(a.m) AND a.at < p."end")
+  WHERE a.m NOT IN ({', '.join(repr(x) for x in candidates.NO_ACRONYMS)}) AND NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = a.doc_id AND p.start < a.place + length(a.m) AND a.place < p."end")
   GROUP BY a.doc_id, a.m""",
         "q_names": _values([(c[0], c[2]) for c in PEOPLE], "doc_id, value"),
         "q_organizations": _values([(c[0], c[2]) for c in COMPANIES], "doc_id, value"),
