@@ -30,10 +30,13 @@ CHUNK_BYTES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary folder on a local master,
+    whose executors are the driver itself, and a folder in the warehouse on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inkveil-"))
+        local = spark.sparkContext.master.startswith("local")
+        found = tempfile.mkdtemp(prefix="inkveil-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/inkveil-work"
+        spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 

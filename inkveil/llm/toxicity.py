@@ -10,9 +10,10 @@ expected severity is the sum of these probabilities over k, from 0 to GRADES.
 The label tells only whether a text is toxic. For learning, a toxic text's grade is 1 up to GRADES by how many features of
 strong association it has (one, up to three, up to six, more), so severity follows the amount of abuse.
 
-It learns on at most LEARN_ROWS labelled rows that aren't held out; scoring reads every whole text.
+It learns on at most LEARN_ROWS labelled ids that aren't held out, one row each; scoring reads every whole text.
 
-Defined cases: null and empty texts have no features; without labels of both kinds every severity is 0; repeated rows score
+Defined cases: of conflicting labels of an id the greatest counts; rows with a null id are scored but teach nothing; very long texts
+are features like any other; null and empty texts have no features; without labels of both kinds every severity is 0; repeated rows score
 alike; an empty table gives an empty table; columns named as an added one are replaced.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _IS_WORD, Words, fresh, pieces
+from .common import _IS_WORD, Words, fresh, pieces, written
 from .labelled import learning_rows
 
 SPACE, HEAD = 1 << 18, 4
@@ -63,6 +64,22 @@ def exceed(model: Model, text: np.ndarray, place: np.ndarray, value: np.ndarray,
     return _sigmoid(score[:, None] - model["thresholds"])
 
 
+def loss(weights: np.ndarray, thresholds: np.ndarray, text: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean negative log likelihood of the grades with the penalty, and its gradients by weights and thresholds."""
+    n = len(grade)
+    score = np.bincount(text, weights[place] * value, n)
+    p = _sigmoid(score[:, None] - thresholds)
+    upper = np.concatenate([np.ones((n, 1)), p], axis=1)[np.arange(n), grade]
+    lower = np.concatenate([p, np.zeros((n, 1))], axis=1)[np.arange(n), grade]
+    mass = np.maximum(upper - lower, 1e-9)
+    d_score = -(1 - upper - lower) / n
+    d_weights = np.bincount(place, d_score[text] * value, len(weights)) + PENALTY * weights
+    d_thresholds = np.zeros(GRADES)
+    np.add.at(d_thresholds, grade[grade > 0] - 1, (upper * (1 - upper) / mass)[grade > 0] / n)
+    np.add.at(d_thresholds, grade[grade < GRADES], -(lower * (1 - lower) / mass)[grade < GRADES] / n)
+    return float(-np.log(mass).mean() + PENALTY / 2 * (weights**2).sum()), d_weights, d_thresholds
+
+
 def fit(text: np.ndarray, place: np.ndarray, value: np.ndarray, toxic: np.ndarray) -> Model | None:
     n, positive = len(toxic), int(toxic.sum())
     if positive in (0, n):
@@ -80,16 +97,7 @@ def fit(text: np.ndarray, place: np.ndarray, value: np.ndarray, toxic: np.ndarra
     weights, thresholds = np.zeros(len(listed)), np.linspace(2, 2 + GRADES, GRADES)
     state = [np.zeros_like(x) for x in (weights, weights, thresholds, thresholds)]
     for step in range(1, STEPS + 1):
-        score = np.bincount(text, weights[place] * value, n)
-        p = _sigmoid(score[:, None] - thresholds)
-        upper = np.concatenate([np.ones((n, 1)), p], axis=1)[np.arange(n), grade]
-        lower = np.concatenate([p, np.zeros((n, 1))], axis=1)[np.arange(n), grade]
-        mass = np.maximum(upper - lower, 1e-9)
-        d_score = -(1 - upper - lower) / n
-        d_weights = np.bincount(place, d_score[text] * value, len(listed)) + PENALTY * weights
-        d_thresholds = np.zeros(GRADES)
-        np.add.at(d_thresholds, grade[grade > 0] - 1, (upper * (1 - upper) / mass)[grade > 0] / n)
-        np.add.at(d_thresholds, grade[grade < GRADES], -(lower * (1 - lower) / mass)[grade < GRADES] / n)
+        _, d_weights, d_thresholds = loss(weights, thresholds, text, place, value, grade)
         for i, (x, g) in enumerate(((weights, d_weights), (thresholds, d_thresholds))):
             state[2 * i] = 0.9 * state[2 * i] + 0.1 * g
             state[2 * i + 1] = 0.99 * state[2 * i + 1] + 0.01 * g * g
@@ -100,21 +108,52 @@ def fit(text: np.ndarray, place: np.ndarray, value: np.ndarray, toxic: np.ndarra
     return {"weights": full, "thresholds": thresholds}
 
 
+def _packed(texts: pa.Array, kept: np.ndarray | None = None) -> list[bytes]:
+    """The places and values of each text's features, or of those that are kept, as bytes."""
+    text, place, value = features(texts)
+    if kept is not None:
+        some = kept[place]
+        text, place, value = text[some], place[some], value[some]
+    both = np.stack([place.astype(np.float64), value], axis=1)
+    cut = np.searchsorted(text, np.arange(len(texts) + 1))
+    return [both[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def selected(rows: DataFrame) -> DataFrame:
+    """(place) of the features that take part, by how many learning rows of each label have them: counted and chosen by Spark."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, place, _ = features(batch.column("text"))
+            toxic = batch.column("label").to_numpy(zero_copy_only=False)[text] > 0
+            listed, where = np.unique(place, return_inverse=True)
+            made = [listed, np.bincount(where, minlength=len(listed)), np.bincount(where[toxic], minlength=len(listed))]
+            yield pa.record_batch([pa.array(x.astype(np.int64)) for x in made], ["place", "seen", "toxic"])
+
+    n, positive = rows.agg(F.count(F.lit(1)), F.count_if(F.col("label") > 0)).first()
+    each = rows.mapInArrow(counted, "place bigint, seen bigint, toxic bigint").groupBy("place").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
+    odds = F.log((F.col("toxic") + 0.1) / (positive + 0.2)) - F.log((F.col("seen") - F.col("toxic") + 0.1) / (n - positive + 0.2))
+    return each.filter((F.col("seen") >= SEEN) & (F.abs(odds) >= ODDS)).select("place")
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """Only the features that take part come to the driver: at most SPACE places, and of at most LEARN_ROWS rows what they have of these."""
+    rows = written(learning_rows(docs, labels, label, LEARN_ROWS, id_col, text_col), "toxicity-rows")
+    kept = np.zeros(SPACE, bool)
+    kept[selected(rows).toPandas()["place"].to_numpy(np.int64)] = True
+    shared = docs.sparkSession.sparkContext.broadcast(kept)
+
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, place, value = features(batch.column("text"))
-            cut = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            lists = [[pa.array(x[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)] for x in (place, value)]
-            made = [pa.array([x.to_pylist() for x in lists[0]], pa.list_(pa.int64())), pa.array([x.to_pylist() for x in lists[1]], pa.list_(pa.float64()))]
-            yield pa.record_batch([batch.column("id").cast(pa.string()), batch.column("label"), *made], ["id", "label", "places", "amounts"])
-
-    rows = learning_rows(docs, labels, label, LEARN_ROWS, id_col, text_col).mapInArrow(sparse, "id string, label int, places array<bigint>, amounts array<double>").toPandas()
-    rows = rows.assign(n=rows["places"].map(len)).sort_values(["id", "label", "n"], kind="stable")
-    if not len(rows):
+            yield pa.record_batch([batch.column("id").cast(pa.string()), batch.column("label"), pa.array(_packed(batch.column("text"), shared.value), pa.binary())], ["id", "label", "features"])
+
+    found = rows.mapInArrow(sparse, "id string, label int, features binary").toPandas().sort_values(["id", "label"], kind="stable")
+    if not len(found):
         return None
-    text = np.repeat(np.arange(len(rows)), rows["n"])
-    return fit(text, np.concatenate([np.asarray(x, np.int64) for x in rows["places"]]), np.concatenate([np.asarray(x, float) for x in rows["amounts"]]), rows["label"].to_numpy(float))
+    parts = [np.frombuffer(x).reshape(-1, 2) for x in found["features"]]
+    every = np.concatenate(parts)
+    text = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    return fit(text, every[:, 0].astype(np.int64), every[:, 1], found["label"].to_numpy(float))
 
 
 def score_toxicity(df: DataFrame, model: Model | None, text_col: str = "text", keep_text: bool = True) -> DataFrame:

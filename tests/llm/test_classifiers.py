@@ -91,3 +91,43 @@ def test_gradients():
 def test_features():
     text, place, value = X.features(pa.array(["Bad, bad! day", None, "", "bad"]))
     assert set(text) == {0, 3} and np.isclose(value.max(), np.log(3)) and place[text == 3][0] in place[text == 0]
+
+
+def test_ordinal_gradients():
+    dice = np.random.default_rng(3)
+    n, features = 30, 12
+    text, place = np.repeat(np.arange(n), 4), dice.integers(0, features, 4 * n)
+    value, grade = dice.random(4 * n), dice.integers(0, X.GRADES + 1, n)
+    weights, thresholds = dice.standard_normal(features), np.array([-1.0, 0.1, 0.7, 1.5])
+    _, by_weight, by_threshold = X.loss(weights, thresholds, text, place, value, grade)
+    for x, slope in ((weights, by_weight), (thresholds, by_threshold)):
+        for i in range(len(x)):
+            both = []
+            for by in (1e-6, -1e-6):
+                x[i] += by
+                both.append(X.loss(weights, thresholds, text, place, value, grade)[0])
+                x[i] -= by
+            assert slope[i] == pytest.approx((both[0] - both[1]) / 2e-6, rel=1e-3, abs=1e-6)
+
+
+def test_a_repeated_id_teaches_once(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c"), (2, "c"), (None, "d")], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (3, 1)], "doc_id long, toxic int")
+    from inkveil.llm.labelled import learning_rows
+
+    held = {k for k in (1, 2) if zlib.crc32(str(k).encode()) % 4 == 2}
+    got = sorted(map(tuple, learning_rows(docs, marks, "toxic", 10).collect()))
+    assert got == [r for r in [(1, 1, ""), (2, 0, "c")] if r[0] not in held]
+
+
+def test_very_long_texts_go_through_in_slices(monkeypatch):
+    dice = np.random.default_rng(5)
+    bags = [dice.integers(0, 256, (n, Q.CHUNK), dtype=np.uint8) for n in (1, 9)]
+    y = np.array([0.0, 1.0])
+    monkeypatch.setattr(Q, "LEAST_STEPS", 1)
+    model = {k: v.astype(np.float64) for k, v in Q.fit(bags, y).items()}
+    whole = Q._gradients(model, bags, y)
+    monkeypatch.setattr(Q, "SLICE", 2)
+    monkeypatch.setattr(Q, "HELD", 4)
+    for name, g in Q._gradients(model, bags, y).items():
+        assert np.allclose(g, whole[name])
