@@ -3,27 +3,42 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import fold, let
+
 # Fixed values.
 PRESETS = {"indexed": "[{TYPE}_{INDEX}]", "unnumbered": "[{TYPE}]", "uniform": "[REDACTED]"}
 TEMPLATE_CHARACTERS = r"[A-Za-z0-9 _\-\[\]{}()<>#:.]*"
 DOT = "•"
 
 
-def clean_text(text: Column, findings: Column) -> Column:
-    """text with the placeholders of enabled findings; one that starts before the last one's end is skipped."""
-    active = F.array_sort(F.transform(F.filter(findings, lambda f: f["enabled"]), lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), f["placeholder"].alias("placeholder"))))
+def _spliced(text: Column, found: Column, between: Callable[[Column], Column], shown: Callable[[Column, Column], Column], kind: str) -> Column:
+    """array<kind>: `between` of the text outside the spans, and `shown` of each span and its own text; both give arrays. A span that
+    starts before the last one's end is skipped. What is left of the text is cut once a block, so the work grows with the text."""
+
+    def cut(done: Column, start: Column, end: Column) -> Column:
+        return F.substring(done["rest"], start - done["base"] + 1, end - start)
 
-    def step(done: Column, f: Column) -> Column:
-        added = F.concat(done["out"], F.substring(text, done["at"] + 1, f["start"] - done["at"]), f["placeholder"])
+    def step(done: Column, f: Column) -> tuple[dict[str, Column], Column]:
         skip = f["start"] < done["at"]
-        return F.struct(F.when(skip, done["at"]).otherwise(f["end"]).alias("at"), F.when(skip, done["out"]).otherwise(added).alias("out"))
+        made = F.concat(between(cut(done, done["at"], f["start"])), shown(f, cut(done, f["start"], f["end"])))
+        return {"at": F.when(skip, done["at"]).otherwise(f["end"])}, F.when(skip, F.array().cast(f"array<{kind}>")).otherwise(made)
+
+    def at_block(done: Column, _: Column) -> dict[str, Column]:
+        return {"base": done["at"], "rest": F.substring(done["rest"], done["at"] - done["base"] + 1, F.length(done["rest"]))}
 
-    finish = lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text)))
-    return F.aggregate(active, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, finish)
+    folded = fold(found, {"at": F.lit(0), "base": F.lit(0), "rest": text}, step, kind, at_block)
+    return let(folded, lambda d: F.concat(d["out"], between(F.substring(d["rest"], d["at"] - d["base"] + 1, F.length(d["rest"])))))
+
+
+def clean_text(text: Column, findings: Column) -> Column:
+    """text with the placeholders of enabled findings; one that starts before the last one's end is skipped."""
+    active = F.array_sort(F.transform(F.filter(findings, lambda f: f["enabled"]), lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), f["placeholder"].alias("placeholder"))))
+    return F.when(F.size(findings) == 0, text).otherwise(F.array_join(_spliced(text, active, F.array, lambda f, _: F.array(f["placeholder"]), "string"), ""))
 
 
 def with_field(f: Column, **values: Column) -> Column:
@@ -65,18 +80,13 @@ def segments(text: Column, findings: Column, preview: bool = False) -> Column:
     plain = lambda t: F.struct(t.alias("text"), F.lit("plain").alias("kind"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("boolean").alias("enabled"))
     some = lambda t: F.when(F.length(t) > 0, F.array(plain(t))).otherwise(F.array().cast(kind))
 
-    def step(done: Column, f: Column) -> Column:
-        own = F.substring(text, f["start"] + 1, f["end"] - f["start"])
+    def shown(f: Column, own: Column) -> Column:
         if preview:
-            shown = F.when(f["enabled"], F.struct(f["placeholder"].alias("text"), F.lit("placeholder").alias("kind"), f["category"].alias("category"), F.lit(None).cast("boolean").alias("enabled"))).otherwise(plain(own))
-        else:
-            shown = F.struct(own.alias("text"), F.lit("match").alias("kind"), f["category"].alias("category"), f["enabled"].alias("enabled"))
-        out = F.concat(done["out"], some(F.substring(text, done["at"] + 1, f["start"] - done["at"])), F.array(shown))
-        skip = f["start"] < done["at"]
-        return F.struct(F.when(skip, done["at"]).otherwise(f["end"]).alias("at"), F.when(skip, done["out"]).otherwise(out).alias("out"))
+            placed = F.struct(f["placeholder"].alias("text"), F.lit("placeholder").alias("kind"), f["category"].alias("category"), F.lit(None).cast("boolean").alias("enabled"))
+            return F.array(F.when(f["enabled"], placed).otherwise(plain(own)))
+        return F.array(F.struct(own.alias("text"), F.lit("match").alias("kind"), f["category"].alias("category"), f["enabled"].alias("enabled")))
 
-    finish = lambda d: F.concat(d["out"], some(F.substring(text, d["at"] + 1, F.length(text))))
-    return F.aggregate(findings, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, finish)
+    return _spliced(text, findings, some, shown, kind[6:-1])
 
 
 def segment_rows(df: DataFrame, segments_col: str, id_col: str = "doc_id") -> DataFrame:

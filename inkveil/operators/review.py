@@ -1,12 +1,17 @@
-"""Review analytics over findings: groups, aggregates, readiness, code warnings, mapping suggestions, corpus tallies."""
+"""Review analytics over findings: groups, sections, aggregates, readiness, summaries, code warnings, mapping suggestions, corpus
+tallies."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.spans import jvm, overlap, spans
+from .terms import REPLACEMENT, MappingEntry
 
 _RANK = {"high": 3, "medium": 2, "low": 1}
 MAX_WARNINGS, SNIPPET_RADIUS = 25, 30
@@ -38,6 +43,20 @@ SHAPES = (
 )
 
 
+#: The order of sections.
+SECTIONS = ("secrets", "infrastructure", "personal", "paths", "organization", "code", "directory", "messaging", "workflow")
+
+# Texts for people.
+SUMMARY_COUNTS = (("Rules with findings", "detector_count"), ("Findings", "finding_count"), ("Replaced", "replacement_count"), ("Kept", "kept_count"), ("Review leads", "review_lead_count"))
+SUMMARY_END = ("Only counts are given here, no text and no values.", "A scan can miss things: have a person read the cleaned file.")
+CHECKLIST = (
+    ("People and organizations", ("No names, initials or accounts of real people", "No names of employers, clients, teams or sites")),
+    ("Infrastructure", ("No real domains, hosts or servers", "No internal addresses or network paths", "No file paths that show who uses them")),
+    ("Code", ("Comments tell nothing about where it comes from", "Names of variables and functions are generic", "Sample data is made up", "No credentials of any kind")),
+    ("At the end", ("The file still runs or parses", "You have read all of it", "Someone who knows the source has seen it")),
+)
+
+
 def severity_rank(severity: Column) -> Column:
     return F.coalesce(*(F.when(severity == k, F.lit(v)) for k, v in _RANK.items()))
 
@@ -88,6 +107,49 @@ def tally(rows: DataFrame, profile: str | None = None) -> DataFrame:
     return made if profile is None else made.withColumn("profile", F.lit(profile))
 
 
+def scan_summary(scanned: DataFrame, rules: int) -> DataFrame:
+    """One row for a corpus: documents, documents without findings, rules, findings, and replacements."""
+    f = F.col("findings")
+    return scanned.agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.size(f) == 0).alias("documents_without_findings"), F.lit(rules).alias("rules"),
+        F.coalesce(F.sum(F.size(f)), F.lit(0)).alias("findings"), F.coalesce(F.sum(_count(f, lambda x: x["enabled"])), F.lit(0)).alias("replacements"),
+    )
+
+
+def category_sections(groups: DataFrame, id_col: str = "doc_id", leads: bool = True) -> DataFrame:
+    """(id, section, category, groups, findings): the groups of a document by category, in the order of sections; with or without
+    those of review leads."""
+    shown = groups if leads else groups.filter(~F.col("review_lead"))
+    section = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("category")).cast("int")
+    return shown.groupBy(id_col, "category").agg(F.count(F.lit(1)).alias("groups"), F.sum("count").alias("findings")).select(id_col, section.alias("section"), "category", "groups", "findings")
+
+
+def findings_summary(counted: DataFrame, mode: str = "safe-share", version: str = "1") -> DataFrame:
+    """counted, from export_aggregates and readiness, with summary: a text of counts only, nothing from the source."""
+
+    def lines(counts: str) -> Column:
+        """By count, then by name."""
+        rows = F.transform(F.map_entries(counts), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("key")))
+        made = F.transform(F.array_sort(rows), lambda r: F.concat(F.lit("  "), r["key"], F.lit(": "), (-r["n"]).cast("string")))
+        return F.when(F.size(made) == 0, F.array(F.lit("  none"))).otherwise(made)
+
+    tone = lambda t: F.size(F.filter("readiness.items", lambda i: i["tone"] == t)).cast("string")
+    line = lambda label, value: F.array(F.concat(F.lit(f"{label}: "), value.cast("string") if isinstance(value, Column) else F.lit(value)))
+    text = lambda *rows: F.array(*map(F.lit, rows))
+    parts = F.concat(
+        text("Findings summary", "================", ""), line("Version", version), line("Output mode", mode), text(""),
+        *(line(label, F.col(name)) for label, name in SUMMARY_COUNTS), text("", "By category:"), lines("counts_by_category"), text("", "By severity:"), lines("counts_by_severity"),
+        text(""), line("Status", F.concat(F.col("readiness.status"), F.lit(", warnings "), tone("warn"), F.lit(", notes "), tone("info"))), text("", *SUMMARY_END, ""),
+    )
+    return counted.withColumn("summary", F.array_join(parts, "\n"))
+
+
+def review_checklist() -> str:
+    """A fixed list for a person's own review; it takes nothing from a scan."""
+    sections = "\n\n".join(f"## {title}\n\n" + "\n".join(f"- [ ] {x}" for x in items) for title, items in CHECKLIST)
+    return f"# Review by hand\n\nA scan is a first pass. Go through this list before you share the cleaned file.\n\n{sections}\n"
+
+
 def code_warnings(text: Column) -> Column:
     """array<struct<line, snippet, reason>>: an earlier pattern claims its span; by place, at most MAX_WARNINGS by claim."""
     kind = "array<struct<start:int,end:int,reason:string>>"
@@ -111,26 +173,48 @@ def _with_reason(found: Column, reason: str) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(reason).alias("reason")))
 
 
-def readiness(scanned: DataFrame, warnings: Column | None = None) -> DataFrame:
-    """scanned with readiness: status and the open items (kind, count, tone)."""
+def readiness(scanned: DataFrame, warnings: Column | None = None, candidates: Column | None = None, mode: str = "safe-share") -> DataFrame:
+    """scanned with readiness: status, the open items (kind, count, message, tone), and how many findings have a replacement.
+
+    warnings: the array of code warnings; candidates: how many suggested terms that aren't generic are open."""
     f = F.col("findings")
     kept = F.filter(f, lambda x: ~x["enabled"] & ~x["review_lead"])
+    of = lambda *levels: _count(kept, lambda x: x["severity"].isin(*levels))
+    breakdown = F.array_join(F.filter(F.array(*(F.when(of(s) > 0, F.concat(of(s).cast("string"), F.lit(f" {s}"))) for s in ("high", "medium"))), lambda x: x.isNotNull()), ", ")
+    none, fix = F.lit(0).cast("bigint"), "use code mode with mappings" if mode == "safe-share" else "map the terms that are there"
     items = [
-        ("kept-findings", _count(kept, lambda x: x["severity"].isin("high", "medium")), "warn"), ("kept-findings-low", _count(kept, lambda x: x["severity"] == "low"), "info"),
-        ("review-leads", _count(f, lambda x: x["review_lead"] & ~x["enabled"]), "info"), ("code-warnings", (F.size(warnings) if warnings is not None else F.lit(0)).cast("bigint"), "warn"),
+        ("kept-findings", of("high", "medium"), "warn", F.concat(F.lit("kept, and so still in the output ("), breakdown, F.lit(")"))),
+        ("kept-findings-low", of("low"), "info", F.lit("of low severity kept, and so still in the output")),
+        ("review-leads", _count(f, lambda x: x["review_lead"] & ~x["enabled"]), "info", F.lit("to check by hand; nothing is replaced")),
+        ("candidates", none if candidates is None else F.coalesce(candidates, none).cast("bigint"), "info", F.lit("suggested terms to hide, map or dismiss")),
+        ("code-warnings", none if warnings is None else F.size(warnings).cast("bigint"), "warn", F.lit(f"places that may no longer be valid code: {fix}")),
     ]
-    every = F.array(*(F.struct(F.lit(k).alias("kind"), n.alias("count"), F.lit(t).alias("tone")) for k, n, t in items))
+    every = F.array(*(F.struct(F.lit(k).alias("kind"), n.alias("count"), F.concat_ws(" ", n.cast("string"), m).alias("message"), F.lit(t).alias("tone")) for k, n, t, m in items))
     open_ = F.filter(every, lambda i: i["count"] > 0)
-    return scanned.withColumn("readiness", F.struct(F.when(F.size(open_) == 0, "ready").otherwise("review").alias("status"), open_.alias("items")))
+    status = F.when(F.size(open_) == 0, "ready").otherwise("review")
+    return scanned.withColumn("readiness", F.struct(status.alias("status"), open_.alias("items"), _count(f, lambda x: x["replacement"].isNotNull()).alias("replacement_count")))
+
 
+def open_candidates(scanned: DataFrame, candidates: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """scanned with open_candidates: how many rows of `candidates` (of the same ids) aren't generic."""
+    counts = candidates.filter(~F.col("generic")).groupBy(F.col(id_col).alias("_of")).agg(F.count(F.lit(1)).alias("open_candidates"))
+    joined = scanned.drop("open_candidates").join(counts, F.col(id_col).eqNullSafe(F.col("_of")), "left").drop("_of")
+    return joined.withColumn("open_candidates", F.coalesce("open_candidates", F.lit(0)))
 
-def suggest_mappings(terms: DataFrame, term_col: str = "term", order_col: str = "ord") -> DataFrame:
-    """terms with replacement and category_label; later terms of a replacement are numbered, before an ID suffix."""
+
+def suggest_mappings(terms: DataFrame, term_col: str = "term", order_col: str = "ord", list_col: str | None = None) -> DataFrame:
+    """terms with replacement and category_label; later terms of a replacement, in each list, are numbered, before an ID suffix.
+    list_col tells lists apart; without it all rows are one list, which is to be as short as a user's."""
     term = F.trim(F.col(term_col))
     pick = F.coalesce(*(F.when(term.rlike(jvm(p)), F.struct(F.lit(r).alias("replacement"), F.lit(c).alias("category_label"))) for p, r, c in SHAPES), F.struct(F.lit("SourceSystem").alias("replacement"), F.lit("Organization").alias("category_label")))
     made = terms.withColumn("s", pick).select(*terms.columns, F.when((F.col("s.replacement") == "SourceSystemID") & term.rlike(r"Id\z"), "SourceSystemId").otherwise(F.col("s.replacement")).alias("replacement"), F.col("s.category_label").alias("category_label"))
-    n = F.row_number().over(W.partitionBy("replacement").orderBy(order_col))
+    n = F.row_number().over(W.partitionBy("replacement", *([list_col] if list_col else [])).orderBy(order_col))
     suffix = F.regexp_extract("replacement", r"(ID|Id)\z", 0)
     numbered = F.when(F.col("n") == 1, F.col("replacement")).otherwise(F.concat(F.regexp_replace("replacement", r"(?:ID|Id)\z", ""), F.col("n").cast("string"), suffix))
     return made.withColumn("n", n).withColumn("replacement", numbered).drop("n")
 
+
+def suggested_entries(suggestions: Iterable) -> list[MappingEntry]:
+    """Mapping entries, to be edited, from the few rows (term, replacement, category_label) that a user picked; those without a
+    usable replacement are left out."""
+    return [MappingEntry(r["term"], r["replacement"], r["category_label"], id=f"map-{i}") for i, r in enumerate(suggestions) if re.fullmatch(REPLACEMENT, r["replacement"])]

@@ -200,6 +200,25 @@ def _keys(kept: Column, rules: Sequence[Detector], template: str) -> Column:
     return F.transform(kept, lambda c: F.struct(F.get(label, c["rule"]).alias("label"), F.concat_ws("\u0000", F.get(form, c["rule"]), norm(c)).alias("key")))
 
 
+def _prepared(df: DataFrame, text_col: str, plan: _Plan) -> DataFrame:
+    """df with the text, the text in lower case, and the candidates of all rules, in _scan_ columns."""
+    text, low, hits, found = (f"_scan_{x}" for x in ("text", "low", "hits", "found"))
+    out = once(df, **{text: F.coalesce(F.col(text_col), F.lit(""))})
+    out = once(out, **{low: F.lower(F.col(text))})
+    out = once(out, **{hits: F.expr(hits_sql(text, low, plan.patterns))})
+    return once(out, **{found: _candidates(plan.found(text, hits), plan)})
+
+
+def rule_matches(df: DataFrame, text_col: str = "text", options: ScanOptions | None = None) -> DataFrame:
+    """df with rule_matches: what each active rule finds on its own, by rule and place, whatever other rules find there."""
+    rules = active_detectors(options or ScanOptions())
+    ids, ranks = _words([d.id for d in rules]), F.array(F.lit("low"), F.lit("medium"), F.lit("high"))
+    out = _prepared(df.drop("rule_matches"), text_col, _Plan.of(rules))
+    own = F.transform(F.filter("_scan_found", lambda x: x["rule"] >= 0), lambda x: x["c"])
+    made = F.transform(own, lambda c: F.struct(F.get(ids, c["rule"]).alias("detector_id"), *(c[n].alias(n) for n in ("start", "end", "value")), F.element_at(ranks, c["confidence"]).alias("confidence")))
+    return out.withColumn("rule_matches", made).drop("_scan_text", "_scan_low", "_scan_hits", "_scan_found")
+
+
 def scan(df: DataFrame, text_col: str = "text", options: ScanOptions | None = None) -> DataFrame:
     """df with findings, an array in document order. A column of that name is replaced; a null text is empty."""
     options = options or ScanOptions()
@@ -209,10 +228,7 @@ def scan(df: DataFrame, text_col: str = "text", options: ScanOptions | None = No
     plan = _Plan.of(rules)
     tidied = [i for i, d in enumerate(rules) if d.tidy]
     tidy = (lambda c: c["rule"].isin(*tidied)) if tidied else None
-    out = once(df.drop("findings"), **{text: F.coalesce(F.col(text_col), F.lit(""))})
-    out = once(out, **{low: F.lower(F.col(text))})
-    out = once(out, **{hits: F.expr(hits_sql(text, low, plan.patterns))})
-    out = once(out, **{found: _candidates(plan.found(text, hits), plan)})
+    out = _prepared(df.drop("findings"), text_col, plan)
     resolved = resolve(F.transform(F.col(found), lambda x: x["c"]), tidy, lambda c: c["rule"] < 0)
     out = once(out, **{kept: F.when(F.size(found) > 0, resolved).otherwise(F.array().cast(f"array<{_CANDIDATE}>"))})
     quoted = string_literals(F.col(text)) if any(d.replacement for d in rules) else no_spans()
@@ -225,4 +241,4 @@ def finding_rows(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return scanned.select(id_col, F.posexplode("findings").alias("pos", "f")).select(id_col, "pos", "f.*")
 
 
-__all__ = ["ScanOptions", "finding_rows", "indexes", "protected_ranges", "resolve", "scan"]
+__all__ = ["ScanOptions", "finding_rows", "indexes", "protected_ranges", "resolve", "rule_matches", "scan"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..operators.detectors import Detector, registry
 from ..operators.render import template_for
-from ..operators.scan import ScanOptions
+from ..operators.scan import ScanOptions, scan
+from ..operators.terms import FieldRule, TermList, field_detectors, list_detectors
 
 # Fixed values.
 PACKS = {
@@ -20,11 +22,25 @@ PACKS = {
 }
 
 
+MAX_NAME, MAX_PROFILES, MAX_CUSTOM_PACKS = 40, 20, 20
+
+
 @dataclass(frozen=True)
 class CustomPack:
+    """Rules to switch on, and field rules and terms of its own. save_terms: whether its terms may be stored."""
+
     id: str
     detector_ids: tuple[str, ...] = ()
     enabled: bool = True
+    name: str = ""
+    description: str | None = None
+    rules: tuple[FieldRule, ...] = ()
+    terms: TermList = field(default_factory=lambda: TermList(""))
+    save_terms: bool = False
+
+    def detectors(self) -> tuple[Detector, ...]:
+        """The rules that its fields and terms make."""
+        return (*field_detectors(self.id, self.rules), *list_detectors(self.terms)) if self.enabled else ()
 
 
 @dataclass(frozen=True)
@@ -35,6 +51,25 @@ class Profile:
     overrides: Mapping[str, bool] = field(default_factory=dict)
     format: str = "indexed"
     custom_template: str = ""
+    id: str = ""
+    name: str = ""
+    description: str | None = None
+
+
+def same_config(a: Profile, b: Profile) -> bool:
+    """Whether scans under both are alike: names don't count, nor the order of packs, but that of overrides does."""
+    key = lambda p: (p.core, sorted(p.pack_ids), sorted(p.custom_pack_ids), list(p.overrides.items()), p.format, p.custom_template)
+    return key(a) == key(b)
+
+
+def name_problem(name: str) -> str | None:
+    """What is wrong with the name of a profile or pack, or None."""
+    length = len(name.strip())
+    return "A name is needed." if not length else f"A name has at most {MAX_NAME} characters." if length > MAX_NAME else None
+
+
+def new_id(kind: str) -> str:
+    return f"{kind}-{uuid.uuid4().hex[:12]}"
 
 
 def core_states(core: str, rules: Iterable[Detector] | None = None) -> dict[str, bool]:
@@ -60,15 +95,28 @@ def derived_profile(states: Mapping[str, bool]) -> str:
     return next((c for c in ("balanced", "strict") if states == core_states(c)), "custom")
 
 
+def enabled_ids(profile: Profile, custom_packs: Iterable[CustomPack] = ()) -> tuple[str, ...]:
+    """In registry order."""
+    return tuple(i for i, on in rule_states(profile, custom_packs).items() if on)
+
+
 def options(profile: Profile, custom_packs: Iterable[CustomPack] = (), extra: tuple[Detector, ...] = ()) -> ScanOptions:
-    on = frozenset(i for i, state in rule_states(profile, custom_packs).items() if state)
-    return ScanOptions(on, extra, template_for(profile.format, profile.custom_template))
+    """extra: further rules, after those of the profile's own packs."""
+    packs = list(custom_packs)
+    own = tuple(d for p in packs if p.id in profile.custom_pack_ids for d in p.detectors())
+    return ScanOptions(frozenset(enabled_ids(profile, packs)), (*own, *extra), template_for(profile.format, profile.custom_template))
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    """(id, ord, category, severity, label, priority, mode)."""
-    rows = [(d.id, i, d.category, d.severity, d.label, d.priority, d.mode) for i, d in enumerate(registry())]
-    return spark.createDataFrame(rows, "id string, ord int, category string, severity string, label string, priority int, mode string")
+    """(id, ord, name, category, severity, label, priority, mode, explanation, packs): the catalogue of rules."""
+    packs = {d.id: [p for p, ids in PACKS.items() if d.id in ids] for d in registry()}
+    rows = [(d.id, i, d.name, d.category, d.severity, d.label, d.priority, d.mode, d.explanation, packs[d.id]) for i, d in enumerate(registry())]
+    return spark.createDataFrame(rows, "id string, ord int, name string, category string, severity string, label string, priority int, mode string, explanation string, packs array<string>")
+
+
+def preview(samples: DataFrame, rule_id: str, text_col: str = "text") -> DataFrame:
+    """samples with the findings of one rule alone, whatever is on by default."""
+    return scan(samples, text_col, ScanOptions(frozenset([rule_id])))
 
 
 def resolved_rules(rules: DataFrame, packs: DataFrame, profiles: DataFrame) -> DataFrame:

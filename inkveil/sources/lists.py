@@ -14,7 +14,9 @@ from ..operators.terms import MAX_MAPPINGS, MAX_NAME, MAX_TERM_LENGTH, MAX_TERMS
 LIST_KIND, LIST_VERSION = "inkveil.term-list", 1
 MAX_LIST_BYTES = 256 * 1024
 # Fixed values.
+#: Names of what a user may export, and of the files of a whole package.
 EXPORT_NAMES = ("clean-text.txt", "findings-summary.txt", "review-checklist.md", "sanitized.ps1")
+PACKAGE_NAMES = ("sanitized.ps1", "findings-summary.txt", "review-checklist.md")
 _KEYS = {"id": "id", "term": "term", "replacement": "replacement", "category_label": "categoryLabel", "severity": "severity", "match_mode": "matchMode", "strategy": "strategy"}
 
 
@@ -89,6 +91,11 @@ def write_export(path: str, name: str, text: str) -> str:
     return file.name
 
 
+def write_package(path: str, clean: str, summary: str, checklist: str) -> list[str]:
+    """One document's package: cleaned text, summary and checklist."""
+    return [write_export(path, name, text) for name, text in zip(PACKAGE_NAMES, (clean, summary, checklist), strict=True)]
+
+
 def write_clean(sanitized: DataFrame, path: str, id_col: str = "doc_id") -> None:
     """The texts of a corpus as Parquet, with their ids."""
     sanitized.select(id_col, "clean_text").write.mode("errorifexists").parquet(path)

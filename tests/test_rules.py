@@ -1,5 +1,7 @@
 """Names, terms, mappings, labelled fields, protected patterns, candidates and lists, on small invented texts."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +140,60 @@ def test_lists_round_trip():
     for bad in ("{", "[]", '{"kind": "other"}', dump_list(terms.TermList("Ours")), dump_list(terms.TermList(" ", ("aa",)))):
         with pytest.raises(ValueError):
             load_list(bad)
+
+
+def plain_candidates(text, taken):
+    """The suggestions in plain Python: words one by one, as the description of the operator says."""
+    from inkveil.operators import candidates as C
+    from inkveil.operators.names import STOP_WORDS
+
+    free = lambda a, b: not any(a < e and s < b for s, e in taken)
+    words = [(m.start(), m.group()) for m in re.finditer(r"\S+", text)]
+    plain = {*STOP_WORDS, *C.CALENDAR, *C.COLORS, *C.KEYWORDS, *C.PLAIN_WORDS}
+    found, i = [], 0
+    while i < len(words):
+        at, word = words[i]
+        m = re.fullmatch(r"""([(\[{"'“‘]*)([A-Z][a-z]+)([)\]}"'”’.,;!?]*)""", word)
+        if not m:
+            i += 1
+            continue
+        start = at + len(m.group(1))
+        end, last, caps = start + len(m.group(2)), i, [m.group(2)]
+        j, ended = i + 1, bool(m.group(3))
+        while not ended and j < len(words):
+            if not re.fullmatch(r"[^\S\r\n]+", text[words[j - 1][0] + len(words[j - 1][1]) : words[j][0]]):
+                break
+            core = words[j][1].lstrip("([{\"'“‘")
+            if core.lower() in C.CONNECTORS:
+                j += 1
+                continue
+            n = re.fullmatch(r"""([A-Z][a-z]+)([)\]}"'”’.,;!?]*)""", core)
+            if not n:
+                break
+            end, last, ended = words[j][0] + len(words[j][1]) - len(core) + len(n.group(1)), j, bool(n.group(2))
+            caps.append(n.group(1))
+            j += 1
+        if end - start <= C.MAX_LENGTH and any(w.lower() not in plain for w in caps) and free(start, end):
+            found.append((0, start, text[start:end], len(caps)))
+        i = last + 1
+    for m in re.finditer(r"(?<![A-Za-z0-9_])[A-Z]{2,6}(?![A-Za-z0-9_])", text):
+        if m.group() not in C.NO_ACRONYMS and free(*m.span()):
+            found.append((1, m.start(), m.group(), 0))
+    groups = {}
+    for f in sorted(found):
+        groups.setdefault(re.sub("[ \t\u00a0]+", " ", f[2]).lower(), []).append(f)
+    rows = []
+    for key, fs in groups.items():
+        several, at_once = any(f[3] >= 2 for f in fs), any(f[0] == 1 or f[3] >= 2 for f in fs)
+        if at_once or len(fs) >= 2:
+            rows.append((key in C.GENERIC_PHRASES, not several, -len(fs), min(f[1] for f in fs), fs[0][2]))
+    return [(i, r[4], -r[2], r[3], r[0]) for i, r in enumerate(sorted(rows)[: C.MAX_CANDIDATES], 1)]
+
+
+def test_candidates_of_all_documents(spark):
+    docs = scan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")).cache()
+    got = {}
+    for r in candidates(docs).collect():
+        got.setdefault(r.doc_id, []).append((r["rank"], r.text, r["count"], r.first_start, r.generic))
+    for r in docs.collect():
+        assert sorted(got.get(r.doc_id, [])) == plain_candidates(r.text or "", [(f.start, f.end) for f in r.findings]), r.doc_id

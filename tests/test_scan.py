@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from inkveil.functions.spans import once
 from inkveil.operators import render, review
 from inkveil.operators.detectors import registry
-from inkveil.operators.scan import ScanOptions, finding_rows, resolve, scan
-from inkveil.plans import catalogue, config
-from inkveil.sources import files
+from inkveil.functions import validators as V
+from inkveil.operators.scan import ScanOptions, finding_rows, resolve, rule_matches, scan
+from inkveil.plans import config, workspace
+from inkveil.sources import files, lists, preferences
 from inkveil.streaming.sanitize import write_sanitized
 
+from .cases import CASES, CHECKSUMS
+
 SCHEMA = "doc_id long, text string"
 
 
@@ -27,13 +30,20 @@ def test_registry_is_complete_and_in_order():
 
 
 def test_every_rule_finds_its_case(spark):
-    wanted = {(c[0], c[2]): c[3] for c in catalogue.CASES}
-    got = {(r.doc_id, r.rule): r.value for r in catalogue.q_detector_cases(spark, "").collect()}
-    assert got == wanted
+    rows = spark.createDataFrame([c[:3] for c in CASES], "doc_id long, text string, rule string")
+    made = rule_matches(rows, options=ScanOptions(frozenset(c[2] for c in CASES))).collect()
+    ranges = scan(rows, options=ScanOptions(frozenset(c[2] for c in CASES))).collect()
+    last = {(r.doc_id, r.rule): ([m.value for m in r.rule_matches if m.detector_id == r.rule] or [None])[-1] for r in made}
+    kept = {r.doc_id: [f.value for f in r.findings] for r in ranges}
+    for number, _, rule, value in CASES:
+        assert last[number, rule] == value or (value is None and last[number, rule] not in kept[number]), (number, rule)
 
 
 def test_checksums(spark):
-    assert sorted(map(tuple, catalogue.q_checksums(spark, "").collect())) == sorted(catalogue.CHECKSUMS)
+    tests = {"iban": V.is_iban, "aba": V.is_aba, "dea": V.is_dea, "sin": V.is_sin, "ssn": V.is_ssn, "itin": V.is_itin, "card": V.is_card, "ipv6": V.is_ipv6}
+    rows = spark.createDataFrame([c[:2] for c in CHECKSUMS], "kind string, value string")
+    valid = F.coalesce(*(F.when(F.col("kind") == k, F.coalesce(t(F.col("value")), F.lit(False))) for k, t in tests.items()))
+    assert sorted(map(tuple, rows.select("kind", "value", valid).collect())) == sorted(CHECKSUMS)
 
 
 def greedy(spans):
@@ -61,7 +71,7 @@ def test_numbering_shares_and_counts(spark):
 
 
 def test_findings_never_overlap_and_clean_text_is_spliced(spark):
-    texts = [c[1] for c in catalogue.CASES] + ["", None, "é" * 50 + " a@b.example 😀 10.2.3.4", "\n".join(c[1] for c in catalogue.CASES)]
+    texts = [c[1] for c in CASES] + ["", None, "é" * 50 + " a@b.example 😀 10.2.3.4", "\n".join(c[1] for c in CASES)]
     options = ScanOptions(frozenset(d.id for d in registry()))
     made = once(render.sanitize(scanned(spark, *texts, options=options)), parts=render.segments(F.coalesce("text", F.lit("")), F.col("findings"), preview=True))
     for r in made.collect():
@@ -135,3 +145,93 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
     write_sanitized(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: "[EMAIL_1]", 2: ""}
+
+
+def test_many_findings_are_numbered_in_order(spark):
+    """More than a block of folds holds, with values that come again."""
+    names = [f"u{i * 7 % 400}@x.example" for i in range(900)]
+    row = render.sanitize(scanned(spark, " ".join(names))).first()
+    first = {}
+    wanted = [f"[EMAIL_{first.setdefault(n, len(first) + 1)}]" for n in names]
+    assert [f.placeholder for f in row.findings] == wanted and row.clean_text == " ".join(wanted)
+
+
+def test_folds_keep_order_over_blocks(spark):
+    from inkveil.functions.spans import spans
+
+    text = "".join(f"a{'b' * (i % 3)}-" for i in range(1000))
+    got = once(spark.createDataFrame([(text,)], "t string"), s=spans(F.col("t"), "ab*")).first().s
+    assert len(got) == 1000 and all(text[s.start : s.end] == s.value for s in got)
+
+
+def test_word_bounds():
+    from inkveil.functions.spans import BOUND, NO_WORD_BEFORE, jvm
+
+    assert jvm(r"\b\d").startswith(NO_WORD_BEFORE) and jvm(r"\b(?:ab|[0-9]c)x").startswith(NO_WORD_BEFORE)
+    for unsure in (r"\b", r"\ba?b", r"\b(?:a|-b)", r"\b[a-z-]", r"\b(?:ab)?c", r"x\b", r"\b\s"):
+        assert BOUND in jvm(unsure), unsure
+
+
+def test_readiness_and_summary(spark):
+    docs = review.export_aggregates(review.set_enabled(scanned(spark, "a@b.example 10.1.1.1 Export-Clixml", ""), F.array(F.lit("email-0-0")), False))
+    rows = review.findings_summary(review.readiness(docs, warnings=review.code_warnings(F.lit("$[X_1]")), candidates=F.lit(2), mode="portfolio-code")).collect()
+    items = {i.kind: (i["count"], i.tone) for i in rows[0].readiness["items"]}
+    assert items == {"kept-findings": (1, "warn"), "review-leads": (1, "info"), "candidates": (2, "info"), "code-warnings": (1, "warn")}
+    assert "1 kept, and so still in the output (1 medium)" in [i.message for i in rows[0].readiness["items"]]
+    assert "Findings: 3" in rows[0].summary and "  medium: 2" in rows[0].summary and "  none" in rows[1].summary and "a@b" not in rows[0].summary
+    assert review.review_checklist().count("- [ ]") == 12
+    sections = review.category_sections(review.group_findings(finding_rows(docs))).orderBy("section").collect()
+    assert [(s.section, s.category, s.groups, s.findings) for s in sections] == [(2, "infrastructure", 1, 1), (3, "personal", 1, 1), (9, "workflow", 1, 1)]
+
+
+def test_workspace():
+    w = workspace.Workspace()
+    pack = config.CustomPack("p1", ("iban",), name="Ours")
+    applied = workspace.apply_list(workspace.apply_list(w, pack), pack)
+    assert applied.active == "unsaved" and applied.profile().custom_pack_ids == ("p1",) and "iban" in applied.rules() and w.packs == ()
+    saved = workspace.save_profile(applied, " Mine ", "about")
+    assert saved.profile().name == "Mine" and saved.unsaved is None and config.same_config(saved.profile(), applied.profile())
+    other = workspace.save_profile(workspace.select(saved, "strict"), "Other")
+    changed = workspace.set_rule(other, "email", False)
+    assert changed.profile().overrides == {"email": False} and changed.profiles[0] == saved.profiles[0]
+    gone = workspace.delete_pack(changed, "p1")
+    assert gone.packs == () and all(p.custom_pack_ids == () for p in gone.profiles)
+    assert workspace.delete_profile(gone, gone.active).active == "balanced" and workspace.reset(applied).active == "balanced"
+    assert workspace.rename_profile(saved, saved.active, "New").profile().name == "New" and len(workspace.duplicate_pack(saved, "p1").packs) == 2
+    for bad in ("", " ", "x" * 41):
+        with pytest.raises(ValueError):
+            workspace.save_profile(w, bad)
+    with pytest.raises(ValueError):
+        workspace.select(w, "nothing")
+
+
+def test_preferences(tmp_path):
+    from inkveil.operators.terms import FieldRule, TermList
+
+    path = str(tmp_path / "prefs.json")
+    rule = FieldRule("r1", "Badge", ("badge",), "digits", "BADGE")
+    packs = [config.CustomPack("p1", ("iban",), True, "Ours", "d", (rule,), TermList("Ours", ("secret term",), (), True, False, "HOUSE"), save) for save in (True, False)]
+    for pack in packs:
+        w = workspace.save_profile(workspace.apply_list(workspace.Workspace(remember=True), pack), "Mine")
+        assert preferences.save(w, path) and preferences.stored(path)
+        got = preferences.load(path)
+        assert got.active == w.active and got.profiles[0].custom_pack_ids == ("p1",) and got.packs[0].rules == (rule,)
+        assert got.packs[0].terms.values == (("secret term",) if pack.save_terms else ()) and ("secret term" in open(path).read()) == pack.save_terms
+    assert not preferences.save(workspace.Workspace(), path) and not preferences.stored(path) and preferences.load(path) == workspace.Workspace()
+    raw = {"version": 2, "activeProfileId": "x", "profiles": [{"id": "balanced", "name": "no"}, {"id": "a", "name": "A", "overrides": {"email": 1, "iban": True, "zz": True}, "packIds": ["pack-us-v1", "zz"]}, 5], "customPacks": [{"id": "q", "name": "Q", "terms": {"values": ["ab"]}}, {"id": ""}], "more": 1}
+    made = preferences.clean(raw)
+    assert made.active == "balanced" and [p.id for p in made.profiles] == ["a"] and made.profiles[0].overrides == {"iban": True} and made.profiles[0].pack_ids == ("pack-us-v1",)
+    assert made.packs[0].terms.inside_words and made.packs[0].terms.values == () and preferences.clean({"version": 3}) is None and preferences.clean("no") is None
+    assert preferences.migrated({"version": 1, "ruleStates": {}}).active == "balanced" and preferences.migrated({"version": 1, "ruleStates": config.core_states("strict")}).active == "strict"
+    old = preferences.migrated({"version": 1, "ruleStates": {"email": False}, "format": {"id": "uniform"}})
+    assert old.profile().overrides == {"email": False} and old.profile().format == "uniform"
+
+
+def test_rule_catalogue_and_packages(spark, tmp_path):
+    rows = config.rule_table(spark).collect()
+    assert len(rows) == 49 and all(r.explanation for r in rows) and {p for r in rows for p in r.packs} == set(config.PACKS)
+    docs = spark.createDataFrame([(1, "pay DE89370400440532013000, a@b.example")], SCHEMA)
+    assert [f.detector_id for f in config.preview(docs, "iban").first().findings] == ["iban"]
+    assert len(lists.write_package(str(tmp_path), "clean", "summary", review.review_checklist())) == 3
+    made = review.suggested_entries([{"term": "ACME", "replacement": "SourceSystem", "category_label": "Organization"}, {"term": "x y", "replacement": "not usable!", "category_label": "Organization"}])
+    assert [(m.term, m.strategy) for m in made] == [("ACME", "code-only")]
