@@ -8,14 +8,18 @@ attempt that Spark commits tell where records are.
 Index. Rows (reversed-host key, file, offset, length, page id) are sorted by range and written as compressed blocks of
 BLOCK_LINES lines; a sparse directory has each block's first key and place.
 
-Reading. `lookup` finds URLs: binary search of the directory for the block that may hold the key, a range read of that block,
-binary search of its lines, a range read of each record. A directory of more than DIRECTORY_ROWS rows isn't broadcast; the
-index lines are joined by key instead. `read_all` goes through all index blocks and reads neighbouring records of a file in
-one range.
+Reading. `lookup` finds URLs: binary search of the directory for the blocks that may hold a key; these pairs are dealt by block, so
+that a block is read and unpacked once, whatever keys ask for it, and a key with very many captures is spread over its blocks;
+binary search of the block's lines; range reads of the records, neighbours of a file in one. A directory of more than
+DIRECTORY_ROWS rows isn't broadcast; the index lines are joined by key instead. `read_all` goes through all index blocks.
+
+Payloads are shuffled at most once: which records repeat an earlier payload is found on rows of ids and digests, and of these
+digests with more than HOT rows, of which there can be no more than rows / HOT, are joined by broadcast.
 
 Defined cases: a null payload is empty; a null URL has an empty key and no target header; characters that would break a header
-are percent-encoded; a null id is larger than all others; repeated rows are records of their own, of which the first is the
-response; an empty table gives an archive of no record.
+are percent-encoded; a null id is larger than all others; of rows with one id and payload the one of the least URL (null last) is the
+first, and equal rows are records of their own, of which one is the first; very long payloads are one record; other columns are
+left out, whatever their names; an empty table gives an archive of no record.
 """
 
 from __future__ import annotations
@@ -43,6 +47,7 @@ BLOCK_LINES = 3000
 FILE_BYTES = 256 << 20
 RANGE_BYTES = 4 << 20
 DIRECTORY_ROWS = 200_000
+HOT = 50_000
 DATE = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 ENTRY = "url_key string, page_id bigint, file string, offset bigint, length bigint"
@@ -74,18 +79,18 @@ def _header(value: str) -> str:
     return re.sub(r"[\x00-\x20\x7f-\x9f  ]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
 
 
-def _record_id(page_id: int | None, digest: str, nth: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id} {digest} {nth}')}>"
+def _record_id(page_id: int | None, digest: str, url: str | None, nth: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id} {digest} {nth} {url}')}>"
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, nth: int, revisit: bool, refers_to: int | None) -> bytes:
+def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, nth: int, revisit: bool, refers_to: int | None, refers_url: str | None = None) -> bytes:
     head = [f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()]
     body = head[0] if revisit else head[0] + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id, digest, nth)}", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id, digest, url, nth)}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_header(url)}")
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to, digest, 1)}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to, digest, refers_url, 1)}"]
         lines += [f"X-Refers-To-Page: {refers_to}"] * (refers_to is not None)
     lines += [f"X-Page-Id: {page_id}"] * (page_id is not None)
     lines += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}", "", ""]
@@ -122,16 +127,25 @@ def _typed(rows: list[dict], ddl: str) -> pa.RecordBatch:
 
 
 def _plan(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
-    """(page_id, url, payload, digest, nth, revisit, refers_to) for every page."""
+    """(page_id, url, payload, digest, nth, revisit, refers_to, refers_url) for every page."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    base = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    slim = base.select("page_id", "digest", F.octet_length("payload").alias("size")).filter(F.col("size") >= REVISIT_BYTES).groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
-    groups = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("n").alias("rows")).filter("rows > 1").withColumnRenamed("digest", "d")
-    again = slim.join(groups, F.col("digest") == F.col("d")).select(F.col("digest").alias("d"), F.col("page_id").alias("p"), "first", F.lit(True).alias("shared"))
-    joined = base.join(again, base.page_id.eqNullSafe(again.p) & (base.digest == again.d), "left")
-    nth = F.row_number().over(W.partitionBy("page_id", "digest").orderBy("url"))
-    revisit = F.coalesce(F.col("shared"), F.lit(False)) & ~(F.col("page_id").eqNullSafe(F.col("first")) & (F.col("nth") == 1))
-    return joined.withColumn("nth", nth).select("page_id", "url", "payload", "digest", "nth", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
+    base = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    # One text for id, payload and URL, so that the join and the numbering of equal rows share one shuffle.
+    of_null = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    base = base.withColumn("digest", F.sha2("payload", 256)).withColumn("row", F.concat_ws(" ", "digest", of_null("page_id"), of_null("url")))
+    slim = base.filter(F.octet_length("payload") >= REVISIT_BYTES).groupBy("row", "digest", "page_id", "url").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("page_id").isNull().alias("a"), F.col("page_id").alias("id"), F.col("url").isNull().alias("b"), F.col("url").alias("url"))
+    groups = slim.groupBy(F.col("digest").alias("d")).agg(F.min(order).alias("first"), F.sum("n").alias("rows")).filter("rows > 1")
+    hot = F.broadcast(groups.filter(F.col("rows") > HOT))
+    known = F.col("digest") == F.col("d")
+    shared = slim.join(hot, known).unionByName(slim.join(hot, known, "left_anti").join(groups.filter(F.col("rows") <= HOT), known))
+    own = F.col("page_id").eqNullSafe(F.col("first.id")) & F.col("url").eqNullSafe(F.col("first.url"))
+    shared = shared.select(F.col("row").alias("r"), own.alias("own"), F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"))
+    joined = base.join(shared, F.col("row") == F.col("r"), "left")
+    nth = F.row_number().over(W.partitionBy("row").orderBy("page_id"))
+    revisit = F.col("r").isNotNull() & ~(F.col("own") & (F.col("nth") == 1))
+    said = [F.when(revisit, F.col(c)).alias(n) for c, n in (("first_id", "refers_to"), ("first_url", "refers_url"))]
+    return joined.withColumn("nth", nth).select("page_id", "url", "payload", "digest", "nth", revisit.alias("revisit"), *said)
 
 
 def write_archives(pages: DataFrame, root: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> Archive:
@@ -152,7 +166,7 @@ def write_archives(pages: DataFrame, root: str | None = None, id_col: str = "pag
                         out.close()
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = fs.open_output_stream(f"{path}/{name}", compression=None)
-                data = _record(row["page_id"], row["url"], row["payload"], row["digest"], row["nth"], row["revisit"], row["refers_to"])
+                data = _record(row["page_id"], row["url"], row["payload"], row["digest"], row["nth"], row["revisit"], row["refers_to"], row["refers_url"])
                 out.write(data)
                 rows.append({"url_key": url_key(row["url"]), "page_id": row["page_id"], "file": name, "offset": at, "length": len(data)})
                 at += len(data)
@@ -247,47 +261,62 @@ def _fetched(root: str, ddl: str = RECORD):
 
 def read_all(archive: Archive) -> DataFrame:
     """Every record, through the index."""
-    entries = index_entries(archive).select("file", "offset", "length")
-    dealt = entries.repartition("file", F.floor(F.col("offset") / (16 * RANGE_BYTES))).sortWithinPartitions("file", "offset")
-    return dealt.mapInArrow(_fetched(archive.root), RECORD)
+    return _dealt(index_entries(archive)).mapInArrow(_fetched(archive.root), RECORD)
+
+
+def _dealt(entries: DataFrame) -> DataFrame:
+    """Entries by ranges of files, in order."""
+    return entries.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / (16 * RANGE_BYTES))).sortWithinPartitions("file", "offset")
 
 
 def lookup(archive: Archive, urls: DataFrame, url_col: str = "url") -> DataFrame:
     """The records of each distinct URL key of urls."""
     root = archive.root
     key = F.pandas_udf(lambda s: s.map(url_key), "string")
-    wanted = urls.select(key(F.col(url_col)).alias("url_key")).distinct()
+    wanted = urls.select(F.col(url_col).alias("url")).distinct().select(key("url").alias("url_key")).distinct()
     if archive.directory.count() > DIRECTORY_ROWS:
-        found = index_entries(archive).join(wanted, "url_key", "left_semi")
-    else:
-        rows = archive.directory.sort("first_key", "last_key", "file", "offset").collect()
-        sparse = urls.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            fs, path = pafs.FileSystem.from_uri(root)
-            firsts = [r[0] for r in sparse.value]
-            for batch in batches:
-                hits = []
-                for wanted_key in batch.column("url_key").to_pylist():
-                    at = bisect.bisect_right(firsts, wanted_key) - 1
-                    while at >= 0 and sparse.value[at][1] >= wanted_key:  # equal keys may fill several blocks
-                        _, _, file, offset, length, _ = sparse.value[at]
-                        with fs.open_input_file(f"{path}/{file}") as handle:
-                            lines = _lines(handle, offset, length)
-                        first = bisect.bisect_left(lines, wanted_key, key=lambda x: x.split(" ", 1)[0])
-                        while first < len(lines) and lines[first].split(" ", 1)[0] == wanted_key:
-                            hits.append(_entry(lines[first]))
-                            first += 1
-                        at -= 1
-                yield _typed(hits, ENTRY)
-
-        found = wanted.mapInArrow(search, ENTRY)
-    return found.select("file", "offset", "length").sortWithinPartitions("file", "offset").mapInArrow(_fetched(root), RECORD)
+        return _dealt(index_entries(archive).join(wanted, "url_key", "left_semi")).mapInArrow(_fetched(root), RECORD)
+    rows = archive.directory.sort("first_key", "last_key", "file", "offset").collect()
+    sparse = urls.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = [r[0] for r in sparse.value]
+        for batch in batches:
+            at, keys = [], []
+            for wanted_key in batch.column("url_key").to_pylist():
+                i = bisect.bisect_right(firsts, wanted_key) - 1
+                while i >= 0 and sparse.value[i][1] >= wanted_key:  # equal keys may fill several blocks
+                    at.append(i)
+                    keys.append(wanted_key)
+                    i -= 1
+            yield pa.record_batch([pa.array(at, pa.int64()), pa.array(keys, pa.string())], ["block", "url_key"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = pafs.FileSystem.from_uri(root)
+        known, lines = None, []
+        for batch in batches:
+            hits = []
+            for block, wanted_key in zip(batch.column("block").to_pylist(), batch.column("url_key").to_pylist(), strict=True):
+                if block != known:
+                    _, _, file, offset, length, _ = sparse.value[block]
+                    with fs.open_input_file(f"{path}/{file}") as handle:
+                        known, lines = block, _lines(handle, offset, length)
+                first = bisect.bisect_left(lines, wanted_key, key=lambda x: x.split(" ", 1)[0])
+                while first < len(lines) and lines[first].split(" ", 1)[0] == wanted_key:
+                    hits.append(_entry(lines[first]))
+                    first += 1
+                if len(hits) >= BLOCK_LINES:
+                    yield _typed(hits, ENTRY)
+                    hits = []
+            yield _typed(hits, ENTRY)
+
+    asked = wanted.mapInArrow(blocks, "block bigint, url_key string").repartition("block").sortWithinPartitions("block", "url_key")
+    return _dealt(asked.mapInArrow(search, ENTRY)).mapInArrow(_fetched(root), RECORD)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    return read_all(write_archives(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return lookup(write_archives(pages), pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP7_SQL = """
