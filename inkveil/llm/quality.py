@@ -4,10 +4,10 @@ A text's bytes are cut into chunks of CHUNK bytes, each overlapping the next by
 learned filters over WIDTH embedded bytes are taken at every STRIDE-th place, rectified and max-pooled. The pooled filters are
 combined over the chunks by their mean and their maximum, and a small hidden layer makes one probability of them.
 
-It learns by gradient descent on at most LEARN_ROWS labelled rows that aren't held out, and of a long one at most LEARN_CHUNKS
-chunks, evenly spaced; scoring reads every chunk of every text. The sample is gathered as chunks, so its size is bounded.
+It learns by gradient descent on at most LEARN_ROWS labelled ids that aren't held out, one row each, and like scoring on every chunk
+of their whole texts. Chunks go through the network SLICE at a time, so a very long text needs memory for its pooled filters only.
 
-Defined cases: null and empty texts are one chunk of padding; without labels of both kinds every score is the share of label 1
+Defined cases: of conflicting labels of an id the greatest counts; null and empty texts are one chunk of padding; without labels of both kinds every score is the share of label 1
 (0.5 without any); null ids are never held out; repeated rows score alike; an empty table gives an empty table; columns named as
 an added one are replaced.
 """
@@ -26,7 +26,9 @@ from .labelled import held_out, learning_rows
 
 CHUNK, OVERLAP = 512, 32
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 3, 6, 24, 16
-LEARN_ROWS, LEARN_CHUNKS, EPOCHS, BATCH, RATE = 3000, 6, 8, 48, 0.004
+LEARN_ROWS, EPOCHS, BATCH, RATE = 3000, 8, 48, 0.004
+#: Chunks that go through the filters at a time; what they need is held from the way forth to the way back for up to HELD chunks.
+SLICE, HELD = 256, 1024
 #: Fewer rows are gone through more often.
 LEAST_STEPS = 300
 KEEP = 0.7
@@ -52,10 +54,10 @@ def _columns(model: Model, x: np.ndarray) -> np.ndarray:
 def _pooled(model: Model, x: np.ndarray) -> np.ndarray:
     """The max-pooled filters of each chunk."""
     out = np.empty((len(x), FILTERS), np.float32)
-    for at in range(0, len(x), 256):
-        part = x[at : at + 256]
+    for at in range(0, len(x), SLICE):
+        part = x[at : at + SLICE]
         held = (_columns(model, part) @ model["filter"]).reshape(len(part), _PLACES, FILTERS).max(axis=1)
-        out[at : at + 256] = np.maximum(held + model["bias"], 0)
+        out[at : at + SLICE] = np.maximum(held + model["bias"], 0)
     return out
 
 
@@ -108,10 +110,16 @@ def _gradients(model: Model, bags: list[np.ndarray], y: np.ndarray) -> Model:
     x = np.concatenate(bags)
     counts = np.array([len(b) for b in bags])
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    columns = _columns(model, x)
-    held = (columns @ model["filter"]).reshape(len(x), _PLACES, FILTERS)
-    where = held.argmax(axis=1)  # chunk, filter -> place
-    pooled = np.maximum(np.take_along_axis(held, where[:, None, :], 1)[:, 0] + model["bias"], 0)
+    slices = [slice(a, a + SLICE) for a in range(0, len(x), SLICE)]
+    known: dict[int, np.ndarray] = {}
+    pooled, where = np.empty((len(x), FILTERS), model["filter"].dtype), np.empty((len(x), FILTERS), np.int64)  # chunk, filter -> place
+    for i, s in enumerate(slices):
+        columns = _columns(model, x[s])
+        held = (columns @ model["filter"]).reshape(-1, _PLACES, FILTERS)
+        where[s] = held.argmax(axis=1)
+        pooled[s] = np.maximum(np.take_along_axis(held, where[s][:, None, :], 1)[:, 0] + model["bias"], 0)
+        if len(x) <= HELD:
+            known[i] = columns
     features = _combined(pooled, starts, counts)
     hidden = np.tanh(features @ model["hidden"] + model["hidden_bias"])
     p = 1 / (1 + np.exp(-(hidden @ model["out"] + model["out_bias"])))
@@ -121,29 +129,25 @@ def _gradients(model: Model, bags: list[np.ndarray], y: np.ndarray) -> Model:
     owner = np.repeat(np.arange(len(bags)), counts)
     d_pooled = d_features[owner, :FILTERS] / counts[owner, None] + d_features[owner, FILTERS:] * (pooled == features[owner, FILTERS:])
     d_pooled = np.where(pooled > 0, d_pooled, 0)
-    chunk, filt = np.nonzero(d_pooled)
-    row = chunk * _PLACES + where[chunk, filt]
-    g = d_pooled[chunk, filt]
-    d_filter = np.zeros_like(model["filter"])
-    for f in range(FILTERS):
-        own = filt == f
-        d_filter[:, f] = columns[row[own]].T @ g[own]
-    d_columns = (model["filter"][:, filt].T * g[:, None]).reshape(-1, WIDTH, EMBED)
-    at = where[chunk, filt] * STRIDE
-    d_embed = np.zeros_like(model["embed"])
-    for j in range(WIDTH):
-        np.add.at(d_embed, x[chunk, at + j], d_columns[:, j])
+    d_filter, d_embed = np.zeros_like(model["filter"]), np.zeros_like(model["embed"])
+    for i, s in enumerate(slices):
+        columns = known[i] if i in known else _columns(model, x[s])
+        chunk, filt = np.nonzero(d_pooled[s])
+        place, g = where[s][chunk, filt], d_pooled[s][chunk, filt]
+        row = chunk * _PLACES + place
+        for f in range(FILTERS):
+            own = filt == f
+            d_filter[:, f] += columns[row[own]].T @ g[own]
+        d_columns = (model["filter"][:, filt].T * g[:, None]).reshape(-1, WIDTH, EMBED)
+        for j in range(WIDTH):
+            np.add.at(d_embed, x[s][chunk, place * STRIDE + j], d_columns[:, j])
     return {"embed": d_embed, "filter": d_filter, "bias": d_pooled.sum(axis=0), "hidden": features.T @ d_hidden, "hidden_bias": d_hidden.sum(axis=0), "out": hidden.T @ d_out, "out_bias": d_out.sum(keepdims=True)}
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = []
-            for text in batch.column("text").to_pylist():
-                x = chunks(text.encode())
-                some = np.unique(np.linspace(0, len(x) - 1, min(len(x), LEARN_CHUNKS)).astype(int))
-                bags.append(x[some].tobytes())
+            bags = [chunks(text.encode()).tobytes() for text in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("id").cast(pa.string()), batch.column("label"), pa.array(bags, pa.binary())], ["id", "label", "bag"])
 
     rows = learning_rows(docs, labels, label, LEARN_ROWS, id_col, text_col).mapInArrow(cut, "id string, label int, bag binary").toPandas()
