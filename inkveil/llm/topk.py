@@ -3,18 +3,21 @@
 Vectors are cut into PARTS runs of components; a score is the sum of one partial score from each part's list. Candidates are
 packed in blocks of BLOCK_ROWS rows by hash, queries in blocks of QUERY_ROWS; each pair of blocks is a task's unit of work.
 
-1. Every block sends each query's k best entries of each part's list. The totals of the k best overall give a bound: the k-th
-   best total found is no more than the k-th best there is.
-2. The cutoff, that bound over the number of parts, goes to the query blocks, and each list sends all entries that reach it.
-   A candidate that none of the lists sends scores below the cutoff in each part, so less than the bound in all.
-3. Entries are summed by candidate; where a part is missing its most is just below the cutoff, and candidates that can't
-   reach the bound go. The rest have their scores resolved in their blocks, and the k best remain, ties to the smaller id.
+1. Every block sends each query's k best entries of each part's list, with their totals. The k-th best total found is a bound: it
+   is no more than the k-th best there is.
+2. The cutoff, that bound over the number of parts, goes to the query blocks, and each list gives all entries that reach it. A
+   candidate that none of the lists gives scores below the cutoff in each part, so less than the bound in all. Of the others a
+   missing part is at most just below the cutoff, and those that can't reach the bound with that go.
+3. The rest have their scores resolved. All lists of a block are in one task, so 2 and 3 are one step, and only the k best of each
+   query and block leave it. The k best of all remain, ties to the smaller id.
 
-Scores are of integers floor(1024 * component), exact in 64 bits.
+Scores are of integers floor(1024 * component), exact; beyond 64 bits they are held at the ends of the range.
 
 Defined cases: vectors that are null or empty or hold a null or non-finite component, and rows with a null id, take no part;
-vectors of different lengths are no candidates for each other; of rows with one id the least vector counts or, with
-every_row as in the query, each row does; rows with a query's id are not its candidates; with fewer candidates than k all are returned; an empty table gives an empty table.
+vectors of different lengths are no candidates for each other; rows that share an id are each a candidate and a query, and the k best
+of all queries of an id are its result; rows with a query's id are not its candidates; with fewer candidates than k all are
+returned; very long vectors are split in parts like any other; other columns are left out, whatever their names; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,22 +34,19 @@ from .common import written
 
 SCALE, K, PARTS = 1024, 10, 2
 BLOCK_ROWS, QUERY_ROWS = 4096, 1024
-#: Beyond this size of components float64 sums of products may not be exact, and slower integer products are used.
-EXACT = 1 << 22
+#: Queries of a block that meet its candidates at a time.
+AT_ONCE = 128
 FOUND = "query_row bigint, part int, row bigint, partial bigint, total bigint"
+SCORED = "query_id bigint, vec_id bigint, score bigint, copies bigint"
 
 
-def _ready(df: DataFrame, id_col: str, vector_col: str, every_row: bool) -> DataFrame:
+def _ready(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v, copies, dim, row) of the vectors that take part: equal rows are one with their number, and row tells all apart."""
     x = F.col(vector_col)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     ints = F.transform(x, lambda c: F.floor(c.cast("double") * SCALE))
     fit = df.filter(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.coalesce(finite, F.lit(False)))
-    rows = fit.select(F.col(id_col).cast("bigint").alias("vec_id"), ints.alias("v"))
-    if every_row:
-        kept = rows.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies"))
-    else:
-        kept = rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("copies", F.lit(1).cast("bigint"))
+    kept = fit.select(F.col(id_col).cast("bigint").alias("vec_id"), ints.alias("v")).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies"))
     return kept.select("*", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("row"))
 
 
@@ -65,9 +65,13 @@ def _matrix(members: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    if max(np.abs(x).max(initial=0), np.abs(y).max(initial=0)) < EXACT:
+    """x @ y.T: in float64 where all sums of products are exact in it, else in integers, else in integers of any size."""
+    most = x.shape[1] * max(1, -int(x.min(initial=0)), int(x.max(initial=0))) * max(1, -int(y.min(initial=0)), int(y.max(initial=0)))
+    if most < 2**53:
         return np.rint(x.astype(float) @ y.T.astype(float)).astype(np.int64)
-    return x @ y.T
+    if most < 2**61:
+        return x @ y.T
+    return np.clip(x.astype(object) @ y.T.astype(object), -(2**61), 2**61).astype(np.int64)
 
 
 def _cuts(dim: int) -> list[slice]:
@@ -75,61 +79,71 @@ def _cuts(dim: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """A batch, the row in it, some queries of that block (a slice), and for these and the candidates rows, ids and the parts' lists."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            (qr, qi, q), (cr, ci, c) = _matrix(batch.column("queries").slice(i, 1)), _matrix(batch.column("members").slice(i, 1))
+            for at in range(0, len(qi), AT_ONCE):
+                some = slice(at, at + AT_ONCE)
+                yield batch, i, some, (qr[some], qi[some]), (cr, ci), [_product(q[some, s], c[:, s]) for s in _cuts(q.shape[1])]
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest of each row; more if more are equal to the k-th."""
+    if scores.shape[1] <= k:
+        return np.nonzero(np.ones(scores.shape, bool))
+    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    return np.nonzero(scores >= least[:, None])
+
+
+_NONE = np.iinfo(np.int64).min
+
+
 def _local_best(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                (qr, qi, q), (cr, ci, c) = _matrix(batch.column("queries").slice(i, 1)), _matrix(batch.column("members").slice(i, 1))
-                partials = [_product(q[:, s], c[:, s]) for s in _cuts(q.shape[1])]
-                total = sum(partials)
-                for part, scores in enumerate(partials):
-                    scores = np.where(qi[:, None] == ci[None, :], np.iinfo(np.int64).min + 1, scores)  # negated, the least of all would come first
-                    best = np.argpartition(-scores, min(k, len(ci)) - 1, axis=1)[:, :k] if len(ci) > k else np.tile(np.arange(len(ci)), (len(qi), 1))
-                    row = np.repeat(np.arange(len(qi)), best.shape[1])
-                    col = best.ravel()
-                    other = qi[row] != ci[col]
-                    row, col = row[other], col[other]
-                    yield pa.record_batch([pa.array(qr[row]), pa.array(np.full(len(row), part, np.int32)), pa.array(cr[col]), pa.array(partials[part][row, col]), pa.array(total[row, col])], ["query_row", "part", "row", "partial", "total"])
+        for _, _, _, (qr, qi), (cr, ci), lists in _pairs(batches):
+            own = qi[:, None] == ci[None, :]
+            for part, scores in enumerate(lists):
+                held = np.where(own, _NONE, scores)
+                best = np.argpartition(held, max(len(ci) - k, 0), axis=1)[:, -k:]
+                row, col = np.repeat(np.arange(len(qi)), best.shape[1]), best.ravel()
+                row, col = (x[held[row, col] != _NONE] for x in (row, col))
+                total = sum(x[row, col] for x in lists)
+                yield pa.record_batch([pa.array(qr[row]), pa.array(np.full(len(row), part, np.int32)), pa.array(cr[col]), pa.array(scores[row, col]), pa.array(total)], ["query_row", "part", "row", "partial", "total"])
 
     return run
 
 
-def _reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            (qr, qi, q), (cr, ci, c) = _matrix(batch.column("queries").slice(i, 1)), _matrix(batch.column("members").slice(i, 1))
-            bounds = {b["query_row"]: b["bound"] for b in batch.column("bounds")[i].as_py()}
+def _resolved(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i, some, (qr, qi), (cr, ci), lists in _pairs(batches):
+            told = batch.column("bounds").slice(i, 1).flatten()
+            bounds = dict(zip(told.field("query_row").to_pylist(), told.field("bound").to_pylist(), strict=True))
             known = np.array([x in bounds for x in qr.tolist()])
             bound = np.array([bounds.get(x, 0) for x in qr.tolist()], np.int64)
-            least = np.where(known, -(-bound // PARTS), np.iinfo(np.int64).min)
-            for part, s in enumerate(_cuts(q.shape[1])):
-                scores = _product(q[:, s], c[:, s])
-                row, col = np.nonzero((scores >= least[:, None]) & (qi[:, None] != ci[None, :]))
-                names = ["dim", "qb", "block"]
-                where = [pa.array(np.full(len(row), batch.column(n)[i].as_py(), np.int32)) for n in names]
-                entries = [pa.array(qr[row]), pa.array(np.full(len(row), part, np.int32)), pa.array(cr[col]), pa.array(scores[row, col]), pa.array(least[row])]
-                yield pa.record_batch(entries + where, ["query_row", "part", "row", "partial", "least", *names])
-
-
-def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            (qr, qi, q), (cr, ci, c) = _matrix(batch.column("queries").slice(i, 1)), _matrix(batch.column("members").slice(i, 1))
-            asked = batch.column("asked").slice(i, 1).flatten()
-            x, y = (np.searchsorted(rows, asked.field(f).to_numpy(zero_copy_only=False)) for f, rows in (("query_row", qr), ("row", cr)))
-            qn, cn = (batch.column(n).slice(i, 1).flatten().field("copies").to_numpy(zero_copy_only=False) for n in ("queries", "members"))
-            score = np.empty(len(x), np.int64)
-            for at in range(0, len(x), 100_000):
-                cut = slice(at, at + 100_000)
-                score[cut] = (q[x[cut]] * c[y[cut]]).sum(axis=1)
-            yield pa.record_batch([pa.array(qi[x]), pa.array(ci[y]), pa.array(score), pa.array(qn[x] * cn[y])], ["query_id", "vec_id", "score", "copies"])
+            least = -(-bound // PARTS)
+            reach = [x >= least[:, None] for x in lists]
+            most = sum(np.where(r, x, least[:, None] - 1) for r, x in zip(reach, lists, strict=True))
+            open_ = (np.logical_or.reduce(reach) & (most >= bound[:, None])) | ~known[:, None]
+            held = np.where(open_ & (qi[:, None] != ci[None, :]), sum(lists), _NONE)
+            row, col = _best(held, k)
+            row, col = (x[held[row, col] != _NONE] for x in (row, col))
+            # Of equal scores the smaller ids first, and no more than k.
+            order = np.lexsort((ci[col], -held[row, col], row))
+            row, col = row[order], col[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[nth < k], col[nth < k]
+            qn = batch.column("queries").slice(i, 1).flatten().field("copies").to_numpy(zero_copy_only=False)[some]
+            cn = batch.column("members").slice(i, 1).flatten().field("copies").to_numpy(zero_copy_only=False)
+            yield pa.record_batch([pa.array(qi[row]), pa.array(ci[col]), pa.array(held[row, col]), pa.array(qn[row] * cn[col])], ["query_id", "vec_id", "score", "copies"])
 
+    return run
 
-def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every_row: bool = False) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best other rows for each id where is_query (over the id column) holds.
 
-    every_row: rows that share an id are each a candidate and a query, and the k best of all queries of an id are its result."""
-    vectors = written(_ready(df, id_col, vector_col, every_row), "topk-vectors")
+def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k best other rows for each id where is_query (over the id column) holds."""
+    vectors = written(_ready(df, id_col, vector_col), "topk-vectors")
     blocks = written(_blocks(vectors, BLOCK_ROWS, "block"), "topk-blocks")
     asked = vectors.withColumnRenamed("vec_id", id_col).filter(is_query).withColumnRenamed(id_col, "vec_id")
     queries = _blocks(asked, QUERY_ROWS, "qb").select(F.col("dim").alias("qdim"), "qb", F.col("members").alias("queries"))
@@ -147,26 +161,15 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: s
     told = queries.join(of_block, (F.col("qdim") == F.col("bdim")) & (F.col("qb") == F.col("bqb")), "left").drop("bdim", "bqb")
     told = told.withColumn("bounds", F.coalesce("bounds", F.array().cast("array<struct<query_row:bigint,bound:bigint>>")))
     again = blocks.join(told, F.col("dim") == F.col("qdim")).drop("qdim").repartition("dim", "block", "qb")
-    sent = again.mapInArrow(_reaching, "query_row bigint, part int, row bigint, partial bigint, least bigint, dim int, qb int, block int")
-    summed = sent.groupBy("query_row", "row", "dim", "qb", "block", "least").agg(F.sum("partial").alias("known"), F.count(F.lit(1)).alias("parts"))
-    low = F.col("least") == F.lit(-(2**63))
-    most = F.col("known") + (PARTS - F.col("parts")) * (F.col("least") - 1)
-    rest = summed.join(bounds.select(F.col("query_row").alias("bq"), "bound"), F.col("query_row") == F.col("bq"), "left")
-    rest = rest.filter(low | F.col("bound").isNull() | (most >= F.col("bound")))
-    lists = rest.groupBy(F.col("dim").alias("ldim"), F.col("qb").alias("lqb"), F.col("block").alias("lblock")).agg(F.collect_list(F.struct("query_row", "row")).alias("asked"))
-    exact = lists.join(blocks, (F.col("ldim") == F.col("dim")) & (F.col("lblock") == F.col("block"))).drop("dim", "block")
-    exact = exact.join(queries, (F.col("ldim") == F.col("qdim")) & (F.col("lqb") == F.col("qb"))).select("queries", "members", "asked")
-    scored = exact.mapInArrow(_resolved, "query_id bigint, vec_id bigint, score bigint, copies bigint")
     rank = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = lambda rows: rows.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
-    found = ranked(scored)
-    if every_row:
-        found = ranked(found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("copies", F.lit(k).cast("bigint"))))))
-    return found.select("query_id", "rank", "vec_id", "score")
+    found = ranked(again.mapInArrow(_resolved(k), SCORED))
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("copies", F.lit(k).cast("bigint"))))
+    return ranked(found.withColumn("copy", copies)).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_topk(spark, sf_dir: str) -> DataFrame:
-    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, every_row=True)
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
 
 OP10_SQL = """

@@ -9,16 +9,11 @@ DATA = "/root/testdata/sf0.01"
 
 
 def brute(rows, k=10, every=100):
-    by_id = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            w = [math.floor(1024 * x) for x in v]
-            by_id[i] = min(by_id.get(i, w), w)
+    known = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, x in by_id.items():
-        if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(x, y)), c) for c, y in by_id.items() if c != q and len(x) == len(y))
-            out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scored[:k])]
+    for q in {i for i, _ in known if i % every == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(x, y)), c) for i, x in known if i == q for c, y in known if c != q and len(x) == len(y))
+        out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scored[:k])]
     return sorted(out)
 
 
@@ -38,3 +33,22 @@ def test_odd_rows(spark):
     got = sorted(map(tuple, T.top_k(df, F.col("vec_id") % 100 == 0).collect()))
     assert got == brute(rows)
     assert T.top_k(df.limit(0), F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_long_vectors_and_large_components(spark):
+    import random
+
+    dice = random.Random(2)
+    # sums beyond 53 bits, in more components than a float64 would be exact for
+    rows = [(i, [dice.uniform(-3000, 3000) for _ in range(700)]) for i in range(0, 300, 20)] + [(i, [dice.uniform(-1e6, 1e6) for _ in range(3)]) for i in range(1, 300, 33)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, T.top_k(df, F.col("vec_id") % 100 == 0).collect())) == brute(rows)
+
+
+def test_products_keep_their_integers():
+    import numpy as np
+
+    for size, dim in ((2**20, 600), (2**26, 300), (2**29, 8)):
+        x = np.array([[size - 1] * dim, [-size] * dim])
+        assert T._product(x, x).tolist() == [[dim * a * b for b in (size - 1, -size)] for a in (size - 1, -size)]
+    assert T._product(np.array([[2**40]]), np.array([[2**40]])).tolist() == [[2**61]]
