@@ -10,10 +10,13 @@ blocks; two fingerprints within RADIUS agree in one block up to RADIUS // BLOCKS
 value within that, and one equality join finds all pairs within the radius. Pairs at the threshold of 0.75 lie some 11 bits
 apart. Those found are verified on the shingles themselves.
 
-The item tables are broadcast only while they have at most BROADCAST_ROWS rows; beyond that the joins shuffle.
+The item tables are broadcast only while they have at most BROADCAST_ROWS rows and BROADCAST_BYTES bytes; beyond that the joins
+shuffle.
 
 Defined cases: words are lower-cased; null and empty texts and items match nothing; an item of fewer than five words is one
-shingle; rows with one id and text are reported once; empty tables give an empty table.
+shingle; rows with one id and text are reported once, also where the id is null; of windows that are alike the first counts; very long
+texts are read whole, and the work on them grows with their length times that of the items they share shingles with; other columns
+are left out, or by drop_contaminated kept, whatever their names; empty tables give an empty table.
 """
 
 from __future__ import annotations
@@ -27,14 +30,20 @@ from .common import fresh, word_list, written
 
 SHINGLE, PERCENT = 5, 75
 BLOCKS, BLOCK_BITS, RADIUS = 8, 8, 23
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64_000_000
 #: All changes of up to RADIUS // BLOCKS bits of a block.
 CHANGES = sorted(sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(BLOCK_BITS), n))
 
 
-def _checked(df: DataFrame) -> DataFrame:
+def _small(df: DataFrame, size: Column) -> bool:
+    """Whether df is small enough to be broadcast. size: of each row, in bytes."""
+    rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and total <= BROADCAST_BYTES
+
+
+def _checked(df: DataFrame, size: Column) -> DataFrame:
     """df to be broadcast, if it is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if _small(df, size) else df
 
 
 def _once(value: Column) -> Column:
@@ -84,15 +93,18 @@ def _block(value: Column, b: int) -> Column:
 def _common_weight(x: Column, y: Column) -> Column:
     """The sum of the smaller number of occurrences, over the distinct members."""
     times = lambda a, v: F.size(F.filter(a, lambda u: u == v))
-    return F.aggregate(F.array_distinct(x), F.lit(0), lambda total, v: total + F.least(times(x, v), times(y, v)))
+    plain = lambda a: F.size(F.array_distinct(a)) == F.size(a)
+    return F.when(plain(x) | plain(y), F.size(F.array_intersect(x, y))).otherwise(F.aggregate(F.array_distinct(x), F.lit(0), lambda total, v: total + F.least(times(x, v), times(y, v))))
 
 
 def _of_size(docs: DataFrame, items: DataFrame, k: int, planes: int) -> DataFrame:
     """Matches of the items whose shingles have k words: (id, text_key, item_id, start, words, similarity)."""
     hashed = items.select("item_id", "n", "words", _hashes(F.col("words"), k).alias("hashes"))
-    anchors = _checked(hashed.select("n", F.explode("hashes").alias("anchor")).distinct())
+    anchors = hashed.select("n", F.explode("hashes").alias("anchor")).distinct()
+    narrow = _small(anchors, F.lit(12))
+    anchors = F.broadcast(anchors) if narrow else anchors
     runs = docs.select("id", "text_key", "words", F.posexplode(_hashes(F.col("words"), k)).alias("start", "hash"))
-    if anchors.count() <= BROADCAST_ROWS:  # the words of a text stay where they are, and only windows leave the scan
+    if narrow:  # the words of a text stay where they are, and only windows leave the scan
         found = runs.join(anchors, F.col("hash") == F.col("anchor"))
     else:
         hits = runs.select("id", "text_key", "start", "hash").join(anchors, F.col("hash") == F.col("anchor")).select("id", "text_key", "start", "n")
@@ -106,7 +118,7 @@ def _of_size(docs: DataFrame, items: DataFrame, k: int, planes: int) -> DataFram
     filed = F.explode(F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("item_print"), b).alias("value")) for b in range(BLOCKS))))
     change = F.explode(F.array(*map(F.lit, CHANGES))).alias("change")
     filed = printed.select(F.col("item_key").alias("filed_key"), F.col("n").alias("m"), "item_print", filed.alias("at")).select("*", change)
-    filed = _checked(filed.select("filed_key", "m", "item_print", F.col("at.block").alias("b"), F.col("at.value").bitwiseXOR(F.col("change")).alias("v")))
+    filed = _checked(filed.select("filed_key", "m", "item_print", F.col("at.block").alias("b"), F.col("at.value").bitwiseXOR(F.col("change")).alias("v")), F.lit(32))
 
     looked = F.explode(F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("print"), b).alias("value")) for b in range(BLOCKS))))
     apart = F.col("print").bitwiseXOR(F.col("item_print"))
@@ -114,7 +126,7 @@ def _of_size(docs: DataFrame, items: DataFrame, k: int, planes: int) -> DataFram
     near = windows.select("*", looked.alias("at")).join(filed, (F.col("n") == F.col("m")) & (F.col("at.block") == F.col("b")) & (F.col("at.value") == F.col("v")))
     near = near.filter((F.bit_count(apart) <= RADIUS) & (first == F.col("b"))).select("id", "text_key", "start", "window", "filed_key")
 
-    exact = near.join(_checked(printed.select("item_id", "item_key", "item")), F.col("filed_key") == F.col("item_key"))
+    exact = near.join(_checked(printed.select("item_id", "item_key", "item"), F.octet_length(F.array_join("item", " ")) + 16 * F.size("item")), F.col("filed_key") == F.col("item_key"))
     exact = exact.select("*", _once(F.struct(_shingles(F.col("window"), k).alias("x"), _shingles(F.col("item"), k).alias("y"))).alias("s")).select("*", "s.x", "s.y")
     exact = exact.select("id", "text_key", "item_id", "start", F.size("window").alias("words"), _common_weight(F.col("x"), F.col("y")).alias("common"), (F.size("x") + F.size("y")).alias("both"))
     exact = exact.filter(100 * F.col("common") >= PERCENT * (F.col("both") - F.col("common")))
