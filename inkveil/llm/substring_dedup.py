@@ -10,8 +10,9 @@ spreads over other buckets. Equal packed strings of a batch are packed once with
 copies costs a batch one string. The number of buckets follows the measured volume.
 
 Defined cases: a null or empty text has no words, and yields an empty text; null ids are ids like others; repeated rows
-(same id, same text) are texts of their own, so all their windows repeat; an empty table gives an empty table; other
-columns are passed on, and columns named as an added one are replaced.
+(same id, same text) are texts of their own, so all their windows repeat; a very long text goes through like others, its windows over
+many buckets; an empty table gives an empty table; other columns are passed on, whatever their names, and columns named as an added
+one are replaced.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ HOT_SHARE = 1 / 20_000
 BUCKET_BYTES = 2_000_000
 #: Bytes of text whose packed strings a task gathers before it sends them off.
 PACK_BYTES = 8_000_000
+#: Bytes of packed strings to a task that counts, on average, where that needs more tasks than shuffles have partitions.
+TASK_BYTES = 256_000_000
 _TOP = np.uint64(1 << 63)
 PARTS = "bucket int, ids array<bigint>, text_keys array<bigint>, starts array<int>, places array<int>, packed binary"
 
@@ -67,23 +70,32 @@ def _super_kmers(words: Words, window: int, mer: int, hot: np.ndarray) -> tuple[
 def _heavy(df: DataFrame, window: int, mer: int) -> tuple[np.ndarray, int]:
     """The word runs to demote, sorted, and the bytes that all packed strings have.
 
-    A run with more than a share of HOT_SHARE of all has half of that share in batches that hold enough of it to be listed,
-    so the list is complete; and it has at most 2 / HOT_SHARE entries."""
+    Each task sums up its runs in a list of at most `listed`, from which it takes as much from each count as keeps it that short: no
+    count is then too small by more than a 1 / listed of all. So every run of more than HOT_SHARE has half of that share at least,
+    and at most `listed` runs have that."""
+    listed = int(2 / HOT_SHARE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.uint64)
+        values, sums, total, size = none, np.empty(0, np.int64), 0, 0
         for batch in batches:
-            found, total, size = [], 0, 0
+            found = []
             for piece in pieces(batch):
                 words = Words(piece.column("text"))
                 _, first, windows, value = _super_kmers(words, window, mer, none)
                 found.append(value)
                 total += len(value)
                 size += int((words.end[first + windows + window - 2] - words.start[first]).sum()) if len(first) else 0
-            values, n = np.unique(np.concatenate(found) if found else none, return_counts=True)
-            often = (n > 1) & (n > total * HOT_SHARE / 2)
-            yield pa.record_batch([pa.array([-1, -2]), pa.array([total, size])], ["mer", "n"])
-            yield pa.record_batch([pa.array(values[often].astype(np.int64)), pa.array(n[often].astype(np.int64))], ["mer", "n"])
+            more, n = np.unique(np.concatenate([none, *found]), return_counts=True)
+            values, where = np.unique(np.concatenate([values, more]), return_inverse=True)
+            sums = np.bincount(where, np.concatenate([sums, n]), len(values)).astype(np.int64)
+            if len(values) > listed:
+                sums = sums - np.partition(sums, len(sums) - listed - 1)[len(sums) - listed - 1]
+                values, sums = values[sums > 0], sums[sums > 0]
+        if total > listed:  # by what a single one adds, no count is wrong by more than said
+            values, sums = values[sums > 1], sums[sums > 1]
+        yield pa.record_batch([pa.array([-1, -2]), pa.array([total, size])], ["mer", "n"])
+        yield pa.record_batch([pa.array(values.astype(np.int64)), pa.array(sums)], ["mer", "n"])
 
     sums = df.select("text").mapInArrow(count, "mer bigint, n bigint").groupBy("mer").agg(F.sum("n").alias("n"))
     sums = sums.persist()
@@ -223,6 +235,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     hot, size = _heavy(base, window, mer)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(partitions, size // TASK_BYTES)
     buckets = max(partitions, min(2**31 - 1, size // BUCKET_BYTES))
     parts = _packed(base, window, mer, spark.sparkContext.broadcast(hot), buckets)
     spans = _counted(parts, window, partitions).groupBy("id", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
