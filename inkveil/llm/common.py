@@ -49,6 +49,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys of more than this share of all rows, and of HOT_ROWS rows at least, are joined by broadcast: there can be few of them.
+HOT_SHARE, HOT_ROWS = 1 / 50_000, 1000
+
+
+def joined_by_key(rows: DataFrame, keys: DataFrame, key: str, own: str, members: str, total: int) -> DataFrame:
+    """rows with the columns of keys, one for each key (column `own`) with its number of rows (column `members`), of `total` in all.
+
+    Rows of a hot key stay where they are and meet a broadcast table of the hot keys, of which there are at most 1 / HOT_SHARE."""
+    hot = F.col(members) > max(HOT_ROWS, int(total * HOT_SHARE))
+    few, same = F.broadcast(keys.filter(hot)), F.col(key) == F.col(own)
+    return rows.join(few, same).unionByName(rows.join(few.select(own), same, "left_anti").join(keys.filter(~hot), same))
+
+
 def fresh(columns: list[str], name: str) -> str:
     """name, with underscores before it until no column has it."""
     taken = {c.lower() for c in columns}

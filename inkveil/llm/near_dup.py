@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLACE, Words, fresh, mix, pieces, run_hashes, written
+from .common import PLACE, Words, fresh, joined_by_key, mix, pieces, run_hashes, written
 from .components import components
 
 SHINGLE = 5
@@ -149,12 +149,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select("a", "b", "ta", "tb").mapInArrow(confirm, "a binary, b binary")
 
 
-def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _open_members(members: DataFrame, labels: DataFrame, total: int) -> DataFrame:
     """(key, node, component, members) of the buckets whose members are in different components."""
     lab = labels.select(F.col("node").alias("n"), "component")
     known = members.join(lab, F.col("node") == F.col("n")).select("key", "node", "component")
     stats = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"))
-    return known.join(stats.filter("lo != hi").select(F.col("key").alias("k"), "members"), F.col("key") == F.col("k")).drop("k")
+    return joined_by_key(known, stats.filter("lo != hi").select(F.col("key").alias("k"), "members"), "key", "k", "members", total).drop("k")
 
 
 def _paired(small: DataFrame) -> DataFrame:
@@ -251,8 +251,10 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = written(classes, "near-classes")
 
     banded = classes.select(F.explode("bands").alias("key"), F.col("digest").alias("node"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1").select(F.col("key").alias("k"), "centre")
-    starred = written(banded.join(buckets, F.col("key") == F.col("k")).select("key", "node", "centre"), "near-buckets")
+    buckets = banded.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1").select(F.col("key").alias("k"), "centre", "members")
+    total = classes.count() * (HASHES // BAND_ROWS)
+    starred = joined_by_key(banded, written(buckets, "near-keys"), "key", "k", "members", total).select("key", "node", "centre")
+    starred = written(starred, "near-buckets")
     members, stars = starred.select("key", "node"), starred.filter("node != centre")
     nodes = written(starred.select("node").distinct(), "near-nodes")
     met = written(classes.join(nodes, F.col("digest") == F.col("node"), "left_semi").select("digest", "pick", "signature", "size"), "near-met")
@@ -266,7 +268,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not links.isEmpty():
         labels = written(_merged(labels, links), "near-labels")
 
-    left = written(_open_members(members, labels), "near-open")
+    left = written(_open_members(members, labels, total), "near-open")
     fresh_pairs = _paired(left.filter(F.col("members") <= PAIRED)).join(pairs, ["a", "b"], "left_anti")
     links = _confirmed(_survivors(fresh_pairs, met), texts)
     large = left.filter(F.col("members") > PAIRED)
