@@ -127,6 +127,21 @@ def fold(items: Column, start: dict[str, Column], step: Callable[[Column, Column
     return F.aggregate(blocks, zero, block, lambda done: state(lambda n: done[n], F.flatten(done["out"])))
 
 
+def bound(value: str, name: str, use: str) -> str:
+    """SQL: use, in which name stands for value, computed once."""
+    return f"get(transform(array({value}), {name} -> {use}), 0)"
+
+
+def fold_sql(items: str, start: dict[str, str], changes: dict[str, str], out: str, nothing: str) -> str:
+    """fold in SQL, of a variable with an array: changes and out are of the state d and an item x; nothing is an empty array."""
+    state = lambda of, out: f"named_struct({', '.join(f'{n!r}, {of(n)}' for n in start)}, 'out', {out})"
+    step = f"(d, x) -> {state(lambda n: changes.get(n, f'd.{n}'), f'concat(d.out, {out})')}"
+    inner = f"aggregate(part, {state(lambda n: f'done.{n}', nothing)}, {step})"
+    block = f"(done, part) -> {bound(inner, 'made', state(lambda n: f'made.{n}', 'array_append(done.out, made.out)'))}"
+    blocks = f"transform(sequence(0, cast(greatest(size({items}) - 1, 0) div {BLOCK} AS int)), b -> slice({items}, b * {BLOCK} + 1, {BLOCK}))"
+    return f"aggregate({blocks}, {state(lambda n: start[n], f'slice(array({nothing}), 1, 0)')}, {block}, done -> {state(lambda n: f'done.{n}', 'flatten(done.out)')})"
+
+
 def no_spans() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 

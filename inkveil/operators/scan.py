@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.script import QUOTED, SWITCH_CASES, string_literals
-from ..functions.spans import MATCH, Pattern, as_spans, fold, hits_sql, let, matches, matches_of, no_spans, once, overlap
+from ..functions.spans import MATCH, Pattern, as_spans, bound, fold_sql, hits_sql, let, mapped, matches, matches_of, no_spans, once, overlap
 from .detectors import Detector, registry
 
 DEFAULT_TEMPLATE = "[{TYPE}_{INDEX}]"
@@ -95,6 +95,17 @@ def _greedy(cluster: Column) -> Column:
     return F.transform(F.array_sort(F.transform(kept, lambda k: F.struct(k["start"].alias("at"), k.alias("k")))), lambda o: o["k"])
 
 
+_APART = "x.at >= d.end"
+#: Of candidates by start: those that touch each other, directly or through others, as arrays.
+_CLUSTERS = bound(
+    fold_sql(
+        "placed", {"end": "-1", "open": "slice(placed, 1, 0)"}, {"end": "greatest(d.end, x.until)", "open": f"if({_APART}, array(x), concat(d.open, array(x)))"},
+        f"if({_APART} AND size(d.open) > 0, array(d.open), slice(array(placed), 1, 0))", "slice(array(placed), 1, 0)",
+    ),
+    "s", "concat(s.out, array(s.open))",
+)
+
+
 def resolve(found: Column, tidy: Callable[[Column], Column] | None = None, shield: Callable[[Column], Column] | None = None) -> Column:
     """Greedy: by priority, confidence and length (all descending), start and order; kept if no kept one overlaps. By start.
 
@@ -116,41 +127,32 @@ def resolve(found: Column, tidy: Callable[[Column], Column] | None = None, shiel
     def longest(cluster: Column) -> Column:
         return F.filter(cluster, lambda a: ~tidy(a["c"]) | ~F.exists(cluster, lambda b: gone(a, b))) if tidy else cluster
 
-    def swept(placed: Column) -> Column:
-        nothing = F.slice(F.array(placed), 1, 0)
-
-        def step(done: Column, x: Column) -> tuple[dict[str, Column], Column]:
-            apart = x["at"] >= done["end"]
-            changed = {"end": F.greatest(done["end"], x["until"]), "open": F.when(apart, F.array(x)).otherwise(F.concat(done["open"], F.array(x)))}
-            return changed, F.when(apart & (F.size(done["open"]) > 0), F.array(done["open"])).otherwise(nothing)
-
-        return let(fold(placed, {"end": F.lit(-1), "open": F.slice(placed, 1, 0)}, step, nothing), lambda s: F.concat(s["out"], F.array(s["open"])))
-
     placed = F.array_sort(F.transform(found, lambda c, i: F.struct(c["start"].alias("at"), c["end"].alias("until"), i.alias("i"), c.alias("c"))))
     one = lambda cl: F.transform(cl, lambda x: x["c"])
-    kept = F.flatten(F.transform(let(placed, swept), lambda cl: F.when(F.size(cl) > 1, let(longest(cl), best)).otherwise(one(cl))))
+    clusters = F.get(mapped(F.array(placed), f"placed -> {_CLUSTERS}"), F.lit(0))
+    kept = F.flatten(F.transform(clusters, lambda cl: F.when(F.size(cl) > 1, let(longest(cl), best)).otherwise(one(cl))))
     return F.filter(kept, lambda c: ~shield(c)) if shield else kept
 
 
+_AGAIN = "d.label <=> x.label AND d.key <=> x.key"
+_NUMBER = "CASE WHEN NOT (d.label <=> x.label) THEN 1 WHEN d.first = x.first THEN d.n ELSE d.n + 1 END"
+_FIRSTS = fold_sql(
+    "sorted", {"label": "cast(null AS string)", "key": "cast(null AS string)", "first": "-1"}, {"label": "x.label", "key": "x.key", "first": f"if({_AGAIN}, d.first, x.i)"},
+    f"array(named_struct('label', x.label, 'first', if({_AGAIN}, d.first, x.i), 'i', x.i))", "cast(array() AS array<struct<label:string,first:int,i:int>>)",
+)
+_COUNTED = fold_sql(
+    "sorted", {"label": "cast(null AS string)", "first": "-1", "n": "0"}, {"label": "x.label", "first": "x.first", "n": _NUMBER},
+    f"array(named_struct('i', x.i, 'n', {_NUMBER}))", "cast(array() AS array<struct<i:int,n:int>>)",
+)
+_INDEXES = f"""keys -> transform(array_sort({bound(
+    f"array_sort({bound("array_sort(transform(keys, (x, i) -> named_struct('label', x.label, 'key', x.key, 'i', i)))", 'sorted', _FIRSTS)}.out)", 'sorted', _COUNTED)}.out), x -> x.n)"""
+
+
 def indexes(keys: Column) -> Column:
-    """Of an array of struct<label, key>, the number of each within its label, by first occurrence of its key."""
-    place = lambda k, i: F.struct(k["label"].alias("label"), k["key"].alias("key"), i.alias("i"))
-    first = "struct<label:string,first:int,i:int>"
-
-    def run(done: Column, k: Column) -> tuple[dict[str, Column], Column]:
-        again = done["label"].eqNullSafe(k["label"]) & done["key"].eqNullSafe(k["key"])
-        at = F.when(again, done["first"]).otherwise(k["i"])
-        return {"label": k["label"], "key": k["key"], "first": at}, F.array(F.struct(k["label"].alias("label"), at.alias("first"), k["i"].alias("i")))
-
-    def count(done: Column, k: Column) -> tuple[dict[str, Column], Column]:
-        within = done["label"].eqNullSafe(k["label"])
-        n = F.when(~within, F.lit(1)).when(done["first"] == k["first"], done["n"]).otherwise(done["n"] + 1)
-        return {"label": k["label"], "first": k["first"], "n": n}, F.array(F.struct(k["i"].alias("i"), n.alias("n")))
-
-    none = F.lit(None).cast("string")
-    firsts = fold(F.array_sort(F.transform(keys, place)), {"label": none, "key": none, "first": F.lit(-1)}, run, first)["out"]
-    counted = fold(F.array_sort(firsts), {"label": none, "first": F.lit(-1), "n": F.lit(0)}, count, "struct<i:int,n:int>")["out"]
-    return F.transform(F.array_sort(counted), lambda x: x["n"])
+    """Of an array of struct<label, key>, the number of each within its label, by first occurrence of its key.
+
+    Sorted by label and key, each run's first place is known; by label and first place, runs are counted; then back in order."""
+    return F.get(mapped(F.array(keys), _INDEXES), F.lit(0))
 
 
 _CANDIDATE = "struct<rule:int,priority:int,p:int,start:int,end:int,value:string,before:string,after:string,confidence:int>"

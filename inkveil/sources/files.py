@@ -35,15 +35,36 @@ def decode(raw: bytes | None) -> str | None:
     return raw.decode("utf-16-le" if head and head.count(0) > len(head) / 4 else "utf-8", "replace")
 
 
+def _plain(content: Column) -> Column:
+    """The text of bytes that have no UTF-16 mark, few NULs and are valid UTF-8, natively; null for others."""
+    head = F.substring(content, 1, PROBE_BYTES)
+    bytes_ = F.decode(head, "ISO-8859-1")  # a character for each byte
+    nuls = F.length(bytes_) - F.length(F.replace(bytes_, F.lit("\u0000"), F.lit("")))
+    wide = F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF")
+    marked = F.hex(F.substring(content, 1, 3)) == "EFBBBF"
+    body = F.when(marked, F.substring(content, F.lit(4), F.octet_length(content))).otherwise(content)
+    return F.when(~wide & (marked | (nuls <= F.octet_length(head) / 4)), F.try_validate_utf8(body.cast("string")))
+
+
 def with_text(files: DataFrame, content_col: str = "content") -> DataFrame:
-    """files with text, decoded in Arrow batches."""
+    """files with text. Valid UTF-8 is decoded natively; Python workers see only what isn't, as bytes that are decoded with
+    replacements, in Arrow batches."""
 
     @F.pandas_udf("string")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(decode)
 
-    return files.withColumn("text", decoded(F.col(content_col)))
+    plain, rest = fresh_name(files.columns, "plain"), fresh_name(files.columns, "rest")
+    out = files.withColumn(plain, _plain(F.col(content_col)))
+    out = out.withColumn(rest, F.when(F.col(plain).isNull(), F.col(content_col)))
+    return out.withColumn("text", F.coalesce(F.col(plain), decoded(F.col(rest)))).drop(plain, rest)
+
+
+def fresh_name(columns: list[str], name: str) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:

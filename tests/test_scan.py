@@ -140,6 +140,15 @@ def test_files(spark, tmp_path):
     assert files.decode("hi".encode("utf-16")) == "hi" and files.decode(b"\xfe\xff\x00h") == "h" and files.decode(None) is None
 
 
+def test_decoding_is_alike_in_both_ways(spark):
+    """Native for valid UTF-8, Python for the rest: all as the function for one value has it."""
+    cases = [b"", b"plain", "é😀".encode(), b"\xef\xbb\xbfmarked \xc3\xa9", b"\xef\xbb\xbfbad \xff", b"\xff\xfea\x00b\x00", b"\xfe\xff\x00a", "wide text".encode("utf-16-le"), b"a\x00b", b"bad \xc3(", b"odd\xff\xfe", b"\x10\x01" * 9, None]
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, content binary").selectExpr("*", "1 as plain", "2 as rest")
+    made = files.with_text(rows)
+    assert made.columns == ["i", "content", "plain", "rest", "text"]
+    assert {r.i: r.text for r in made.collect()} == {i: files.decode(c) for i, c in enumerate(cases)}
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "a@b.example"), (2, None)], SCHEMA).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
