@@ -4,6 +4,11 @@ Quality: documents that the classifier rejects go. Near-dedup: one document of e
 passages are cut out; a document of which nothing is left goes, others keep their text as it was if nothing was removed.
 Decontamination: documents with a benchmark passage go. Mixing: documents are repeated or left out so that sources meet their
 targets; column `copy` tells copies apart.
+
+Defined cases, of every stage: a null or empty text has no words, and such rows stay, though the mix takes none of what has no size;
+rows whose ids repeat or are null are rows of their own, and only copies and near copies go; of rows that tie the least stays, so
+that reruns agree; very long texts are read whole; an empty table, benchmark or list of labels gives stages that drop nothing for
+lack of it; further columns pass through, whatever their names, and if `copy` is taken that column is `_copy`.
 """
 
 from __future__ import annotations
@@ -20,28 +25,37 @@ from inkveil.llm.common import fresh, shared_dir
 REJECT_BELOW = 0.5
 
 
+def _apart(docs: DataFrame, *added: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns that an operator would replace under other names, and how to name them back."""
+    moved = {c: fresh([*docs.columns, *added], c) for c in docs.columns if c.lower() in added}
+    return docs.withColumnsRenamed(moved), {new: old for old, new in moved.items()}
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score_quality(docs, model)
-    return scored.filter(F.col("score") >= REJECT_BELOW).select(docs.columns)
+    own, back = _apart(docs, "score")
+    return quality.score_quality(own, model).filter(F.col("score") >= REJECT_BELOW).select(own.columns).withColumnsRenamed(back)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component one row: with the smallest id, null last, of these the least text hash, and of copies the least row.
 
     Rows without words are each a component and all stay."""
+    names, (docs, back) = docs.columns, _apart(docs, "n_shingles", "component_id", "kept")
     chosen = fresh(docs.columns, "chosen")
     found = near_dup.near_components(docs, chosen=chosen).filter(chosen)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     known = found.filter("n_shingles > 0").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias(chosen)).select("doc_id", "text", f"{chosen}.*")
-    return known.select(docs.columns).unionByName(found.filter("n_shingles = 0").select(docs.columns))
+    made = known.select(docs.columns).unionByName(found.filter("n_shingles = 0").select(docs.columns))
+    return made.withColumnsRenamed(back).select(names)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    names, (docs, back) = docs.columns, _apart(docs, "n_words", "n_removed", "kept_text")
     cut = substring_dedup.dedup_substrings(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     left = cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).withColumn("text", text)
-    return left.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    return left.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns).withColumnsRenamed(back).select(names)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +69,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     taken = mixed.select(F.struct("id", "text_key", "source", "copies").alias(there))
     keyed = docs.withColumn(key, F.xxhash64("text")).dropDuplicates(["doc_id", key, "source"])
     same = (F.col(key) == F.col(f"{there}.text_key")) & F.col("doc_id").eqNullSafe(F.col(f"{there}.id")) & F.col("source").eqNullSafe(F.col(f"{there}.source"))
-    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(f"{there}.copies"))).alias("copy")
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(f"{there}.copies"))).alias(fresh(docs.columns, "copy"))
     return keyed.join(taken, same).select(*docs.columns, copies)
 
 
