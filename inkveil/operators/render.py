@@ -101,16 +101,16 @@ def segment_rows(df: DataFrame, segments_col: str, id_col: str = "doc_id") -> Da
 def template_problem(template: str) -> str | None:
     """What is wrong with a placeholder template, or None."""
     if not template:
-        return "Template cannot be empty."
+        return "A template is needed."
     if len(template) > 40:
-        return "Template must be 40 characters or fewer."
+        return "A template has at most 40 characters."
     if not re.fullmatch(TEMPLATE_CHARACTERS, template):
-        return "Only letters, numbers, spaces, and _ - [ ] { } ( ) < > # : . are allowed."
+        return "A template has a character that it may not have."
     tokens = re.findall(r"\{([^{}]*)\}", template)
     if set(tokens) - {"TYPE", "INDEX"}:
-        return "Unknown token: only {TYPE} and {INDEX} are supported."
+        return "In braces there can be TYPE or INDEX only."
     if re.search(r"[{}]", re.sub(r"\{[^{}]*\}", "", template)):
-        return "Unmatched brace: braces may only form {TYPE} or {INDEX}."
+        return "A brace has no other end."
     return None
 
 

@@ -16,15 +16,15 @@ from .terms import REPLACEMENT, MappingEntry
 _RANK = {"high": 3, "medium": 2, "low": 1}
 MAX_WARNINGS, SNIPPET_RADIUS = 25, 30
 
-# Fixed values.
+# Patterns. The reasons are our own.
 PLACEHOLDER = r"\[[A-Z][A-Z0-9_]*(?:_\d+)?\]"
 WARNINGS = (
-    (rf"[pP]aram\s*\(\s*(?:\[[A-Za-z][\w.]*\]\s*)?\$?{PLACEHOLDER}", "A placeholder replaced a parameter name inside param(...)."),
-    (rf"\b(?:[fF]unction|[fF]ilter|[wW]orkflow|[cC]lass)\s+{PLACEHOLDER}", "A placeholder replaced a function name after the function keyword."),
-    (rf"\w\.{PLACEHOLDER}", "A placeholder replaced a property or member name (.[…] breaks member access)."),
-    (rf"\${PLACEHOLDER}", "A placeholder replaced a variable name ($[…] is not valid PowerShell)."),
-    (rf"{PLACEHOLDER}\s+-[A-Za-z][\w-]*\b", "A placeholder looks like a command followed by a parameter ([…] -Name)."),
-    (rf"\w{PLACEHOLDER}|{PLACEHOLDER}\w", "A placeholder was spliced into the middle of an identifier."),
+    (rf"[pP]aram\s*\(\s*(?:\[[A-Za-z][\w.]*\]\s*)?\$?{PLACEHOLDER}", "a parameter's name is gone"),
+    (rf"\b(?:[fF]unction|[fF]ilter|[wW]orkflow|[cC]lass)\s+{PLACEHOLDER}", "the name of what is declared is gone"),
+    (rf"\w\.{PLACEHOLDER}", "a member's name is gone"),
+    (rf"\${PLACEHOLDER}", "a variable's name is gone"),
+    (rf"{PLACEHOLDER}\s+-[A-Za-z][\w-]*\b", "a command's name is gone"),
+    (rf"\w{PLACEHOLDER}|{PLACEHOLDER}\w", "a part of a name is gone"),
 )
 ORGANIZATION_CUE = r"\b(?:health|healthcare|hospital|clinic|medical|care|group|systems?|solutions|services|technologies|software|consulting|partners|holdings|industries|enterprises|logistics|foundation|institute|university|college|academy|agency|council|authority|association|regional|centre|center|networks?|labs?|corp|corporation|inc|ltd|llc|company)\b"
 #: (pattern over the trimmed term, replacement, category), the first that fits.

@@ -113,11 +113,11 @@ def mapping_problem(entry: MappingEntry) -> str | None:
     term = entry.term.strip()
     needs = entry.strategy in ("code-only", "genericize")
     problems = (
-        (len(term) < MIN_TERM_LENGTH, "Term must be at least 2 characters."),
-        (len(term) > MAX_TERM_LENGTH, f"Term must be {MAX_TERM_LENGTH} characters or fewer."),
-        ("\n" in term or "\r" in term, "Term cannot contain line breaks."),
-        (bool(entry.replacement) and not re.fullmatch(REPLACEMENT, entry.replacement), "Replacement must be a plain identifier: letters, numbers, underscores, hyphens."),
-        (needs and not entry.replacement, "This strategy needs a replacement identifier (e.g. SourceSystem)."),
+        (len(term) < MIN_TERM_LENGTH, f"A term has at least {MIN_TERM_LENGTH} characters."),
+        (len(term) > MAX_TERM_LENGTH, f"A term has at most {MAX_TERM_LENGTH} characters."),
+        ("\n" in term or "\r" in term, "A term is on one line."),
+        (bool(entry.replacement) and not re.fullmatch(REPLACEMENT, entry.replacement), "A replacement starts with a letter and has letters, digits, _ and - only."),
+        (needs and not entry.replacement, "With this strategy an entry needs a replacement."),
     )
     return next((message for holds, message in problems if holds), None)
 
@@ -187,14 +187,14 @@ class FieldRule:
 def field_rule_problem(rule: FieldRule) -> str | None:
     labels = [x.strip() for x in rule.labels if x.strip()]
     problems = (
-        (not rule.name.strip(), "Rule name cannot be empty."),
-        (len(rule.name) > MAX_NAME, "Rule name must be 40 characters or fewer."),
-        (not labels, "At least one field label is required."),
-        (len(labels) > MAX_LABELS, f"At most {MAX_LABELS} labels."),
-        (any(len(x) > MAX_NAME for x in labels), "Labels must be 40 characters or fewer."),
-        (any(c in x for x in labels for c in "\r\n"), "Labels cannot contain line breaks."),
-        (not re.fullmatch(r"[A-Z][A-Z0-9_]{0,19}", rule.placeholder_label), "Placeholder must be uppercase letters, numbers, and underscores (e.g. BADGE_ID)."),
-        (not 1 <= rule.max_length <= MAX_CAPTURE, f"Maximum length must be between 1 and {MAX_CAPTURE}."),
+        (not rule.name.strip(), "A rule needs a name."),
+        (len(rule.name) > MAX_NAME, f"The name of a rule has at most {MAX_NAME} characters."),
+        (not labels, "A rule needs a label."),
+        (len(labels) > MAX_LABELS, f"A rule has at most {MAX_LABELS} labels."),
+        (any(len(x) > MAX_NAME for x in labels), f"A label has at most {MAX_NAME} characters."),
+        (any(c in x for x in labels for c in "\r\n"), "A label is on one line."),
+        (not re.fullmatch(r"[A-Z][A-Z0-9_]{0,19}", rule.placeholder_label), "A placeholder starts with a capital and has capitals, digits and _ only."),
+        (not 1 <= rule.max_length <= MAX_CAPTURE, f"The longest value is from 1 to {MAX_CAPTURE} characters."),
     )
     return next((message for holds, message in problems if holds), None)
 
