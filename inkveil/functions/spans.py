@@ -173,9 +173,9 @@ class Pattern:
 
 
 def _raw(pattern: str) -> str:
-    """A string literal of SQL, in which backslashes are plain."""
-    assert "\\'" not in pattern and "${" not in pattern, pattern
-    return "r'" + pattern.replace("'", r"\x27") + "'"
+    """A string literal of SQL, in which backslashes are plain; quotes and what looks like a variable of SQL are written by number."""
+    made = re.sub(r"\\(.)|'", lambda m: r"\x27" if m[0] in ("'", "\\'") else m[0], pattern, flags=re.DOTALL)
+    return "r'" + made.replace("${", r"$\x7B") + "'"
 
 
 def hits_sql(text: str, low: str, patterns: Sequence[Pattern]) -> str:

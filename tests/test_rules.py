@@ -197,3 +197,15 @@ def test_candidates_of_all_documents(spark):
         got.setdefault(r.doc_id, []).append((r["rank"], r.text, r["count"], r.first_start, r.generic))
     for r in docs.collect():
         assert sorted(got.get(r.doc_id, [])) == plain_candidates(r.text or "", [(f.start, f.end) for f in r.findings]), r.doc_id
+
+
+def test_terms_with_signs(spark):
+    """Characters that mean something to patterns or to SQL."""
+    text = "O'Brien's ${env} costs \\d+ and 50% (net) -- x;y 'q' \"r\" {z} `t` ´u´ a\\'b"
+    for term in ("O'Brien", "${env}", "\\d+", "50%", "(net)", "-- x;y", "'q'", '"r"', "{z}", "`t`", "´u´", "\\'b"):
+        rules = (terms.mapping_detectors([terms.MappingEntry(term, strategy="placeholder", match_mode="literal")])[0], terms.terms_detector([term], inside_words=True))
+        for rule in rules:
+            found = scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), options=ScanOptions(frozenset(), (rule,))).first().findings
+            assert [f.value for f in found] == [term], (term, rule.id)
+    rule = terms.FieldRule("r", "Badge", ("o'badge", "${x}"), "identifier", "BADGE_ID")
+    assert values(spark, ["O'Badge: A-77 ${x}: B-1"], terms.field_detector("p", rule).detect) == [["A-77", "B-1"]]
