@@ -156,7 +156,8 @@ class Pattern:
     test: a function of the match, with before, after and extra.
     cut: gives another value, that starts at the same place, from the match.
     extra: a further group.
-    number: whether every match has a digit.
+    has: literals that a text must have all of.
+    number: whether every match has a digit, 0 to 9.
     context: whether before and after are wanted though there is neither test nor cut.
     within: the pattern is sought in the matches of another one only, in each on its own."""
 
@@ -168,6 +169,7 @@ class Pattern:
     cut: Callable[[Column], Column] | None = None
     extra: int | None = None
     within: Pattern | None = None
+    has: tuple[str, ...] = ()
     number: bool = False
     context: bool = False
 
@@ -178,9 +180,11 @@ def _raw(pattern: str) -> str:
     return "r'" + made.replace("${", r"$\x7B") + "'"
 
 
-def hits_sql(text: str, low: str, patterns: Sequence[Pattern]) -> str:
-    """SQL for an array with the arrays of each pattern that isn't sought within others; null for those without matches."""
-    return f"array({', '.join(_hit_sql(text, low, i, p, '0') for i, p in enumerate(with_contexts(patterns)) if not p.within)})"
+def hits_sql(text: str, low: str, digit: str, patterns: Sequence[Pattern]) -> str:
+    """SQL for an array with the arrays of each pattern that isn't sought within others; null for those without matches.
+
+    low: the text in lower case; digit: whether it has one."""
+    return f"array({', '.join(_hit_sql(text, low, digit, i, p, '0') for i, p in enumerate(with_contexts(patterns)) if not p.within)})"
 
 
 def with_contexts(patterns: Sequence[Pattern]) -> list[Pattern]:
@@ -188,7 +192,7 @@ def with_contexts(patterns: Sequence[Pattern]) -> list[Pattern]:
     return [*patterns, *{id(p.within): p.within for p in patterns if p.within}.values()]
 
 
-def _hit_sql(text: str, low: str | None, number: int, p: Pattern, at: str) -> str:
+def _hit_sql(text: str, low: str | None, digit: str | None, number: int, p: Pattern, at: str) -> str:
     """SQL for the arrays of the pattern's matches; null where there are none. One text parses faster than its pieces are built."""
     pattern = _raw(jvm(p.regex))
     group = lambda g: f"regexp_extract_all({text}, {pattern}, {g})"
@@ -202,8 +206,10 @@ def _hit_sql(text: str, low: str | None, number: int, p: Pattern, at: str) -> st
         some = f"rlike({text}, {_raw(jvm(p.gate))}) AND {some}"
     elif p.gate and low:
         some = f"({' OR '.join(f'contains({low}, {_raw(g)})' for g in p.gate)}) AND {some}"
-    if p.number:
-        some = f"rlike({text}, '[0-9]') AND {some}"
+    for literal in reversed(p.has):
+        some = f"contains({text}, {_raw(literal)}) AND {some}"
+    if p.number and digit:
+        some = f"{digit} AND {some}"
     made = f"named_struct('p', {number}, 'at', {at}, 'g', split({text}, {pattern}, -1), 'm', {group(0)}, 'v', {value}, 'x', {extra}, 'c', {near})"
     return f"CASE WHEN {some} THEN {made} END"
 
@@ -283,8 +289,8 @@ def matches(text: Column, patterns: Sequence[Pattern]) -> Column:
     if not patterns:
         return F.array().cast(f"array<{MATCH}>")
     # SQL text can name its own variables only.
-    both = F.array(F.struct(text.alias("t"), F.lower(text).alias("l")))
-    return matches_of(F.get(mapped(both, f"e -> {hits_sql('e.t', 'e.l', patterns)}"), F.lit(0)), patterns)
+    known = F.array(F.struct(text.alias("t"), F.lower(text).alias("l"), text.rlike("[0-9]").alias("d")))
+    return matches_of(F.get(mapped(known, f"e -> {hits_sql('e.t', 'e.l', 'e.d', patterns)}"), F.lit(0)), patterns)
 
 
 def matches_of(hits: Column, patterns: Sequence[Pattern]) -> Column:
@@ -301,7 +307,7 @@ def matches_of(hits: Column, patterns: Sequence[Pattern]) -> Column:
         whole = F.filter(all_, lambda m: (m["p"] >= first) & _case(m, [(t, i, t(m)) for t, i, _ in tests], F.lit(True)))
         cases = []
         for j, context in enumerate(contexts):
-            here = ", ".join(_hit_sql("c.value", None, i, p, "c.start") for i, p in enumerate(patterns) if p.within is context)
+            here = ", ".join(_hit_sql("c.value", None, None, i, p, "c.start") for i, p in enumerate(patterns) if p.within is context)
             cases.append(f"WHEN c.p = {first + j} THEN array({here})")
         hits = F.array_compact(F.flatten(mapped(whole, f"c -> CASE {' '.join(cases)} END")))
         inner = _cut(_placed(hits), patterns, True)

@@ -229,16 +229,16 @@ def registry(as_of: datetime.date | None = None) -> list[Detector]:
         rule("connection-string", "Connection string with credentials", "secrets", "high", "CONNECTION_STRING", 93, "An address or list of settings for a connection that has a password in it.",
              Pattern(URL_CREDENTIAL, gate=("://",)), Pattern(ADO_CONNECTION, gate=("password", "pwd"))),
         rule("payment-card", "Payment card number", "personal", "high", "CREDIT_CARD", 84, "Digits of a known card issuer with a valid check digit.",
-             Pattern(CARD, gate=r"\d", confidence=lambda v: F.when(V.is_card(v), F.when(v.rlike("[ -]"), HIGH).otherwise(MEDIUM)))),
+             Pattern(CARD, number=True, confidence=lambda v: F.when(V.is_card(v), F.when(v.rlike("[ -]"), HIGH).otherwise(MEDIUM)))),
         rule("bearer-token", "Bearer token", "secrets", "high", "TOKEN", 95, "A token that grants access to whoever holds it.", Pattern(BEARER, gate=("bearer",))),
         rule("api-key", "API key", "secrets", "high", "API_KEY", 90, "A key in the form of a known provider, or a signed address.",
-             Pattern("|".join(f"(?:{p})" for p in API_KEYS), gate=API_KEY_PARTS), Pattern("|".join(f"(?:{p})" for p in PLAIN_API_KEYS), gate=r"[0-9a-f]{32}|\d{8}:", number=True),
+             Pattern("|".join(f"(?:{p})" for p in API_KEYS), gate=API_KEY_PARTS), Pattern("|".join(f"(?:{p})" for p in PLAIN_API_KEYS), gate=r"[0-9a-f]{32}|\d{8}:"),
              Pattern(SIGNATURES[0], (1,), gate=("sig=",)), Pattern(SIGNATURES[1], (1,), gate=("x-amz-signature=",))),
         rule("jwt", "JSON web token", "secrets", "high", "JWT", 86, "A signed web token in three parts.", Pattern(JWT, gate=("eyj",))),
         rule("secure-string-literal", "SecureString literal", "secrets", "high", "SECRET", 88, "A password written out where it is made secure.", Pattern(SECURE_STRING, (1,), gate=("convertto-securestring",))),
         rule("ad-dn", "AD distinguished name", "infrastructure", "medium", "AD_DN", 85, "A directory object's full name, with the domain.", Pattern(DISTINGUISHED_NAME, gate=("dc=",))),
         rule("guid-identifier", "GUID identifier", "infrastructure", "medium", "GUID", 82, "An identifier of a tenant, an application or another object.",
-             Pattern(LABELED_GUID, (1,), gate="[0-9A-Fa-f]-[0-9A-Fa-f]{4}-"), Pattern(rf"\b{GUID}\b", confidence=LOW, gate="[0-9A-Fa-f]-[0-9A-Fa-f]{4}-")),
+             Pattern(LABELED_GUID, (1,), has=("-",), gate="[0-9A-Fa-f]-[0-9A-Fa-f]{4}-"), Pattern(rf"\b{GUID}\b", confidence=LOW, has=("-",), gate="[0-9A-Fa-f]-[0-9A-Fa-f]{4}-")),
         rule("secret-assignment", "Secret assignment", "secrets", "high", "SECRET", 80, "A quoted value that is given to something named like a secret.",
              Pattern(SECRET_ASSIGNMENT, (1,), checked(lambda v: ~v.rlike(r"^(?:[$\[(<{@].*|[*•.x]+|(?i:true|false|null|none|prompt))\z")), gate=("passw", "passphrase", "pwd", "userpass", "secret", "key", "token"))),
         rule("internal-url", "Internal URL", "infrastructure", "medium", "INTERNAL_URL", 75, "An address of a host within an organization.", Pattern(URL, confidence=checked(lambda v: V.is_internal_host(V.host_of(v))), gate=("://",))),
@@ -248,30 +248,30 @@ def registry(as_of: datetime.date | None = None) -> list[Detector]:
         rule("email", "Email address / domain", "personal", "medium", "EMAIL", 70, "An address, or the mail domain of an organization.",
              Pattern(rf"{EMAIL}|{EMAIL_FRAGMENT}{NO_ADDRESS}", gate=("@",)), Pattern(rf"{MAIL_DOMAIN}{NO_ADDRESS}", (1,), gate=("domain", "suffix"))),
         rule("ps-infrastructure-assignment", "Infrastructure assignment", "infrastructure", "medium", "INTERNAL_HOST", 74, "A host or address that is given to something named like one.",
-             Pattern(ASSIGNMENT, (3,), MEDIUM, gate=r"""=\s*["']""", extra=1, test=_infrastructure)),
+             Pattern(ASSIGNMENT, (3,), MEDIUM, has=("=",), gate=r"""=\s*["']""", extra=1, test=_infrastructure)),
         rule("ps-identity-param", "PowerShell identity parameter", "personal", "low", "USERNAME", 68, "An account that a command is called with.",
              Pattern(ACCOUNT_PARAMETER, (1, 2, 3), account, gate=("-samaccountname", "-userprincipalname", "-username")), Pattern(ACCOUNT_COMMAND, (1, 2, 3), account, gate=("-identity",))),
         rule("ps-server-param", "PowerShell server parameter", "infrastructure", "medium", "INTERNAL_HOST", 68, "A server that a command is called with.",
              Pattern(SERVER_PARAMETER, (1,), MEDIUM, gate=("server", "-computername", "-domaincontroller"))),
         rule("ipv6", "IPv6 address", "infrastructure", "medium", "IP_ADDRESS", 66, "A network address in the newer form.",
-             Pattern(IPV6, confidence=lambda v: F.when(V.is_ipv6(v), F.when(v.isin("::", "::1"), LOW).otherwise(HIGH)), gate="::|:[0-9A-Fa-f]+:")),
+             Pattern(IPV6, confidence=lambda v: F.when(V.is_ipv6(v), F.when(v.isin("::", "::1"), LOW).otherwise(HIGH)), has=(":",), gate="::|:[0-9A-Fa-f]+:")),
         rule("mac-address", "MAC address", "infrastructure", "medium", "MAC_ADDRESS", 66, "The address of a network card.",
              Pattern(MAC, confidence=checked(lambda v: ~F.upper(F.regexp_replace(v, "[:-]", "")).isin("0" * 12, "F" * 12)), gate="[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]")),
         rule("ipv4", "IPv4 address", "infrastructure", "medium", "IP_ADDRESS", 65, "A network address.",
-             Pattern(IPV4, confidence=checked(lambda v: V.is_ipv4(v) & ~v.startswith("127.") & ~v.isin("0.0.0.0", "255.255.255.255")), gate=r"\d\.\d", test=no_version)),
+             Pattern(IPV4, confidence=checked(lambda v: V.is_ipv4(v) & ~v.startswith("127.") & ~v.isin("0.0.0.0", "255.255.255.255")), number=True, has=(".",), gate=r"\d\.\d", test=no_version)),
         rule("network-port", "Network port", "infrastructure", "low", "PORT", 35, "The port of a well-known service.",
-             Pattern(HOST_PORT, (1,), port, gate=r"[A-Za-z0-9]:\d"), Pattern(LABELED_PORT, (1,), port, gate=("port",), number=True)),
+             Pattern(HOST_PORT, (1,), port, number=True, has=(":",), gate=r"[A-Za-z0-9]:\d"), Pattern(LABELED_PORT, (1,), port, gate=("port",), number=True)),
         rule("internal-hostname", "Internal hostname", "infrastructure", "medium", "INTERNAL_HOST", 60, "A host within an organization, or its tenant.",
-             Pattern(HOSTNAME, confidence=_ranked_host, gate=r"[A-Za-z0-9]\.[A-Za-z0-9]"), Pattern(TENANT_HOST, confidence=checked(lambda v: ~v.rlike(rf"^{jvm(HOSTNAME)}\z")), gate=("onmicrosoft.com",))),
+             Pattern(HOSTNAME, confidence=_ranked_host, has=(".",), gate=r"[A-Za-z0-9]\.[A-Za-z0-9]"), Pattern(TENANT_HOST, confidence=checked(lambda v: ~v.rlike(rf"^{jvm(HOSTNAME)}\z")), gate=("onmicrosoft.com",))),
         rule("ad-group-name", "AD group name", "directory", "medium", "AD_GROUP", 66, "A group that a command is called with.",
              *(Pattern(p, (2,), gate=(g,)) for p, g in zip(AD_GROUPS, ("-adgroupmember", "-memberof", "new-adgroup"), strict=True))),
         rule("ticket-id", "Ticket / issue ID", "infrastructure", "low", "TICKET_ID", 55, "The number of a ticket or issue.",
-             Pattern(SERVICE_TICKET, gate=r"[A-Z]\d{5}"), Pattern(ISSUE_KEY, confidence=checked(lambda v: ~F.substring_index(v, "-", 1).isin(*NO_ISSUE), MEDIUM), gate=r"[A-Z]-\d")),
+             Pattern(SERVICE_TICKET, number=True, gate=r"[A-Z]\d{5}"), Pattern(ISSUE_KEY, confidence=checked(lambda v: ~F.substring_index(v, "-", 1).isin(*NO_ISSUE), MEDIUM), number=True, has=("-",), gate=r"[A-Z]-\d")),
         rule("username", "Username", "personal", "low", "USERNAME", 50, "An account after a label.", Pattern(USERNAME, (1,), MEDIUM, gate=("user", "login", "logon", "account", "upn"))),
         rule("person-name", "Person name", "personal", "medium", "NAME", 52, "What looks like a person's name after a label, a cue or a title, or in a table.", *names.PERSON_PATTERNS, mode="strict", special=names.PERSON_SPECIAL, tidy=True),
         rule("org-name", "Organization name", "personal", "medium", "ORG", 51, "What looks like an organization's name after a label or by its last word, or in a table.", *names.ORGANIZATION_PATTERNS, mode="strict", special=names.ORGANIZATION_SPECIAL, tidy=True),
         rule("canadian-sin", "Canadian SIN", "personal", "high", "SIN", 62, "A Canadian insurance number with a valid check digit.",
-             Pattern(SIN_LABELED, (1,), sin, gate=("sin", "insurance"), number=True), Pattern(SIN_GROUPED, confidence=checked(V.is_sin, MEDIUM), gate=r"\d[ -]\d{3}[ -]\d{3}"), mode="strict"),
+             Pattern(SIN_LABELED, (1,), sin, gate=("sin", "insurance"), number=True), Pattern(SIN_GROUPED, confidence=checked(V.is_sin, MEDIUM), number=True, gate=r"\d[ -]\d{3}[ -]\d{3}"), mode="strict"),
         rule("health-identifier", "Health identifier", "personal", "high", "HEALTH_ID", 61, "A number of a patient, record or health card.",
              Pattern(HEALTH_ID, (1,), checked(lambda v: F.regexp_count(v, F.lit(r"\d")) >= 4), gate=("mrn", "record", "card", "hcn", "phn", "patient"), number=True), mode="strict"),
         rule("phone-number", "Phone number", "personal", "medium", "PHONE", 57, "A telephone number after a label.", Pattern(PHONE, (1,), gate=("phone", "mobile", "cell", "tel", "fax"), number=True), mode="strict"),
@@ -279,12 +279,12 @@ def registry(as_of: datetime.date | None = None) -> list[Detector]:
         rule("physical-address", "Physical address", "personal", "medium", "ADDRESS", 54, "A street address after a label.", Pattern(ADDRESS, (1,), MEDIUM, gate=("address", "street"), number=True), mode="strict"),
         rule("passport-number", "Passport number (labeled field)", "personal", "high", "PASSPORT", 60, "A number of a passport after a label.",
              Pattern(PASSPORT, (1,), checked(lambda v: v.rlike("(?i)[A-Z]") & v.rlike(r"\d")), gate=("passport", "travel"), number=True), mode="strict"),
-        rule("iban", "IBAN", "personal", "high", "IBAN", 91, "A bank account number with valid length and checksum.", Pattern(IBAN, gate=r"[A-Za-z]{2}\d{2}", cut=_iban), mode="pack"),
+        rule("iban", "IBAN", "personal", "high", "IBAN", 91, "A bank account number with valid length and checksum.", Pattern(IBAN, number=True, gate=r"[A-Za-z]{2}\d{2}", cut=_iban), mode="pack"),
         rule("us-ssn", "US SSN", "personal", "high", "SSN", 63, "A US social security number that could have been given out.",
-             Pattern(SSN_LABELED, (1,), ssn, gate=("ssn", "soc"), number=True), Pattern(SSN_GROUPED, confidence=checked(V.is_ssn, MEDIUM), gate=r"\d-\d{2}-\d"), mode="pack"),
+             Pattern(SSN_LABELED, (1,), ssn, gate=("ssn", "soc"), number=True), Pattern(SSN_GROUPED, confidence=checked(V.is_ssn, MEDIUM), number=True, has=("-",), gate=r"\d-\d{2}-\d"), mode="pack"),
         rule("us-aba-routing", "ABA routing number", "personal", "high", "ROUTING_NUMBER", 64, "A US bank's routing number with a valid checksum.", Pattern(ABA, (1,), checked(V.is_aba), gate=("aba", "routing"), number=True), mode="pack"),
         rule("us-itin", "ITIN", "personal", "high", "ITIN", 63, "A US taxpayer number of a valid range.", Pattern(ITIN, (1,), checked(V.is_itin), gate=("itin", "taxpayer"), number=True), mode="pack"),
-        rule("us-ein", "EIN", "personal", "high", "EIN", 62, "A US employer's tax number after a label.", Pattern(EIN, (1,), gate=r"\d{2}-\d{7}"), mode="pack"),
+        rule("us-ein", "EIN", "personal", "high", "EIN", 62, "A US employer's tax number after a label.", Pattern(EIN, (1,), number=True, has=("-",), gate=r"\d{2}-\d{7}"), mode="pack"),
         rule("us-dea-number", "DEA number", "personal", "high", "DEA_NUMBER", 63, "A US prescriber's number with a valid checksum.", Pattern(DEA, (1,), checked(V.is_dea), gate=("dea",), number=True), mode="pack"),
         rule("ca-postal-code", "Canadian postal code", "personal", "medium", "POSTAL_CODE", 53, "A Canadian postal code on a line about an address.", Pattern(POSTAL_CODE, within=postal), mode="pack"),
         rule("us-zip", "US ZIP code", "personal", "low", "ZIP", 52, "A US postal code on a line about an address.", Pattern(ZIP, confidence=MEDIUM, within=zips), mode="pack"),

@@ -204,10 +204,10 @@ def _keys(kept: Column, rules: Sequence[Detector], template: str) -> Column:
 
 def _prepared(df: DataFrame, text_col: str, plan: _Plan) -> DataFrame:
     """df with the text, the text in lower case, and the candidates of all rules, in _scan_ columns."""
-    text, low, hits, found = (f"_scan_{x}" for x in ("text", "low", "hits", "found"))
+    text, low, digit, hits, found = (f"_scan_{x}" for x in ("text", "low", "digit", "hits", "found"))
     out = once(df, **{text: F.coalesce(F.col(text_col), F.lit(""))})
-    out = once(out, **{low: F.lower(F.col(text))})
-    out = once(out, **{hits: F.expr(hits_sql(text, low, plan.patterns))})
+    out = once(once(out, **{low: F.lower(F.col(text))}), **{digit: F.col(text).rlike("[0-9]")})
+    out = once(out, **{hits: F.expr(hits_sql(text, low, digit, plan.patterns))})
     return once(out, **{found: _candidates(plan.found(text, hits), plan)})
 
 
@@ -218,14 +218,14 @@ def rule_matches(df: DataFrame, text_col: str = "text", options: ScanOptions | N
     out = _prepared(df.drop("rule_matches"), text_col, _Plan.of(rules))
     own = F.transform(F.filter("_scan_found", lambda x: x["rule"] >= 0), lambda x: x["c"])
     made = F.transform(own, lambda c: F.struct(F.get(ids, c["rule"]).alias("detector_id"), *(c[n].alias(n) for n in ("start", "end", "value")), F.element_at(ranks, c["confidence"]).alias("confidence")))
-    return out.withColumn("rule_matches", made).drop("_scan_text", "_scan_low", "_scan_hits", "_scan_found")
+    return out.withColumn("rule_matches", made).drop("_scan_text", "_scan_low", "_scan_digit", "_scan_hits", "_scan_found")
 
 
 def scan(df: DataFrame, text_col: str = "text", options: ScanOptions | None = None) -> DataFrame:
     """df with findings, an array in document order. A column of that name is replaced; a null text is empty."""
     options = options or ScanOptions()
-    names = [f"_scan_{x}" for x in ("text", "low", "hits", "found", "literals", "kept", "numbers")]
-    text, low, hits, found, literals, kept, numbers = names
+    names = [f"_scan_{x}" for x in ("text", "low", "digit", "hits", "found", "literals", "kept", "numbers")]
+    text, _, _, _, found, literals, kept, numbers = names
     rules = active_detectors(options)
     plan = _Plan.of(rules)
     tidied = [i for i, d in enumerate(rules) if d.tidy]
