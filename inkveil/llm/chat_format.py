@@ -10,7 +10,8 @@ The mask has the character spans to learn from: the text and end mark of the ass
 (null last), then role and text. A marker within a text or name is broken up ("<|" becomes "< |"), so none can be forged.
 
 Defined cases: a null role is the participant "unknown"; a null text is empty; rows with a null dialogue id are one dialogue;
-repeated rows are turns of their own; a dialogue of system turns alone has no participant and no rendering; an empty table
+repeated rows are turns of their own; turns that tie in all three are alike, so their order doesn't show; very long texts are rendered
+whole; other columns are left out, whatever their names; a dialogue of system turns alone has no participant and no rendering; an empty table
 gives an empty table.
 """
 

@@ -12,7 +12,8 @@ again in fewer blocks. Where a source is one block, the last two land on the out
 
 Defined cases: a null or empty text has size 0 and takes 0; rows that agree in id, text and source are first counted as one
 unit of that multiplicity, so a much repeated row is no large group; the choice depends on the rows alone, so reruns agree;
-a null source is a source; an empty table gives an empty table; columns named as an added one are replaced.
+documents that tie in size and chance are told apart by hash; a very long text is one document, and a source's words come within one
+document of the target; a null source is a source; an empty table gives an empty table; columns named as an added one are replaced.
 """
 
 from __future__ import annotations

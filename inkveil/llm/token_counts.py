@@ -9,7 +9,8 @@ If neighbours share no such boundary, the whole text is cut again with chunks an
 or is one chunk.
 
 Defined cases: null and empty texts have no tokens; strings of special tokens within a text are one token each, as the
-library does by default; repeated rows are counted alike; an empty table gives an empty table.
+library does by default; repeated rows are counted alike, also where the id is null; other columns are passed on, whatever their
+names, and one named n_tokens is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
