@@ -31,20 +31,28 @@ CHUNK_BYTES = 2_000_000
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary folder on a local master,
-    whose executors are the driver itself, and a folder in the warehouse on a cluster."""
+    whose executors are the driver itself; on a cluster that is an error, as no other folder is known to be shared."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        local = spark.sparkContext.master.startswith("local")
-        found = tempfile.mkdtemp(prefix="inkveil-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/inkveil-work"
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inkveil-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. What is there goes when the session's driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder: later reads need nothing of its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
