@@ -22,6 +22,7 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator, Sequence
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, written
 
 ASSIGN = re.compile(r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -204,10 +205,17 @@ def spans(text: str, known: ahocorasick.Automaton) -> list[tuple[int, int, int,
 
 
 def frequent_words(df: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> list[str]:
-    """The `size` words of letters a to z that the most texts have, ties in order."""
+    """The `size` words of letters a to z that the most texts have, ties in order.
+
+    A histogram of the counts, in steps of a sixteenth of a power of two, tells first which words can be among them, so that tasks
+    don't each send `size` words to the driver."""
     words = F.filter(F.split(F.lower(text_col), "[^a-z]+"), lambda w: F.length(w).between(WORD_LEAST, WORD_MOST))
     counted = df.select(F.explode(F.array_distinct(words)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
-    return [r.word for r in counted.orderBy(F.desc("texts"), "word").limit(size).collect()]
+    counted = written(counted.withColumn("step", F.floor(16 * F.log2("texts"))), "secret-words")
+    steps = counted.groupBy("step").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect()
+    above = list(itertools.accumulate(s.words for s in steps))
+    least = next((s.step for s, n in zip(steps, above, strict=True) if n >= size), 0)
+    return [r.word for r in counted.filter(F.col("step") >= least).orderBy(F.desc("texts"), "word").limit(size).collect()]
 
 
 SPANS = "array<struct<kind: string, start: int, end: int, bits: double>>"
