@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -142,6 +143,17 @@ class Words:
         return mix((total[end] - total[self.start]) * inverse[self.start] + (end - self.start).astype(np.uint64))
 
 
+    def digests(self) -> np.ndarray:
+        """64 bits of a cryptographic hash of each word: texts can't be made so that different words meet. Slower than hashes."""
+        n = len(self.end)
+        if not n:
+            return np.empty(0, np.uint64)
+        offsets = np.concatenate([[0], self.end + 1]).astype(np.int64)
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(self.joined)]).dictionary_encode()
+        known = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in coded.dictionary.to_pylist()), np.uint64)
+        return known[coded.indices.to_numpy()]
+
+
 def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k consecutive words, over the bounds of texts too: as many as words, the last k - 1 of no meaning."""
     total = words * PLACE[0]

@@ -5,17 +5,21 @@
    threshold of 0.75 shares none with a probability of 5e-6.
 3. Candidates are taken from each bucket in two rounds: first all members against one centre, which links a group of near
    copies with as many pairs as members. Buckets whose members are by then in one component are done. In the others, members of
-   different components are compared: each with each in buckets of up to PAIRED members; larger ones go to step 6.
-4. Pairs are compared by batches of the signature. After n hashes with m equal, the posterior of the similarity under a flat
-   prior is Beta(m + 1, n - m + 1); a pair is pruned as soon as the chance of the threshold or more is below MISS.
+   different components are compared.
+4. Pairs are compared by batches of hashes. After n hashes with m equal, the posterior of the similarity under a flat prior is
+   Beta(m + 1, n - m + 1); a pair is pruned as soon as the chance of the threshold or more is below MISS. The first round compares
+   signatures, the second one sketches: SKETCH further minima of a byte each, made only of the members that are left. They tell 0.75
+   from 0.65, so texts that share a template and no more are pruned with nearly no text read.
 5. Survivors are confirmed on their full sets: 100 * intersection >= 75 * union.
-6. Members of large buckets outside their main component are compared with all others in blocks of texts, exactly and without
-   signatures; of a block only those links leave that join something. So no pair that shares a band stays uncompared, and no
-   step makes rows for all pairs of a group.
 
-Defined cases: null and empty texts have an empty set, link with nothing and are kept; a text of fewer words than a shingle is
-one shingle; a null id counts as larger than all others; rows with one id are kept or dropped together; an empty table gives
-an empty table; other columns are passed on, and columns named as an added one are replaced.
+In the second round, buckets of up to PAIRED members make a row for each pair. Larger ones are cut in blocks of BLOCK members: those
+outside the bucket's main component meet all, and only sketches travel, once for each block that they meet. A pair of blocks with
+survivors is one row, which gets their texts. No step makes rows for all pairs of a group.
+
+Words count by a cryptographic hash of theirs. Defined cases: null and empty texts have an empty set, link with nothing and are kept; a
+text of fewer words than a shingle is one shingle; very long texts are read whole, and so are long words; a null id counts as larger
+than all others; rows with one id are kept or dropped together; an empty table gives an empty table; other columns are passed on, and
+columns named as an added one are replaced.
 """
 
 from __future__ import annotations
@@ -38,16 +42,20 @@ HASHES, BAND_ROWS, BATCH = 128, 4, 32
 #: Similarity in hundredths.
 PERCENT = 75
 MISS = 1e-6
-PAIRED, BLOCK = 12, 256
+PAIRED, BLOCK = 12, 512
+#: Hashes of a sketch, and how many are compared at a time.
+SKETCH, STEP = 512, 128
 _SEED = np.random.default_rng(1966)
 _XOR = _SEED.integers(0, 2**63, HASHES, dtype=np.uint64)
 _TIMES = _SEED.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
+_SKETCH_XOR = _SEED.integers(0, 2**63, SKETCH, dtype=np.uint64)
+_SKETCH_TIMES = _SEED.integers(1, 2**63, SKETCH, dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     words = Words(texts, lower=True)
-    hashes = words.hashes()
+    hashes = words.digests()
     runs = run_hashes(hashes, k) if len(hashes) else hashes
     out = []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
@@ -61,21 +69,26 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """HASHES minima of each set; none may be empty."""
-    out = np.empty((len(sets), HASHES), np.uint32)
+def signatures(sets: list[np.ndarray], xor: np.ndarray = _XOR, times: np.ndarray = _TIMES) -> np.ndarray:
+    """The minima of each set under each hash; no set may be empty."""
+    out = np.empty((len(sets), len(xor)), np.uint32)
     at, block = 0, 65_536
     sizes = np.cumsum([len(s) for s in sets])
     while at < len(sets):
         until = min(max(int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + block)), at + 1), len(sets))
         values = np.concatenate(sets[at:until])
         starts = np.concatenate([[0], np.cumsum([len(s) for s in sets[at : until - 1]])]).astype(np.int64)
-        for j in range(HASHES):
-            out[at:until, j] = np.minimum.reduceat((values ^ _XOR[j]) * _TIMES[j], starts) >> np.uint64(32)
+        for j in range(len(xor)):
+            out[at:until, j] = np.minimum.reduceat((values ^ xor[j]) * times[j], starts) >> np.uint64(32)
         at = until
     return out
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """SKETCH further minima of each set, a byte each."""
+    return (signatures(sets, _SKETCH_XOR, _SKETCH_TIMES) & np.uint32(255)).astype(np.uint8)
+
+
 def _sign(base: DataFrame) -> DataFrame:
     """(id, text_key, size, digest, signature, bands) of each row; the last three are null for an empty set."""
     schema = pa.schema([("size", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -108,19 +121,26 @@ def least_equal(n: int, threshold: float, miss: float) -> int:
     return n
 
 
-def _survivors(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sequential verification doesn't prune."""
-    needed = {n: least_equal(n, PERCENT / 100, MISS) for n in range(BATCH, HASHES + 1, BATCH)}
+def _needed(hashes: int, step: int, chance: float) -> dict[int, int]:
+    """After so many hashes, the fewest equal ones that keep a pair. chance: that of unlike minima to look equal."""
+    at_least = PERCENT / 100 * (1 - chance) + chance
+    return {n: least_equal(n, at_least, MISS) for n in range(step, hashes + 1, step)}
+
+
+def _survivors(pairs: DataFrame, classes: DataFrame, kind: type = np.uint32, needed: dict[int, int] | None = None) -> DataFrame:
+    """The pairs (a, b) that sequential verification doesn't prune. classes: (digest, signature, size)."""
+    needed = needed or _needed(HASHES, BATCH, 0.0)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("sa", "sb"))
-            alive, equal = np.arange(batch.num_rows), np.zeros(batch.num_rows, int)
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+            alive, equal, before = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int32), 0
             for n, least in needed.items():
-                equal[alive] += (left[alive, n - BATCH : n] == right[alive, n - BATCH : n]).sum(axis=1)
-                alive = alive[equal[alive] >= least]
+                equal += np.count_nonzero(left[alive, before:n] == right[alive, before:n], axis=1)
+                some, before = equal >= least, n
+                alive, equal = alive[some], equal[some]
             yield batch.select(["a", "b"]).take(pa.array(alive))
 
     own = classes.select(F.col("digest").alias("da"), F.col("signature").alias("sa"), F.col("size").alias("na"))
@@ -130,6 +150,20 @@ def _survivors(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return met.select("a", "b", "sa", "sb").mapInArrow(verify, "a binary, b binary")
 
 
+def _sketched(nodes: DataFrame, texts: DataFrame, met: DataFrame) -> DataFrame:
+    """(digest, signature, size, bands) of some nodes, the signature being their sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                made = sketches(shingle_sets(piece.column("text")))
+                yield pa.record_batch([piece.column("digest"), pa.array([m.tobytes() for m in made], pa.binary())], ["sd", "signature"])
+
+    open_texts = texts.join(nodes, F.col("digest") == F.col("node"), "left_semi")
+    made = open_texts.mapInArrow(run, "sd binary, signature binary")
+    return made.join(met.select("digest", "size", "bands"), F.col("sd") == F.col("digest")).select("digest", "signature", "size", "bands")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
 
@@ -194,40 +228,72 @@ def spanning_links(x: list[np.ndarray], y: list[np.ndarray], same: np.ndarray) -
     return out
 
 
-def _cluster_links(large: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links within large buckets, found block by block.
-
-    Large buckets that share members are one cluster. Its members outside the cluster's main component meet all its members in
-    blocks of BLOCK by BLOCK texts; a block's sets are compared exactly in one matrix product, and only links that join
-    something leave it. A member's rows grow with the number of blocks that it meets, not with that of members."""
-    centre = large.groupBy("key").agg(F.min("node").alias("centre")).withColumnRenamed("key", "k")
-    clusters = components(large.join(centre, F.col("key") == F.col("k")).select(F.col("node").alias("a"), F.col("centre").alias("b"))).withColumnRenamed("component", "cluster")
-    own = large.select(F.col("node").alias("n"), "component").distinct()
-    members = clusters.join(own, F.col("node") == F.col("n")).select("node", "cluster", "component")
-    parts = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("size"))
-    main = parts.groupBy(F.col("cluster").alias("c")).agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.sum("size").alias("all"), (F.sum("size") - F.max("size")).alias("minor"))
+def block_survivors(sides: tuple[pd.DataFrame, pd.DataFrame], key: int, needed: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the two sides (node, component, main, size, signature, bands) that sequential verification leaves, of those in different
+    components which share no band before `key`; a pair of two left members counts once."""
+    left, right = sides
+    x, y = (np.frombuffer(b"".join(side["signature"]), np.uint8).reshape(len(side), -1) for side in sides)
+    bx, by = (np.stack(side["bands"].tolist()) for side in sides)
+    sizes, nodes, parts = ([side[c].to_numpy() for side in sides] for c in ("size", "node", "component"))
+    place = int(np.flatnonzero(by[0] == key)[0])
+    later = right["main"].to_numpy()
+    out = []
+    for i in range(len(left)):
+        fit = (100 * np.minimum(sizes[0][i], sizes[1]) >= PERCENT * np.maximum(sizes[0][i], sizes[1])) & (parts[1] != parts[0][i])
+        alive = np.flatnonzero(fit & (later | (nodes[1] > nodes[0][i])))
+        equal, before = np.zeros(len(alive), np.int32), 0
+        for n, least in needed.items():
+            equal += np.count_nonzero(y[alive, before:n] == x[i, before:n], axis=1)
+            some, before = equal >= least, n
+            alive, equal = alive[some], equal[some]
+        kept = alive[~(by[alive, :place] == bx[i, :place]).any(axis=1)]
+        out.append(np.stack([np.full(len(kept), i), kept]))
+    return tuple(np.concatenate(out, axis=1)) if out else (np.empty(0, int), np.empty(0, int))
+
+
+def _block_links(large: DataFrame, sketched: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links within large buckets (key, node, component), found block by block."""
+    parts = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    main = parts.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("size", "component"))["component"].alias("most"), F.sum("size").alias("all"), (F.sum("size") - F.max("size")).alias("minor"))
     blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
-    placed = members.join(main.filter("minor > 0"), F.col("cluster") == F.col("c")).select("*", blocks("all").alias("nb"), blocks("minor").alias("na"))
-    placed = placed.withColumn("draw", F.xxhash64("node"))
+    placed = large.join(main, F.col("key") == F.col("k")).select("key", "node", "component", (F.col("component") == F.col("most")).alias("main"), blocks("all").alias("nb"), blocks("minor").alias("na"))
+    placed = placed.withColumn("draw", F.xxhash64("node", "key"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    kept = ["cluster", "node", "component"]
-    left = placed.filter("component != main").select(*kept, F.lit(True).alias("minor"), F.pmod(F.col("draw"), F.col("na")).alias("a"), every("nb").alias("b"))
+    kept = ["key", "node", "component", "main"]
+    left = placed.filter("NOT main").select(*kept, F.lit(True).alias("minor"), F.pmod(F.col("draw"), F.col("na")).alias("a"), every("nb").alias("b"))
     right = placed.select(*kept, F.lit(False).alias("minor"), every("na").alias("a"), F.pmod(F.col("draw"), F.col("nb")).alias("b"))
-    units = left.unionByName(right)
-    filled = units.join(texts, F.col("node") == F.col("digest")).drop("digest")
+    units = left.unionByName(right).join(sketched, F.col("node") == F.col("digest")).drop("digest")
+    needed = _needed(SKETCH, STEP, 1 / 256)
 
     def compare(unit):
+        key, a, b = (unit[c].iloc[0] for c in ("key", "a", "b"))
         minor = unit["minor"].to_numpy()
-        sides = [unit[minor], unit[~minor]]
+        sides = unit[minor], unit[~minor]
         if not len(sides[0]) or not len(sides[1]):
-            return unit.iloc[:0][["node", "component"]].set_axis(["a", "b"], axis=1)
-        sets = [shingle_sets(pa.array(side["text"], pa.string())) for side in sides]
-        names = [side["node"].tolist() for side in sides]
-        same = np.array(sides[0]["component"].tolist(), object)[:, None] == np.array(sides[1]["component"].tolist(), object)[None, :]
-        links = spanning_links(*sets, same.astype(bool))
-        return pd.DataFrame({"a": [names[0][i] for i, _ in links], "b": [names[1][j] for _, j in links]})
-
-    return filled.groupBy("cluster", "a", "b").applyInPandas(compare, "a binary, b binary")
+            return pd.DataFrame(columns=["unit", "a", "b", "i", "j"], dtype=object)
+        i, j = block_survivors(sides, key, needed)
+        if not len(i):
+            return pd.DataFrame(columns=["unit", "a", "b", "i", "j"], dtype=object)
+        (own, i), (other, j) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+        names = [side["node"].iloc[rows].tolist() for side, rows in zip(sides, (own, other), strict=True)]
+        return pd.DataFrame({"unit": [f"{key},{a},{b}"], "a": [names[0]], "b": [names[1]], "i": [i.astype(np.int32).tobytes()], "j": [j.astype(np.int32).tobytes()]})
+
+    found = written(units.groupBy("key", "a", "b").applyInPandas(compare, "unit string, a array<binary>, b array<binary>, i binary, j binary"), "near-blocks")
+    sides = [found.select("unit", F.lit(name == "a").alias("first"), F.posexplode(name).alias("place", "node")) for name in "ab"]
+    filled = sides[0].unionByName(sides[1]).join(texts, F.col("node") == F.col("digest")).select("unit", "first", "place", "text")
+
+    def confirm(about, side_texts):
+        if not len(about):
+            return pd.DataFrame(columns=["a", "b"], dtype=object)
+        unit = about.iloc[0]
+        sides = [side_texts[side_texts["first"] == first].sort_values("place") for first in (True, False)]
+        sets = [shingle_sets(pa.array(side["text"], pa.large_string())) for side in sides]
+        left_out = np.ones((len(unit["a"]), len(unit["b"])), bool)
+        left_out[np.frombuffer(unit["i"], np.int32), np.frombuffer(unit["j"], np.int32)] = False
+        links = spanning_links(*sets, left_out)
+        return pd.DataFrame({"a": [unit["a"][i] for i, _ in links], "b": [unit["b"][j] for _, j in links]})
+
+    return found.groupBy("unit").cogroup(filled.withColumnRenamed("unit", "u").groupBy("u")).applyInPandas(confirm, "a binary, b binary")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -257,7 +323,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     starred = written(starred, "near-buckets")
     members, stars = starred.select("key", "node"), starred.filter("node != centre")
     nodes = written(starred.select("node").distinct(), "near-nodes")
-    met = written(classes.join(nodes, F.col("digest") == F.col("node"), "left_semi").select("digest", "pick", "signature", "size"), "near-met")
+    met = written(classes.join(nodes, F.col("digest") == F.col("node"), "left_semi").select("digest", "pick", "signature", "size", "bands"), "near-met")
     sought = met.select("digest", F.col("pick.id").alias("i"), F.col("pick.text_key").alias("t"))
     texts = base.join(sought, (F.col("text_key") == F.col("t")) & F.col("id").eqNullSafe(F.col("i"))).select("digest", "text").dropDuplicates(["digest"])
     texts = written(texts, "near-texts")
@@ -269,11 +335,12 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         labels = written(_merged(labels, links), "near-labels")
 
     left = written(_open_members(members, labels, total), "near-open")
+    sketched = written(_sketched(left.select("node").distinct(), texts, met), "near-sketched")
     fresh_pairs = _paired(left.filter(F.col("members") <= PAIRED)).join(pairs, ["a", "b"], "left_anti")
-    links = _confirmed(_survivors(fresh_pairs, met), texts)
+    links = _confirmed(_survivors(fresh_pairs, sketched, np.uint8, _needed(SKETCH, STEP, 1 / 256)), texts)
     large = left.filter(F.col("members") > PAIRED)
     if not large.isEmpty():
-        links = links.unionByName(_cluster_links(large, texts))
+        links = links.unionByName(_block_links(large, sketched, texts))
     links = written(links, "near-links")
     if not links.isEmpty():
         labels = written(_merged(labels, links), "near-labels")

@@ -76,3 +76,37 @@ def test_empty_table(spark):
 
 def test_pruning_bounds():
     assert N.least_equal(128, 0.75, 1e-6) < 75 < N.least_equal(128, 0.75, 0.5)
+
+
+def test_words_that_polynomials_confuse(spark):
+    """The Thue-Morse word of 2,048 letters and its complement have one polynomial hash modulo 2^64, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    words = ["".join(letters[b] for b in bits) for letters in ("ab", "ba")]
+    dice = random.Random(1)
+    rows = [(1, " ".join(dice.choice(words) for _ in range(14))), (2, " ".join(dice.choice(words) for _ in range(14))), (3, " ".join([words[0]] * 9)), (4, " ".join([words[1]] * 9))]
+    assert found(N.near_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_blocks_of_a_template(spark, monkeypatch):
+    """A hundred texts of one template, most of them short of the threshold, some beyond it, in buckets that are cut in blocks."""
+    monkeypatch.setattr(N, "PAIRED", 3)
+    monkeypatch.setattr(N, "BLOCK", 10)
+    dice = random.Random(6)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(i, " ".join(base + [f"w{dice.randrange(10**6)}" for _ in range(dice.choice([10, 20, 25, 30, 60]))])) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(N.near_components(df)) == brute(rows)
+
+
+def test_sketches_prune_what_is_far_and_keep_what_is_near():
+    import numpy as np
+
+    dice = np.random.default_rng(2)
+    sets = []
+    for common in (150, 172, 400):  # of 200: similarity 0.6, 0.75, 1
+        x = dice.integers(0, 2**63, 200, dtype=np.uint64)
+        sets += [np.unique(x), np.unique(np.r_[x[:common], dice.integers(0, 2**63, max(0, 200 - common), dtype=np.uint64)])]
+    made = N.sketches(sets)
+    needed = N._needed(N.SKETCH, N.STEP, 1 / 256)
+    kept = [all((made[i, :n] == made[i + 1, :n]).sum() >= least for n, least in needed.items()) for i in (0, 2, 4)]
+    assert kept == [False, True, True]
