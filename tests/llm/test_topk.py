@@ -48,7 +48,39 @@ def test_long_vectors_and_large_components(spark):
 def test_products_keep_their_integers():
     import numpy as np
 
-    for size, dim in ((2**20, 600), (2**26, 300), (2**29, 8)):
+    for size, dim in ((2**20, 600), (2**26, 300), (2**29, 8), (2**31, 2), (2**40, 3)):
         x = np.array([[size - 1] * dim, [-size] * dim])
         assert T._product(x, x).tolist() == [[dim * a * b for b in (size - 1, -size)] for a in (size - 1, -size)]
-    assert T._product(np.array([[2**40]]), np.array([[2**40]])).tolist() == [[2**61]]
+
+
+def test_scores_to_64_bits(spark):
+    """Up to the ends of 64 bits scores are what the SQL gives; beyond they stay at the ends."""
+    import duckdb
+
+    rows = [(0, [2.0**21, 2.0**20]), (1, [2.0**21, -(2.0**19)]), (2, [2.0**21, 2.0**20]), (3, [-(2.0**21), -(2.0**20)]), (4, [1.0, 0.5]), (5, [2.0**20.5, 2.0**20.5]), (100, [2.0**20, 2.0**21])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, T.top_k(df, F.col("vec_id") % 100 == 0).collect()))
+    con = duckdb.connect()
+    con.register("embeddings", df.toPandas())
+    assert got == sorted(con.execute(T.OP10_SQL).fetchall()) == brute(rows)
+    assert max(s for *_, s in got) > 2**62
+    held = spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40]), (2, [-(2.0**40)]), (3, [1.0])], "vec_id long, embedding array<double>")
+    assert [r.score for r in T.top_k(held, F.col("vec_id") == 0).orderBy("rank").collect()] == [2**63 - 1, 2**60, -(2**63)]
+
+
+def test_the_bound_saves_products():
+    import numpy as np
+
+    dice = np.random.default_rng(3)
+    c = np.floor(1024 * (lambda v: v / np.linalg.norm(v, axis=1)[:, None])(dice.normal(size=(2000, 64)))).astype(np.int64)
+    q = c[:50] + dice.integers(-40, 41, (50, 64))
+    exact = q @ c.T
+    bound = np.sort(exact, axis=1)[:, -10].astype(float)
+    row, col, score, work = T.reaching(q, c, bound)
+    assert {(r, k, s) for r, k, s in zip(row, col, score) if s >= bound[r]} == {(r, k, exact[r, k]) for r, k in zip(*np.nonzero(exact >= bound[:, None]))}
+    assert work < 0.95 * exact.size * 64
+    short = c.copy()
+    short[100:] //= 16
+    near = q @ short.T
+    work = T.reaching(q, short, np.sort(near, axis=1)[:, -10].astype(float))[3]
+    assert work < 0.6 * near.size * 64
