@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import work_path, written
 
 REVISIT_BYTES = 100
 BLOCK_LINES = 3000
@@ -151,7 +151,7 @@ def _plan(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> Data
 def write_archives(pages: DataFrame, root: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> Archive:
     """Writes the pages' records and their index under root, or in a new folder of the shared one."""
     spark = pages.sparkSession
-    root = root or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    root = root or work_path(spark, "warc")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(root)
