@@ -13,13 +13,11 @@ lack of it; further columns pass through, whatever their names, and if `copy` is
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.llm import decontaminate, mixing, near_dup, quality, substring_dedup
-from inkveil.llm.common import fresh, shared_dir
+from inkveil.llm.common import fresh, work_path
 
 #: Documents with a lower probability of being good are rejected: half the odds, so that doubtful ones stay.
 REJECT_BELOW = 0.5
@@ -63,14 +61,14 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it, and copy from 1."""
-    mixed = mixing.mix_sources(docs).groupBy("id", "text_key", "source").agg(F.sum("copies").alias("copies")).filter("copies > 0")
-    key, there = (fresh(docs.columns, n) for n in ("text_key", "mixed"))
-    taken = mixed.select(F.struct("id", "text_key", "source", "copies").alias(there))
-    keyed = docs.withColumn(key, F.xxhash64("text")).dropDuplicates(["doc_id", key, "source"])
-    same = (F.col(key) == F.col(f"{there}.text_key")) & F.col("doc_id").eqNullSafe(F.col(f"{there}.id")) & F.col("source").eqNullSafe(F.col(f"{there}.source"))
-    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(f"{there}.copies"))).alias(fresh(docs.columns, "copy"))
-    return keyed.join(taken, same).select(*docs.columns, copies)
+    """docs with each row repeated as often as the mix takes it, twice at most, and copy from 1.
+
+    Rows are told apart by all their columns, so only rows that are equal in everything stand for each other."""
+    key, same, number = (fresh(docs.columns, n) for n in ("row_key", "mixed_key", "times"))
+    keyed = docs.withColumn(key, F.base64(F.unhex(F.sha2(F.to_json(F.struct(*docs.columns)), 256))))
+    taken = mixing.mix_sources(keyed.select(F.col(key), "text", "source"), id_col=key).filter("copies > 0 AND size > 0").select(F.col("id").alias(same), F.col("copies").alias(number))
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(number))).alias(fresh(docs.columns, "copy"))
+    return keyed.dropDuplicates([key]).join(taken, F.col(key) == F.col(same)).select(*docs.columns, copies)
 
 
 STAGES = [
@@ -87,7 +85,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    root = work_path(spark, "corpus")
     for name, stage in STAGES:
         made = stage(spark, docs, sf_dir)
         made.write.parquet(f"{root}/{name}")
