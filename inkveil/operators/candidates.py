@@ -4,13 +4,13 @@ Occurrences are native span expressions; grouping and ranking are an aggregate a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.spans import once, overlap, spans
+from ..functions.spans import fold, let, once, spans
 from .names import STOP_WORDS
 from .scan import protected_ranges
 
@@ -72,6 +72,29 @@ def candidate_key(value: Column) -> Column:
     return F.lower(F.regexp_replace(value, "[ \t ]+", " "))
 
 
+def outside(found: Column, taken: Column) -> Column:
+    """Of an array of structs with start and end, those that no span of `taken` overlaps, by start.
+
+    One sweep over both by start: a span is hit if an earlier one of `taken` ends after its start. Another one backwards: it is hit if the
+    next one of `taken` starts before its end."""
+    place = lambda x, mine, what: F.struct(x["start"].alias("at"), F.lit(mine).alias("mine"), x["end"].alias("end"), what.alias("x"))
+    none = F.get(F.slice(found, 1, 0), F.lit(0))
+    every = F.array_sort(F.concat(F.transform(taken, lambda t: place(t, False, none)), F.transform(found, lambda s: place(s, True, s))))
+
+    def sweep(items: Column, begin: int, passed: Callable[[Column, Column], Column], after: Callable[[Column, Column], Column]) -> Column:
+        def step(d: Column, o: Column) -> tuple[dict[str, Column], Column]:
+            kept = ~o["mine"] | passed(d["edge"], o)
+            return {"edge": F.when(o["mine"], d["edge"]).otherwise(after(d["edge"], o))}, F.when(kept, F.array(o)).otherwise(F.slice(F.array(o), 1, 0))
+
+        return fold(items, {"edge": F.lit(begin)}, step, F.slice(items, 1, 0))["out"]
+
+    def both(ordered: Column) -> Column:
+        ahead = sweep(ordered, -1, lambda edge, o: edge <= o["at"], lambda edge, o: F.greatest(edge, o["end"]))
+        return let(F.reverse(ahead), lambda back: sweep(back, 2**31 - 1, lambda edge, o: edge >= o["end"], lambda edge, o: F.least(edge, o["at"])))
+
+    return F.transform(F.filter(F.reverse(let(every, both)), lambda o: o["mine"]), lambda o: o["x"])
+
+
 def _taken(text: Column) -> Column:
     """Where findings and protected patterns are."""
     place = lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"))
@@ -82,26 +105,28 @@ def acronym_counts(scanned: DataFrame, text_col: str = "text", id_col: str = "do
     """(id, text, count) of the acronyms outside findings and protected ranges."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = once(scanned.select(id_col, text_col, "findings"), taken=_taken(text), found=acronyms(text))
-    free = F.filter("found", lambda s: ~F.exists(F.col("taken"), lambda t: overlap(s, t)))
-    rows = held.select(id_col, F.explode(free).alias("s"))
+    rows = held.select(id_col, F.explode(outside(F.col("found"), F.col("taken"))).alias("s"))
     return rows.groupBy(id_col, F.col("s.value").alias("text")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def candidates(scanned: DataFrame, text_col: str = "text", id_col: str = "doc_id", dismissed: Sequence[str] = (), most: int = MAX_CANDIDATES) -> DataFrame:
+def candidates(scanned: DataFrame, text_col: str = "text", id_col: str = "doc_id", dismissed: Sequence[str] | DataFrame = (), most: int = MAX_CANDIDATES) -> DataFrame:
     """(id, rank, text, count, first_start, generic): acronyms, runs of two words or more, and words that come twice; without
-    the dismissed ones; common phrases last."""
+    the dismissed ones; common phrases last. dismissed: terms, or a table with them in column `term`."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    of_kind = lambda kind, found: F.transform(found, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["value"].alias("value")))
+    of_kind = lambda kind, found: F.transform(found, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
     kinds = [of_kind(0, title_runs(text)), of_kind(1, acronyms(text))]
-    ends = lambda o: F.struct(o["start"].alias("start"), (o["start"] + F.length(o["value"])).alias("end"))
     held = once(scanned.select(id_col, text_col, "findings"), taken=_taken(text), found=F.concat(*kinds))
-    rows = held.select(id_col, F.explode(F.filter("found", lambda o: ~F.exists(F.col("taken"), lambda t: overlap(ends(o), t)))).alias("o")).select(id_col, "o.*")
+    rows = held.select(id_col, F.explode(outside(F.col("found"), F.col("taken"))).alias("o")).select(id_col, "o.*")
     words = F.when(F.col("kind") == 0, F.regexp_count("value", F.lit(rf"(?<![A-Za-z]){_TITLE}"))).otherwise(F.lit(0))
     grouped = rows.withColumn("key", candidate_key(F.col("value"))).withColumn("words", words).groupBy(id_col, "key").agg(
         F.min_by("value", F.struct("kind", "start")).alias("text"), F.count(F.lit(1)).alias("count"), F.min("start").alias("first_start"),
         F.bool_or(F.col("words") >= 2).alias("several"), F.bool_or((F.col("kind") == 1) | (F.col("words") >= 2)).alias("at_once"),
     )
-    open_ = grouped.filter(F.col("at_once") | (F.col("count") >= 2)).filter(~F.col("key").isin([d.lower() for d in dismissed]))
+    open_ = grouped.filter(F.col("at_once") | (F.col("count") >= 2))
+    if isinstance(dismissed, DataFrame):
+        open_ = open_.join(dismissed.select(candidate_key(F.col("term")).alias("key")), "key", "left_anti").select(grouped.columns)
+    else:
+        open_ = open_.filter(~F.col("key").isin([d.lower() for d in dismissed]))
     ranked = open_.withColumn("generic", F.col("key").isin(*GENERIC_PHRASES))
     order = W.partitionBy(id_col).orderBy("generic", F.desc("several"), F.desc("count"), "first_start")
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select(id_col, "rank", "text", "count", "first_start", "generic")

@@ -89,13 +89,21 @@ def segments(text: Column, findings: Column, preview: bool = False) -> Column:
     return _spliced(text, findings, some, shown, kind[6:-1])
 
 
+def line_pieces(found: Column) -> Column:
+    """array<struct<line, segment, text, kind>>: segments cut at line ends, each piece with its line from 0; empty ones are left out."""
+    items = F.transform(found, lambda s, i: F.struct(i.alias("segment"), F.split(s["text"], "\n", -1).alias("pieces"), s["kind"].alias("kind")))
+
+    def step(d: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        made = F.transform(x["pieces"], lambda p, n: F.struct((d["line"] + n).alias("line"), x["segment"].alias("segment"), p.alias("text"), x["kind"].alias("kind")))
+        return {"line": d["line"] + F.size(x["pieces"]) - 1}, F.filter(made, lambda p: p["text"] != "")
+
+    return fold(items, {"line": F.lit(0)}, step, "struct<line:int,segment:int,text:string,kind:string>")["out"]
+
+
 def segment_rows(df: DataFrame, segments_col: str, id_col: str = "doc_id") -> DataFrame:
-    """A row for each piece of a line: line (from 0), text, kind. Empty pieces are left out."""
-    parts = df.select(id_col, F.posexplode(segments_col).alias("segment", "s")).select(id_col, "segment", "s", F.posexplode(F.split("s.text", "\n", -1)).alias("part", "piece"))
-    # The line of a piece is the number of line ends before its segment, plus its own place in it.
-    before = df.select(id_col, F.posexplode(F.aggregate(segments_col, F.array(F.lit(0)), lambda acc, s: F.array_append(acc, F.element_at(acc, -1) + F.regexp_count(s["text"], F.lit("\n"))))).alias("n", "lines"))
-    placed = parts.join(before, parts[id_col].eqNullSafe(before[id_col]) & (parts["segment"] == before["n"])).drop(before[id_col])
-    return placed.filter("piece != ''").select(id_col, (F.col("lines") + F.col("part")).alias("line"), "segment", F.col("piece").alias("text"), F.col("s.kind").alias("kind"))
+    """A row for each piece of a line: line (from 0), segment, text, kind. Empty pieces are left out. Each row of df is handled alone, so
+    ids may repeat."""
+    return df.select(id_col, F.explode(line_pieces(F.col(segments_col))).alias("p")).select(id_col, "p.*")
 
 
 def template_problem(template: str) -> str | None:

@@ -4,13 +4,15 @@ tallies."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.spans import jvm, overlap, spans
+from ..functions.spans import jvm, once, overlap, spans
+from .detectors import registry
+from .scan import ScanOptions, active_detectors, chosen_rules, find_candidates, kept_candidates
 from .terms import REPLACEMENT, MappingEntry
 
 _RANK = {"high": 3, "medium": 2, "low": 1}
@@ -107,6 +109,32 @@ def tally(rows: DataFrame, profile: str | None = None) -> DataFrame:
     return made if profile is None else made.withColumn("profile", F.lit(profile))
 
 
+def tally_profiles(df: DataFrame, profiles: Mapping[str, ScanOptions], text_col: str = "text") -> DataFrame:
+    """(profile, category, detector_id, findings, documents, without_findings, unreadable): counts of a corpus under each profile by
+    rule, by category (detector_id is null) and in all (category is null too); the last three counts on the rows for all.
+
+    The text is read once, under the rules of all profiles; the profiles then share its candidates. A null text is one that could
+    not be read: it is counted as such, and not among the documents."""
+    ids = {d.id for d in registry()}
+    every = [active_detectors(o) for o in profiles.values()]
+    extra = tuple(dict.fromkeys(d for o in profiles.values() for d in o.extra))
+    known = ScanOptions(frozenset(d.id for rules in every for d in rules if d.id in ids), extra)
+    rules = active_detectors(known)
+    masks = F.array(*(F.struct(F.lit(name).alias("profile"), F.array(*map(F.lit, chosen_rules(known, o))).alias("chosen")) for name, o in profiles.items()))
+    found = find_candidates(df.select(text_col), text_col, known).select(F.col(text_col).isNull().alias("unread"), "candidates")
+    one = once(found.select("unread", "candidates", F.explode(masks).alias("m")), kept=F.transform(kept_candidates(F.col("candidates"), F.col("m.chosen"), rules), lambda c: c["rule"]))
+    rows = one.select("unread", F.col("m.profile").alias("profile"), F.posexplode_outer("kept").alias("pos", "rule"))
+    about = lambda name: F.get(F.split(F.lit("\u0001".join(getattr(d, name) for d in rules)), "\u0001"), F.col("rule"))
+    named = rows.select("unread", "profile", "pos", "rule", about("category").alias("category"), about("id").alias("detector_id"))
+    first = F.coalesce(F.col("pos") == 0, F.lit(True))
+    made = named.rollup("profile", "category", "detector_id").agg(
+        F.count("rule").alias("findings"), F.count_if(first & ~F.col("unread")).alias("documents"), F.count_if(F.col("rule").isNull() & ~F.col("unread")).alias("without_findings"),
+        F.count_if(first & F.col("unread")).alias("unreadable"), F.grouping_id().alias("level"),
+    )
+    shown = made.filter((F.col("level") == 3) | ((F.col("level") < 3) & F.col("category").isNotNull()))
+    return shown.select("profile", "category", "detector_id", "findings", *(F.when(F.col("level") == 3, F.col(c)).alias(c) for c in ("documents", "without_findings", "unreadable")))
+
+
 def scan_summary(scanned: DataFrame, rules: int) -> DataFrame:
     """One row for a corpus: documents, documents without findings, rules, findings, and replacements."""
     f = F.col("findings")

@@ -2,7 +2,10 @@
 
 One pass over each document and no shuffle: everything of a document is in arrays of its row, so the same transform serves
 batches and streams. Text columns stay as they are; offsets count code points. All steps after the matches sort and fold, so their
-work grows with the matches (n log n), and with the square only of those that overlap each other without a break.
+work grows with the matches (n log n); among those that overlap each other without a break, kept ones are looked up by place.
+
+A scan has two halves that can also be had apart: `find_candidates` reads the text, `resolve_candidates` needs it no more. So candidates
+of many rules, found once, serve every choice among those rules.
 """
 
 from __future__ import annotations
@@ -95,14 +98,49 @@ def _greedy(cluster: Column) -> Column:
     return F.transform(F.array_sort(F.transform(kept, lambda k: F.struct(k["start"].alias("at"), k.alias("k")))), lambda o: o["k"])
 
 
-_APART = "x.at >= d.end"
+_NO_PLACES = "cast(array() AS array<int>)"
+_STARTS = fold_sql("idx", {"end": "-1"}, {"end": "greatest(d.end, get(placed, x).until)"}, f"if(get(placed, x).at >= d.end, array(x), {_NO_PLACES})", _NO_PLACES)
 #: Of candidates by start: those that touch each other, directly or through others, as arrays.
 _CLUSTERS = bound(
+    f"if(size(placed) = 0, {_NO_PLACES}, sequence(0, size(placed) - 1))", "idx",
+    bound(f"{_STARTS}.out", "starts", "transform(starts, (s, k) -> slice(placed, s + 1, coalesce(get(starts, k + 1), size(placed)) - s))"),
+)
+#: Clusters of more candidates than this look up kept ones by place.
+WIDE = 48
+
+
+_LATER = "(NOT x.x.tidy OR NOT (d.rule <=> x.rule) OR x.until > d.most)"
+#: A cluster cl without candidates that a longer or earlier one of their rule holds: in order of rule and start, longest first, those
+#: which end after all before them stay.
+_LONGEST = bound(
+    "array_sort(transform(cl, x -> named_struct('rule', x.rule, 'at', x.at, 'length', x.at - x.until, 'i', x.i, 'until', x.until, 'x', x)))", "sorted",
     fold_sql(
-        "placed", {"end": "-1", "open": "slice(placed, 1, 0)"}, {"end": "greatest(d.end, x.until)", "open": f"if({_APART}, array(x), concat(d.open, array(x)))"},
-        f"if({_APART} AND size(d.open) > 0, array(d.open), slice(array(placed), 1, 0))", "slice(array(placed), 1, 0)",
-    ),
-    "s", "concat(s.out, array(s.open))",
+        "sorted", {"rule": "cast(null AS int)", "most": "-1"}, {"rule": "x.rule", "most": "if(d.rule <=> x.rule, greatest(d.most, x.until), x.until)"},
+        f"if({_LATER}, array(x.x), slice(cl, 1, 0))", "slice(cl, 1, 0)",
+    ) + ".out",
+)
+_NEAR = "slice(d.held, x.first + 1, x.n)"
+_FREE = f"(x.shield OR NOT exists({_NEAR}, q -> exists(q, k -> k.start < x.end AND x.start < k.end)))"
+_HELD = f"concat(slice(d.held, 1, x.first), transform({_NEAR}, q -> array_append(q, named_struct('start', x.start, 'end', x.end))), slice(d.held, x.first + x.n + 1, g.stretches))"
+_STRETCH = "cast(({} - g.base) div g.width AS int)"
+#: What greedy resolution keeps of a cluster cl of many, with protected ranges, which come first and aren't kept. Kept spans lie apart,
+#: so few of them are in one stretch of the text. The cluster's text is cut in as many stretches as the root of its candidates; each
+#: lists the kept spans that touch it, and a candidate meets those of the stretches that it touches, up to the first that it overlaps.
+_WIDE = bound(
+    bound(
+        """named_struct(
+          'ranked', array_sort(transform(cl, x -> named_struct('z', NOT x.shield, 'a', -x.c.priority, 'b', -x.c.confidence, 'd', x.at - x.until, 's', x.at, 'i', x.i, 'x', x))),
+          'base', array_min(transform(cl, x -> x.at)), 'stretches', cast(ceil(sqrt(size(cl))) AS int),
+          'width', greatest(cast(ceil((array_max(transform(cl, x -> x.until)) - array_min(transform(cl, x -> x.at))) / ceil(sqrt(size(cl)))) AS int), 1))""", "g",
+        bound(
+            f"""transform(g.ranked, r -> named_struct('shield', r.x.shield, 'start', r.x.at, 'end', r.x.until, 'c', r.x.c,
+              'first', {_STRETCH.format('r.x.at')}, 'n', {_STRETCH.format('(r.x.until - 1)')} - {_STRETCH.format('r.x.at')} + 1))""", "items",
+            fold_sql(
+                "items", {"held": "array_repeat(cast(array() AS array<struct<start:int,end:int>>), g.stretches)"}, {"held": f"if({_FREE}, {_HELD}, d.held)"},
+                f"if({_FREE} AND NOT x.shield, array(x.c), slice(array(x.c), 1, 0))", "slice(transform(cl, x -> x.c), 1, 0)",
+            ) + ".out",
+        ),
+    ), "chosen", "transform(array_sort(transform(chosen, c -> named_struct('at', c.start, 'c', c))), o -> o.c)",
 )
 
 
@@ -127,10 +165,13 @@ def resolve(found: Column, tidy: Callable[[Column], Column] | None = None, shiel
     def longest(cluster: Column) -> Column:
         return F.filter(cluster, lambda a: ~tidy(a["c"]) | ~F.exists(cluster, lambda b: gone(a, b))) if tidy else cluster
 
-    placed = F.array_sort(F.transform(found, lambda c, i: F.struct(c["start"].alias("at"), c["end"].alias("until"), i.alias("i"), c.alias("c"))))
+    rule = (lambda c: c["rule"].cast("int")) if tidy else (lambda _: F.lit(None).cast("int"))
+    flag = lambda test, c: test(c) if test else F.lit(False)
+    placed = F.array_sort(F.transform(found, lambda c, i: F.struct(c["start"].alias("at"), c["end"].alias("until"), i.alias("i"), c.alias("c"), rule(c).alias("rule"), flag(tidy, c).alias("tidy"), flag(shield, c).alias("shield"))))
     one = lambda cl: F.transform(cl, lambda x: x["c"])
     clusters = F.get(mapped(F.array(placed), f"placed -> {_CLUSTERS}"), F.lit(0))
-    kept = F.flatten(F.transform(clusters, lambda cl: F.when(F.size(cl) > 1, let(longest(cl), best)).otherwise(one(cl))))
+    wide = lambda cl: F.get(mapped(F.array(cl), f"cl -> {bound(_LONGEST, 'cl', _WIDE) if tidy else _WIDE}"), F.lit(0))
+    kept = F.flatten(F.transform(clusters, lambda cl: F.when(F.size(cl) > WIDE, wide(cl)).when(F.size(cl) > 1, let(longest(cl), best)).otherwise(one(cl))))
     return F.filter(kept, lambda c: ~shield(c)) if shield else kept
 
 
@@ -221,6 +262,49 @@ def rule_matches(df: DataFrame, text_col: str = "text", options: ScanOptions | N
     return out.withColumn("rule_matches", made).drop("_scan_text", "_scan_low", "_scan_digit", "_scan_hits", "_scan_found")
 
 
+def find_candidates(df: DataFrame, text_col: str = "text", options: ScanOptions | None = None) -> DataFrame:
+    """df with candidates, all matches of the active rules by number, protected ranges with -1, and literals, the strings that
+    replacements look at: all that `resolve_candidates` needs of the text. Columns of those names are replaced; a null text is empty."""
+    rules = active_detectors(options or ScanOptions())
+    out = _prepared(df.drop("candidates", "literals"), text_col, _Plan.of(rules))
+    found = F.transform("_scan_found", lambda x: x["c"])
+    quoted = F.when(F.size("_scan_found") > 0, string_literals(F.col("_scan_text"))).otherwise(no_spans()) if any(d.replacement for d in rules) else no_spans()
+    return out.withColumns({"candidates": found, "literals": quoted}).drop("_scan_text", "_scan_low", "_scan_digit", "_scan_hits", "_scan_found")
+
+
+def chosen_rules(known: ScanOptions, options: ScanOptions) -> list[bool]:
+    """Of each active rule of `known`, whether `options` has it too; an error if that has others."""
+    rules, wanted = active_detectors(known), active_detectors(options)
+    own = {d.id for d in registry()}
+    same = lambda a, b: a.id == b.id if a.id in own else a == b
+    missing = [d.id for d in wanted if not any(same(d, r) for r in rules)]
+    if missing:
+        raise ValueError(f"no candidates of these rules: {', '.join(missing)}")
+    return [any(same(d, r) for d in wanted) for r in rules]
+
+
+def kept_candidates(found: Column, chosen: Column, rules: Sequence[Detector]) -> Column:
+    """Those candidates that a scan keeps, of the rules for which the array `chosen` has true, by place."""
+    tidied = [i for i, d in enumerate(rules) if d.tidy]
+    tidy = (lambda c: c["rule"].isin(*tidied)) if tidied else None
+    return resolve(F.filter(found, lambda c: (c["rule"] < 0) | F.get(chosen, c["rule"])), tidy, lambda c: c["rule"] < 0)
+
+
+def resolve_candidates(df: DataFrame, known: ScanOptions, options: ScanOptions) -> DataFrame:
+    """df, from find_candidates under `known`, with the findings that a scan under `options` gives, whose rules are among those."""
+    rules = active_detectors(known)
+    chosen = F.array(*map(F.lit, chosen_rules(known, options))) if rules else F.array().cast("array<boolean>")
+    out = once(df.drop("findings"), _scan_kept=F.when(F.size("candidates") > 0, kept_candidates(F.col("candidates"), chosen, rules)).otherwise(F.array().cast(f"array<{_CANDIDATE}>")))
+    return _with_findings(out, rules, options.template, F.col("literals")).drop("_scan_kept", "candidates", "literals")
+
+
+def _with_findings(out: DataFrame, rules: Sequence[Detector], template: str, literals: Column) -> DataFrame:
+    """out with findings of the candidates in _scan_kept."""
+    kept = F.col("_scan_kept")
+    out = once(out, _scan_numbers=F.when(F.size(kept) > 0, indexes(_keys(kept, rules, template))).otherwise(F.array().cast("array<int>")))
+    return once(out, findings=_findings(kept, F.col("_scan_numbers"), rules, template, literals)).drop("_scan_numbers")
+
+
 def scan(df: DataFrame, text_col: str = "text", options: ScanOptions | None = None) -> DataFrame:
     """df with findings, an array in document order. A column of that name is replaced; a null text is empty."""
     options = options or ScanOptions()
@@ -243,4 +327,4 @@ def finding_rows(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return scanned.select(id_col, F.posexplode("findings").alias("pos", "f")).select(id_col, "pos", "f.*")
 
 
-__all__ = ["ScanOptions", "finding_rows", "indexes", "protected_ranges", "resolve", "rule_matches", "scan"]
+__all__ = ["ScanOptions", "find_candidates", "finding_rows", "resolve_candidates", "indexes", "protected_ranges", "resolve", "rule_matches", "scan"]

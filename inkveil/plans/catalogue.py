@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import validators as V
 from ..functions.spans import once
-from ..operators import candidates, render, review, terms
+from ..operators import candidates, incremental, render, review, terms
 from ..operators.detectors import registry
 from ..operators.scan import ScanOptions, active_detectors, finding_rows, resolve, rule_matches, scan
+from ..sources.work import work_path
 from . import config
 
 
@@ -108,6 +109,70 @@ def q_preview_round_trip(spark, sf_dir):
     return made.select("doc_id", join("source").alias("source_md5"), join("preview").alias("preview_md5"))
 
 
+def q_preview_lines(spark, sf_dir):
+    """The lines of the preview, put together from their pieces."""
+    made = once(scan(_documents(spark, sf_dir)), source=render.segments(F.coalesce("text", F.lit("")), F.col("findings")))
+    pieces = render.segment_rows(made, "source").groupBy("doc_id", "line").agg(F.sort_array(F.collect_list(F.struct("segment", "text", "kind"))).alias("p"))
+    return pieces.select("doc_id", F.col("line").cast("bigint").alias("line"), F.md5(F.array_join(F.transform("p", lambda x: x["text"]), "").cast("binary")).alias("line_md5"), F.size(F.filter("p", lambda x: x["kind"] == "match")).cast("bigint").alias("matches"))
+
+
+#: Profiles that differ in the rules which the documents have something for.
+PROFILES = {
+    "balanced": config.Profile(), "no-personal": config.Profile(overrides={d.id: False for d in registry() if d.category == "personal"}),
+    "only-personal": config.Profile(overrides={d.id: d.category == "personal" and d.mode == "balanced" for d in registry()}), "no-ipv4": config.Profile(overrides={"ipv4": False}),
+}
+
+
+def q_profile_tally(spark, sf_dir):
+    return review.tally_profiles(_documents(spark, sf_dir), {name: config.options(p) for name, p in PROFILES.items()})
+
+
+def q_incremental_scan(spark, sf_dir):
+    """A scan of all documents, then one after two rules are off and each hundredth document has changed; that reads the changed ones."""
+    docs, store, known = _documents(spark, sf_dir), work_path(spark, "store"), config.options(config.Profile())
+    incremental.refresh(docs, store, known)
+    text = F.when(F.col("doc_id") % 100 == 7, F.expr(f"concat(coalesce(text, ''), {_CHANGE})")).otherwise(F.col("text"))
+    changed = docs.withColumn("text", text)
+    incremental.refresh(changed, store, known)
+    chosen = config.options(config.Profile(overrides={"ipv4": False, "payment-card": False}))
+    return finding_rows(incremental.scan_stored(changed, store, known, chosen)).select("doc_id", "pos", "detector_id", "start", "end", "value", "placeholder")
+
+
+def q_hide_and_rescan(spark, sf_dir):
+    """A scan of all documents, then one more term is hidden: only texts with its words are read again."""
+    docs, store, known = _documents(spark, sf_dir), work_path(spark, "store"), config.options(config.Profile())
+    incremental.refresh(docs, store, known)
+    incremental.index_words(docs, store)
+    hidden = incremental.scan_hiding(docs, store, known, terms.TermList("Hidden", (HIDDEN,)))
+    return finding_rows(hidden).select("doc_id", "pos", "detector_id", "start", "end", "value")
+
+
+HIDDEN = "than"
+_CHANGE = "chr(10), 'mail new', doc_id, '@x.example from 10.20.30.', doc_id % 200"
+_SQL_CHANGED = SQL_FINDINGS.replace("WITH email_m", f"WITH changed AS (SELECT doc_id, CASE WHEN doc_id % 100 = 7 THEN concat(coalesce(text, ''), {_CHANGE}) ELSE text END AS text FROM documents),\nemail_m").replace("AS g FROM documents)", "AS g FROM changed)").replace(" AS first FROM f)", " AS first FROM f WHERE detector_id NOT IN ('ipv4', 'payment-card'))")
+_SQL_LINES = f"""{SQL_FINDINGS},
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+m AS (SELECT p.doc_id, length(substr(d.text, 1, p.start)) - length(replace(substr(d.text, 1, p.start), chr(10), '')) AS line, count(*) AS n FROM p JOIN documents d USING (doc_id) GROUP BY 1, 2)
+SELECT l.doc_id, l.line, md5(l.t) AS line_md5, coalesce(m.n, 0) AS matches FROM l LEFT JOIN m ON l.doc_id = m.doc_id AND l.line = m.line WHERE l.t <> ''"""
+_PROFILE_CASES = "(VALUES ('balanced', ''), ('no-personal', 'email,payment-card'), ('only-personal', 'ipv4,secret-assignment'), ('no-ipv4', 'ipv4')) AS v(profile, without)"
+_SQL_TALLY = f"""{SQL_FINDINGS},
+x AS (SELECT v.profile, d.doc_id, f.category, f.detector_id FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) d CROSS JOIN {_PROFILE_CASES}
+  LEFT JOIN f ON f.doc_id = d.doc_id AND NOT list_contains(string_split(v.without, ','), f.detector_id))
+SELECT profile, category, detector_id, count(*) AS findings, NULL::BIGINT AS documents, NULL::BIGINT AS without_findings, NULL::BIGINT AS unreadable FROM x WHERE detector_id IS NOT NULL GROUP BY 1, 2, 3
+UNION ALL SELECT profile, category, NULL, count(*), NULL, NULL, NULL FROM x WHERE detector_id IS NOT NULL GROUP BY 1, 2
+UNION ALL SELECT profile, NULL, NULL, count(detector_id), count(DISTINCT doc_id), count(*) FILTER (detector_id IS NULL), (SELECT count(*) FROM documents WHERE text IS NULL) FROM x GROUP BY 1"""
+_SQL_HIDDEN = (
+    SQL_FINDINGS
+    + "".join(_SQL_SPANS.format(name="word", pattern=r"[\p{L}\p{N}]*(?i:than)[\p{L}\p{N}]*").join((",", "")))
+    + f""",
+h AS (
+  SELECT doc_id, detector_id, start, "end", value FROM p
+  UNION ALL SELECT w.doc_id, 'private-term', w.place, (w.place + length(w.m))::INT, w.m FROM word_s w
+  WHERE lower(w.m) = '{HIDDEN}' AND NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = w.doc_id AND p.start < w.place + length(w.m) AND w.place < p."end"))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS pos, detector_id, start, "end", value FROM h"""
+)
+
+
 _NL, _BACK, _QUOTE = "chr(10)", "chr(92)", "chr(39)"
 
 
@@ -427,6 +492,10 @@ o AS (SELECT doc_id, n, coalesce(text, '') AS source, coalesce(head, '') || subs
         "q_placeholder_numbering": f'{SQL_FINDINGS} SELECT doc_id, pos, detector_id, start, "end", value, placeholder FROM p',
         "q_clean_text_hash": f"{SQL_FINDINGS}{cleaned} SELECT doc_id, n AS n_findings, md5(clean) AS clean_md5 FROM o",
         "q_preview_round_trip": f"{SQL_FINDINGS}{cleaned} SELECT doc_id, md5(source) AS source_md5, md5(clean) AS preview_md5 FROM o",
+        "q_preview_lines": _SQL_LINES,
+        "q_profile_tally": _SQL_TALLY,
+        "q_incremental_scan": f'{_SQL_CHANGED} SELECT doc_id, pos, detector_id, start, "end", value, placeholder FROM p',
+        "q_hide_and_rescan": _SQL_HIDDEN,
         "q_group_findings": f"{SQL_FINDINGS} SELECT doc_id, detector_id, value, min(placeholder) AS placeholder, min(severity) AS severity, count(*) AS count, true AS enabled, string_agg(detector_id || '-' || pos || '-' || start, ',' ORDER BY pos) AS ids FROM p GROUP BY doc_id, detector_id, value",
         "q_export_aggregates": f"{SQL_FINDINGS} SELECT d.doc_id, count(p.pos) AS finding_count, count(DISTINCT p.detector_id) AS detector_count, count(p.pos) AS replacement_count, 0::BIGINT AS kept_count, count(*) FILTER (p.severity = 'high') AS high_count, count(*) FILTER (p.category = 'personal') AS personal_count FROM documents d LEFT JOIN p ON d.doc_id = p.doc_id GROUP BY d.doc_id",
         "q_corpus_tally": f"{SQL_FINDINGS} SELECT category, detector_id, count(*) AS count FROM f GROUP BY ROLLUP (category, detector_id)",
