@@ -37,6 +37,8 @@ class Detector:
     special: tuple[Callable[[Column], Column], ...] = ()
     #: Of its own matches, those within longer ones go before rules are compared.
     tidy: bool = False
+    #: Its number among the rules whose matches are made before the scan, in column GIVEN.
+    given: int | None = None
 
     @property
     def strict_only(self) -> bool:

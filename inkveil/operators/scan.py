@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.script import QUOTED, SWITCH_CASES, string_literals
-from ..functions.spans import MATCH, Pattern, as_spans, bound, fold_sql, hits_sql, let, mapped, matches, matches_of, no_spans, once, overlap
+from ..functions.spans import HIGH, MATCH, Pattern, as_spans, bound, fold_sql, hits_sql, let, mapped, matches, matches_of, no_spans, once, overlap
 from .detectors import Detector, registry
 
 DEFAULT_TEMPLATE = "[{TYPE}_{INDEX}]"
+#: The column with matches that are made before the scan: structs with the rule's number (key), start, end, value, before and after.
+GIVEN = "_given_matches"
 
 # Strings that hold search patterns of a script, and so stay untouched.
 PROTECTED = (
@@ -66,12 +68,20 @@ class _Plan:
     patterns: tuple[Pattern, ...]
     special: tuple[Callable[[Column], Column], ...]
     rule_of: tuple[int, ...]
+    #: Of each number of a rule with given matches, its place among all numbers.
+    given: tuple[int, ...]
 
     @staticmethod
     def of(rules: Sequence[Detector]) -> _Plan:
         patterns = [(i, p) for i, d in enumerate(rules) for p in d.patterns] + [(-1, p) for p in PROTECTED]
         special = [(i, s) for i, d in enumerate(rules) for s in d.special]
-        return _Plan(rules, tuple(p for _, p in patterns), tuple(s for _, s in special), tuple(i for i, _ in (*patterns, *special)))
+        given = {d.given: i for i, d in enumerate(rules) if d.given is not None}
+        before = len(patterns) + len(special)
+        places = {key: before + n for n, key in enumerate(given)}
+        return _Plan(
+            rules, tuple(p for _, p in patterns), tuple(s for _, s in special), (*(i for i, _ in (*patterns, *special)), *given.values()),
+            tuple(places.get(key, -1) for key in range(max(given, default=-1) + 1)),
+        )
 
     def found(self, text: str, hits: str) -> Column:
         def numbered(spans: Column, number: int) -> Column:
@@ -79,6 +89,10 @@ class _Plan:
             return F.transform(spans, lambda s: F.struct(F.lit(number).alias("p"), *(s[n].alias(n) for n in ("start", "end", "value")), *(none.alias(n) for n in ("before", "after", "extra")), s["confidence"].alias("confidence")))
 
         made = [numbered(s(F.col(text)), len(self.patterns) + i) for i, s in enumerate(self.special)]
+        if self.given:
+            known = F.filter(F.coalesce(F.col(GIVEN), F.slice(F.array(F.get(GIVEN, F.lit(0))), 1, 0)), lambda s: F.get(_numbers(self.given), s["key"]) >= 0)
+            rest = lambda s: (F.lit(None).cast("string").alias("extra"), F.lit(HIGH).alias("confidence"))
+            made.append(F.transform(known, lambda s: F.struct(F.get(_numbers(self.given), s["key"]).alias("p"), *(s[n].alias(n) for n in ("start", "end", "value", "before", "after")), *rest(s))))
         return F.concat(matches_of(F.col(hits), self.patterns), *(m.cast(f"array<{MATCH}>") for m in made))
 
 
@@ -206,12 +220,14 @@ def _candidates(found: Column, plan: _Plan) -> Column:
     return F.array_sort(F.transform(made, lambda c: F.struct(c["rule"].alias("rule"), c["p"].alias("p"), c["start"].alias("at"), c.alias("c")))).cast(f"array<struct<rule:int,p:int,at:int,c:{_CANDIDATE}>>")
 
 
-def _by_rule(c: Column, rules: Sequence[Detector], of: Callable[[Detector], Column | None], otherwise: Column) -> Column:
-    made = otherwise
+def _by_rule(c: Column, rules: Sequence[Detector], of: Callable[[Detector], Callable[[], Column] | None], key: Callable[[Detector], object], otherwise: Column) -> Column:
+    """The value for the candidate's rule; rules of one key share it."""
+    made, shared = otherwise, {}
     for i, d in enumerate(rules):
-        value = of(d)
-        if value is not None:
-            made = F.when(c["rule"] == i, value).otherwise(made)
+        if of(d) is not None:
+            shared.setdefault(key(d), (of(d), []))[1].append(i)
+    for value, numbers in shared.values():
+        made = F.when(c["rule"] == numbers[0] if len(numbers) == 1 else c["rule"].isin(*numbers), value()).otherwise(made)
     return made
 
 
@@ -225,7 +241,7 @@ def _findings(kept: Column, numbers: Column, rules: Sequence[Detector], template
 
     def finding(c: Column, i: Column) -> Column:
         of = lambda n: F.get(about[n], c["rule"])
-        replacement = _by_rule(c, rules, lambda d: d.replacement(literals, c) if d.replacement else None, F.lit(None).cast("string"))
+        replacement = _by_rule(c, rules, lambda d: (lambda: d.replacement(literals, c)) if d.replacement else None, lambda d: d.replacement, F.lit(None).cast("string"))
         is_lead = F.get(lead, c["rule"])
         return F.struct(
             F.concat_ws("-", of("id"), i.cast("string"), c["start"].cast("string")).alias("id"), of("id").alias("detector_id"), of("name").alias("name"), of("category").alias("category"),
@@ -239,7 +255,7 @@ def _findings(kept: Column, numbers: Column, rules: Sequence[Detector], template
 
 def _keys(kept: Column, rules: Sequence[Detector], template: str) -> Column:
     label, form = _words([d.label for d in rules]), _words([d.template or template for d in rules])
-    norm = lambda c: _by_rule(c, rules, lambda d: d.normalize(c["value"]) if d.normalize else None, c["value"])
+    norm = lambda c: _by_rule(c, rules, lambda d: (lambda: d.normalize(c["value"])) if d.normalize else None, lambda d: d.normalize, c["value"])
     return F.transform(kept, lambda c: F.struct(F.get(label, c["rule"]).alias("label"), F.concat_ws("\u0000", F.get(form, c["rule"]), norm(c)).alias("key")))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import validators as V
 from ..functions.spans import once
-from ..operators import candidates, incremental, render, review, terms
+from ..operators import automaton, candidates, incremental, render, review, terms
 from ..operators.detectors import registry
 from ..operators.scan import ScanOptions, active_detectors, finding_rows, resolve, rule_matches, scan
 from ..sources.work import work_path
@@ -147,7 +147,14 @@ def q_hide_and_rescan(spark, sf_dir):
     return finding_rows(hidden).select("doc_id", "pos", "detector_id", "start", "end", "value")
 
 
+def q_many_terms(spark, sf_dir):
+    """A hundred terms in one pass over each document."""
+    scanned = automaton.scan_terms(_documents(spark, sf_dir), terms.TermList("Many", MANY))
+    return finding_rows(scanned).select("doc_id", "pos", "detector_id", "start", "end", "value")
+
+
 HIDDEN = "than"
+MANY = (*"the and that this with from have they were their would there what about which when make like time just know take into year your good some could them other than then look only come over think".split(), *(f"item {i}" for i in range(62)))
 _CHANGE = "chr(10), 'mail new', doc_id, '@x.example from 10.20.30.', doc_id % 200"
 _SQL_CHANGED = SQL_FINDINGS.replace("WITH email_m", f"WITH changed AS (SELECT doc_id, CASE WHEN doc_id % 100 = 7 THEN concat(coalesce(text, ''), {_CHANGE}) ELSE text END AS text FROM documents),\nemail_m").replace("AS g FROM documents)", "AS g FROM changed)").replace(" AS first FROM f)", " AS first FROM f WHERE detector_id NOT IN ('ipv4', 'payment-card'))")
 _SQL_LINES = f"""{SQL_FINDINGS},
@@ -161,16 +168,19 @@ x AS (SELECT v.profile, d.doc_id, f.category, f.detector_id FROM (SELECT doc_id
 SELECT profile, category, detector_id, count(*) AS findings, NULL::BIGINT AS documents, NULL::BIGINT AS without_findings, NULL::BIGINT AS unreadable FROM x WHERE detector_id IS NOT NULL GROUP BY 1, 2, 3
 UNION ALL SELECT profile, category, NULL, count(*), NULL, NULL, NULL FROM x WHERE detector_id IS NOT NULL GROUP BY 1, 2
 UNION ALL SELECT profile, NULL, NULL, count(detector_id), count(DISTINCT doc_id), count(*) FILTER (detector_id IS NULL), (SELECT count(*) FROM documents WHERE text IS NULL) FROM x GROUP BY 1"""
-_SQL_HIDDEN = (
-    SQL_FINDINGS
-    + "".join(_SQL_SPANS.format(name="word", pattern=r"[\p{L}\p{N}]*(?i:than)[\p{L}\p{N}]*").join((",", "")))
-    + f""",
+
+
+def _sql_hidden(pattern: str, words: str) -> str:
+    return (
+        SQL_FINDINGS
+        + "".join(_SQL_SPANS.format(name="word", pattern=pattern).join((",", "")))
+        + f""",
 h AS (
   SELECT doc_id, detector_id, start, "end", value FROM p
   UNION ALL SELECT w.doc_id, 'private-term', w.place, (w.place + length(w.m))::INT, w.m FROM word_s w
-  WHERE lower(w.m) = '{HIDDEN}' AND NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = w.doc_id AND p.start < w.place + length(w.m) AND w.place < p."end"))
+  WHERE lower(w.m) IN ({words}) AND NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = w.doc_id AND p.start < w.place + length(w.m) AND w.place < p."end"))
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS pos, detector_id, start, "end", value FROM h"""
-)
+    )
 
 
 _NL, _BACK, _QUOTE = "chr(10)", "chr(92)", "chr(39)"
@@ -495,7 +505,8 @@ o AS (SELECT doc_id, n, coalesce(text, '') AS source, coalesce(head, '') || subs
         "q_preview_lines": _SQL_LINES,
         "q_profile_tally": _SQL_TALLY,
         "q_incremental_scan": f'{_SQL_CHANGED} SELECT doc_id, pos, detector_id, start, "end", value, placeholder FROM p',
-        "q_hide_and_rescan": _SQL_HIDDEN,
+        "q_hide_and_rescan": _sql_hidden(r"[\p{L}\p{N}]*(?i:than)[\p{L}\p{N}]*", f"'{HIDDEN}'"),
+        "q_many_terms": _sql_hidden(r"[\p{L}\p{N}]+", ", ".join(f"'{w}'" for w in MANY if " " not in w)),
         "q_group_findings": f"{SQL_FINDINGS} SELECT doc_id, detector_id, value, min(placeholder) AS placeholder, min(severity) AS severity, count(*) AS count, true AS enabled, string_agg(detector_id || '-' || pos || '-' || start, ',' ORDER BY pos) AS ids FROM p GROUP BY doc_id, detector_id, value",
         "q_export_aggregates": f"{SQL_FINDINGS} SELECT d.doc_id, count(p.pos) AS finding_count, count(DISTINCT p.detector_id) AS detector_count, count(p.pos) AS replacement_count, 0::BIGINT AS kept_count, count(*) FILTER (p.severity = 'high') AS high_count, count(*) FILTER (p.category = 'personal') AS personal_count FROM documents d LEFT JOIN p ON d.doc_id = p.doc_id GROUP BY d.doc_id",
         "q_corpus_tally": f"{SQL_FINDINGS} SELECT category, detector_id, count(*) AS count FROM f GROUP BY ROLLUP (category, detector_id)",
