@@ -306,10 +306,13 @@ def kept_candidates(found: Column, chosen: Column, rules: Sequence[Detector]) ->
     return resolve(F.filter(found, lambda c: (c["rule"] < 0) | F.get(chosen, c["rule"])), tidy, lambda c: c["rule"] < 0)
 
 
-def resolve_candidates(df: DataFrame, known: ScanOptions, options: ScanOptions) -> DataFrame:
-    """df, from find_candidates under `known`, with the findings that a scan under `options` gives, whose rules are among those."""
+def resolve_candidates(df: DataFrame, known: ScanOptions, options: ScanOptions, chosen: Column | None = None) -> DataFrame:
+    """df, from find_candidates under `known`, with the findings that a scan under `options` gives, whose rules are among those.
+
+    chosen: of each row an array that says for each rule of `known` whether it is active there, in place of the rules of `options`."""
     rules = active_detectors(known)
-    chosen = F.array(*map(F.lit, chosen_rules(known, options))) if rules else F.array().cast("array<boolean>")
+    if chosen is None:
+        chosen = F.array(*map(F.lit, chosen_rules(known, options))) if rules else F.array().cast("array<boolean>")
     out = once(df.drop("findings"), _scan_kept=F.when(F.size("candidates") > 0, kept_candidates(F.col("candidates"), chosen, rules)).otherwise(F.array().cast(f"array<{_CANDIDATE}>")))
     return _with_findings(out, rules, options.template, F.col("literals")).drop("_scan_kept", "candidates", "literals")
 

@@ -5,16 +5,20 @@ text by expressions over its id that both engines read, some to be found and som
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import validators as V
 from ..functions.spans import once
-from ..operators import automaton, candidates, incremental, render, review, terms
+from ..operators import automaton, candidates, extra, incremental, render, review, terms
 from ..operators.detectors import registry
 from ..operators.scan import ScanOptions, active_detectors, finding_rows, resolve, rule_matches, scan
+from ..sources import exports
 from ..sources.work import work_path
-from . import config
+from ..streaming.rollups import write_tally
+from . import config, guide
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +157,61 @@ def q_many_terms(spark, sf_dir):
     return finding_rows(scanned).select("doc_id", "pos", "detector_id", "start", "end", "value")
 
 
+def _even_mailboxes(text: str):
+    """Of addresses, what is before the @, where its characters' code points have an even sum."""
+    for m in re.finditer(r"([A-Za-z0-9._%+-]+)@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text):
+        if sum(map(ord, m[1])) % 2 == 0:
+            yield m.span(1)
+
+
+MAILBOX = extra.PythonRule("mailbox", "Mailbox", "MAILBOX", _even_mailboxes, priority=500)
+
+
+def q_python_rule(spark, sf_dir):
+    """A rule in Python beside the native ones: what it finds goes before the address around it."""
+    scanned = extra.scan_python(_documents(spark, sf_dir), [MAILBOX])
+    return finding_rows(scanned).select("doc_id", "pos", "detector_id", "start", "end", "value", "placeholder")
+
+
+def q_rule_function(spark, sf_dir):
+    """The same rule as a table function, joined laterally."""
+    extra.register_rules(spark, "mailbox_spans", [MAILBOX])
+    rows = spark.sql("SELECT d.doc_id, m.* FROM {docs} d, LATERAL mailbox_spans(d.text) m", docs=_documents(spark, sf_dir))
+    return rows.select("doc_id", "rule", "start", "end", "value")
+
+
+def q_stream_tally(spark, sf_dir):
+    """The documents as a stream, one a second from the year 2000 on: counts of the windows of 100 seconds that close."""
+    path = f"{sf_dir}/documents.parquet"
+    # A stream's path is a folder or a pattern; this one fits the table's name alone.
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/documents.parque[t]").select("doc_id", "text", F.timestamp_seconds(F.col("doc_id") + _EPOCH).alias("ts"))
+    made = work_path(spark, "tally")
+    query = write_tally(stream, f"{made}/windows", f"{made}/state", "100 seconds", "10 seconds")
+    query.awaitTermination()
+    schema = "start timestamp, category string, detector_id string, findings bigint, documents bigint, without_findings bigint"
+    rows = spark.read.schema(schema).parquet(f"{made}/windows")
+    return rows.select((F.unix_timestamp("start") - _EPOCH).alias("start"), "category", "detector_id", "findings", "documents", "without_findings")
+
+
+def q_export_files(spark, sf_dir):
+    """Each cleaned text as a file of its own, and the files read again."""
+    exports.register(spark)
+    made, name = work_path(spark, "exports"), "clean-text.txt"
+    cleaned = render.sanitize(scan(_documents(spark, sf_dir)))
+    cleaned.select(F.col("doc_id").cast("string").alias("id"), F.lit(name).alias("name"), F.col("clean_text").alias("text")).write.format(exports.FORMAT).mode("append").save(made)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(made)
+    return files.select(F.regexp_extract("path", "/doc-([^/@]*)", 1).cast("bigint").alias("doc_id"), F.col("length").alias("bytes"), F.md5("content").alias("file_md5"))
+
+
+def q_rule_guide(spark, sf_dir):
+    """Of each rule the placeholder that its sample in the guide gets, and what it finds in the documents under the default profile."""
+    shown = guide.previews(guide.guide_table(spark)).select("rule", "ord", F.col("findings")[0]["placeholder"].alias("placeholder"), F.col("findings")[0]["enabled"].alias("replaced"))
+    counts = _findings(spark, sf_dir).groupBy("detector_id").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("doc_id").alias("documents"))
+    joined = shown.join(F.broadcast(counts), shown["rule"] == counts["detector_id"], "left")
+    return joined.select("rule", "ord", "placeholder", "replaced", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("findings", "documents")))
+
+
+_EPOCH = 946_684_800
 HIDDEN = "than"
 MANY = (*"the and that this with from have they were their would there what about which when make like time just know take into year your good some could them other than then look only come over think".split(), *(f"item {i}" for i in range(62)))
 _CHANGE = "chr(10), 'mail new', doc_id, '@x.example from 10.20.30.', doc_id % 200"
@@ -170,6 +229,36 @@ UNION ALL SELECT profile, category, NULL, count(*), NULL, NULL, NULL FROM x WHER
 UNION ALL SELECT profile, NULL, NULL, count(detector_id), count(DISTINCT doc_id), count(*) FILTER (detector_id IS NULL), (SELECT count(*) FROM documents WHERE text IS NULL) FROM x GROUP BY 1"""
 
 
+_MAILBOXES = """b AS (
+  SELECT *, value[1 : strpos(value, '@') - 1] AS box FROM f WHERE detector_id = 'email'),
+e AS (SELECT * FROM b WHERE list_sum(list_transform(string_split(box, ''), lambda c: unicode(c))) % 2 = 0)"""
+_SQL_PYTHON = (
+    SQL_FINDINGS.split("\nn AS (")[0]
+    + f"""{_MAILBOXES},
+a AS (
+  SELECT doc_id, detector_id, label, start, value FROM f ANTI JOIN e USING (doc_id, detector_id, start)
+  UNION ALL SELECT doc_id, 'mailbox', 'MAILBOX', start, box FROM e),
+n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS pos, min(start) OVER (PARTITION BY doc_id, label, value) AS first FROM a)
+SELECT doc_id, pos, detector_id, start, (start + length(value))::INT AS "end", value,
+  '[' || label || '_' || dense_rank() OVER (PARTITION BY doc_id, label ORDER BY first) || ']' AS placeholder FROM n"""
+)
+_SQL_FUNCTION = SQL_FINDINGS.split("\nn AS (")[0] + f"""{_MAILBOXES}
+SELECT doc_id, 'mailbox' AS rule, start, (start + length(box))::INT AS "end", box AS value FROM e"""
+_SQL_STREAM = f"""{SQL_FINDINGS},
+w AS (SELECT d.doc_id, d.doc_id // 100 * 100 AS start, f.category, f.detector_id FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN f ON f.doc_id = d.doc_id
+  WHERE d.doc_id // 100 * 100 + 100 <= (SELECT max(doc_id) - 10 FROM documents))
+SELECT start, category, detector_id, count(*) AS findings, 0::BIGINT AS documents, 0::BIGINT AS without_findings FROM w WHERE detector_id IS NOT NULL GROUP BY 1, 2, 3
+UNION ALL SELECT start, category, NULL, count(*), 0, 0 FROM w WHERE detector_id IS NOT NULL GROUP BY 1, 2
+UNION ALL SELECT start, NULL, NULL, count(detector_id), count(DISTINCT doc_id), count(*) FILTER (detector_id IS NULL) FROM w GROUP BY 1"""
+
+
+def _sql_guide() -> str:
+    shown = _values([(d.id, i, f"[{d.label}_1]", d.mode != "lead") for i, d in enumerate(registry())], "rule, ord, placeholder, replaced")
+    return f"""{SQL_FINDINGS},
+g AS ({shown}), c AS (SELECT detector_id, count(*) AS n, count(DISTINCT doc_id) AS d FROM f GROUP BY 1)
+SELECT g.rule, g.ord::INTEGER AS ord, g.placeholder, g.replaced, coalesce(c.n, 0) AS findings, coalesce(c.d, 0) AS documents FROM g LEFT JOIN c ON c.detector_id = g.rule"""
+
+
 def _sql_hidden(pattern: str, words: str) -> str:
     return (
         SQL_FINDINGS
@@ -507,6 +596,11 @@ o AS (SELECT doc_id, n, coalesce(text, '') AS source, coalesce(head, '') || subs
         "q_incremental_scan": f'{_SQL_CHANGED} SELECT doc_id, pos, detector_id, start, "end", value, placeholder FROM p',
         "q_hide_and_rescan": _sql_hidden(r"[\p{L}\p{N}]*(?i:than)[\p{L}\p{N}]*", f"'{HIDDEN}'"),
         "q_many_terms": _sql_hidden(r"[\p{L}\p{N}]+", ", ".join(f"'{w}'" for w in MANY if " " not in w)),
+        "q_python_rule": _SQL_PYTHON,
+        "q_rule_function": _SQL_FUNCTION,
+        "q_stream_tally": _SQL_STREAM,
+        "q_export_files": f"{SQL_FINDINGS}{cleaned} SELECT doc_id, strlen(clean) AS bytes, md5(clean) AS file_md5 FROM o",
+        "q_rule_guide": _sql_guide(),
         "q_group_findings": f"{SQL_FINDINGS} SELECT doc_id, detector_id, value, min(placeholder) AS placeholder, min(severity) AS severity, count(*) AS count, true AS enabled, string_agg(detector_id || '-' || pos || '-' || start, ',' ORDER BY pos) AS ids FROM p GROUP BY doc_id, detector_id, value",
         "q_export_aggregates": f"{SQL_FINDINGS} SELECT d.doc_id, count(p.pos) AS finding_count, count(DISTINCT p.detector_id) AS detector_count, count(p.pos) AS replacement_count, 0::BIGINT AS kept_count, count(*) FILTER (p.severity = 'high') AS high_count, count(*) FILTER (p.category = 'personal') AS personal_count FROM documents d LEFT JOIN p ON d.doc_id = p.doc_id GROUP BY d.doc_id",
         "q_corpus_tally": f"{SQL_FINDINGS} SELECT category, detector_id, count(*) AS count FROM f GROUP BY ROLLUP (category, detector_id)",

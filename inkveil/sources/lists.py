@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..operators.render import placeholder_label, template_for, template_problem
-from ..operators.terms import MAX_MAPPINGS, MAX_NAME, MAX_TERM_LENGTH, MAX_TERMS, MIN_TERM_LENGTH, MappingEntry, TermList, clean_mapping
+from ..operators.terms import MAX_MAPPINGS, MAX_NAME, MAX_TERM_LENGTH, MAX_TERMS, MIN_TERM_LENGTH, FieldRule, MappingEntry, TermList, clean_mapping
 
 LIST_KIND, LIST_VERSION = "inkveil.term-list", 1
 MAX_LIST_BYTES = 256 * 1024
@@ -47,6 +47,26 @@ def parse_lines(text: str, existing: Sequence[str] = (), case_sensitive: bool =
     return ParsedList(tuple(terms), len(terms) - len(existing), **left)
 
 
+def import_summary(parsed: ParsedList) -> str:
+    """One line on what parse_lines took: empty lines aren't worth a word, and no term is repeated in it."""
+    skipped = parsed.duplicate + parsed.too_long
+    parts = [f"{parsed.added} term{'' if parsed.added == 1 else 's'} added"]
+    parts += [f"{skipped} left out"] if skipped else []
+    parts += [f"the list is full at {MAX_TERMS}"] if parsed.capped else []
+    return f"{'; '.join(parts)}. The terms are not stored unless you say so."
+
+
+def list_problem(terms: Sequence[str], new: bool = True) -> str | None:
+    """Why a list of terms can't be saved, or None. Only a new one needs a term: an older one may be emptied."""
+    usable = any(MIN_TERM_LENGTH <= len(t.strip()) <= MAX_TERM_LENGTH for t in terms)
+    return "A new list needs at least one usable term." if new and not usable else None
+
+
+def pack_problem(detector_ids: Sequence[str], rules: Sequence[FieldRule]) -> str | None:
+    """Why a pack can't be saved, or None. With neither rules nor labelled fields it would be a list of terms."""
+    return None if detector_ids or rules else "A pack needs a rule or a labelled field; terms alone make a list."
+
+
 def _stored(entry: MappingEntry) -> dict:
     return {name: getattr(entry, own) for own, name in _KEYS.items()} | {"codeSafe": entry.strategy in ("code-only", "genericize")}
 

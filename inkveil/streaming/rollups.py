@@ -4,7 +4,8 @@ A row is told by its id and time: repeats of both count once. Both the rows seen
 watermark has passed them, so state grows with the rows within `delay`, not with the stream; a window is written once, when it closes.
 After a restart the checkpoint goes on where it was, and no window is written twice.
 
-Defined cases: a null text has no findings and counts as a document; a row without time takes no part; rows later than `delay`
+Defined cases: a null text has no findings and counts as a document; a row without time takes no part; in a stream, times up to the start
+of 1970 are late from the outset, as the watermark begins there; rows later than `delay`
 may be dropped, and are once their window has been written; rows of one null id and one time count once; an empty stream writes
 nothing; further columns, whatever their names, take no part.
 """
