@@ -34,21 +34,33 @@ _EPS = 1e-9
 UNIT = "id string, text_key bigint, source string, size bigint, rows bigint, sure bigint, chance double, left long"
 
 
+def _with_sums_before(df: DataFrame, order: list, sums: list[str], name: str) -> DataFrame:
+    """df with, for each column of sums, before_<column>: its sum over all rows that come earlier in the order.
+
+    The rows are cut into ranges of the order; only the sums of the ranges, one row each, are added up in one task."""
+    ranged = written(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), name)
+    of_range = ranged.groupBy("range").agg(*(F.sum(c).alias(c) for c in sums))
+    earlier = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = of_range.select("range", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"offset_{c}") for c in sums))
+    inside = W.partitionBy("range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    summed = ranged.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"inside_{c}") for c in sums))
+    joined = summed.join(F.broadcast(offsets), "range")
+    return joined.select(*df.columns, *((F.col(f"offset_{c}") + F.col(f"inside_{c}")).alias(f"before_{c}") for c in sums))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(source, source_size) with target. Windows over all rows: a row is a source here."""
+    """(source, source_size) with target. Sources may be as many as rows: none of the steps takes them all in one task."""
     listed = F.array(*(F.lit(float(w)) for w in weights))
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    rated = sizes.withColumn("weight", F.element_at(listed, (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")))
-    rated = rated.withColumn("most", F.col("source_size") * F.lit(float(cap))).withColumn("fill", F.col("most") / F.col("weight"))
-    by_fill = W.orderBy("fill", F.col("source").asc_nulls_last())
-    earlier, later = by_fill.rowsBetween(W.unboundedPreceding, -1), by_fill.rowsBetween(0, W.unboundedFollowing)
-    everything = W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    total = F.sum("source_size").over(everything) * F.lit(float(share))
-    level = (total - F.coalesce(F.sum("most").over(earlier), F.lit(0.0))) / F.sum("weight").over(later)
-    reached = rated.withColumn("level", level).withColumn("open", F.col("level") <= F.col("fill"))
-    first_open = F.min(F.when(F.col("open"), F.struct("fill", F.col("source").isNull(), "source", "level"))).over(everything)
-    target = F.coalesce(F.least("most", first_open["level"] * F.col("weight")), F.col("most"))
-    return reached.select("source", "source_size", target.alias("target"))
+    by_name = F.col("source").asc_nulls_last()
+    placed = _with_sums_before(sizes.withColumn("one", F.lit(1)), [by_name], ["one"], "mix-names")
+    weight = F.element_at(listed, (F.pmod(F.col("before_one"), F.lit(len(weights))) + 1).cast("int"))
+    rated = placed.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("most"))
+    filled = _with_sums_before(rated.withColumn("fill", F.col("most") / F.col("weight")), [F.col("fill").asc(), by_name], ["most", "weight"], "mix-fills")
+    whole = filled.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights")).first()
+    level = (F.lit(float(whole["words"] or 0) * float(share)) - F.col("before_most")) / (F.lit(float(whole["weights"] or 0)) - F.col("before_weight"))
+    first_open = filled.withColumn("level", level).filter("level <= fill").agg(F.min(F.struct("fill", F.col("source").isNull(), "source", "level"))["level"]).first()[0]
+    target = F.col("most") if first_open is None else F.least("most", F.lit(first_open) * F.col("weight"))
+    return filled.select("source", "source_size", target.alias("target"))
 
 
 def fly(sizes: list[int], chances: list[float], dice: random.Random) -> list[float]:

@@ -4,8 +4,12 @@ A text's bytes are cut into chunks of CHUNK bytes, each overlapping the next by
 learned filters over WIDTH embedded bytes are taken at every STRIDE-th place, rectified and max-pooled. The pooled filters are
 combined over the chunks by their mean and their maximum, and a small hidden layer makes one probability of them.
 
-It learns by gradient descent on at most LEARN_ROWS labelled ids that aren't held out, one row each, and like scoring on every chunk
-of their whole texts. Chunks go through the network SLICE at a time, so a very long text needs memory for its pooled filters only.
+It learns on at most LEARN_ROWS labelled ids that aren't held out, one row each, and like scoring on every chunk of their whole
+texts. The sample is a table in the shared folder and is dealt to learners, one task each. In each round a learner descends along the
+gradients of its rows, BATCH texts at a time as they stream by; then the learners' networks are averaged, by their numbers of rows.
+So the driver has networks only, and no task more than a few texts at once. Chunks go through the network SLICE at a time, so a very
+long text needs memory for its pooled filters only. Learners are as many as the sample needs, whatever the cluster has, and their rows come in an
+order by hash: reruns agree.
 
 Defined cases: of conflicting labels of an id the greatest counts; null and empty texts are one chunk of padding; without labels of both kinds every score is the share of label 1
 (0.5 without any); null ids are never held out; repeated rows score alike; an empty table gives an empty table; columns named as
@@ -14,6 +18,8 @@ an added one are replaced.
 
 from __future__ import annotations
 
+import copy
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,15 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, pieces
+from .common import fresh, pieces, written
 from .labelled import held_out, learning_rows
 
 CHUNK, OVERLAP = 512, 32
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 3, 6, 24, 16
-LEARN_ROWS, EPOCHS, BATCH, RATE = 3000, 8, 48, 0.004
+LEARN_ROWS, ROUNDS, BATCH, RATE = 3000, 8, 8, 0.004
+#: Most learners, and how many rows each has at least.
+LEARNERS, LEARNER_ROWS = 8, 64
 #: Chunks that go through the filters at a time; what they need is held from the way forth to the way back for up to HELD chunks.
 SLICE, HELD = 256, 1024
-#: Fewer rows are gone through more often.
+#: Steps of a learner in all rounds, at least: fewer rows are gone through more often.
 LEAST_STEPS = 300
 KEEP = 0.7
 _PLACES = (CHUNK - WIDTH) // STRIDE + 1
@@ -79,30 +87,39 @@ def score(model: Model, texts: list[bytes]) -> np.ndarray:
     return np.clip(_probability(model, _combined(_pooled(model, np.concatenate(parts)), starts, counts)).astype(float), 0, 1)
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Model:
-    """bags: the chunks of each text."""
-    if not len(labels) or labels.min() == labels.max():
-        return {"constant": np.array(labels.mean() if len(labels) else 0.5)}
+def initial(seed: int = 11) -> Model:
     dice = np.random.default_rng(seed)
     draw = lambda *shape: (dice.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-    model = {"embed": dice.standard_normal((256, EMBED)).astype(np.float32) * 0.5, "filter": draw(WIDTH * EMBED, FILTERS), "bias": np.zeros(FILTERS, np.float32), "hidden": draw(2 * FILTERS, HIDDEN), "hidden_bias": np.zeros(HIDDEN, np.float32), "out": draw(HIDDEN), "out_bias": np.zeros(1, np.float32)}
-    mean = {k: np.zeros_like(v) for k, v in model.items()}
-    square = {k: np.zeros_like(v) for k, v in model.items()}
-    batches = -(-len(labels) // BATCH)
-    epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
-    steps, total = 0, epochs * batches
-    for _ in range(epochs):
-        order = dice.permutation(len(labels))
-        for at in range(0, len(order), BATCH):
-            some = order[at : at + BATCH]
-            grads = _gradients(model, [bags[i] for i in some], labels[some])
-            steps += 1
-            rate = RATE * (1 - 0.9 * steps / total)
-            for k, g in grads.items():
-                mean[k] = 0.9 * mean[k] + 0.1 * g
-                square[k] = 0.99 * square[k] + 0.01 * g * g
-                model[k] = model[k] - (rate * mean[k] / (1 - 0.9**steps) / (np.sqrt(square[k] / (1 - 0.99**steps)) + 1e-6)).astype(np.float32)
-    return model
+    return {"embed": dice.standard_normal((256, EMBED)).astype(np.float32) * 0.5, "filter": draw(WIDTH * EMBED, FILTERS), "bias": np.zeros(FILTERS, np.float32), "hidden": draw(2 * FILTERS, HIDDEN), "hidden_bias": np.zeros(HIDDEN, np.float32), "out": draw(HIDDEN), "out_bias": np.zeros(1, np.float32)}
+
+
+class Descent:
+    """A network on its way: the running means of its gradients and of their squares, and the steps behind it."""
+
+    def __init__(self, model: Model):
+        self.model, self.steps = dict(model), 0
+        self.mean = {k: np.zeros_like(v) for k, v in model.items()}
+        self.square = {k: np.zeros_like(v) for k, v in model.items()}
+
+    def step(self, bags: list[np.ndarray], labels: np.ndarray, rate: float) -> None:
+        """bags: the chunks of each text."""
+        self.steps += 1
+        for k, g in _gradients(self.model, bags, labels).items():
+            self.mean[k] = 0.9 * self.mean[k] + 0.1 * g
+            self.square[k] = 0.99 * self.square[k] + 0.01 * g * g
+            by = rate * self.mean[k] / (1 - 0.9**self.steps) / (np.sqrt(self.square[k] / (1 - 0.99**self.steps)) + 1e-6)
+            self.model[k] = self.model[k] - by.astype(np.float32)
+
+
+def averaged(made: list[tuple[int, Descent]]) -> Descent:
+    """Of (rows, descent) one descent, each weighted by its rows."""
+    total = sum(n for n, _ in made)
+    out = Descent(made[0][1].model)
+    out.steps = max(d.steps for _, d in made)
+    for part in ("model", "mean", "square"):
+        parts = [(n, getattr(d, part)) for n, d in made]
+        setattr(out, part, {k: (sum(n * p[k].astype(np.float64) for n, p in parts) / total).astype(np.float32) for k in out.model})
+    return out
 
 
 def _gradients(model: Model, bags: list[np.ndarray], y: np.ndarray) -> Model:
@@ -145,14 +162,51 @@ def _gradients(model: Model, bags: list[np.ndarray], y: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bags = [chunks(text.encode()).tobytes() for text in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("id").cast(pa.string()), batch.column("label"), pa.array(bags, pa.binary())], ["id", "label", "bag"])
+    spark = docs.sparkSession
+    rows = learning_rows(docs, labels, label, LEARN_ROWS, id_col, text_col)
+    sample = written(rows.select(F.col("id").cast("string").alias("id"), "label", "text"), "quality-sample")
+    n, least, most, mean = sample.agg(F.count("id"), F.min("label"), F.max("label"), F.avg("label")).first()
+    if not n or least == most:
+        return {"constant": np.array(mean if n else 0.5)}
+    learners = min(LEARNERS, max(1, n // LEARNER_ROWS))
+    passes = -(-LEAST_STEPS * learners * BATCH // (ROUNDS * n))
+    dealt = sample.withColumn("learner", F.pmod(F.xxhash64("id"), F.lit(learners)).cast("int")).withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(passes))))
+    state = Descent(initial())
+    for at in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(state)
+        ordered = dealt.withColumn("order", F.xxhash64("id", "pass", F.lit(at))).repartitionById(learners, "learner").sortWithinPartitions("pass", "order", "id")
+        made = ordered.mapInArrow(_learner(shared, RATE * (1 - 0.9 * at / ROUNDS)), "learner int, rows bigint, state binary").collect()
+        state = averaged([(r["rows"], pickle.loads(r["state"])) for r in sorted(made, key=lambda r: r["learner"])])
+        shared.unpersist()
+    return state.model
+
+
+def _learner(shared, rate: float):
+    """A round of one learner: its network after all its rows, as one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, rows, learner = copy.copy(shared.value), 0, None
+        texts, marks = [], []
+        state.mean, state.square, state.model = dict(state.mean), dict(state.square), dict(state.model)
+
+        def step():
+            state.step([chunks(t.encode()) for t in texts], np.array(marks, float), rate)
 
-    rows = learning_rows(docs, labels, label, LEARN_ROWS, id_col, text_col).mapInArrow(cut, "id string, label int, bag binary").toPandas()
-    rows = rows.sort_values(["id", "label", "bag"], kind="stable")
-    return fit([np.frombuffer(b, np.uint8).reshape(-1, CHUNK) for b in rows["bag"]], rows["label"].to_numpy(float))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                learner = batch.column("learner")[i].as_py()
+                texts.append(batch.column("text")[i].as_py())
+                marks.append(batch.column("label")[i].as_py())
+                rows += 1
+                if len(texts) == BATCH:
+                    step()
+                    texts, marks = [], []
+        if texts:
+            step()
+        if rows:
+            yield pa.record_batch([pa.array([learner], pa.int32()), pa.array([rows]), pa.array([pickle.dumps(state)], pa.binary())], ["learner", "rows", "state"])
+
+    return run
 
 
 def score_quality(df: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:

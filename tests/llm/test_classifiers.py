@@ -68,11 +68,9 @@ def test_chunks_cover_the_whole_text():
 
 
 def test_gradients():
-    Q_steps, Q.LEAST_STEPS = Q.LEAST_STEPS, 1
     dice = np.random.default_rng(1)
     bags = [dice.integers(0, 256, (n, Q.CHUNK), dtype=np.uint8) for n in (1, 3)]
-    model = {k: v.astype(np.float64) for k, v in Q.fit(bags, np.array([0.0, 1.0])).items()}
-    Q.LEAST_STEPS = Q_steps
+    model = {k: v.astype(np.float64) for k, v in Q.initial().items()}
     y = np.array([0.0, 1.0])
 
     def loss(m):
@@ -124,10 +122,28 @@ def test_very_long_texts_go_through_in_slices(monkeypatch):
     dice = np.random.default_rng(5)
     bags = [dice.integers(0, 256, (n, Q.CHUNK), dtype=np.uint8) for n in (1, 9)]
     y = np.array([0.0, 1.0])
-    monkeypatch.setattr(Q, "LEAST_STEPS", 1)
-    model = {k: v.astype(np.float64) for k, v in Q.fit(bags, y).items()}
+    model = {k: v.astype(np.float64) for k, v in Q.initial().items()}
     whole = Q._gradients(model, bags, y)
     monkeypatch.setattr(Q, "SLICE", 2)
     monkeypatch.setattr(Q, "HELD", 4)
     for name, g in Q._gradients(model, bags, y).items():
         assert np.allclose(g, whole[name])
+
+
+def test_learners_are_averaged_by_rows():
+    one, two = Q.Descent(Q.initial(1)), Q.Descent(Q.initial(2))
+    one.steps, two.steps = 4, 3
+    made = Q.averaged([(1, one), (3, two)])
+    assert made.steps == 4
+    for k, v in made.model.items():
+        assert np.allclose(v, 0.25 * one.model[k] + 0.75 * two.model[k], atol=1e-6)
+
+
+@pytest.mark.parametrize("n", [5, 300])
+def test_learning_twice_gives_one_network(spark, n):
+    docs = spark.createDataFrame([(i, ("noise zz qq " if i % 2 else "a calm and clear line ") * (1 + i % 7)) for i in range(n)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1 - i % 2) for i in range(n)], "doc_id long, quality int")
+    first, second = Q.train(docs, marks), Q.train(docs.repartition(7), marks.repartition(3))
+    assert all(np.array_equal(first[k], second[k]) for k in first)
+    scores = Q.score(first, [b"noise zz qq noise zz qq", b"a calm and clear line"])
+    assert scores[0] < 0.5 < scores[1]

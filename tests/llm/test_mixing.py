@@ -70,3 +70,13 @@ def test_flight_keeps_totals():
     assert sum(0 < p < 1 for p in out) <= 2
     assert sum(out) == pytest.approx(sum(chances), abs=1e-5)
     assert sum(x * p for x, p in zip(sizes, out)) == pytest.approx(sum(x * p for x, p in zip(sizes, chances)), abs=1e-3)
+
+
+@pytest.mark.parametrize("n", [1, 4, 700])
+def test_targets_of_many_sources(spark, n):
+    dice = random.Random(n)
+    sizes = {(None if i == 0 else f"s{dice.random()}"): dice.choice((0, 1, 5, 5, 40, 3000)) for i in range(n)}
+    got = M.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    assert len(got) == n
+    target = wanted(sizes)
+    assert all(r.source_size == sizes[r.source] and r.target == pytest.approx(target[r.source]) for r in got)
