@@ -484,16 +484,86 @@ def q_checksums(spark, sf_dir):
     return rows.select("doc_id", "kind", "value", valid.alias("valid"))
 
 
+_digit = lambda i: f"TRY_CAST(substr(d, {i}, 1) AS INT)"
+#: Checks of numbers in SQL, over d.
+_SQL_CHECKS = {
+    "aba": f"(3 * ({_digit(1)} + {_digit(4)} + {_digit(7)}) + 7 * ({_digit(2)} + {_digit(5)} + {_digit(8)}) + {_digit(3)} + {_digit(6)} + {_digit(9)}) % 10 = 0 AND d <> '000000000'",
+    "dea": f"({_digit(3)} + {_digit(5)} + {_digit(7)} + 2 * ({_digit(4)} + {_digit(6)} + {_digit(8)})) % 10 = {_digit(9)}",
+    "sin": f"d[1] NOT IN ('0', '8') AND {_LUHN}", "ssn": "d[1:3] NOT IN ('000', '666') AND d[1] <> '9' AND d[4:5] <> '00' AND d[6:9] <> '0000'",
+    "itin": "d[4:5] BETWEEN '70' AND '88' OR d[4:5] BETWEEN '90' AND '92' OR d[4:5] BETWEEN '94' AND '99'", "card": _LUHN,
+    "iban": "(d[5:22] || '1314' || d[3:4])::HUGEINT % 97 = 1",
+}
+
+
 def _sql_checksums() -> str:
-    at = lambda i: f"substr(d, {i}, 1)::INT"
-    tests = {
-        "aba": f"(3 * ({at(1)} + {at(4)} + {at(7)}) + 7 * ({at(2)} + {at(5)} + {at(8)}) + {at(3)} + {at(6)} + {at(9)}) % 10 = 0 AND d <> '000000000'",
-        "dea": f"({at(3)} + {at(5)} + {at(7)} + 2 * ({at(4)} + {at(6)} + {at(8)})) % 10 = {at(9)}",
-        "sin": f"d[1] NOT IN ('0', '8') AND {_LUHN}", "ssn": "d[1:3] NOT IN ('000', '666') AND d[1] <> '9' AND d[4:5] <> '00' AND d[6:9] <> '0000'",
-        "itin": "d[4:5]::INT BETWEEN 70 AND 88 OR d[4:5]::INT BETWEEN 90 AND 92 OR d[4:5]::INT BETWEEN 94 AND 99", "card": _LUHN,
-        "iban": "(d[5:22] || '1314' || d[3:4])::HUGEINT % 97 = 1",
-    }
-    return " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, d AS value, {tests[k]} AS valid FROM (SELECT doc_id, {v} AS d FROM documents)" for k, v in _NUMBERS.items())
+    return " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, d AS value, {_SQL_CHECKS[k]} AS valid FROM (SELECT doc_id, {v} AS d FROM documents)" for k, v in _NUMBERS.items())
+
+
+#: Parts of IN_TEXT that change with the document.
+_PARTS = _NUMBERS | {
+    "sin groups": "concat_ws(' ', substr(S, 1, 3), substr(S, 4, 3), substr(S, 7, 3))".replace("S", _NUMBERS["sin"]), "sin mixed": "substr(S, 1, 3) || '-' || substr(S, 4, 3) || ' ' || substr(S, 7, 3)".replace("S", _NUMBERS["sin"]),
+    "ssn groups": "concat_ws('-', substr(S, 1, 3), substr(S, 4, 2), substr(S, 6, 4))".replace("S", _NUMBERS["ssn"]),
+    "date": "CAST(1850 + doc_id * 7 % 200 AS STRING) || '-' || lpad(CAST(doc_id % 14 AS STRING), 2, '0') || '-' || lpad(CAST(doc_id * 11 % 33 AS STRING), 2, '0')",
+    "pass": "CASE doc_id % 3 WHEN 0 THEN 'ABCDEFG' WHEN 1 THEN '1234567' ELSE 'X1234567' END",
+    "record": "CASE doc_id % 4 WHEN 0 THEN 'RECORD-1' WHEN 1 THEN 'R-2345' WHEN 2 THEN 'R-2' ELSE 'REC-345-6' END",
+}
+#: Lines after a document's own text. Numbers are valid or not as the document's id makes them; beside them are near misses: a digit too
+#: many or too few, no label, a label within a word, mixed separators.
+IN_TEXT = (
+    "routing number: |{aba}|NL|routing number: |{aba}|0|NL|routing numbers |{aba}|NL|DEA no: |{dea}|NL|DEA: |{dea}|9|NL|IDEA: |{dea}|NL|see |{sin groups}|, or |{sin mixed}|.|NL|SIN: |{sin}|NL|BASIN: |{sin}|NL|"
+    "on |{ssn groups}| and |{ssn groups}|-1 and |{ssn groups}|7|NL|SSN= |{ssn}|NL|ITIN: |{itin}|NL|ITIN: |{itin}|0|NL|EIN: 12-|{7}|NL|EIN: 12-|{7}|8|NL|VEIN: 12-|{7}|NL|EIN: 123|{7}|NL|"
+    "pay |{iban}|NL|pay |{iban}|0|NL|pay X|{iban}|NL|DOB: |{date}|NL|DOBS: |{date}|NL|Passport No: |{pass}|NL|Passports: |{pass}|NL|MRN: |{record}|NL|MRNS: |{record}|NL|"
+    "Mobile: +1 555.010.|{4}|NL|Phones: 555-010-|{4}|NL|Tel: 555 010 |{4}|5|NL|Fax= (555) 010|{4}| x12|NL|mac 00:00:00:00:00:|{2}| or 00:1A:2B:|{2}| or 00:1A-2B:3C:4D:|{2}|NL|"
+    "as UTF-|{2}| and OPS-|{d}|, CHG|{d}|, INC0|{4}|, XCHG|{7}|NL|City: Ottawa K1A |{1}|B1, K1D |{1}|B1|NL|near Ottawa K1A |{1}|B1|NL|State: NY 1000|{1}|-|{4}|, 1000|{2}|NL|in NY 1000|{1}"
+)
+#: The values of each rule in SQL: patterns whose group 1 is the value x, and what holds for x (d is x without separators).
+_LABEL = r"(?i)\b{}[:=] ?"
+_APART = r"(?:^|[^\d-]){}(?:[^\d-]|$)"
+_SQL_IN_TEXT = {
+    "us-aba-routing": ((_LABEL.format("routing number") + r"(\d+)",), "length(x) = 9 AND " + _SQL_CHECKS["aba"]),
+    "us-dea-number": ((_LABEL.format("DEA(?: no)?") + r"(\w+)",), r"regexp_full_match(x, '[A-Za-z]{2}\d{7}') AND " + _SQL_CHECKS["dea"]),
+    "canadian-sin": ((_LABEL.format("SIN") + r"(\d{9})\b", _APART.format(r"(\d{3} \d{3} \d{3}|\d{3}-\d{3}-\d{3})")), _SQL_CHECKS["sin"]),
+    "us-ssn": ((_LABEL.format("SSN") + r"(\d{9})\b", _APART.format(r"(\d{3}-\d{2}-\d{4})")), _SQL_CHECKS["ssn"]),
+    "us-itin": ((_LABEL.format("ITIN") + r"(9\d+)",), f"length(x) = 9 AND ({_SQL_CHECKS['itin']})"),
+    "us-ein": ((_LABEL.format("EIN") + r"(\d+-\d+)",), r"regexp_full_match(x, '\d{2}-\d{7}')"),
+    "iban": ((r"\b(DE\d+)\b",), f"length(x) = 22 AND TRY_CAST(x[3:] AS HUGEINT) IS NOT NULL AND {_SQL_CHECKS['iban']}"),
+    "date-of-birth": ((r"\bDOB: ?(\d{4}-\d\d-\d\d)\b",), "TRY_CAST(x AS DATE) IS NOT NULL AND x[1:4]::INT BETWEEN 1900 AND year(current_date)"),
+    "passport-number": ((_LABEL.format("Passport No") + r"(\w+)",), r"regexp_matches(x, '[A-Z]') AND regexp_matches(x, '\d')"),
+    "health-identifier": ((r"\bMRN: ?([\w-]+)",), r"length(x) BETWEEN 6 AND 15 AND length(regexp_replace(x, '\D', '', 'g')) >= 4"),
+    "phone-number": ((r"\b(?:Mobile|Tel|Fax)[:=] ?((?:\+1 )?\(?\d{3}\)?[ .]?\d{3}[ .]?\d{4}(?: x\d+)?)(?:[^\d-]|$)",), "true"),
+    "mac-address": ((r"(?i)\b((?:[0-9a-f]{2}[:-]){5}[0-9a-f]{2})\b",), "x[3] = x[6] AND x[6] = x[9] AND x[9] = x[12] AND x[12] = x[15] AND NOT regexp_full_match(lower(d), '0+|f+')"),
+    "ticket-id": ((r"\b((?:INC|CHG|REQ|RITM|PRB|SCTASK|TASK)\d+)\b", r"\b([A-Z]{2,10}-\d{2,6})\b"), r"(strpos(x, '-') > 0 OR regexp_matches(x, '\d{5}$')) AND split_part(x, '-', 1) NOT IN ('UTF', 'ISO', 'RFC', 'CVE', 'SHA', 'MD', 'TLS', 'HTTP', 'IPV')"),
+    "ca-postal-code": ((r"(?m)^.*\b(?:Address|Street|City|Location|ZIP|Postal Code)[ \t]*[:=].*$", r"\b([A-Z]\d[A-Z] ?\d[A-Z]\d)\b"), "NOT regexp_matches(x, '[DFIOQU]') AND NOT regexp_matches(x, '^[WZ]')"),
+    "us-zip": ((r"(?m)^.*\b(?:Address|Street|City|State|ZIP|Postal Code)[ \t]*[:=].*$", _APART.format(r"(\d{5}(?:-\d{4})?)")), "true"),
+}
+#: Rules whose first pattern gives the lines to search.
+_BY_LINE = ("ca-postal-code", "us-zip")
+
+
+def _lined(parts: str) -> str:
+    out = []
+    for p in parts.split("|"):
+        out.append(_PARTS[p[1:-1]] if p[1:-1] in _PARTS else _joined(p, "doc_id"))
+    return " || ".join(out)
+
+
+def q_rules_in_text(spark, sf_dir):
+    """What each of fifteen rules finds on its own in every document's whole text with lines after it."""
+    docs = _documents(spark, sf_dir).withColumn("text", F.expr(f"coalesce(text, '') || {_NL} || {_lined(IN_TEXT)}"))
+    found = rule_matches(docs, options=ScanOptions(frozenset(_SQL_IN_TEXT))).select("doc_id", F.explode("rule_matches").alias("m"))
+    return found.groupBy("doc_id", F.col("m.detector_id").alias("rule"), F.col("m.value").alias("value")).agg(F.count(F.lit(1)).alias("count"))
+
+
+def _sql_in_text() -> str:
+    every = lambda of, p, g=1: f"unnest(regexp_extract_all({of}, {_text(p)}, {g}))"
+    rows = []
+    for rule, (patterns, holds) in _SQL_IN_TEXT.items():
+        if rule in _BY_LINE:
+            found = [f"SELECT doc_id, {every('line', patterns[1])} AS x FROM (SELECT doc_id, {every('text', patterns[0], 0)} AS line FROM t)"]
+        else:
+            found = [f"SELECT doc_id, {every('text', p)} AS x FROM t" for p in patterns]
+        rows.append(f"SELECT doc_id, '{rule}' AS rule, x AS value FROM (SELECT *, regexp_replace(x, '[ :-]', '', 'g') AS d FROM ({' UNION ALL '.join(found)})) WHERE {holds}")
+    return f"WITH t AS (SELECT doc_id, coalesce(text, '') || {_NL} || {_lined(IN_TEXT).replace('AS STRING', 'AS VARCHAR')} AS text FROM documents) SELECT doc_id, rule, value, count(*) AS count FROM ({' UNION ALL '.join(rows)}) GROUP BY ALL"
 
 
 def q_rule_resolution(spark, sf_dir):
@@ -617,6 +687,7 @@ o AS (SELECT doc_id, n, coalesce(text, '') AS source, coalesce(head, '') || subs
         "q_detector_cases": _sql_cases(),
         "q_overlap_greedy": _sql_greedy(),
         "q_checksums": _sql_checksums(),
+        "q_rules_in_text": _sql_in_text(),
         "q_rule_resolution": _values(resolved, "profile, enabled_rules"),
         "q_mapping_suggestions": " UNION ALL ".join(f"SELECT doc_id, {i} AS ord, {_joined(t, 'doc_id')} AS term, '{r}' AS replacement FROM documents" for i, (t, r) in enumerate(_TERMS)),
         "q_code_warnings": f"SELECT doc_id, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), {_NL}, '')) + 1)::INTEGER + unnest([{', '.join(map(str, CODE_LINES))}]) AS line FROM documents",
