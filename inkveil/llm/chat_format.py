@@ -18,44 +18,49 @@ gives an empty table.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SYSTEM, UNKNOWN, END = "system", "unknown", "<|end|>\n"
+SYSTEM_HEAD, OWN_HEAD, USER_HEAD = "<|system|>\n", "<|assistant|>\n", ("<|user name=", "|>\n")
 
 
 def _safe(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
+def _named(role: Column) -> Column:
+    """The length of a user's head."""
+    return F.length(role) + sum(map(len, USER_HEAD))
+
+
 def rotate_perspectives(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(id, speaker, n_turns, n_targets, rendered, mask): mask is an array of (start, end), in characters."""
-    turn = F.struct(
-        F.col(turn_col).isNull().alias("late"), F.col(turn_col).alias("turn"),
-        _safe(F.coalesce(F.col(role_col), F.lit(UNKNOWN))).alias("role"), _safe(F.coalesce(F.col(text_col), F.lit(""))).alias("text"),
-    )
-    dialogues = df.groupBy(F.col(id_col).alias("id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    role, text = _safe(F.coalesce(F.col(role_col), F.lit(UNKNOWN))), _safe(F.coalesce(F.col(text_col), F.lit("")))
+    rows = df.select(F.col(id_col).alias("id"), F.col(turn_col).isNull().alias("late"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
+    # Where each turn ends in a rendering that is nobody's; in a speaker's own, each turn of theirs so far moves it by the same number.
+    head = F.when(F.col("role") == SYSTEM, F.lit(len(SYSTEM_HEAD))).otherwise(_named(F.col("role")))
+    so_far = W.partitionBy("id").orderBy("late", "turn", "role", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = rows.withColumn("upto", F.sum(head + F.length("text") + len(END)).over(so_far))
+    dialogues = placed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("late", "turn", "role", "text", "upto"))).alias("turns"))
     speakers = F.array_distinct(F.filter(F.transform("turns", lambda t: t["role"]), lambda r: r != SYSTEM))
     each = dialogues.select("id", "turns", F.explode(speakers).alias("speaker"))
 
     def part(t: Column) -> Column:
-        own = t["role"] == F.col("speaker")
-        head = F.when(t["role"] == SYSTEM, F.lit("<|system|>\n")).when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), t["role"], F.lit("|>\n")))
-        body = F.concat(t["text"], F.lit(END))
-        return F.struct(head.alias("head"), body.alias("body"), own.alias("own"))
-
-    parts = each.select("id", "speaker", F.explode(F.array(F.transform("turns", part))).alias("parts"))
-
-    def walk(done: Column, p: Column) -> Column:
-        start = done["at"] + F.length(p["head"])
-        end = start + F.length(p["body"])
-        mask = F.when(p["own"], F.concat(done["mask"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(done["mask"])
-        return F.struct(end.alias("at"), mask.alias("mask"))
-
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("mask"))
-    rendered = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"])), "")
-    return parts.select(
-        "id", "speaker", F.size("parts").alias("n_turns"), F.size(F.filter("parts", lambda p: p["own"])).alias("n_targets"),
-        rendered.alias("rendered"), F.aggregate("parts", nothing, walk)["mask"].alias("mask"),
+        user = F.concat(F.lit(USER_HEAD[0]), t["role"], F.lit(USER_HEAD[1]))
+        shown = F.when(t["role"] == SYSTEM, F.lit(SYSTEM_HEAD)).when(t["role"] == F.col("speaker"), F.lit(OWN_HEAD)).otherwise(user)
+        return F.concat(shown, t["text"], F.lit(END))
+
+    moved = F.lit(len(OWN_HEAD)) - _named(F.col("speaker"))
+
+    def span(t: Column, nth: Column) -> Column:
+        end = t["upto"] + (nth + 1) * moved
+        return F.struct((end - F.length(t["text"]) - len(END)).cast("int").alias("start"), end.cast("int").alias("end"))
+
+    own = F.filter("turns", lambda t: t["role"] == F.col("speaker"))
+    return each.select(
+        "id", "speaker", F.size("turns").alias("n_turns"), F.size(own).alias("n_targets"),
+        F.array_join(F.transform("turns", part), "").alias("rendered"), F.transform(own, span).alias("mask"),
     )
 
 
