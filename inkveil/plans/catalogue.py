@@ -547,23 +547,68 @@ def _lined(parts: str) -> str:
     return " || ".join(out)
 
 
-def q_rules_in_text(spark, sf_dir):
-    """What each of fifteen rules finds on its own in every document's whole text with lines after it."""
-    docs = _documents(spark, sf_dir).withColumn("text", F.expr(f"coalesce(text, '') || {_NL} || {_lined(IN_TEXT)}"))
-    found = rule_matches(docs, options=ScanOptions(frozenset(_SQL_IN_TEXT))).select("doc_id", F.explode("rule_matches").alias("m"))
+#: The same for what scripts, logs and settings hold.
+IN_SCRIPTS = (
+    "-----BEGIN RSA PRIVATE KEY-----|NL|k|{d}|NL|-----END RSA PRIVATE KEY-----|NL|-----BEGIN PUBLIC KEY-----|NL|-----BEGIN PRIVATE KEY-----|NL|"
+    "Bearer abcdefghijklmnop|{d}|==|NL|Bearer abcdefghijk|{4}|NL|Forbearer abcdefghijklmnopq|{4}|NL|t eyJhbGciOiJI.eyJzdWIiOiIx.sig|{4}|abcd x|NL|t eyJhbGciOiJI.eyJzdWI.sig|{4}|abcd x|NL|"
+    "key AKIAABCDEFGHIJKL|{4}|, AKIAABCDEFGHIJKL|{4}|9, ghp_abcdefghijklmnopqrstuvwxyz012345|{4}|, ghp_abcdefghijklmnopqrstuvwxyz01234|{4}|NL|url postgres://svc|{d}|:pw@db.corp.local/app|NL|url postgres://db|{d}|.corp.local/app|NL|"
+    "at OU=Staff|{d}|,DC=corp,DC=example end|NL|at OU=Staff|{d}|,DC=corp end|NL|see 123e4567-e89b-12d3-a456-42661417|{4}|, 123e4567-e89b-12d3-a456-42661417|{4}|0|NL|"
+    "see http://build|{d}|.corp.local/job, http://www.example.com/|{d}| and https://172.|{2}|.0.1/x|NL|to |BACK|BACK|files|{d}|BACK|share x or |BACK|BACK|files|{d}| x|NL|cd /home/bob|{d}|/src; cd /homes/bob|{d}|/src|NL|"
+    "Get-Thing -ComputerName srv-app|{d}|NL|Get-Thing -Computer srv-app|{d}|NL|Add-ADGroupMember -Identity |QUOTE|App Users |{d}|QUOTE|NL|Add-Member -Identity |QUOTE|App Users |{d}|QUOTE|NL|"
+    "to run_state_|{d}|.json, run_state_|{d}|.jsonl, audit-|{2}|.csv and runs-|{2}|.csv|NL|ConvertTo-SecureString |QUOTE|Pass|{4}|QUOTE|NL|ConvertTo-SecureString |QUOTE|abc|QUOTE|NL|"
+    'password = "hunter|{d}|"|NL|password = "$secret|{d}|"|NL|pass = "hunter|{d}|"|NL|login: mmiller|{d}|NL|logins: mmiller|{d}|NL|login: |{d}|x'
+)
+_HOST = "regexp_extract(x, '://([^/:?#]*)', 1)"
+_SQL_IN_SCRIPTS = {
+    "private-key": ((r"(-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----)",), "true"),
+    "bearer-token": ((r"(?i)\b(Bearer +[\w.~+/-]+=*)",), r"length(regexp_extract(x, ' ([^ =]+)', 1)) >= 16"),
+    "jwt": ((r"\b(eyJ[\w-]+\.[\w-]+\.[\w-]+)",), "length(split_part(x, '.', 1)) >= 11 AND length(split_part(x, '.', 2)) >= 8 AND length(split_part(x, '.', 3)) >= 8"),
+    "api-key": ((r"\b((?:AKIA|ASIA)[A-Z0-9]+)\b", r"\b(ghp_[A-Za-z0-9]+)"), "length(x) = 20 OR length(x) >= 40"),
+    "connection-string": ((r"([a-z]+://\w+:\w+@[\w./]+)",), "true"),
+    "ad-dn": ((r"(?i)\b((?:OU=\w+,)*DC=\w+(?:,DC=\w+)*)",), "regexp_matches(x, '(?i)DC=.*,DC=')"),
+    "guid-identifier": ((r"\b([0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]+)\b",), "length(x) = 36"),
+    "internal-url": (
+        (r"(?i)\b((?:https?|ldaps?)://[^\s\"'<>)\]]+)",),
+        f"regexp_matches({_HOST}, '(?i)(^|[.])(local|internal|corp|lan|intranet|intra)([.]|$)') OR strpos({_HOST}, '.') = 0 OR regexp_full_match({_HOST}, '10([.][1-9]?[0-9]){{3}}|192[.]168([.][1-9]?[0-9]){{2}}|172[.](1[6-9]|2[0-9]|3[01])([.][1-9]?[0-9]){{2}}')",
+    ),
+    "unc-path": ((r"(\\\\\w[\w.-]*\\[^\s\"'<>|]+)",), "true"),
+    "unix-user-path": ((r"(/(?:home|Users)/[\w.-]+(?:/[^\s\"'<>|]*)?)",), "true"),
+    "ps-server-param": ((r"(?i)-(?:ComputerName|Server|SmtpServer) [\"']?([a-z0-9][\w.-]+)",), "true"),
+    "ad-group-name": ((r"(?i)-ADGroupMember -Identity '([^']+)'",), "length(x) BETWEEN 2 AND 80"),
+    "workflow-artifact": ((r"(?i)\b([\w-]*(?:run_state|last_run|audit|snapshot)[\w-]*\.\w+)\b",), "regexp_matches(x, '(?i)[.](json|xml|csv|log|txt)$')"),
+    "secure-string-literal": ((r"(?i)ConvertTo-SecureString '([^']+)'",), "length(x) >= 4"),
+    "secret-assignment": ((r"(?i)(?:password|passwd|pwd|secret|token|api_?key)[\"']?\s*[:=]\s*[\"']([^\"'\r\n]+)[\"']",), "length(x) >= 4 AND x[1] NOT IN ('$', '[', '(', '<', '{', '@')"),
+    "username": ((r"(?i)\b(?:user|username|login|logon|account)\b\s*[:=]\s*[\"']?([a-z][\w.@-]*\w)",), "true"),
+}
+
+
+def _found_in_text(spark: SparkSession, sf_dir: str, lines: str, rules) -> DataFrame:
+    """What each rule finds on its own in every document's whole text with the lines after it."""
+    docs = _documents(spark, sf_dir).withColumn("text", F.expr(f"coalesce(text, '') || {_NL} || {_lined(lines)}"))
+    found = rule_matches(docs, options=ScanOptions(frozenset(rules))).select("doc_id", F.explode("rule_matches").alias("m"))
     return found.groupBy("doc_id", F.col("m.detector_id").alias("rule"), F.col("m.value").alias("value")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def _sql_in_text() -> str:
+def q_rules_in_text(spark, sf_dir):
+    """Fifteen rules for people's data."""
+    return _found_in_text(spark, sf_dir, IN_TEXT, _SQL_IN_TEXT)
+
+
+def q_script_rules_in_text(spark, sf_dir):
+    """Sixteen rules for secrets, infrastructure and paths."""
+    return _found_in_text(spark, sf_dir, IN_SCRIPTS, _SQL_IN_SCRIPTS)
+
+
+def _sql_in_text(lines: str, rules: dict) -> str:
     every = lambda of, p, g=1: f"unnest(regexp_extract_all({of}, {_text(p)}, {g}))"
     rows = []
-    for rule, (patterns, holds) in _SQL_IN_TEXT.items():
+    for rule, (patterns, holds) in rules.items():
         if rule in _BY_LINE:
             found = [f"SELECT doc_id, {every('line', patterns[1])} AS x FROM (SELECT doc_id, {every('text', patterns[0], 0)} AS line FROM t)"]
         else:
             found = [f"SELECT doc_id, {every('text', p)} AS x FROM t" for p in patterns]
         rows.append(f"SELECT doc_id, '{rule}' AS rule, x AS value FROM (SELECT *, regexp_replace(x, '[ :-]', '', 'g') AS d FROM ({' UNION ALL '.join(found)})) WHERE {holds}")
-    return f"WITH t AS (SELECT doc_id, coalesce(text, '') || {_NL} || {_lined(IN_TEXT).replace('AS STRING', 'AS VARCHAR')} AS text FROM documents) SELECT doc_id, rule, value, count(*) AS count FROM ({' UNION ALL '.join(rows)}) GROUP BY ALL"
+    return f"WITH t AS (SELECT doc_id, coalesce(text, '') || {_NL} || {_lined(lines).replace('AS STRING', 'AS VARCHAR')} AS text FROM documents) SELECT doc_id, rule, value, count(*) AS count FROM ({' UNION ALL '.join(rows)}) GROUP BY ALL"
 
 
 def q_rule_resolution(spark, sf_dir):
@@ -687,7 +732,8 @@ o AS (SELECT doc_id, n, coalesce(text, '') AS source, coalesce(head, '') || subs
         "q_detector_cases": _sql_cases(),
         "q_overlap_greedy": _sql_greedy(),
         "q_checksums": _sql_checksums(),
-        "q_rules_in_text": _sql_in_text(),
+        "q_rules_in_text": _sql_in_text(IN_TEXT, _SQL_IN_TEXT),
+        "q_script_rules_in_text": _sql_in_text(IN_SCRIPTS, _SQL_IN_SCRIPTS),
         "q_rule_resolution": _values(resolved, "profile, enabled_rules"),
         "q_mapping_suggestions": " UNION ALL ".join(f"SELECT doc_id, {i} AS ord, {_joined(t, 'doc_id')} AS term, '{r}' AS replacement FROM documents" for i, (t, r) in enumerate(_TERMS)),
         "q_code_warnings": f"SELECT doc_id, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), {_NL}, '')) + 1)::INTEGER + unnest([{', '.join(map(str, CODE_LINES))}]) AS line FROM documents",
