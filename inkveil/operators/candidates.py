@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.spans import fold, let, once, spans
+from ..functions.spans import HIGH, SPAN, Pattern, fold, let, matches, no_spans, once, spans
 from .names import STOP_WORDS
 from .scan import protected_ranges
 
@@ -50,18 +50,36 @@ GENERIC_PHRASES = (
 NO_ACRONYMS = sorted({*TECHNICAL_ACRONYMS, *DATE_FORMATS, *(w.upper() for w in (*STOP_WORDS, *CALENDAR) if 2 <= len(w) <= 6)})
 
 _OPEN, _CLOSE = r"""[(\[{"'“‘]*""", r"""[)\]}"'”’.,;!?]*"""
-_TITLE, _GAP, _OVER = "[A-Z][a-z]+", r"[^\S\r\n]+", r"(?=\s|\z)"
+_TITLE, _GAP, _OVER = "[A-Z][a-z]+", r"[^\S\r\n]", r"(?=\s|\z)"
 _LINK = rf"(?i:{'|'.join(CONNECTORS)})"
-#: A run goes on over words that nothing but blanks separates; its last word may have punctuation, though no : or =.
-TITLE_RUN = rf"(?<!\S){_OPEN}({_TITLE}(?:(?:{_GAP}{_OPEN}{_LINK}(?=\s))*{_GAP}{_OPEN}{_TITLE}(?={_CLOSE}{_OVER}))*)(?={_CLOSE}{_OVER})"
+#: A word of a run, which may have punctuation after it, though no : or =, or a connector; group 1 is what leads to it. One match for each
+#: word: a pattern for whole runs would recurse with their length.
+RUN_WORD = rf"((?<!{_GAP}){_GAP}*+(?<!\S){_OPEN})({_TITLE}(?={_CLOSE}{_OVER})|{_LINK}(?=\s))"
 ACRONYM = r"\b[A-Z]{2,6}\b"
 
 
 def title_runs(text: Column) -> Column:
-    """array<SPAN> of runs with a word that isn't a plain one."""
+    """array<SPAN> of runs with a word that isn't a plain one. A run starts and ends with a capitalised word, and goes on over words
+    and connectors that nothing but blanks separates."""
     plain = [*STOP_WORDS, *CALENDAR, *COLORS, *KEYWORDS, *PLAIN_WORDS]
     words = lambda v: F.regexp_extract_all(v, F.lit(rf"(?<![A-Za-z]){_TITLE}"), F.lit(0))
-    return F.filter(spans(text, TITLE_RUN, (1,)), lambda s: (F.length(s["value"]) <= MAX_LENGTH) & F.exists(words(s["value"]), lambda w: ~F.lower(w).isin(plain)))
+    run = lambda d: F.struct(*(d[n].alias(n) for n in ("start", "end", "value")), F.lit(HIGH).alias("confidence"))
+
+    def step(d: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        title, on = x["value"].rlike(rf"^{_TITLE}\z"), x["start"] - F.length(x["extra"]) == d["edge"]
+        # What is longer than any run that is kept needs no text.
+        more = lambda head: F.when(x["end"] - d["start"] <= MAX_LENGTH, F.concat(head, x["extra"], x["value"])).otherwise(head)
+        after = {
+            "start": F.when(title & ~on, x["start"]).otherwise(d["start"]), "end": F.when(title, x["end"]).otherwise(d["end"]),
+            "value": F.when(title & on, more(F.concat(d["value"], d["links"]))).when(title, x["value"]).otherwise(d["value"]),
+            "links": F.when(~title & on, more(d["links"])).otherwise(F.lit("")), "edge": F.when(title | on, x["end"]).otherwise(F.lit(-1)),
+        }
+        return after, F.when(title & ~on & (d["start"] >= 0), F.array(run(d))).otherwise(no_spans())
+
+    begin = {"start": F.lit(-1), "end": F.lit(-1), "value": F.lit(""), "links": F.lit(""), "edge": F.lit(-1)}
+    found = let(matches(text, [Pattern(RUN_WORD, (2,), extra=1)]), lambda m: fold(m, begin, step, SPAN))
+    runs = let(found, lambda d: F.concat(d["out"], F.when(d["start"] >= 0, F.array(run(d))).otherwise(no_spans())))
+    return F.filter(runs, lambda s: (s["end"] - s["start"] <= MAX_LENGTH) & F.exists(words(s["value"]), lambda w: ~F.lower(w).isin(plain)))
 
 
 def acronyms(text: Column) -> Column:

@@ -199,6 +199,13 @@ def test_candidates_of_all_documents(spark):
         assert sorted(got.get(r.doc_id, [])) == plain_candidates(r.text or "", [(f.start, f.end) for f in r.findings]), r.doc_id
 
 
+def test_runs_of_any_length(spark):
+    long = " ".join(["Juniper Cedar of"] * 3000) + " Desk.\nBlue Heron of the (Oak) and x Elm \t(Ash of\u00a0Yew: Fir Desk, Sky"
+    assert values(spark, [long], title_runs) == [["Blue Heron of the (Oak", "Elm \t(Ash", "Fir Desk", "Sky"]]
+    short = "x " * 70 + "Blue" + " Sky" * 29 + ", Blue" + " Sky" * 30
+    assert values(spark, [short], title_runs) == [["Blue" + " Sky" * 29]]
+
+
 def test_terms_with_signs(spark):
     """Characters that mean something to patterns or to SQL."""
     text = "O'Brien's ${env} costs \\d+ and 50% (net) -- x;y 'q' \"r\" {z} `t` ´u´ a\\'b"
