@@ -159,7 +159,10 @@ class Pattern:
     has: literals that a text must have all of.
     number: whether every match has a digit, 0 to 9.
     context: whether before and after are wanted though there is neither test nor cut.
-    within: the pattern is sought in the matches of another one only, in each on its own."""
+    within: the pattern is sought in the matches of another one only, in each on its own.
+    lines: a match, what decides it and its gate are in one line, up to a line feed: only lines that pass the gate are searched.
+    starts: literals of which the line where a match starts has one, in any case: lines before the first such aren't searched. Such a
+    match may run on over lines; its test and cut see nothing before the line."""
 
     regex: str
     groups: tuple[int, ...] = (0,)
@@ -172,6 +175,8 @@ class Pattern:
     has: tuple[str, ...] = ()
     number: bool = False
     context: bool = False
+    lines: bool = False
+    starts: tuple[str, ...] = ()
 
 
 def _raw(pattern: str) -> str:
@@ -180,11 +185,39 @@ def _raw(pattern: str) -> str:
     return "r'" + made.replace("${", r"$\x7B") + "'"
 
 
-def hits_sql(text: str, low: str, digit: str, patterns: Sequence[Pattern]) -> str:
-    """SQL for an array with the arrays of each pattern that isn't sought within others; null for those without matches.
+#: Of a struct t with a text and the same in lower case, t and l: its lines, with where they start. Lower case keeps line feeds.
+LINES = bound(
+    "zip_with(split(v.t, '\\n', -1), split(v.l, '\\n', -1), (t, l) -> named_struct('t', t, 'l', l))", "every",
+    fold_sql("every", {"at": "0"}, {"at": "d.at + length(x.t) + 1"}, "array(named_struct('at', d.at, 't', x.t, 'l', x.l))", "cast(array() AS array<struct<at:int,t:string,l:string>>)") + ".out",
+)
 
-    low: the text in lower case; digit: whether it has one."""
-    return f"array({', '.join(_hit_sql(text, low, digit, i, p, '0') for i, p in enumerate(with_contexts(patterns)) if not p.within)})"
+
+def lines_of(text: Column, low: Column) -> Column:
+    return F.get(mapped(F.array(F.struct(text.alias("t"), low.alias("l"))), f"v -> {LINES}"), F.lit(0))
+
+
+def hits_sql(text: str, low: str, digit: str, patterns: Sequence[Pattern], lines: str | None = None, when: Sequence[str] | None = None) -> str:
+    """SQL for an array with the arrays of each pattern that isn't sought within others; nulls for those without matches.
+
+    low: the text in lower case; digit: whether it has one; lines: those of lines_of, without which whole texts are searched. when: of
+    each pattern a condition in SQL for being sought at all."""
+    whole, parts = [], []
+    for i, p in enumerate(with_contexts(patterns)):
+        if p.within:
+            continue
+        asked = f"{when[i]} AND " if when and i < len(when) and when[i] else ""
+        gate = _gate_sql(text, low, digit, p)
+        if lines and p.lines and (p.gate or p.has):
+            parts.append(f"CASE WHEN {asked}{gate} THEN transform(filter({lines}, y -> {_gate_sql('y.t', 'y.l', None, p)}), y -> {_hit_sql('y.t', i, p, 'y.at')}) END")
+        elif lines and p.starts:
+            first = f"get(filter({lines}, y -> {' OR '.join(f'contains(y.l, {_raw(g)})' for g in p.starts)}), 0).at"
+            parts.append(f"CASE WHEN {asked}{gate} THEN transform(array({first}), y -> {bound(f'substring({text}, y + 1)', 'rest', _hit_sql('rest', i, p, 'y'))}) END")
+        else:
+            whole.append(f"CASE WHEN {asked}{gate} THEN {_hit_sql(text, i, p, '0')} END")
+    made = f"array({', '.join(whole)})"
+    if not parts:
+        return made
+    return f"flatten(array_compact(array({', '.join([made, *parts] if whole else parts)})))"
 
 
 def with_contexts(patterns: Sequence[Pattern]) -> list[Pattern]:
@@ -192,7 +225,19 @@ def with_contexts(patterns: Sequence[Pattern]) -> list[Pattern]:
     return [*patterns, *{id(p.within): p.within for p in patterns if p.within}.values()]
 
 
-def _hit_sql(text: str, low: str | None, digit: str | None, number: int, p: Pattern, at: str) -> str:
+def _gate_sql(text: str, low: str | None, digit: str | None, p: Pattern) -> str:
+    """SQL for whether the text passes the pattern's gate."""
+    some = "true"
+    if isinstance(p.gate, str):
+        some = f"rlike({text}, {_raw(jvm(p.gate))})"
+    elif p.gate and low:
+        some = f"({' OR '.join(f'contains({low}, {_raw(g)})' for g in p.gate)})"
+    for literal in reversed(p.has):
+        some = f"contains({text}, {_raw(literal)}) AND {some}"
+    return f"{digit} AND {some}" if p.number and digit else some
+
+
+def _hit_sql(text: str, number: int, p: Pattern, at: str) -> str:
     """SQL for the arrays of the pattern's matches; null where there are none. One text parses faster than its pieces are built."""
     pattern = _raw(jvm(p.regex))
     group = lambda g: f"regexp_extract_all({text}, {pattern}, {g})"
@@ -201,17 +246,8 @@ def _hit_sql(text: str, low: str | None, digit: str | None, number: int, p: Patt
         value = f"zip_with({value}, {group(g)}, (a, b) -> if(length(a) > 0, a, b))"
     extra = "cast(null AS array<string>)" if p.extra is None else group(p.extra)
     near = "true" if p.context or p.test is not None or p.cut is not None else "false"
-    some = f"rlike({text}, {pattern})"
-    if isinstance(p.gate, str):
-        some = f"rlike({text}, {_raw(jvm(p.gate))}) AND {some}"
-    elif p.gate and low:
-        some = f"({' OR '.join(f'contains({low}, {_raw(g)})' for g in p.gate)}) AND {some}"
-    for literal in reversed(p.has):
-        some = f"contains({text}, {_raw(literal)}) AND {some}"
-    if p.number and digit:
-        some = f"{digit} AND {some}"
     made = f"named_struct('p', {number}, 'at', {at}, 'g', split({text}, {pattern}, -1), 'm', {group(0)}, 'v', {value}, 'x', {extra}, 'c', {near})"
-    return f"CASE WHEN {some} THEN {made} END"
+    return f"CASE WHEN rlike({text}, {pattern}) THEN {made} END"
 
 
 #: Of a hit h and the number i of a match: its lengths, and what is around it.
@@ -307,7 +343,7 @@ def matches_of(hits: Column, patterns: Sequence[Pattern]) -> Column:
         whole = F.filter(all_, lambda m: (m["p"] >= first) & _case(m, [(t, i, t(m)) for t, i, _ in tests], F.lit(True)))
         cases = []
         for j, context in enumerate(contexts):
-            here = ", ".join(_hit_sql("c.value", None, None, i, p, "c.start") for i, p in enumerate(patterns) if p.within is context)
+            here = ", ".join(f"CASE WHEN {_gate_sql('c.value', None, None, p)} THEN {_hit_sql('c.value', i, p, 'c.start')} END" for i, p in enumerate(patterns) if p.within is context)
             cases.append(f"WHEN c.p = {first + j} THEN array({here})")
         hits = F.array_compact(F.flatten(mapped(whole, f"c -> CASE {' '.join(cases)} END")))
         inner = _cut(_placed(hits), patterns, True)

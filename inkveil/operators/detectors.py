@@ -82,7 +82,9 @@ CARD = r"(?<![\d-])(?:\d[ -]?){12,18}\d(?![\d-])"
 SECURE_STRING = r"""(?i)ConvertTo-SecureString\s+(?:-String\s+)?["']([^"'\r\n]{4,})["']"""
 DISTINGUISHED_NAME = r"(?i)\b(?:(?:CN|OU|O|L|ST)=[^,;=\r\n]{1,64},\s*)*DC=[A-Za-z0-9-]{1,63}(?:,\s*DC=[A-Za-z0-9-]{1,63})+"
 GUID = "[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
-LABELED_GUID = rf"""(?i)\b[A-Za-z0-9_.-]*(?:tenant|client|object|subscription|application|app|directory|resource|user|account|principal)[-_ ]?id\b\s*[:=]\s*["']?({GUID})\b"""
+GUID_LABELS = ("tenant", "client", "object", "subscription", "application", "app", "directory", "resource", "user", "account", "principal")
+#: A label may be the end of a longer word.
+LABELED_GUID = rf"""(?i)(?=[{''.join(sorted({w[0] for w in GUID_LABELS}))}])(?:{'|'.join(GUID_LABELS)})[-_ ]?id\b\s*[:=]\s*["']?({GUID})\b"""
 URL = r"""(?i)\b(?:https?|ldaps?)://[^\s"'<>)\]]+"""
 UNC = r"""\\\\[A-Za-z0-9][A-Za-z0-9._-]{0,253}\\[^\\\s"'<>|]+(?:\\[^\\\s"'<>|]+)*\\?"""
 UNIX_PATH = r"""(?:/home|/Users)/[A-Za-z0-9._-]+(?:/[^\s"'<>|]*)?"""
@@ -115,6 +117,7 @@ AD_GROUPS = (
 SERVICE_TICKET = r"\b(?:INC|CHG|REQ|RITM|PRB|SCTASK|TASK)\d{5,}\b"
 ISSUE_KEY = r"\b[A-Z]{2,10}-\d{2,6}\b"
 NO_ISSUE = ("UTF", "ISO", "RFC", "CVE", "SHA", "MD", "TLS", "HTTP", "IPV", "X")
+ACCOUNT_NAMES = ("user", "login", "logon", "account", "upn")
 USERNAME = r"""(?i)\b(?:user(?:name)?|login|logon|account|samaccountname|userprincipalname|upn)\b\s*[:=]\s*["']?([A-Za-z][A-Za-z0-9._@-]{1,63})\b"""
 PHONE = r"""\b(?:[Pp]hone(?:[ _]?[Nn]umber)?|[Mm]obile|[Cc]ell|[Tt]el(?:ephone)?|[Ff]ax)\b[ \t]*[:=][ \t]*["']?((?:\+?1[ \t.-]?)?\(?\d{3}\)?[ \t.-]?\d{3}[ \t.-]?\d{4}(?:[ \t]*(?:x|ext\.?)[ \t]*\d{1,5})?)(?![\d-])"""
 ADDRESS = r"""\b(?:[Ss]treet[ _]?[Aa]ddress|[Hh]ome[ _]?[Aa]ddress|[Mm]ailing[ _]?[Aa]ddress|[Aa]ddress|[Ss]treet)\b[ \t]*[:=][ \t]*["']?(\d{1,6}[ \t]+[A-Za-z0-9 .,'#/-]{3,78}[A-Za-z0-9.])"""
@@ -154,6 +157,7 @@ IDENTITY_FIELDS = (
     "e-mail", "first name", "firstname", "last name", "lastname", "display name", "displayname", "access id", "accessid",
     "access password", "activation date", "deactivation date", "status", "comments",
 )
+SERVER_NAMES = ("server", "-computername", "-domaincontroller")
 SERVER_PARAMETER = r"""(?i)-(?:Server|ComputerName|SmtpServer|DomainController|ConnectionServer)\s+["']?([A-Za-z0-9][A-Za-z0-9._-]{1,253})\b"""
 
 # Reconstructed rules: token shapes with chosen length bounds.
@@ -176,9 +180,17 @@ API_KEY_PARTS = (
 )
 PLAIN_API_KEYS = (r"\b(?:AC|SK)[0-9a-f]{32}\b", r"\b[0-9]{8,10}:[A-Za-z0-9_-]{35}\b")
 SIGNATURES = (r"[?&]sig=([A-Za-z0-9%+/=_-]{20,})", r"[?&]X-Amz-Signature=([0-9a-fA-F]{64})")
+SECRET_NAMES = ("passw", "passphrase", "pwd", "userpass", "secret", "key", "token")
 SECRET_ASSIGNMENT = r"""(?i)(?:password|passwd|passphrase|pwd|userpass|secret|client_secret|api_?key|access_?token|auth_?token|token)["']?\s*[:=]\s*["']([^"'\r\n]{4,})["']"""
 
 
+def _any_of(patterns: tuple[str, ...]) -> str:
+    """One of the patterns. Of those that start at a word, where a letter or digit follows, the bound is looked at once for all; no
+    other one starts like them."""
+    words = [p.removeprefix(r"\b") for p in patterns if p.startswith(r"\b")]
+    return "|".join((rf"(?<![A-Za-z0-9_])(?:{'|'.join(words)})", *(f"(?:{p})" for p in patterns if not p.startswith(r"\b"))))
+
+
 def no_version(m: Column) -> Column:
     """Not part of a longer dotted run of numbers, and not after a word for versions on its line."""
     line = F.regexp_extract(m["before"], r"[^\r\n]*\z", 0)
@@ -205,7 +217,7 @@ def _identity_header(value: Column) -> Column:
 
 def _line_with(context: str, gate: tuple[str, ...]) -> Pattern:
     """A line, without its end, that the context is on."""
-    return Pattern(rf"(?<![^\n])[^\n]*(?:{context})[^\n]*", gate=gate)
+    return Pattern(rf"(?<![^\n])[^\n]*(?:{context})[^\n]*", gate=gate, lines=True)
 
 
 def _ranked_host(v: Column) -> Column:
@@ -227,71 +239,71 @@ def registry(as_of: datetime.date | None = None) -> list[Detector]:
         return Detector(id_, name, category, severity, label, priority, patterns, mode, explanation=explanation, **more)
 
     return [
-        rule("private-key", "Private key block", "secrets", "high", "PRIVATE_KEY", 97, "A whole private key in text form.", Pattern(PRIVATE_KEY, gate=("private key",))),
+        rule("private-key", "Private key block", "secrets", "high", "PRIVATE_KEY", 97, "A whole private key in text form.", Pattern(PRIVATE_KEY, gate=("private key",), starts=("private key",))),
         rule("connection-string", "Connection string with credentials", "secrets", "high", "CONNECTION_STRING", 93, "An address or list of settings for a connection that has a password in it.",
-             Pattern(URL_CREDENTIAL, gate=("://",)), Pattern(ADO_CONNECTION, gate=("password", "pwd"))),
+             Pattern(URL_CREDENTIAL, gate=("://",), lines=True), Pattern(ADO_CONNECTION, gate=("password", "pwd"), lines=True)),
         rule("payment-card", "Payment card number", "personal", "high", "CREDIT_CARD", 84, "Digits of a known card issuer with a valid check digit.",
              Pattern(CARD, number=True, confidence=lambda v: F.when(V.is_card(v), F.when(v.rlike("[ -]"), HIGH).otherwise(MEDIUM)))),
-        rule("bearer-token", "Bearer token", "secrets", "high", "TOKEN", 95, "A token that grants access to whoever holds it.", Pattern(BEARER, gate=("bearer",))),
+        rule("bearer-token", "Bearer token", "secrets", "high", "TOKEN", 95, "A token that grants access to whoever holds it.", Pattern(BEARER, gate=("bearer",), lines=True)),
         rule("api-key", "API key", "secrets", "high", "API_KEY", 90, "A key in the form of a known provider, or a signed address.",
-             Pattern("|".join(f"(?:{p})" for p in API_KEYS), gate=API_KEY_PARTS), Pattern("|".join(f"(?:{p})" for p in PLAIN_API_KEYS), gate=r"[0-9a-f]{32}|\d{8}:"),
-             Pattern(SIGNATURES[0], (1,), gate=("sig=",)), Pattern(SIGNATURES[1], (1,), gate=("x-amz-signature=",))),
-        rule("jwt", "JSON web token", "secrets", "high", "JWT", 86, "A signed web token in three parts.", Pattern(JWT, gate=("eyj",))),
-        rule("secure-string-literal", "SecureString literal", "secrets", "high", "SECRET", 88, "A password written out where it is made secure.", Pattern(SECURE_STRING, (1,), gate=("convertto-securestring",))),
-        rule("ad-dn", "AD distinguished name", "infrastructure", "medium", "AD_DN", 85, "A directory object's full name, with the domain.", Pattern(DISTINGUISHED_NAME, gate=("dc=",))),
+             Pattern(_any_of(API_KEYS), gate=API_KEY_PARTS, lines=True), Pattern(_any_of(PLAIN_API_KEYS), gate=r"[0-9a-f]{32}|\d{8}:", lines=True),
+             Pattern(SIGNATURES[0], (1,), gate=("sig=",), lines=True), Pattern(SIGNATURES[1], (1,), gate=("x-amz-signature=",), lines=True)),
+        rule("jwt", "JSON web token", "secrets", "high", "JWT", 86, "A signed web token in three parts.", Pattern(JWT, gate=("eyj",), lines=True)),
+        rule("secure-string-literal", "SecureString literal", "secrets", "high", "SECRET", 88, "A password written out where it is made secure.", Pattern(SECURE_STRING, (1,), gate=("convertto-securestring",), starts=("convertto-securestring",))),
+        rule("ad-dn", "AD distinguished name", "infrastructure", "medium", "AD_DN", 85, "A directory object's full name, with the domain.", Pattern(DISTINGUISHED_NAME, gate=("dc=",), starts=("cn=", "ou=", "o=", "l=", "st=", "dc="))),
         rule("guid-identifier", "GUID identifier", "infrastructure", "medium", "GUID", 82, "An identifier of a tenant, an application or another object.",
-             Pattern(LABELED_GUID, (1,), has=("-",), gate="[0-9A-Fa-f]-[0-9A-Fa-f]{4}-"), Pattern(rf"\b{GUID}\b", confidence=LOW, has=("-",), gate="[0-9A-Fa-f]-[0-9A-Fa-f]{4}-")),
+             Pattern(LABELED_GUID, (1,), has=("-",), gate="[0-9A-Fa-f]-[0-9A-Fa-f]{4}-", starts=GUID_LABELS), Pattern(rf"\b{GUID}\b", confidence=LOW, has=("-",), gate="[0-9A-Fa-f]-[0-9A-Fa-f]{4}-", lines=True)),
         rule("secret-assignment", "Secret assignment", "secrets", "high", "SECRET", 80, "A quoted value that is given to something named like a secret.",
-             Pattern(SECRET_ASSIGNMENT, (1,), checked(lambda v: ~v.rlike(r"^(?:[$\[(<{@].*|[*•.x]+|(?i:true|false|null|none|prompt))\z")), gate=("passw", "passphrase", "pwd", "userpass", "secret", "key", "token"))),
-        rule("internal-url", "Internal URL", "infrastructure", "medium", "INTERNAL_URL", 75, "An address of a host within an organization.", Pattern(URL, confidence=checked(lambda v: V.is_internal_host(V.host_of(v))), gate=("://",))),
-        rule("unc-path", "UNC network path", "paths", "medium", "UNC_PATH", 73, "A path on a file server.", Pattern(UNC, gate=("\\\\",))),
+             Pattern(SECRET_ASSIGNMENT, (1,), checked(lambda v: ~v.rlike(r"^(?:[$\[(<{@].*|[*•.x]+|(?i:true|false|null|none|prompt))\z")), gate=SECRET_NAMES, starts=SECRET_NAMES)),
+        rule("internal-url", "Internal URL", "infrastructure", "medium", "INTERNAL_URL", 75, "An address of a host within an organization.", Pattern(URL, confidence=checked(lambda v: V.is_internal_host(V.host_of(v))), gate=("://",), lines=True)),
+        rule("unc-path", "UNC network path", "paths", "medium", "UNC_PATH", 73, "A path on a file server.", Pattern(UNC, gate=("\\\\",), lines=True)),
         rule("windows-user-path", "Windows path", "paths", "low", "FILE_PATH", 72, "A path on a drive, which may show a user or a project.", paths.WINDOWS),
-        rule("unix-user-path", "Unix user path", "paths", "low", "FILE_PATH", 72, "A path below a user's home.", Pattern(UNIX_PATH, gate=("/home", "/users"))),
+        rule("unix-user-path", "Unix user path", "paths", "low", "FILE_PATH", 72, "A path below a user's home.", Pattern(UNIX_PATH, gate=("/home", "/users"), lines=True)),
         rule("email", "Email address / domain", "personal", "medium", "EMAIL", 70, "An address, or the mail domain of an organization.",
-             Pattern(rf"{EMAIL}|{EMAIL_FRAGMENT}{NO_ADDRESS}", gate=("@",)), Pattern(rf"{MAIL_DOMAIN}{NO_ADDRESS}", (1,), gate=("domain", "suffix"))),
+             Pattern(rf"{EMAIL}|{EMAIL_FRAGMENT}{NO_ADDRESS}", gate=("@",), lines=True), Pattern(rf"{MAIL_DOMAIN}{NO_ADDRESS}", (1,), gate=("domain", "suffix"), lines=True)),
         rule("ps-infrastructure-assignment", "Infrastructure assignment", "infrastructure", "medium", "INTERNAL_HOST", 74, "A host or address that is given to something named like one.",
              Pattern(ASSIGNMENT, (3,), MEDIUM, has=("=",), gate=r"""=\s*["']""", extra=1, test=_infrastructure)),
         rule("ps-identity-param", "PowerShell identity parameter", "personal", "low", "USERNAME", 68, "An account that a command is called with.",
              Pattern(ACCOUNT_PARAMETER, (1, 2, 3), account, gate=("-samaccountname", "-userprincipalname", "-username")), Pattern(ACCOUNT_COMMAND, (1, 2, 3), account, gate=("-identity",))),
         rule("ps-server-param", "PowerShell server parameter", "infrastructure", "medium", "INTERNAL_HOST", 68, "A server that a command is called with.",
-             Pattern(SERVER_PARAMETER, (1,), MEDIUM, gate=("server", "-computername", "-domaincontroller"))),
+             Pattern(SERVER_PARAMETER, (1,), MEDIUM, gate=SERVER_NAMES, starts=SERVER_NAMES)),
         rule("ipv6", "IPv6 address", "infrastructure", "medium", "IP_ADDRESS", 66, "A network address in the newer form.",
-             Pattern(IPV6, confidence=lambda v: F.when(V.is_ipv6(v), F.when(v.isin("::", "::1"), LOW).otherwise(HIGH)), has=(":",), gate="::|:[0-9A-Fa-f]+:")),
+             Pattern(IPV6, confidence=lambda v: F.when(V.is_ipv6(v), F.when(v.isin("::", "::1"), LOW).otherwise(HIGH)), has=(":",), gate="::|:[0-9A-Fa-f]+:", lines=True)),
         rule("mac-address", "MAC address", "infrastructure", "medium", "MAC_ADDRESS", 66, "The address of a network card.",
-             Pattern(MAC, confidence=checked(lambda v: ~F.upper(F.regexp_replace(v, "[:-]", "")).isin("0" * 12, "F" * 12)), gate="[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]")),
+             Pattern(MAC, confidence=checked(lambda v: ~F.upper(F.regexp_replace(v, "[:-]", "")).isin("0" * 12, "F" * 12)), gate="[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]", lines=True)),
         rule("ipv4", "IPv4 address", "infrastructure", "medium", "IP_ADDRESS", 65, "A network address.",
-             Pattern(IPV4, confidence=checked(lambda v: V.is_ipv4(v) & ~v.startswith("127.") & ~v.isin("0.0.0.0", "255.255.255.255")), number=True, has=(".",), gate=r"\d\.\d", test=no_version)),
+             Pattern(IPV4, confidence=checked(lambda v: V.is_ipv4(v) & ~v.startswith("127.") & ~v.isin("0.0.0.0", "255.255.255.255")), number=True, has=(".",), gate=r"\d\.\d", test=no_version, lines=True)),
         rule("network-port", "Network port", "infrastructure", "low", "PORT", 35, "The port of a well-known service.",
              Pattern(HOST_PORT, (1,), port, number=True, has=(":",), gate=r"[A-Za-z0-9]:\d"), Pattern(LABELED_PORT, (1,), port, gate=("port",), number=True)),
         rule("internal-hostname", "Internal hostname", "infrastructure", "medium", "INTERNAL_HOST", 60, "A host within an organization, or its tenant.",
              Pattern(HOSTNAME, confidence=_ranked_host, has=(".",), gate=r"[A-Za-z0-9]\.[A-Za-z0-9]"), Pattern(TENANT_HOST, confidence=checked(lambda v: ~v.rlike(rf"^{jvm(HOSTNAME)}\z")), gate=("onmicrosoft.com",))),
         rule("ad-group-name", "AD group name", "directory", "medium", "AD_GROUP", 66, "A group that a command is called with.",
-             *(Pattern(p, (2,), gate=(g,)) for p, g in zip(AD_GROUPS, ("-adgroupmember", "-memberof", "new-adgroup"), strict=True))),
+             *(Pattern(p, (2,), gate=(g,), starts=(g,)) for p, g in zip(AD_GROUPS, ("-adgroupmember", "-memberof", "new-adgroup"), strict=True))),
         rule("ticket-id", "Ticket / issue ID", "infrastructure", "low", "TICKET_ID", 55, "The number of a ticket or issue.",
-             Pattern(SERVICE_TICKET, number=True, gate=r"[A-Z]\d{5}"), Pattern(ISSUE_KEY, confidence=checked(lambda v: ~F.substring_index(v, "-", 1).isin(*NO_ISSUE), MEDIUM), number=True, has=("-",), gate=r"[A-Z]-\d")),
-        rule("username", "Username", "personal", "low", "USERNAME", 50, "An account after a label.", Pattern(USERNAME, (1,), MEDIUM, gate=("user", "login", "logon", "account", "upn"))),
+             Pattern(SERVICE_TICKET, number=True, gate=r"[A-Z]\d{5}", lines=True), Pattern(ISSUE_KEY, confidence=checked(lambda v: ~F.substring_index(v, "-", 1).isin(*NO_ISSUE), MEDIUM), number=True, has=("-",), gate=r"[A-Z]-\d", lines=True)),
+        rule("username", "Username", "personal", "low", "USERNAME", 50, "An account after a label.", Pattern(USERNAME, (1,), MEDIUM, gate=ACCOUNT_NAMES, starts=ACCOUNT_NAMES)),
         rule("person-name", "Person name", "personal", "medium", "NAME", 52, "What looks like a person's name after a label, a cue or a title, or in a table.", *names.PERSON_PATTERNS, mode="strict", special=names.PERSON_SPECIAL, tidy=True),
         rule("org-name", "Organization name", "personal", "medium", "ORG", 51, "What looks like an organization's name after a label or by its last word, or in a table.", *names.ORGANIZATION_PATTERNS, mode="strict", special=names.ORGANIZATION_SPECIAL, tidy=True),
         rule("canadian-sin", "Canadian SIN", "personal", "high", "SIN", 62, "A Canadian insurance number with a valid check digit.",
-             Pattern(SIN_LABELED, (1,), sin, gate=("sin", "insurance"), number=True), Pattern(SIN_GROUPED, confidence=checked(V.is_sin, MEDIUM), number=True, gate=r"\d[ -]\d{3}[ -]\d{3}"), mode="strict"),
+             Pattern(SIN_LABELED, (1,), sin, gate=("sin", "insurance"), number=True, lines=True), Pattern(SIN_GROUPED, confidence=checked(V.is_sin, MEDIUM), number=True, lines=True, gate=r"\d[ -]\d{3}[ -]\d{3}"), mode="strict"),
         rule("health-identifier", "Health identifier", "personal", "high", "HEALTH_ID", 61, "A number of a patient, record or health card.",
-             Pattern(HEALTH_ID, (1,), checked(lambda v: F.regexp_count(v, F.lit(r"\d")) >= 4), gate=("mrn", "record", "card", "hcn", "phn", "patient"), number=True), mode="strict"),
-        rule("phone-number", "Phone number", "personal", "medium", "PHONE", 57, "A telephone number after a label.", Pattern(PHONE, (1,), gate=("phone", "mobile", "cell", "tel", "fax"), number=True), mode="strict"),
-        rule("date-of-birth", "Date of birth", "personal", "high", "DOB", 56, "A birth date that exists.", Pattern(BIRTH_DATE, (1,), checked(lambda v: V.is_birth_date(v, year)), gate=("dob", "birth"), number=True), mode="strict"),
-        rule("physical-address", "Physical address", "personal", "medium", "ADDRESS", 54, "A street address after a label.", Pattern(ADDRESS, (1,), MEDIUM, gate=("address", "street"), number=True), mode="strict"),
+             Pattern(HEALTH_ID, (1,), checked(lambda v: F.regexp_count(v, F.lit(r"\d")) >= 4), gate=("mrn", "record", "card", "hcn", "phn", "patient"), number=True, lines=True), mode="strict"),
+        rule("phone-number", "Phone number", "personal", "medium", "PHONE", 57, "A telephone number after a label.", Pattern(PHONE, (1,), gate=("phone", "mobile", "cell", "tel", "fax"), number=True, lines=True), mode="strict"),
+        rule("date-of-birth", "Date of birth", "personal", "high", "DOB", 56, "A birth date that exists.", Pattern(BIRTH_DATE, (1,), checked(lambda v: V.is_birth_date(v, year)), gate=("dob", "birth"), number=True, lines=True), mode="strict"),
+        rule("physical-address", "Physical address", "personal", "medium", "ADDRESS", 54, "A street address after a label.", Pattern(ADDRESS, (1,), MEDIUM, gate=("address", "street"), number=True, lines=True), mode="strict"),
         rule("passport-number", "Passport number (labeled field)", "personal", "high", "PASSPORT", 60, "A number of a passport after a label.",
-             Pattern(PASSPORT, (1,), checked(lambda v: v.rlike("(?i)[A-Z]") & v.rlike(r"\d")), gate=("passport", "travel"), number=True), mode="strict"),
-        rule("iban", "IBAN", "personal", "high", "IBAN", 91, "A bank account number with valid length and checksum.", Pattern(IBAN, number=True, gate=r"[A-Za-z]{2}\d{2}", cut=_iban), mode="pack"),
+             Pattern(PASSPORT, (1,), checked(lambda v: v.rlike("(?i)[A-Z]") & v.rlike(r"\d")), gate=("passport", "travel"), number=True, lines=True), mode="strict"),
+        rule("iban", "IBAN", "personal", "high", "IBAN", 91, "A bank account number with valid length and checksum.", Pattern(IBAN, number=True, lines=True, gate=r"[A-Za-z]{2}\d{2}", cut=_iban), mode="pack"),
         rule("us-ssn", "US SSN", "personal", "high", "SSN", 63, "A US social security number that could have been given out.",
-             Pattern(SSN_LABELED, (1,), ssn, gate=("ssn", "soc"), number=True), Pattern(SSN_GROUPED, confidence=checked(V.is_ssn, MEDIUM), number=True, has=("-",), gate=r"\d-\d{2}-\d"), mode="pack"),
-        rule("us-aba-routing", "ABA routing number", "personal", "high", "ROUTING_NUMBER", 64, "A US bank's routing number with a valid checksum.", Pattern(ABA, (1,), checked(V.is_aba), gate=("aba", "routing"), number=True), mode="pack"),
-        rule("us-itin", "ITIN", "personal", "high", "ITIN", 63, "A US taxpayer number of a valid range.", Pattern(ITIN, (1,), checked(V.is_itin), gate=("itin", "taxpayer"), number=True), mode="pack"),
-        rule("us-ein", "EIN", "personal", "high", "EIN", 62, "A US employer's tax number after a label.", Pattern(EIN, (1,), number=True, has=("-",), gate=r"\d{2}-\d{7}"), mode="pack"),
-        rule("us-dea-number", "DEA number", "personal", "high", "DEA_NUMBER", 63, "A US prescriber's number with a valid checksum.", Pattern(DEA, (1,), checked(V.is_dea), gate=("dea",), number=True), mode="pack"),
+             Pattern(SSN_LABELED, (1,), ssn, gate=("ssn", "soc"), number=True, lines=True), Pattern(SSN_GROUPED, confidence=checked(V.is_ssn, MEDIUM), number=True, lines=True, has=("-",), gate=r"\d-\d{2}-\d"), mode="pack"),
+        rule("us-aba-routing", "ABA routing number", "personal", "high", "ROUTING_NUMBER", 64, "A US bank's routing number with a valid checksum.", Pattern(ABA, (1,), checked(V.is_aba), gate=("aba", "routing"), number=True, lines=True), mode="pack"),
+        rule("us-itin", "ITIN", "personal", "high", "ITIN", 63, "A US taxpayer number of a valid range.", Pattern(ITIN, (1,), checked(V.is_itin), gate=("itin", "taxpayer"), number=True, lines=True), mode="pack"),
+        rule("us-ein", "EIN", "personal", "high", "EIN", 62, "A US employer's tax number after a label.", Pattern(EIN, (1,), number=True, lines=True, has=("-",), gate=r"\d{2}-\d{7}"), mode="pack"),
+        rule("us-dea-number", "DEA number", "personal", "high", "DEA_NUMBER", 63, "A US prescriber's number with a valid checksum.", Pattern(DEA, (1,), checked(V.is_dea), gate=("dea",), number=True, lines=True), mode="pack"),
         rule("ca-postal-code", "Canadian postal code", "personal", "medium", "POSTAL_CODE", 53, "A Canadian postal code on a line about an address.", Pattern(POSTAL_CODE, within=postal), mode="pack"),
         rule("us-zip", "US ZIP code", "personal", "low", "ZIP", 52, "A US postal code on a line about an address.", Pattern(ZIP, confidence=MEDIUM, within=zips), mode="pack"),
         rule("workflow-artifact", "Workflow artifact", "workflow", "low", "WORKFLOW_FILE", 35, "A file that tells how work is done.",
-             Pattern(ARTIFACT, confidence=MEDIUM, gate=("cycle_state", "run_state", "last_run", "runstamp", "run_stamp", "audit", "snapshot")), Pattern(CLIXML, confidence=MEDIUM, gate=(".clixml",)), mode="lead"),
+             Pattern(ARTIFACT, confidence=MEDIUM, gate=("cycle_state", "run_state", "last_run", "runstamp", "run_stamp", "audit", "snapshot"), lines=True), Pattern(CLIXML, confidence=MEDIUM, gate=(".clixml",), lines=True), mode="lead"),
         rule("directory-attribute", "Directory attribute", "directory", "low", "DIR_ATTRIBUTE", 34, "A directory field that a script uses.",
              Pattern(DIRECTORY_ATTRIBUTE, confidence=LOW, gate=("name", "othertelephone", "otheripphone", "otherfacsimile", "pwdlastset", "proxyaddresses")), Pattern(DIRECTORY_WORD, confidence=LOW, gate=("mail", "enabled")), mode="lead"),
         rule("exchange-workflow", "Exchange workflow", "messaging", "low", "EXCHANGE_TERM", 33, "A step of managing mailboxes.",

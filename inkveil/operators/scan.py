@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.script import QUOTED, SWITCH_CASES, string_literals
-from ..functions.spans import HIGH, MATCH, Pattern, as_spans, bound, fold_sql, hits_sql, let, mapped, matches, matches_of, no_spans, once, overlap
+from ..functions.spans import HIGH, MATCH, Pattern, as_spans, bound, fold_sql, hits_sql, let, lines_of, mapped, matches, matches_of, no_spans, once, overlap, with_contexts
 from .detectors import Detector, registry
 
 DEFAULT_TEMPLATE = "[{TYPE}_{INDEX}]"
@@ -83,12 +83,13 @@ class _Plan:
             tuple(places.get(key, -1) for key in range(max(given, default=-1) + 1)),
         )
 
-    def found(self, text: str, hits: str) -> Column:
+    def found(self, text: str, hits: str, only: str | None = None) -> Column:
         def numbered(spans: Column, number: int) -> Column:
             none = F.lit(None).cast("string")
             return F.transform(spans, lambda s: F.struct(F.lit(number).alias("p"), *(s[n].alias(n) for n in ("start", "end", "value")), *(none.alias(n) for n in ("before", "after", "extra")), s["confidence"].alias("confidence")))
 
-        made = [numbered(s(F.col(text)), len(self.patterns) + i) for i, s in enumerate(self.special)]
+        asked = lambda n, spans: F.when(F.col(only) == self.rules[self.rule_of[n]].id, spans).otherwise(no_spans()) if only else spans
+        made = [numbered(asked(len(self.patterns) + i, s(F.col(text))), len(self.patterns) + i) for i, s in enumerate(self.special)]
         if self.given:
             known = F.filter(F.coalesce(F.col(GIVEN), F.slice(F.array(F.get(GIVEN, F.lit(0))), 1, 0)), lambda s: F.get(_numbers(self.given), s["key"]) >= 0)
             rest = lambda s: (F.lit(None).cast("string").alias("extra"), F.lit(HIGH).alias("confidence"))
@@ -259,22 +260,29 @@ def _keys(kept: Column, rules: Sequence[Detector], template: str) -> Column:
     return F.transform(kept, lambda c: F.struct(F.get(label, c["rule"]).alias("label"), F.concat_ws("\u0000", F.get(form, c["rule"]), norm(c)).alias("key")))
 
 
-def _prepared(df: DataFrame, text_col: str, plan: _Plan) -> DataFrame:
-    """df with the text, the text in lower case, and the candidates of all rules, in _scan_ columns."""
-    text, low, digit, hits, found = (f"_scan_{x}" for x in ("text", "low", "digit", "hits", "found"))
+def _prepared(df: DataFrame, text_col: str, plan: _Plan, only: str | None = None) -> DataFrame:
+    """df with the text, the text in lower case, its lines, and the candidates of all rules, in _scan_ columns. only: a column with the
+    id of the one rule whose patterns are sought in the row."""
+    text, low, digit, lines, hits, found = (f"_scan_{x}" for x in ("text", "low", "digit", "lines", "hits", "found"))
     out = once(df, **{text: F.coalesce(F.col(text_col), F.lit(""))})
     out = once(once(out, **{low: F.lower(F.col(text))}), **{digit: F.col(text).rlike("[0-9]")})
-    out = once(out, **{hits: F.expr(hits_sql(text, low, digit, plan.patterns))})
-    return once(out, **{found: _candidates(plan.found(text, hits), plan)})
+    by_line = any(p.lines or p.starts for p in with_contexts(plan.patterns))
+    out = once(out, **{lines: lines_of(F.col(text), F.col(low))}) if by_line else out
+    when = [f"{only} = '{plan.rules[i].id}'" if only and i >= 0 else "" for i in plan.rule_of[: len(plan.patterns)]]
+    out = once(out, **{hits: F.expr(hits_sql(text, low, digit, plan.patterns, lines if by_line else None, when))})
+    return once(out, **{found: _candidates(plan.found(text, hits, only), plan)}).drop(lines)
 
 
-def rule_matches(df: DataFrame, text_col: str = "text", options: ScanOptions | None = None) -> DataFrame:
-    """df with rule_matches: what each active rule finds on its own, by rule and place, whatever other rules find there."""
+def rule_matches(df: DataFrame, text_col: str = "text", options: ScanOptions | None = None, only: str | None = None) -> DataFrame:
+    """df with rule_matches: what each active rule finds on its own, by rule and place, whatever other rules find there.
+
+    only: a column with a rule's id; then a row gets the matches of that rule alone, and the patterns of others aren't sought in it."""
     rules = active_detectors(options or ScanOptions())
     ids, ranks = _words([d.id for d in rules]), F.array(F.lit("low"), F.lit("medium"), F.lit("high"))
-    out = _prepared(df.drop("rule_matches"), text_col, _Plan.of(rules))
+    out = _prepared(df.drop("rule_matches"), text_col, _Plan.of(rules), only)
     own = F.transform(F.filter("_scan_found", lambda x: x["rule"] >= 0), lambda x: x["c"])
     made = F.transform(own, lambda c: F.struct(F.get(ids, c["rule"]).alias("detector_id"), *(c[n].alias(n) for n in ("start", "end", "value")), F.element_at(ranks, c["confidence"]).alias("confidence")))
+    made = F.filter(made, lambda m: m["detector_id"] == F.col(only)) if only else made
     return out.withColumn("rule_matches", made).drop("_scan_text", "_scan_low", "_scan_digit", "_scan_hits", "_scan_found")
 
 
