@@ -40,6 +40,13 @@ CUES = (
     r"(?:escalated|assigned|handed[ \t]+off|transferred|routed)[ \t]+to|(?:spoke|met|meeting|call|conversation)[ \t]+with|on[ \t]+behalf[ \t]+of|"
     r"(?:kind[ \t]+|warm[ \t]+|best[ \t]+|many[ \t]+)?(?:regards|thanks|thank[ \t]+you|sincerely|cheers)[ \t]*,"
 )
+#: Every cue has one of these, and every closing one of the next.
+CUE_WORDS = (
+    "contact", "per", "c/o", "prepared", "written", "created", "authored", "reviewed", "approved", "submitted", "requested", "signed", "provided", "sent", "pulled", "lifted", "copied",
+    "received", "forwarded", "maintained", "reported", "owned", "escalated", "assigned", "handed", "transferred", "routed", "spoke", "met", "meeting", "call", "conversation", "behalf",
+    "regards", "thank", "sincerely", "cheers",
+)
+CLOSING_WORDS = ("regards", "thank", "sincerely", "cheers", "respectfully")
 CLOSINGS = r"kind[ \t]+regards|warm[ \t]+regards|best[ \t]+regards|many[ \t]+thanks|regards|thanks|thank[ \t]+you|sincerely|cheers|respectfully"
 TITLES = "Dr|Mr|Mrs|Ms|Mx|Prof|Professor|Rev"
 BROAD_SUFFIXES = (
@@ -145,7 +152,7 @@ def _undotted(v: Column) -> Column:
 def labelled(labels: str, test: Callable[[Column], Column], cut: Callable[[Column], Column] = _field_end) -> Pattern:
     """Values after a bare or quoted label and : or =, up to the line's end, a separator, or the next field."""
     pattern = rf"""(?:"(?i:{labels})"|'(?i:{labels})'|\b(?i:{labels})\b)[ \t]*[:=][ \t]*(?:"[ \t]*([^"\r\n]+)"|'[ \t]*([^'\r\n]+)'|([^,;\r\n#]+))"""
-    return Pattern(pattern, (1, 2, 3), _shaped(lambda v: ~v.rlike(r"^[$\[(<*]") & test(v)), gate="[:=]", cut=lambda m: cut(m["value"]))
+    return Pattern(pattern, (1, 2, 3), _shaped(lambda v: ~v.rlike(r"^[$\[(<*]") & test(v)), gate="[:=]", cut=lambda m: cut(m["value"]), lines=True)
 
 
 def email_matched(text: Column) -> Column:
@@ -213,19 +220,19 @@ def table_cells(text: Column, columns: tuple[str, ...], test: Callable[[Column],
 
 #: A line that speaks of names; parameters like -Name don't count.
 ABOUT_NAMES = Pattern(
-    rf"(?<![^\n])[^\n]*(?:{NAME_LINE})[^\n]*", gate=("name", "person", "people", "contact", "owner", "manager", "author"),
+    rf"(?<![^\n])[^\n]*(?:{NAME_LINE})[^\n]*", gate=("name", "person", "people", "contact", "owner", "manager", "author"), lines=True,
     test=lambda m: F.regexp_replace(m["value"], r"(?:^|[ \t])-\w+", " ").rlike(jvm(NAME_LINE)),
 )
 PERSON_PATTERNS = (
-    labelled(FULL_NAME_LABELS, lambda v: _full(v) | is_caseless(v)), labelled(SINGLE_NAME_LABELS, _person), Pattern(BYLINE, (1,), _shaped(_full), gate=("#",)),
-    Pattern(PROSE, (1,), LOW), Pattern(TITLED, (1,), LOW, gate=("dr", "mr", "ms", "mx", "prof", "rev")), Pattern(SIGNATURE, (1,), _shaped(_full), gate=("regards", "thank", "sincerely", "cheers", "respectfully")),
+    labelled(FULL_NAME_LABELS, lambda v: _full(v) | is_caseless(v)), labelled(SINGLE_NAME_LABELS, _person), Pattern(BYLINE, (1,), _shaped(_full), gate=("#",), lines=True),
+    Pattern(PROSE, (1,), LOW, gate=CUE_WORDS, lines=True), Pattern(TITLED, (1,), LOW, gate=("dr", "mr", "ms", "mx", "prof", "rev"), lines=True), Pattern(SIGNATURE, (1,), _shaped(_full), gate=CLOSING_WORDS, starts=CLOSING_WORDS),
     Pattern(QUOTED, (1, 2), _shaped(lambda v: looks_like_name(v, True)), within=ABOUT_NAMES),
 )
 PERSON_SPECIAL = (email_matched, lambda text: table_cells(text, PERSON_COLUMNS, _person))
 ORGANIZATION_PATTERNS = (
-    labelled(ORGANIZATION_LABELS, _organization, lambda v: _undotted(_field_end(v))), Pattern(COMMENT_ORGANIZATION, (1,), _shaped(looks_like_organization), gate=("#",)),
-    Pattern(COPYRIGHT, (1,), _shaped(looks_like_organization), gate=("copyright",), cut=lambda m: _undotted(m["value"])),
-    Pattern(SUFFIXED, (1,), _shaped(looks_like_organization), gate=tuple(w.lower() for w in STRONG_SUFFIXES.split("|"))),
+    labelled(ORGANIZATION_LABELS, _organization, lambda v: _undotted(_field_end(v))), Pattern(COMMENT_ORGANIZATION, (1,), _shaped(looks_like_organization), gate=("#",), lines=True),
+    Pattern(COPYRIGHT, (1,), _shaped(looks_like_organization), gate=("copyright",), cut=lambda m: _undotted(m["value"]), lines=True),
+    Pattern(SUFFIXED, (1,), _shaped(looks_like_organization), gate=tuple(w.lower() for w in STRONG_SUFFIXES.split("|")), lines=True),
 )
 ORGANIZATION_SPECIAL = (lambda text: table_cells(text, ORGANIZATION_COLUMNS, _organization),)
 
