@@ -352,7 +352,7 @@ def q_detector_cases(spark, sf_dir):
     """What each rule finds in the texts made for it, one for every document."""
     cases = F.expr("array(" + ", ".join(f"struct('{rule}' AS rule, {_case_text(rule)} AS text)" for rule in RULE_CASES) + ")")
     rows = _documents(spark, sf_dir).select("doc_id", F.explode(cases).alias("c")).select("doc_id", "c.*")
-    found = rule_matches(rows, options=ScanOptions(frozenset(RULE_CASES))).select("doc_id", "rule", F.explode("rule_matches").alias("m")).filter("m.detector_id = rule")
+    found = rule_matches(rows, options=ScanOptions(frozenset(RULE_CASES)), only="rule").select("doc_id", "rule", F.explode("rule_matches").alias("m"))
     return found.groupBy("doc_id", "rule", F.col("m.value").alias("value"), F.col("m.confidence").alias("confidence")).agg(F.count(F.lit(1)).alias("count"))
 
 
