@@ -196,30 +196,74 @@ def lines_of(text: Column, low: Column) -> Column:
     return F.get(mapped(F.array(F.struct(text.alias("t"), low.alias("l"))), f"v -> {LINES}"), F.lit(0))
 
 
-def hits_sql(text: str, low: str, digit: str, patterns: Sequence[Pattern], lines: str | None = None, when: Sequence[str] | None = None) -> str:
+def hits_sql(text: str, low: str, digit: str, patterns: Sequence[Pattern], lines: str | None = None, gates: str | None = None) -> str:
     """SQL for an array with the arrays of each pattern that isn't sought within others; nulls for those without matches.
 
-    low: the text in lower case; digit: whether it has one; lines: those of lines_of, without which whole texts are searched. when: of
-    each pattern a condition in SQL for being sought at all."""
+    low: the text in lower case; digit: whether it has one; lines: those of lines_of, without which whole texts are searched. gates: an
+    array of gates_sql, which are looked at again otherwise."""
     whole, parts = [], []
     for i, p in enumerate(with_contexts(patterns)):
         if p.within:
             continue
-        asked = f"{when[i]} AND " if when and i < len(when) and when[i] else ""
-        gate = _gate_sql(text, low, digit, p)
-        if lines and p.lines and (p.gate or p.has):
-            parts.append(f"CASE WHEN {asked}{gate} THEN transform(filter({lines}, y -> {_gate_sql('y.t', 'y.l', None, p)}), y -> {_hit_sql('y.t', i, p, 'y.at')}) END")
+        gate = f"get({gates}, {i})" if gates else _gate_sql(text, low, digit, p)
+        if lines and by_line(p):
+            parts.append(f"CASE WHEN {gate} THEN transform(filter({lines}, y -> {_gate_sql('y.t', 'y.l', None, p)}), y -> {_hit_sql('y.t', i, p, 'y.at')}) END")
         elif lines and p.starts:
             first = f"get(filter({lines}, y -> {' OR '.join(f'contains(y.l, {_raw(g)})' for g in p.starts)}), 0).at"
-            parts.append(f"CASE WHEN {asked}{gate} THEN transform(array({first}), y -> {bound(f'substring({text}, y + 1)', 'rest', _hit_sql('rest', i, p, 'y'))}) END")
+            parts.append(f"CASE WHEN {gate} THEN transform(array({first}), y -> {bound(f'substring({text}, y + 1)', 'rest', _hit_sql('rest', i, p, 'y'))}) END")
         else:
-            whole.append(f"CASE WHEN {asked}{gate} THEN {_hit_sql(text, i, p, '0')} END")
+            whole.append(f"CASE WHEN {gate} THEN {_hit_sql(text, i, p, '0')} END")
     made = f"array({', '.join(whole)})"
     if not parts:
         return made
     return f"flatten(array_compact(array({', '.join([made, *parts] if whole else parts)})))"
 
 
+def by_line(p: Pattern) -> bool:
+    return p.lines and bool(p.gate or p.has)
+
+
+def gates_sql(text: str, low: str, digit: str, some: str | None, patterns: Sequence[Pattern], when: Sequence[str] = ()) -> str:
+    """SQL for an array: of each pattern, with those of with_contexts, whether it is sought in the text.
+
+    some: whether the text has one of gate_literals. when: of each pattern a condition in SQL for being sought at all."""
+
+    def one(i: int, p: Pattern) -> str:
+        if p.within:
+            return "false"
+        asked = f"{when[i]} AND " if i < len(when) and when[i] else ""
+        return f"{asked}{f'{some} AND ' if some and _listed(p) else ''}{_gate_sql(text, low, digit, p)}"
+
+    return f"array({', '.join(one(i, p) for i, p in enumerate(with_contexts(patterns)))})"
+
+
+def _listed(p: Pattern) -> bool:
+    """Whether the pattern's gate is one of literals alone that are no mere signs."""
+    return isinstance(p.gate, tuple) and bool(p.gate) and not p.number and not p.within and min(map(len, p.gate)) > 2
+
+
+def gate_literals(patterns: Sequence[Pattern]) -> list[str]:
+    """The literals of the gates of patterns that need one, in small letters, without those that another one is a part of."""
+    every = {g for p in with_contexts(patterns) if _listed(p) for g in p.gate}
+    return sorted(x for x in every if not any(y != x and y in x for y in every))
+
+
+#: About how often letters and signs are met among 1,000 characters of prose; others are rarer.
+_OFTEN = dict(zip("etaoinsrhldcumfpgwybvkxjqz", (100, 75, 65, 60, 58, 57, 53, 50, 45, 35, 32, 24, 24, 21, 18, 16, 16, 15, 14, 12, 8, 6, 2, 1, 1, 1), strict=True)) | {" ": 180, ".": 10, ",": 10, "-": 3}
+
+
+def any_literal(literals: Sequence[str]) -> str:
+    """A pattern for one of the literals that is cheaper than looking for each: it stops only at a few characters, rare ones, of which
+    every literal has one, and there looks back and ahead."""
+    quoted = lambda x: re.sub("[^A-Za-z0-9 ]", r"\\\g<0>", x)
+    left, stops = list(literals), {}
+    while left:
+        stop = min({c for x in left for c in x}, key=lambda c: (_OFTEN.get(c, 1) / sum(c in x for x in left), c))
+        stops[stop] = [f"(?<={quoted(x[: x.index(stop) + 1])}){quoted(x[x.index(stop) + 1 :])}" for x in left if stop in x]
+        left = [x for x in left if stop not in x]
+    return f"(?=[{''.join(map(quoted, stops))}])(?:{'|'.join(f'{quoted(c)}(?:{chr(124).join(around)})' for c, around in stops.items())})"
+
+
 def with_contexts(patterns: Sequence[Pattern]) -> list[Pattern]:
     """The patterns, and after them those that they are sought within."""
     return [*patterns, *{id(p.within): p.within for p in patterns if p.within}.values()]

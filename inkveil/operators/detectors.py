@@ -157,6 +157,8 @@ IDENTITY_FIELDS = (
     "e-mail", "first name", "firstname", "last name", "lastname", "display name", "displayname", "access id", "accessid",
     "access password", "activation date", "deactivation date", "status", "comments",
 )
+#: Of three different ones of these fields, one at least has one of these parts: only two fields have none.
+IDENTITY_PARTS = ("employee", "name", "upn", "mail", "access", "activation date")
 SERVER_NAMES = ("server", "-computername", "-domaincontroller")
 SERVER_PARAMETER = r"""(?i)-(?:Server|ComputerName|SmtpServer|DomainController|ConnectionServer)\s+["']?([A-Za-z0-9][A-Za-z0-9._-]{1,253})\b"""
 
@@ -243,10 +245,10 @@ def registry(as_of: datetime.date | None = None) -> list[Detector]:
         rule("connection-string", "Connection string with credentials", "secrets", "high", "CONNECTION_STRING", 93, "An address or list of settings for a connection that has a password in it.",
              Pattern(URL_CREDENTIAL, gate=("://",), lines=True), Pattern(ADO_CONNECTION, gate=("password", "pwd"), lines=True)),
         rule("payment-card", "Payment card number", "personal", "high", "CREDIT_CARD", 84, "Digits of a known card issuer with a valid check digit.",
-             Pattern(CARD, number=True, confidence=lambda v: F.when(V.is_card(v), F.when(v.rlike("[ -]"), HIGH).otherwise(MEDIUM)))),
+             Pattern(CARD, number=True, lines=True, gate=r"(?:\d[ -]?){12}\d", confidence=lambda v: F.when(V.is_card(v), F.when(v.rlike("[ -]"), HIGH).otherwise(MEDIUM)))),
         rule("bearer-token", "Bearer token", "secrets", "high", "TOKEN", 95, "A token that grants access to whoever holds it.", Pattern(BEARER, gate=("bearer",), lines=True)),
         rule("api-key", "API key", "secrets", "high", "API_KEY", 90, "A key in the form of a known provider, or a signed address.",
-             Pattern(_any_of(API_KEYS), gate=API_KEY_PARTS, lines=True), Pattern(_any_of(PLAIN_API_KEYS), gate=r"[0-9a-f]{32}|\d{8}:", lines=True),
+             Pattern(_any_of(API_KEYS), gate=API_KEY_PARTS, lines=True), Pattern(_any_of(PLAIN_API_KEYS), gate=r"(?=[AS0-9])(?:(?:AC|SK)[0-9a-f]{32}|\d{8}:)", lines=True),
              Pattern(SIGNATURES[0], (1,), gate=("sig=",), lines=True), Pattern(SIGNATURES[1], (1,), gate=("x-amz-signature=",), lines=True)),
         rule("jwt", "JSON web token", "secrets", "high", "JWT", 86, "A signed web token in three parts.", Pattern(JWT, gate=("eyj",), lines=True)),
         rule("secure-string-literal", "SecureString literal", "secrets", "high", "SECRET", 88, "A password written out where it is made secure.", Pattern(SECURE_STRING, (1,), gate=("convertto-securestring",), starts=("convertto-securestring",))),
@@ -270,13 +272,13 @@ def registry(as_of: datetime.date | None = None) -> list[Detector]:
         rule("ipv6", "IPv6 address", "infrastructure", "medium", "IP_ADDRESS", 66, "A network address in the newer form.",
              Pattern(IPV6, confidence=lambda v: F.when(V.is_ipv6(v), F.when(v.isin("::", "::1"), LOW).otherwise(HIGH)), has=(":",), gate="::|:[0-9A-Fa-f]+:", lines=True)),
         rule("mac-address", "MAC address", "infrastructure", "medium", "MAC_ADDRESS", 66, "The address of a network card.",
-             Pattern(MAC, confidence=checked(lambda v: ~F.upper(F.regexp_replace(v, "[:-]", "")).isin("0" * 12, "F" * 12)), gate="[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]", lines=True)),
+             Pattern(MAC, confidence=checked(lambda v: ~F.upper(F.regexp_replace(v, "[:-]", "")).isin("0" * 12, "F" * 12)), gate="[:-](?<=[0-9A-Fa-f]{2}[:-])[0-9A-Fa-f]{2}[:-]", lines=True)),
         rule("ipv4", "IPv4 address", "infrastructure", "medium", "IP_ADDRESS", 65, "A network address.",
              Pattern(IPV4, confidence=checked(lambda v: V.is_ipv4(v) & ~v.startswith("127.") & ~v.isin("0.0.0.0", "255.255.255.255")), number=True, has=(".",), gate=r"\d\.\d", test=no_version, lines=True)),
         rule("network-port", "Network port", "infrastructure", "low", "PORT", 35, "The port of a well-known service.",
              Pattern(HOST_PORT, (1,), port, number=True, has=(":",), gate=r"[A-Za-z0-9]:\d"), Pattern(LABELED_PORT, (1,), port, gate=("port",), number=True)),
         rule("internal-hostname", "Internal hostname", "infrastructure", "medium", "INTERNAL_HOST", 60, "A host within an organization, or its tenant.",
-             Pattern(HOSTNAME, confidence=_ranked_host, has=(".",), gate=r"[A-Za-z0-9]\.[A-Za-z0-9]"), Pattern(TENANT_HOST, confidence=checked(lambda v: ~v.rlike(rf"^{jvm(HOSTNAME)}\z")), gate=("onmicrosoft.com",))),
+             Pattern(HOSTNAME, confidence=_ranked_host, has=(".",), gate=r"\.(?<=[A-Za-z0-9]\.)[A-Za-z0-9]", lines=True), Pattern(TENANT_HOST, confidence=checked(lambda v: ~v.rlike(rf"^{jvm(HOSTNAME)}\z")), gate=("onmicrosoft.com",))),
         rule("ad-group-name", "AD group name", "directory", "medium", "AD_GROUP", 66, "A group that a command is called with.",
              *(Pattern(p, (2,), gate=(g,), starts=(g,)) for p, g in zip(AD_GROUPS, ("-adgroupmember", "-memberof", "new-adgroup"), strict=True))),
         rule("ticket-id", "Ticket / issue ID", "infrastructure", "low", "TICKET_ID", 55, "The number of a ticket or issue.",
@@ -312,7 +314,7 @@ def registry(as_of: datetime.date | None = None) -> list[Detector]:
              Pattern(CREDENTIAL_TERM, confidence=LOW, gate=("-clixml", "pscredential", "send-mailmessage", "smtpcredential", "defaultsmtpusername")), mode="lead"),
         rule("author-initials", "Author initials", "personal", "low", "INITIALS", 31, "Initials in a comment on changes.", Pattern(INITIALS, confidence=checked(lambda v: ~v.isin(*NO_INITIALS), LOW), within=history), mode="lead"),
         rule("header-metadata", "Header metadata", "workflow", "low", "HEADER_META", 36, "Who wrote or owns a script, by its header.", Pattern(HEADER_LINE, (1,), LOW, gate=("#",)), Pattern(HELP_LINE, (1,), LOW, gate=(".author", ".companyname")), mode="lead"),
-        rule("csv-identity-header", "CSV identity header", "workflow", "low", "CSV_SCHEMA", 30, "A header of a table of people.", Pattern(r"(?<![^\n])([^\n]*,[^\n]*,[^\n]*[^\s])", (1,), _identity_header, gate=(",",)), mode="lead"),
+        rule("csv-identity-header", "CSV identity header", "workflow", "low", "CSV_SCHEMA", 30, "A header of a table of people.", Pattern(r"(?<![^\n])([^\n]*,[^\n]*,[^\n]*[^\s])", (1,), _identity_header, has=(",",), gate=IDENTITY_PARTS, lines=True), mode="lead"),
     ]
 
 

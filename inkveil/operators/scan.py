@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.script import QUOTED, SWITCH_CASES, string_literals
-from ..functions.spans import HIGH, MATCH, Pattern, as_spans, bound, fold_sql, hits_sql, let, lines_of, mapped, matches, matches_of, no_spans, once, overlap, with_contexts
+from ..functions.spans import HIGH, MATCH, Pattern, any_literal, as_spans, bound, by_line, fold_sql, gate_literals, gates_sql, hits_sql, let, lines_of, mapped, matches, matches_of, no_spans, once, overlap, with_contexts
 from .detectors import Detector, registry
 
 DEFAULT_TEMPLATE = "[{TYPE}_{INDEX}]"
@@ -260,16 +260,26 @@ def _keys(kept: Column, rules: Sequence[Detector], template: str) -> Column:
     return F.transform(kept, lambda c: F.struct(F.get(label, c["rule"]).alias("label"), F.concat_ws("\u0000", F.get(form, c["rule"]), norm(c)).alias("key")))
 
 
+#: From so many literals on, the gates of a scan are looked for at once before each is on its own.
+MANY_LITERALS = 12
+
+
 def _prepared(df: DataFrame, text_col: str, plan: _Plan, only: str | None = None) -> DataFrame:
     """df with the text, the text in lower case, its lines, and the candidates of all rules, in _scan_ columns. only: a column with the
     id of the one rule whose patterns are sought in the row."""
-    text, low, digit, lines, hits, found = (f"_scan_{x}" for x in ("text", "low", "digit", "lines", "hits", "found"))
+    text, low, digit, some, gates, lines, hits, found = (f"_scan_{x}" for x in ("text", "low", "digit", "some", "gates", "lines", "hits", "found"))
     out = once(df, **{text: F.coalesce(F.col(text_col), F.lit(""))})
     out = once(once(out, **{low: F.lower(F.col(text))}), **{digit: F.col(text).rlike("[0-9]")})
-    by_line = any(p.lines or p.starts for p in with_contexts(plan.patterns))
-    out = once(out, **{lines: lines_of(F.col(text), F.col(low))}) if by_line else out
+    literals, every = gate_literals(plan.patterns), with_contexts(plan.patterns)
+    many = len(literals) >= MANY_LITERALS
+    out = once(out, **{some: F.col(low).rlike(any_literal(literals))}) if many else out
     when = [f"{only} = '{plan.rules[i].id}'" if only and i >= 0 else "" for i in plan.rule_of[: len(plan.patterns)]]
-    out = once(out, **{hits: F.expr(hits_sql(text, low, digit, plan.patterns, lines if by_line else None, when))})
+    out = once(out, **{gates: F.expr(gates_sql(text, low, digit, some if many else None, plan.patterns, when))})
+    lined = [i for i, p in enumerate(every) if by_line(p) or p.starts]
+    if lined:
+        wanted = F.expr(" OR ".join(f"get({gates}, {i})" for i in lined))
+        out = once(out, **{lines: F.when(wanted, lines_of(F.col(text), F.col(low)))})
+    out = once(out, **{hits: F.expr(hits_sql(text, low, digit, plan.patterns, lines if lined else None, gates))}).drop(gates, some)
     return once(out, **{found: _candidates(plan.found(text, hits, only), plan)}).drop(lines)
 
 
