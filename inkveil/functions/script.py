@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .spans import Pattern, as_spans, jvm, matches, spans
 
 #: A comment (no group), or the inside of a literal; one that isn't closed runs to the end of the text.
-LITERALS = r"""#[^\n]*|'([^']*+(?:''[^']*+)*+)(?:'|\z)|"([^"`]*+(?:`[\s\S]?[^"`]*+)*+)(?:"|\z)"""
+LITERALS = r"""(?=[#'"])(?:#[^\n]*|'([^']*+(?:''[^']*+)*+)(?:'|\z)|"([^"`]*+(?:`[\s\S]?[^"`]*+)*+)(?:"|\z))"""
 QUOTED = r"""('(?:[^'\r\n]|'')*+'|"(?:`.|[^"\r\n])*")"""
 SWITCH = r"(?i:\bswitch\s+-Regex\b)[^{\r\n]*\{"
 #: A piece of a script up to a brace outside literals, or to the end of a literal.

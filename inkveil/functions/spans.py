@@ -200,8 +200,8 @@ def hits_sql(text: str, low: str, digit: str, patterns: Sequence[Pattern], lines
     """SQL for an array with the arrays of each pattern that isn't sought within others; nulls for those without matches.
 
     low: the text in lower case; digit: whether it has one; lines: those of lines_of, without which whole texts are searched. gates: an
-    array of gates_sql, which are looked at again otherwise."""
-    whole, parts = [], []
+    array of gates_sql, which are looked at again otherwise. Patterns that seek the same in whole texts share one search."""
+    whole, parts, alike = [], [], {}
     for i, p in enumerate(with_contexts(patterns)):
         if p.within:
             continue
@@ -211,6 +211,14 @@ def hits_sql(text: str, low: str, digit: str, patterns: Sequence[Pattern], lines
         elif lines and p.starts:
             first = f"get(filter({lines}, y -> {' OR '.join(f'contains(y.l, {_raw(g)})' for g in p.starts)}), 0).at"
             parts.append(f"CASE WHEN {gate} THEN transform(array({first}), y -> {bound(f'substring({text}, y + 1)', 'rest', _hit_sql('rest', i, p, 'y'))}) END")
+        else:
+            alike.setdefault((p.regex, p.groups, p.extra), []).append((i, p, gate))
+    for (i, p, gate), *more in alike.values():
+        if more:
+            every = [(i, p, gate), *more]
+            fields = ", ".join(f"'{n}', h.{n}" for n in ("at", "g", "m", "v", "x"))
+            one = lambda i, p, gate: f"CASE WHEN h IS NOT NULL AND {gate} THEN named_struct('p', {i}, {fields}, 'c', {_near_sql(p)}) END"
+            parts.append(f"CASE WHEN {' OR '.join(dict.fromkeys(f'({g})' for _, _, g in every))} THEN {bound(_hit_sql(text, i, p, '0'), 'h', f'array({", ".join(one(*e) for e in every)})')} END")
         else:
             whole.append(f"CASE WHEN {gate} THEN {_hit_sql(text, i, p, '0')} END")
     made = f"array({', '.join(whole)})"
@@ -289,11 +297,15 @@ def _hit_sql(text: str, number: int, p: Pattern, at: str) -> str:
     for g in p.groups[1:]:
         value = f"zip_with({value}, {group(g)}, (a, b) -> if(length(a) > 0, a, b))"
     extra = "cast(null AS array<string>)" if p.extra is None else group(p.extra)
-    near = "true" if p.context or p.test is not None or p.cut is not None else "false"
-    made = f"named_struct('p', {number}, 'at', {at}, 'g', split({text}, {pattern}, -1), 'm', {group(0)}, 'v', {value}, 'x', {extra}, 'c', {near})"
+    made = f"named_struct('p', {number}, 'at', {at}, 'g', split({text}, {pattern}, -1), 'm', {group(0)}, 'v', {value}, 'x', {extra}, 'c', {_near_sql(p)})"
     return f"CASE WHEN rlike({text}, {pattern}) THEN {made} END"
 
 
+def _near_sql(p: Pattern) -> str:
+    """Whether the pattern asks for what is around its matches."""
+    return "true" if p.context or p.test is not None or p.cut is not None else "false"
+
+
 #: Of a hit h and the number i of a match: its lengths, and what is around it.
 _PART = f"""named_struct(
   'gap', length(get(h.g, i)), 'tail', if(h.c, right(get(h.g, i), {BEFORE}), ''), 'm', get(h.m, i), 'n', length(get(h.m, i)), 'v', coalesce(get(h.v, i), get(h.m, i)),

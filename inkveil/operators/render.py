@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import fold, let
+from ..functions.spans import fold, let, once
 
 # Fixed values.
 PRESETS = {"indexed": "[{TYPE}_{INDEX}]", "unnumbered": "[{TYPE}]", "uniform": "[REDACTED]"}
@@ -60,12 +60,12 @@ def sanitize(scanned: DataFrame, text_col: str = "text", mode: str = "safe-share
 
 
 def compare_modes(scanned: DataFrame, text_col: str = "text") -> DataFrame:
-    """scanned with safe_share, portfolio_code and changed_lines."""
-    both = scanned
-    for name, mode in (("safe_share", "safe-share"), ("portfolio_code", "portfolio-code")):
-        both = both.withColumn(name, clean_text(F.coalesce(F.col(text_col), F.lit("")), apply_mode(F.col("findings"), mode)))
+    """scanned with safe_share, portfolio_code and changed_lines. The text is made once where no finding has a replacement."""
+    of = lambda mode: clean_text(F.coalesce(F.col(text_col), F.lit("")), apply_mode(F.col("findings"), mode))
+    both = once(scanned.drop("safe_share", "portfolio_code"), safe_share=of("safe-share"))
+    both = once(both, portfolio_code=F.when(F.exists("findings", lambda f: f["replacement"].isNotNull()), of("portfolio-code")).otherwise(F.col("safe_share")))
     lines = F.zip_with(F.split("safe_share", "\n", -1), F.split("portfolio_code", "\n", -1), lambda a, b: ~a.eqNullSafe(b))
-    return both.withColumn("changed_lines", F.size(F.filter(lines, lambda x: x)))
+    return both.withColumn("changed_lines", F.when(F.col("safe_share") == F.col("portfolio_code"), 0).otherwise(F.size(F.filter(lines, lambda x: x))))
 
 
 def mask(value: Column) -> Column:

@@ -11,8 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.spans import jvm, once, overlap, spans
-from .detectors import registry
-from .scan import ScanOptions, active_detectors, chosen_rules, find_candidates, kept_candidates
+from .scan import ScanOptions, active_detectors, chosen_rules, every_rule, find_candidates, kept_candidates
 from .terms import REPLACEMENT, MappingEntry
 
 _RANK = {"high": 3, "medium": 2, "low": 1}
@@ -115,10 +114,7 @@ def tally_profiles(df: DataFrame, profiles: Mapping[str, ScanOptions], text_col:
 
     The text is read once, under the rules of all profiles; the profiles then share its candidates. A null text is one that could
     not be read: it is counted as such, and not among the documents."""
-    ids = {d.id for d in registry()}
-    every = [active_detectors(o) for o in profiles.values()]
-    extra = tuple(dict.fromkeys(d for o in profiles.values() for d in o.extra))
-    known = ScanOptions(frozenset(d.id for rules in every for d in rules if d.id in ids), extra)
+    known = every_rule(profiles.values())
     rules = active_detectors(known)
     masks = F.array(*(F.struct(F.lit(name).alias("profile"), F.array(*map(F.lit, chosen_rules(known, o))).alias("chosen")) for name, o in profiles.items()))
     found = find_candidates(df.select(text_col), text_col, known).select(F.col(text_col).isNull().alias("unread"), "candidates")

@@ -10,7 +10,7 @@ of many rules, found once, serve every choice among those rules.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -335,6 +335,28 @@ def resolve_candidates(df: DataFrame, known: ScanOptions, options: ScanOptions,
     return _with_findings(out, rules, options.template, F.col("literals")).drop("_scan_kept", "candidates", "literals")
 
 
+def every_rule(choices: Iterable[ScanOptions]) -> ScanOptions:
+    """Options with the rules of all choices."""
+    choices, ids = list(choices), {d.id for d in registry()}
+    templates = {o.template for o in choices}
+    extra = tuple(dict.fromkeys(d for o in choices for d in o.extra))
+    return ScanOptions(frozenset(d.id for o in choices for d in active_detectors(o) if d.id in ids), extra, templates.pop() if len(templates) == 1 else DEFAULT_TEMPLATE)
+
+
+def scan_choices(df: DataFrame, choices: Mapping[str, ScanOptions], text_col: str = "text") -> DataFrame:
+    """df with a row for each choice: its name, in column choice, and the findings that a scan under its options gives. Texts are
+    searched once, for the rules of all choices. These have one template, and their further rules one order."""
+    known = every_rule(choices.values())
+    if any(o.template != known.template for o in choices.values()):
+        raise ValueError("choices with different templates")
+    if any(list(o.extra) != [d for d in known.extra if d in o.extra] for o in choices.values()):
+        raise ValueError("choices with further rules in different orders")
+    masks = F.array(*(F.struct(F.lit(name).alias("choice"), F.array(*map(F.lit, chosen_rules(known, o))).cast("array<boolean>").alias("chosen")) for name, o in choices.items()))
+    found = find_candidates(df.drop("choice", "findings"), text_col, known)
+    each = found.select("*", F.explode(masks).alias("_scan_choice")).select("*", F.col("_scan_choice.choice").alias("choice"))
+    return resolve_candidates(each, known, known, F.col("_scan_choice.chosen")).drop("_scan_choice")
+
+
 def _with_findings(out: DataFrame, rules: Sequence[Detector], template: str, literals: Column) -> DataFrame:
     """out with findings of the candidates in _scan_kept."""
     kept = F.col("_scan_kept")
@@ -364,4 +386,4 @@ def finding_rows(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return scanned.select(id_col, F.posexplode("findings").alias("pos", "f")).select(id_col, "pos", "f.*")
 
 
-__all__ = ["ScanOptions", "find_candidates", "finding_rows", "resolve_candidates", "indexes", "protected_ranges", "resolve", "rule_matches", "scan"]
+__all__ = ["ScanOptions", "find_candidates", "finding_rows", "resolve_candidates", "indexes", "protected_ranges", "resolve", "rule_matches", "scan", "scan_choices"]

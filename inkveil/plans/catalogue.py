@@ -14,7 +14,7 @@ from ..functions import validators as V
 from ..functions.spans import once
 from ..operators import automaton, candidates, extra, incremental, render, review, terms
 from ..operators.detectors import registry
-from ..operators.scan import ScanOptions, active_detectors, finding_rows, resolve, rule_matches, scan
+from ..operators.scan import ScanOptions, active_detectors, finding_rows, resolve, rule_matches, scan, scan_choices
 from ..sources import exports
 from ..sources.work import work_path
 from ..streaming.rollups import write_tally
@@ -408,13 +408,9 @@ _NAME = "([A-Z][a-z]+(?: [A-Z][a-z]+)+)"
 def q_output_modes(spark, sf_dir):
     """Every document under a mapping of each strategy, in both output modes."""
     docs = _with_lines(spark, sf_dir, "ZephAccess and |QUOTE|Zeph|QUOTE| $zeph")
-    found = None
-    for strategy in terms.STRATEGIES:
-        rules = terms.mapping_detectors([terms.MappingEntry("Zeph", "SourceSystem", strategy=strategy)])
-        made = render.compare_modes(scan(docs, options=ScanOptions(frozenset(), rules)))
-        part = made.select("doc_id", F.lit(strategy).alias("strategy"), F.md5(F.col("safe_share").cast("binary")).alias("safe_md5"), F.md5(F.col("portfolio_code").cast("binary")).alias("code_md5"), "changed_lines")
-        found = part if found is None else found.unionByName(part)
-    return found
+    rules = {s: terms.mapping_detectors([terms.MappingEntry("Zeph", "SourceSystem", strategy=s)]) for s in terms.STRATEGIES}
+    made = render.compare_modes(scan_choices(docs, {s: ScanOptions(frozenset(), r) for s, r in rules.items()}))
+    return made.select("doc_id", F.col("choice").alias("strategy"), F.md5(F.col("safe_share").cast("binary")).alias("safe_md5"), F.md5(F.col("portfolio_code").cast("binary")).alias("code_md5"), "changed_lines")
 
 
 def _sql_modes() -> str:
