@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SPAN = "struct<start:int,end:int,value:string,confidence:int>"
 #: A match with the number of its pattern and, if the pattern asks for them, what surrounds it and a further group.
 MATCH = "struct<p:int,start:int,end:int,value:string,before:string,after:string,extra:string,confidence:int>"
+#: What hits_sql gives for a pattern.
+HIT = "struct<p:int,at:int,g:array<string>,m:array<string>,v:array<string>,x:array<string>,c:boolean>"
 #: What scripting engines count as white space, for use in a character class.
 BLANKS = r"\s\x0B   -     　﻿"
 #: A word bound that knows ASCII letters only, whatever the JVM's version.
@@ -29,6 +31,8 @@ HIGH, MEDIUM, LOW = 3, 2, 1
 BEFORE, AFTER = 128, 16
 #: Folds append within blocks of so many elements, so that what is copied grows with the elements and not with their square.
 BLOCK = 256
+#: In SQL, a character that stands for matches while a text is cut at them; texts that have it are cut by the pattern.
+MARK = r"'\u0001'"
 
 
 def jvm(pattern: str) -> str:
@@ -86,15 +90,17 @@ def _word_first(pattern: str, i: int) -> bool:
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns that no later expression or lambda computes again: each comes out of a generator."""
+    """df with columns that no later expression or lambda computes again: each comes out of a generator, which only passes on what a
+    projection has made, as that runs as generated code."""
     for name, value in columns.items():
-        df = df.select("*", F.explode(F.array(value)).alias(name))
+        made = f"{name}_made"
+        df = df.select("*", value.alias(made)).select("*", F.explode(F.array(made)).alias(name)).drop(made)
     return df
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    """use(value), with value computed once. A fold over nothing; an element of an array would have its type derived for every row."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda same, _: same, use)
 
 
 def mapped(items: Column, function: str) -> Column:
@@ -129,7 +135,7 @@ def fold(items: Column, start: dict[str, Column], step: Callable[[Column, Column
 
 def bound(value: str, name: str, use: str) -> str:
     """SQL: use, in which name stands for value, computed once."""
-    return f"get(transform(array({value}), {name} -> {use}), 0)"
+    return f"aggregate(cast(array() AS array<int>), {value}, (same, none) -> same, {name} -> {use})"
 
 
 def fold_sql(items: str, start: dict[str, str], changes: dict[str, str], out: str, nothing: str) -> str:
@@ -186,26 +192,32 @@ def _raw(pattern: str) -> str:
 
 
 #: Of a struct t with a text and the same in lower case, t and l: its lines, with where they start. Lower case keeps line feeds.
-LINES = bound(
+_LINES = bound(
     "zip_with(split(v.t, '\\n', -1), split(v.l, '\\n', -1), (t, l) -> named_struct('t', t, 'l', l))", "every",
     fold_sql("every", {"at": "0"}, {"at": "d.at + length(x.t) + 1"}, "array(named_struct('at', d.at, 't', x.t, 'l', x.l))", "cast(array() AS array<struct<at:int,t:string,l:string>>)") + ".out",
 )
 
 
+LINES = f"if(contains(v.t, '\\n'), {_LINES}, array(named_struct('at', 0, 't', v.t, 'l', v.l)))"
+
+
 def lines_of(text: Column, low: Column) -> Column:
     return F.get(mapped(F.array(F.struct(text.alias("t"), low.alias("l"))), f"v -> {LINES}"), F.lit(0))
 
 
-def hits_sql(text: str, low: str, digit: str, patterns: Sequence[Pattern], lines: str | None = None, gates: str | None = None) -> str:
+def hits_sql(text: str, low: str, digit: str, patterns: Sequence[Pattern], lines: str | None = None, gates: str | None = None, numbers: Sequence[int] | None = None) -> str:
     """SQL for an array with the arrays of each pattern that isn't sought within others; nulls for those without matches.
 
     low: the text in lower case; digit: whether it has one; lines: those of lines_of, without which whole texts are searched. gates: an
-    array of gates_sql, which are looked at again otherwise. Patterns that seek the same in whole texts share one search."""
+    array of gates_sql, which are looked at again otherwise. Patterns that seek the same in whole texts share one search. numbers: those
+    of with_contexts that are sought at all, of which gates has one each."""
     whole, parts, alike = [], [], {}
-    for i, p in enumerate(with_contexts(patterns)):
+    every = with_contexts(patterns)
+    for place, i in enumerate(range(len(every)) if numbers is None else numbers):
+        p = every[i]
         if p.within:
             continue
-        gate = f"get({gates}, {i})" if gates else _gate_sql(text, low, digit, p)
+        gate = f"get({gates}, {place})" if gates else _gate_sql(text, low, digit, p)
         if lines and by_line(p):
             parts.append(f"CASE WHEN {gate} THEN transform(filter({lines}, y -> {_gate_sql('y.t', 'y.l', None, p)}), y -> {_hit_sql('y.t', i, p, 'y.at')}) END")
         elif lines and p.starts:
@@ -215,10 +227,10 @@ def hits_sql(text: str, low: str, digit: str, patterns: Sequence[Pattern], lines
             alike.setdefault((p.regex, p.groups, p.extra), []).append((i, p, gate))
     for (i, p, gate), *more in alike.values():
         if more:
-            every = [(i, p, gate), *more]
+            same = [(i, p, gate), *more]
             fields = ", ".join(f"'{n}', h.{n}" for n in ("at", "g", "m", "v", "x"))
             one = lambda i, p, gate: f"CASE WHEN h IS NOT NULL AND {gate} THEN named_struct('p', {i}, {fields}, 'c', {_near_sql(p)}) END"
-            parts.append(f"CASE WHEN {' OR '.join(dict.fromkeys(f'({g})' for _, _, g in every))} THEN {bound(_hit_sql(text, i, p, '0'), 'h', f'array({", ".join(one(*e) for e in every)})')} END")
+            parts.append(f"CASE WHEN {' OR '.join(dict.fromkeys(f'({g})' for _, _, g in same))} THEN {bound(_hit_sql(text, i, p, '0'), 'h', f'array({", ".join(one(*e) for e in same)})')} END")
         else:
             whole.append(f"CASE WHEN {gate} THEN {_hit_sql(text, i, p, '0')} END")
     made = f"array({', '.join(whole)})"
@@ -231,18 +243,18 @@ def by_line(p: Pattern) -> bool:
     return p.lines and bool(p.gate or p.has)
 
 
-def gates_sql(text: str, low: str, digit: str, some: str | None, patterns: Sequence[Pattern], when: Sequence[str] = ()) -> str:
+def gates_sql(text: str, low: str, digit: str, some: str | None, patterns: Sequence[Pattern], numbers: Sequence[int] | None = None) -> str:
     """SQL for an array: of each pattern, with those of with_contexts, whether it is sought in the text.
 
-    some: whether the text has one of gate_literals. when: of each pattern a condition in SQL for being sought at all."""
+    some: whether the text has one of gate_literals. numbers: those that are asked for, if not all."""
 
-    def one(i: int, p: Pattern) -> str:
+    def one(p: Pattern) -> str:
         if p.within:
             return "false"
-        asked = f"{when[i]} AND " if i < len(when) and when[i] else ""
-        return f"{asked}{f'{some} AND ' if some and _listed(p) else ''}{_gate_sql(text, low, digit, p)}"
+        return f"{f'{some} AND ' if some and _listed(p) else ''}{_gate_sql(text, low, digit, p)}"
 
-    return f"array({', '.join(one(i, p) for i, p in enumerate(with_contexts(patterns)))})"
+    every = with_contexts(patterns)
+    return f"array({', '.join(map(one, every if numbers is None else [every[i] for i in numbers]))})"
 
 
 def _listed(p: Pattern) -> bool:
@@ -297,7 +309,9 @@ def _hit_sql(text: str, number: int, p: Pattern, at: str) -> str:
     for g in p.groups[1:]:
         value = f"zip_with({value}, {group(g)}, (a, b) -> if(length(a) > 0, a, b))"
     extra = "cast(null AS array<string>)" if p.extra is None else group(p.extra)
-    made = f"named_struct('p', {number}, 'at', {at}, 'g', split({text}, {pattern}, -1), 'm', {group(0)}, 'v', {value}, 'x', {extra}, 'c', {_near_sql(p)})"
+    # Cutting by a pattern makes it anew for every text, replacing by one doesn't.
+    gaps = f"if(contains({text}, {MARK}), split({text}, {pattern}, -1), split(regexp_replace({text}, {pattern}, {MARK}), {MARK}, -1))"
+    made = f"named_struct('p', {number}, 'at', {at}, 'g', {gaps}, 'm', {group(0)}, 'v', {value}, 'x', {extra}, 'c', {_near_sql(p)})"
     return f"CASE WHEN rlike({text}, {pattern}) THEN {made} END"
 
 
@@ -306,10 +320,12 @@ def _near_sql(p: Pattern) -> str:
     return "true" if p.context or p.test is not None or p.cut is not None else "false"
 
 
-#: Of a hit h and the number i of a match: its lengths, and what is around it.
+#: Of a hit h and the number i of a match: where its value starts within it.
+_INNER = "coalesce(length(get(h.m, i)) - instr(reverse(get(h.m, i)), reverse(get(h.v, i))) - length(get(h.v, i)) + 1, 0)"
+#: The same: its lengths, and what is around it.
 _PART = f"""named_struct(
   'gap', length(get(h.g, i)), 'tail', if(h.c, right(get(h.g, i), {BEFORE}), ''), 'm', get(h.m, i), 'n', length(get(h.m, i)), 'v', coalesce(get(h.v, i), get(h.m, i)),
-  'inner', coalesce(length(get(h.m, i)) - instr(reverse(get(h.m, i)), reverse(get(h.v, i))) - length(get(h.v, i)) + 1, 0), 'size', length(coalesce(get(h.v, i), get(h.m, i))),
+  'inner', {_INNER}, 'size', length(coalesce(get(h.v, i), get(h.m, i))),
   'after', if(h.c, left(concat(coalesce(get(h.g, i + 1), ''), coalesce(get(h.m, i + 1), '')), {AFTER}), ''), 'x', get(h.x, i))"""
 _NEAR = f"if(h.c, right(concat(d.before, q.tail), {BEFORE}), '')"
 #: Of the state d and a part q: the state after it, which has the match with its place.
@@ -317,14 +333,18 @@ _STEP = f"""named_struct(
   'at', d.at + q.gap + q.n, 'before', if(h.c, right(concat({_NEAR}, q.m), {BEFORE}), ''),
   'out', array_append(d.out, named_struct(
     'p', h.p, 'start', d.at + q.gap + q.inner, 'end', d.at + q.gap + q.inner + q.size, 'value', q.v, 'before', {_NEAR}, 'after', q.after, 'extra', q.x, 'confidence', cast(null AS int))))"""
+#: The only match of a hit.
+_ONE = bound(f"h.at + length(get(h.g, 0)) + {_INNER.replace(', i)', ', 0)')}", "start", bound("coalesce(get(h.v, 0), get(h.m, 0))", "v", f"""array(named_struct(
+  'p', h.p, 'start', start, 'end', start + length(v), 'value', v, 'before', if(h.c, right(get(h.g, 0), {BEFORE}), ''), 'after', if(h.c, left(get(h.g, 1), {AFTER}), ''),
+  'extra', get(h.x, 0), 'confidence', cast(null AS int)))"""))
 #: All matches of a hit: a fold over blocks of matches, and in each over its matches.
-_PLACES = f"""h -> aggregate(
+_PLACES = f"""h -> if(size(h.m) = 1, {_ONE}, aggregate(
   transform(sequence(0, cast((size(h.m) - 1) div {BLOCK} AS int)), b -> transform(sequence(b * {BLOCK}, least(b * {BLOCK} + {BLOCK} - 1, size(h.m) - 1)), i -> {_PART})),
   named_struct('at', h.at, 'before', '', 'out', cast(array() AS array<array<{MATCH}>>)),
   (done, part) -> get(transform(
     array(aggregate(part, named_struct('at', done.at, 'before', done.before, 'out', cast(array() AS array<{MATCH}>)), (d, q) -> {_STEP})),
     r -> named_struct('at', r.at, 'before', r.before, 'out', array_append(done.out, r.out))), 0),
-  done -> flatten(done.out))"""
+  done -> flatten(done.out)))"""
 
 
 def _placed(hits: Column) -> Column:
@@ -348,7 +368,7 @@ _FIELDS = ("p", "start", "end", "value", "before", "after", "extra", "confidence
 
 
 def _with(m: Column, **changed: Column) -> Column:
-    return F.struct(*(changed[n].alias(n) if n in changed else m[n] for n in _FIELDS))
+    return F.struct(*(changed[n].alias(n) if n in changed else m[n].alias(n) for n in _FIELDS))
 
 
 def _cut(found: Column, patterns: Sequence[Pattern], nested: bool) -> Column:
@@ -356,8 +376,8 @@ def _cut(found: Column, patterns: Sequence[Pattern], nested: bool) -> Column:
     cuts = [(i, p.cut) for i, p in enumerate(patterns) if p.cut and bool(p.within) == nested]
     if not cuts:
         return found
-    found = F.transform(found, lambda m: _with(m, value=_case(m, [(cut, i, cut(m)) for i, cut in cuts], m["value"])))
-    return F.transform(found, lambda m: _with(m, end=m["start"] + F.length(m["value"])))
+    cut = lambda m: let(_case(m, [(cut, i, cut(m)) for i, cut in cuts], m["value"]), lambda v: _with(m, value=v, end=m["start"] + F.length(v)))
+    return F.transform(found, lambda m: F.when(m["p"].isin(*(i for i, _ in cuts)), cut(m)).otherwise(m))
 
 
 def _ranked(found: Column, patterns: Sequence[Pattern]) -> Column:
@@ -405,7 +425,7 @@ def matches_of(hits: Column, patterns: Sequence[Pattern]) -> Column:
         inner = _cut(_placed(hits), patterns, True)
         return F.concat(F.filter(all_, lambda m: m["p"] < first), inner)
 
-    return _ranked(let(found, joined), patterns)
+    return _ranked(let(found, lambda all_: F.when(F.exists(all_, lambda m: m["p"] >= first), joined(all_)).otherwise(all_)), patterns)
 
 
 def as_spans(found: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.script import QUOTED, SWITCH_CASES, string_literals
-from ..functions.spans import HIGH, MATCH, Pattern, any_literal, as_spans, bound, by_line, fold_sql, gate_literals, gates_sql, hits_sql, let, lines_of, mapped, matches, matches_of, no_spans, once, overlap, with_contexts
+from ..functions.spans import HIGH, HIT, MATCH, Pattern, any_literal, as_spans, bound, by_line, fold_sql, gate_literals, gates_sql, hits_sql, let, lines_of, mapped, matches, matches_of, no_spans, once, overlap, with_contexts
 from .detectors import Detector, registry
 
 DEFAULT_TEMPLATE = "[{TYPE}_{INDEX}]"
@@ -72,8 +72,8 @@ class _Plan:
     given: tuple[int, ...]
 
     @staticmethod
-    def of(rules: Sequence[Detector]) -> _Plan:
-        patterns = [(i, p) for i, d in enumerate(rules) for p in d.patterns] + [(-1, p) for p in PROTECTED]
+    def of(rules: Sequence[Detector], protected: Sequence[Pattern] = PROTECTED) -> _Plan:
+        patterns = [(i, p) for i, d in enumerate(rules) for p in d.patterns] + [(-1, p) for p in protected]
         special = [(i, s) for i, d in enumerate(rules) for s in d.special]
         given = {d.given: i for i, d in enumerate(rules) if d.given is not None}
         before = len(patterns) + len(special)
@@ -83,13 +83,26 @@ class _Plan:
             tuple(places.get(key, -1) for key in range(max(given, default=-1) + 1)),
         )
 
+    def by_rule(self, only: str, of: Callable[[Sequence[int]], str], otherwise: str) -> str:
+        """SQL: by the rule in the column `only`, what `of` gives for the numbers of that rule's patterns and those that they are sought within."""
+        every, cases = with_contexts(self.patterns), []
+        for i, d in enumerate(self.rules):
+            own = [n for n, r in enumerate(self.rule_of[: len(self.patterns)]) if r == i]
+            around = {id(self.patterns[n].within) for n in own}
+            own += [n for n in range(len(self.patterns), len(every)) if id(every[n]) in around]
+            if own:
+                cases.append(f"WHEN '{d.id}' THEN {of(own)}")
+        return f"CASE {only} {' '.join(cases)} ELSE {otherwise} END" if cases else otherwise
+
     def found(self, text: str, hits: str, only: str | None = None) -> Column:
         def numbered(spans: Column, number: int) -> Column:
             none = F.lit(None).cast("string")
             return F.transform(spans, lambda s: F.struct(F.lit(number).alias("p"), *(s[n].alias(n) for n in ("start", "end", "value")), *(none.alias(n) for n in ("before", "after", "extra")), s["confidence"].alias("confidence")))
 
         asked = lambda n, spans: F.when(F.col(only) == self.rules[self.rule_of[n]].id, spans).otherwise(no_spans()) if only else spans
-        made = [numbered(asked(len(self.patterns) + i, s(F.col(text))), len(self.patterns) + i) for i, s in enumerate(self.special)]
+        made = [numbered(asked(len(self.patterns) + i, s(F.col(text))), len(self.patterns) + i).cast(f"array<{MATCH}>") for i, s in enumerate(self.special)]
+        if only and made:
+            made = [F.when(F.col(only).isin([d.id for d in self.rules if d.special]), F.concat(*made)).otherwise(F.array().cast(f"array<{MATCH}>"))]
         if self.given:
             known = F.filter(F.coalesce(F.col(GIVEN), F.slice(F.array(F.get(GIVEN, F.lit(0))), 1, 0)), lambda s: F.get(_numbers(self.given), s["key"]) >= 0)
             rest = lambda s: (F.lit(None).cast("string").alias("extra"), F.lit(HIGH).alias("confidence"))
@@ -264,23 +277,29 @@ def _keys(kept: Column, rules: Sequence[Detector], template: str) -> Column:
 MANY_LITERALS = 12
 
 
-def _prepared(df: DataFrame, text_col: str, plan: _Plan, only: str | None = None) -> DataFrame:
-    """df with the text, the text in lower case, its lines, and the candidates of all rules, in _scan_ columns. only: a column with the
-    id of the one rule whose patterns are sought in the row."""
-    text, low, digit, some, gates, lines, hits, found = (f"_scan_{x}" for x in ("text", "low", "digit", "some", "gates", "lines", "hits", "found"))
+def _searched(df: DataFrame, text_col: str, plan: _Plan, only: str | None = None) -> DataFrame:
+    """df with the text, the text in lower case, and the hits of all patterns, in _scan_ columns. only: a column with the id of the one
+    rule whose patterns are sought in the row; gates and searches of the others aren't even looked at."""
+    text, low, digit, some, gates, lines, hits = (f"_scan_{x}" for x in ("text", "low", "digit", "some", "gates", "lines", "hits"))
     out = once(df, **{text: F.coalesce(F.col(text_col), F.lit(""))})
     out = once(once(out, **{low: F.lower(F.col(text))}), **{digit: F.col(text).rlike("[0-9]")})
     literals, every = gate_literals(plan.patterns), with_contexts(plan.patterns)
-    many = len(literals) >= MANY_LITERALS
+    many = len(literals) >= MANY_LITERALS and not only
     out = once(out, **{some: F.col(low).rlike(any_literal(literals))}) if many else out
-    when = [f"{only} = '{plan.rules[i].id}'" if only and i >= 0 else "" for i in plan.rule_of[: len(plan.patterns)]]
-    out = once(out, **{gates: F.expr(gates_sql(text, low, digit, some if many else None, plan.patterns, when))})
-    lined = [i for i, p in enumerate(every) if by_line(p) or p.starts]
+    by_row = (lambda of, otherwise: plan.by_rule(only, of, otherwise)) if only else (lambda of, _: of(range(len(every))))
+    out = once(out, **{gates: F.expr(by_row(lambda numbers: gates_sql(text, low, digit, some if many else None, plan.patterns, numbers), "cast(array() AS array<boolean>)"))})
+    is_lined = lambda i: by_line(every[i]) or bool(every[i].starts)
+    lined = any(map(is_lined, range(len(every))))
     if lined:
-        wanted = F.expr(" OR ".join(f"get({gates}, {i})" for i in lined))
+        wanted = F.expr(by_row(lambda numbers: " OR ".join([f"get({gates}, {place})" for place, i in enumerate(numbers) if is_lined(i)]) or "false", "false"))
         out = once(out, **{lines: F.when(wanted, lines_of(F.col(text), F.col(low)))})
-    out = once(out, **{hits: F.expr(hits_sql(text, low, digit, plan.patterns, lines if lined else None, gates))}).drop(gates, some)
-    return once(out, **{found: _candidates(plan.found(text, hits, only), plan)}).drop(lines)
+    sought = by_row(lambda numbers: hits_sql(text, low, digit, plan.patterns, lines if lined else None, gates, numbers), f"cast(array() AS array<{HIT}>)")
+    return once(out, **{hits: F.expr(sought)}).drop(gates, some, lines)
+
+
+def _prepared(df: DataFrame, text_col: str, plan: _Plan) -> DataFrame:
+    """df with what _searched gives, and the candidates of all rules in _scan_found."""
+    return once(_searched(df, text_col, plan), _scan_found=_candidates(plan.found("_scan_text", "_scan_hits"), plan))
 
 
 def rule_matches(df: DataFrame, text_col: str = "text", options: ScanOptions | None = None, only: str | None = None) -> DataFrame:
@@ -288,12 +307,17 @@ def rule_matches(df: DataFrame, text_col: str = "text", options: ScanOptions | N
 
     only: a column with a rule's id; then a row gets the matches of that rule alone, and the patterns of others aren't sought in it."""
     rules = active_detectors(options or ScanOptions())
-    ids, ranks = _words([d.id for d in rules]), F.array(F.lit("low"), F.lit("medium"), F.lit("high"))
-    out = _prepared(df.drop("rule_matches"), text_col, _Plan.of(rules), only)
-    own = F.transform(F.filter("_scan_found", lambda x: x["rule"] >= 0), lambda x: x["c"])
-    made = F.transform(own, lambda c: F.struct(F.get(ids, c["rule"]).alias("detector_id"), *(c[n].alias(n) for n in ("start", "end", "value")), F.element_at(ranks, c["confidence"]).alias("confidence")))
-    made = F.filter(made, lambda m: m["detector_id"] == F.col(only)) if only else made
-    return out.withColumn("rule_matches", made).drop("_scan_text", "_scan_low", "_scan_digit", "_scan_hits", "_scan_found")
+    plan = _Plan.of(rules, ())
+    out = _searched(df.drop("rule_matches"), text_col, plan, only)
+    ids, ranks, rule_of = _words([rules[i].id for i in plan.rule_of]), F.array(F.lit("low"), F.lit("medium"), F.lit("high")), _numbers(plan.rule_of)
+    own = lambda m: F.struct(F.get(ids, m["p"]).alias("detector_id"), *(m[n].alias(n) for n in ("start", "end", "value")), F.element_at(ranks, m["confidence"]).alias("confidence"))
+    placed = lambda every: F.array_sort(F.transform(every, lambda m: F.struct(F.get(rule_of, m["p"]).alias("rule"), m["p"].alias("p"), m["start"].alias("at"), m.alias("m"))))
+    made = let(plan.found("_scan_text", "_scan_hits", only), lambda every: F.when(F.size(every) > 1, F.transform(placed(every), lambda x: own(x["m"]))).otherwise(F.transform(every, own)))
+    if only:
+        made = F.filter(made, lambda m: m["detector_id"] == F.col(only)) if plan.given else made
+        searched = F.exists("_scan_hits", lambda h: h.isNotNull()) | F.col(only).isin([d.id for d in rules if d.special])
+        made = F.when(searched if not plan.given else F.lit(True), made).otherwise(F.array().cast("array<struct<detector_id:string,start:int,end:int,value:string,confidence:string>>"))
+    return once(out, rule_matches=made).drop("_scan_text", "_scan_low", "_scan_digit", "_scan_hits")
 
 
 def find_candidates(df: DataFrame, text_col: str = "text", options: ScanOptions | None = None) -> DataFrame:

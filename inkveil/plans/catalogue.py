@@ -349,11 +349,16 @@ def _case_text(rule: str) -> str:
 
 
 def q_detector_cases(spark, sf_dir):
-    """What each rule finds in the texts made for it, one for every document."""
+    """What each rule finds in the texts made for it, one for every document. Texts are made from the id, so documents of one id share
+    them, and what is found in one is counted within its row."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    ids = docs.repartition(max(docs.rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     cases = F.expr("array(" + ", ".join(f"struct('{rule}' AS rule, {_case_text(rule)} AS text)" for rule in RULE_CASES) + ")")
-    rows = _documents(spark, sf_dir).select("doc_id", F.explode(cases).alias("c")).select("doc_id", "c.*")
-    found = rule_matches(rows, options=ScanOptions(frozenset(RULE_CASES)), only="rule").select("doc_id", "rule", F.explode("rule_matches").alias("m"))
-    return found.groupBy("doc_id", "rule", F.col("m.value").alias("value"), F.col("m.confidence").alias("confidence")).agg(F.count(F.lit(1)).alias("count"))
+    rows = ids.select("doc_id", "n", F.explode(cases).alias("c")).select("doc_id", "n", "c.*")
+    found = rule_matches(rows, options=ScanOptions(frozenset(RULE_CASES)), only="rule")
+    every = once(found, every=F.transform("rule_matches", lambda m: F.struct(m["value"].alias("value"), m["confidence"].alias("confidence")))).select("doc_id", "n", "rule", "every")
+    each = every.select("*", F.explode(F.array_distinct("every")).alias("m"))
+    return each.select("doc_id", "rule", "m.value", "m.confidence", (F.col("n") * F.size(F.filter("every", lambda x: x == F.col("m")))).alias("count"))
 
 
 def _sql_cases() -> str:
