@@ -219,7 +219,8 @@ def hits_sql(text: str, low: str, digit: str, patterns: Sequence[Pattern], lines
             continue
         gate = f"get({gates}, {place})" if gates else _gate_sql(text, low, digit, p)
         if lines and by_line(p):
-            parts.append(f"CASE WHEN {gate} THEN transform(filter({lines}, y -> {_gate_sql('y.t', 'y.l', None, p)}), y -> {_hit_sql('y.t', i, p, 'y.at')}) END")
+            near = f"if(size({lines}) = 1, {lines}, filter({lines}, y -> {_gate_sql('y.t', 'y.l', None, p)}))"
+            parts.append(f"CASE WHEN {gate} THEN transform({near}, y -> {_hit_sql('y.t', i, p, 'y.at')}) END")
         elif lines and p.starts:
             first = f"get(filter({lines}, y -> {' OR '.join(f'contains(y.l, {_raw(g)})' for g in p.starts)}), 0).at"
             parts.append(f"CASE WHEN {gate} THEN transform(array({first}), y -> {bound(f'substring({text}, y + 1)', 'rest', _hit_sql('rest', i, p, 'y'))}) END")
@@ -311,8 +312,8 @@ def _hit_sql(text: str, number: int, p: Pattern, at: str) -> str:
     extra = "cast(null AS array<string>)" if p.extra is None else group(p.extra)
     # Cutting by a pattern makes it anew for every text, replacing by one doesn't.
     gaps = f"if(contains({text}, {MARK}), split({text}, {pattern}, -1), split(regexp_replace({text}, {pattern}, {MARK}), {MARK}, -1))"
-    made = f"named_struct('p', {number}, 'at', {at}, 'g', {gaps}, 'm', {group(0)}, 'v', {value}, 'x', {extra}, 'c', {_near_sql(p)})"
-    return f"CASE WHEN rlike({text}, {pattern}) THEN {made} END"
+    made = f"named_struct('p', {number}, 'at', {at}, 'g', {gaps}, 'm', m, 'v', {value}, 'x', {extra}, 'c', {_near_sql(p)})"
+    return bound(group(0), "m", f"CASE WHEN size(m) > 0 THEN {made} END")
 
 
 def _near_sql(p: Pattern) -> str:
